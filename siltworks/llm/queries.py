@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("neardup",)
+MODULES = ("neardup", "sitelines")
 
 
 def _gather(attribute: str) -> dict:
