@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("neardup", "sitelines")
+MODULES = ("neardup", "sitelines", "leakage")
 
 
 def _gather(attribute: str) -> dict:
