@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("neardup", "sitelines", "leakage")
+MODULES = ("neardup", "sitelines", "leakage", "mixing", "reading")
 
 
 def _gather(attribute: str) -> dict:
