@@ -27,7 +27,17 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it, whatever folder they start in."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
