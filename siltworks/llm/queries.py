@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("neardup", "sitelines", "leakage", "mixing", "reading")
+MODULES = ("neardup", "sitelines", "leakage", "mixing", "mojibake", "reading")
 
 
 def _gather(attribute: str) -> dict:
