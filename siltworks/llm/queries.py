@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("neardup", "sitelines", "leakage", "mixing", "mojibake", "reading")
+MODULES = ("neardup", "sitelines", "leakage", "mixing", "mojibake", "reading", "residue")
 
 
 def _gather(attribute: str) -> dict:
