@@ -28,6 +28,7 @@ class Block(NamedTuple):
     path: tuple[str, ...]  # enclosing elements, each as tag or tag.class
     linked: int  # characters of its text inside links
     coded: int  # characters of its text inside code
+    owners: tuple[int, ...] = ()  # numbers of the enclosing elements in the page
 
 
 def folded(text: str) -> str:
@@ -38,7 +39,9 @@ def html_blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[str] = []
     names: list[str] = []
+    numbers: list[int] = []
     parts: list[str] = []
+    opened = 0
     links = codes = linked = coded = 0
 
     def close() -> None:
@@ -46,7 +49,7 @@ def html_blocks(page: str) -> list[Block]:
         if parts:
             text = folded("".join(parts))
             if text:
-                out.append(Block(text, tuple(names), linked, coded))
+                out.append(Block(text, tuple(names), linked, coded, tuple(numbers)))
         parts, linked, coded = [], 0, 0
 
     at = 0
@@ -78,16 +81,20 @@ def html_blocks(page: str) -> list[Block]:
             if tag in stack:
                 while stack:
                     names.pop()
+                    numbers.pop()
                     if stack.pop() == tag:
                         break
         elif tag not in _VOID:
             while stack and stack[-1] in _CLOSES and tag in _CLOSES[stack[-1]]:
                 stack.pop()
                 names.pop()
+                numbers.pop()
             found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m.group(4))}
             name = tag + "".join(f".{v}" for k, v in sorted(found.items()) if v)
+            opened += 1
             stack.append(tag)
             names.append(name)
+            numbers.append(opened)
     if at < len(page):
         parts.append(page[at:])
     close()
