@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("markup", "neardup", "sitelines", "leakage", "mixing", "mojibake", "reading", "residue")
+MODULES = ("mainbody", "markup", "neardup", "sitelines", "leakage", "mixing", "mojibake", "reading", "residue")
 
 
 def _gather(attribute: str) -> dict:
