@@ -6,6 +6,10 @@ break (``\\z`` is used), as the rules of the formats ask.
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -149,50 +153,84 @@ def naive_hrefs(html: Column | str) -> Column:
     return F.regexp_extract_all(_col(html), F.lit(r'href="([^"]*)"'), 1)
 
 
-def compact_row(line: Column) -> Column:
-    """A table row with trimmed cells and no empty outer cells."""
-    cells = F.transform(F.split(line, r"\|"), trimmed)
-    cells = F.when(F.element_at(cells, 1) == "", F.slice(cells, 2, F.size(cells))).otherwise(cells)
-    cells = F.when((F.size(cells) > 0) & (F.element_at(cells, -1) == ""), F.slice(cells, 1, F.size(cells) - 1)).otherwise(cells)
-    return F.concat(F.lit("| "), F.concat_ws(" | ", cells), F.lit(" |"))
+_RE = {name: re.compile(pattern.replace(r"\z", r"\Z").replace("(?m)", "").replace("(?i)", ""), re.ASCII | (re.I if "(?i)" in pattern else 0)) for name, pattern in (("link", LINK), ("image", IMAGE), ("bold", BOLD), ("italic", ITALIC), ("code", CODE), ("css_class", CSS_CLASS_LINE), ("css_blob", CSS_BLOB_LINE), ("page", PAGINATION), ("quote", QUOTE_LINE), ("rule", TABLE_RULE), ("number", STAT_NUMBER), ("label", STAT_LABEL))}
+_EXEMPT = re.compile(r"\||- |\* |\+ |\d+\. |>")
+
 
+def table_row(line: str) -> str:
+    """A table row with trimmed cells and no empty outer cells."""
+    cells = [c.strip() for c in line.split("|")]
+    if cells and not cells[0]:
+        cells = cells[1:]
+    if cells and not cells[-1]:
+        cells = cells[:-1]
+    return "| " + " | ".join(cells) + " |"
 
-def _body_lines(md: Column) -> Column:
-    def line(x: Column) -> Column:
-        y = F.regexp_replace(F.regexp_replace(x, IMAGE, "$1"), LINK, "$1")
-        for pattern, to in ((BOLD, "$1"), (ITALIC, "$1$2$3"), (CODE, "$1"), (QUOTE_LINE, "")):
-            y = F.regexp_replace(y, pattern, to)
-        y = trimmed(y)
-        return F.when(y.startswith("|"), F.when(y.rlike(TABLE_RULE), F.lit(None)).otherwise(compact_row(y))).otherwise(F.when((y != "") & (y.rlike(CSS_CLASS_LINE) | y.rlike(CSS_BLOB_LINE) | y.rlike(PAGINATION)), F.lit(None)).otherwise(y))
 
-    blank_image = lambda x: (F.regexp_extract(x, r"(" + IMAGE + ")", 1) != "") & (F.trim(F.regexp_extract(x, IMAGE, 1)) == "")
-    kept = F.filter(F.split(md, "\n"), lambda x: ~blank_image(x))
-    return F.filter(F.transform(kept, line), lambda x: x.isNotNull())
+def _slim_line(line: str) -> str | None:
+    m = _RE["image"].search(line)
+    if m and not m.group(1).strip():
+        return None
+    y = _RE["link"].sub(r"\1", _RE["image"].sub(r"\1", line))
+    y = _RE["code"].sub(r"\1", _RE["italic"].sub(r"\1\2\3", _RE["bold"].sub(r"\1", y)))
+    y = _RE["quote"].sub("", y, count=1).strip()
+    if y.startswith("|"):
+        return None if _RE["rule"].search(y) else table_row(y)
+    if y and (_RE["css_class"].search(y) or _RE["css_blob"].search(y) or _RE["page"].search(y)):
+        return None
+    return y
 
 
-def _is_logo(x: Column) -> Column:
-    return (x != "") & (F.octet_length(x) < 40) & ~x.rlike(r"[.!?|:]") & ~x.rlike(r"^(#|\||- |>)")
+def _is_logo(x: str) -> bool:
+    return bool(x) and len(x.encode()) < 40 and not any(c in x for c in ".!?|:") and not x.startswith(("#", "|", "- ", ">"))
 
 
-def without_logo_runs(lines: Column) -> Column:
+def without_logo_runs(lines: list[str]) -> list[str]:
     """Lines without runs of two or more short bare lines."""
-    at = lambda i: F.get(lines, i)
-    logo = lambda i: F.coalesce(_is_logo(at(i)), F.lit(False))
-    return F.filter(lines, lambda x, i: ~(_is_logo(x) & (logo(i - 1) | logo(i + 1))))
+    logo = [False, *map(_is_logo, lines), False]
+    return [x for i, x in enumerate(lines, 1) if not (logo[i] and (logo[i - 1] or logo[i + 1]))]
 
 
-def with_merged_stats(lines: Column) -> Column:
+def with_merged_stats(lines: list[str]) -> list[str]:
     """A number line followed by a label line becomes 'label: number'."""
-    step = lambda acc, x: F.when((F.size(acc) > 0) & F.element_at(acc, -1).rlike(STAT_NUMBER) & x.rlike(STAT_LABEL), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(trimmed(x), F.lit(": "), trimmed(F.element_at(acc, -1)))))).otherwise(F.concat(acc, F.array(x)))
-    return F.aggregate(lines, F.array().cast("array<string>"), step)
+    out: list[str] = []
+    for x in lines:
+        if out and _RE["number"].search(out[-1]) and _RE["label"].search(x):
+            out[-1] = f"{x.strip()}: {out[-1].strip()}"
+        else:
+            out.append(x)
+    return out
 
 
-def llm_body(md: Column | str) -> Column:
+def slim_markdown(md: str | None) -> str | None:
     """Markdown slimmed for a model: marks, logo runs, repeated paragraphs and extra blank lines go."""
-    lines = with_merged_stats(without_logo_runs(_body_lines(_col(md))))
-    exempt = lambda x: (x == "") | x.rlike(r"^(\||- |\* |\+ |\d+\. |>)")
-    once = F.filter(lines, lambda x, i: exempt(x) | (F.array_position(lines, x) == i + 1))
-    return trimmed(F.regexp_replace(F.concat_ws("\n", once), r"\n{3,}", "\n\n"))
+    if md is None:
+        return None
+    lines = with_merged_stats(without_logo_runs([y for x in md.split("\n") if (y := _slim_line(x)) is not None]))
+    seen: set[str] = set()
+    out = []
+    for x in lines:
+        if x and not _EXEMPT.match(x):
+            if x in seen:
+                continue
+            seen.add(x)
+        if x or not out or out[-1]:
+            out.append(x)
+    return "\n".join(out).strip()
+
+
+def llm_body(md: Column | str) -> Column:
+    """slim_markdown of a column, in Arrow batches: line by line state is dearer in nested array lambdas than in Python."""
+    return _slim_udf()(_col(md))
+
+
+@lru_cache(maxsize=1)
+def _slim_udf():
+    @F.pandas_udf("string")
+    def slim(texts: pd.Series) -> pd.Series:
+        return texts.map(slim_markdown, na_action="ignore")
+
+    return slim
 
 
 def llm_header(title: Column, source: Column, description: Column, author: Column, date: Column) -> Column:

@@ -120,9 +120,9 @@ def _own(e: Node) -> Iterator[str]:
     yield f"{e.tag}:nth-of-type({kin.index(e) + 1})"
 
 
-def candidates(root: Node, needle: str) -> list[str]:
-    """Selectors of the elements that hold the needle, deepest first, each with up to four ancestors' own selectors."""
-    found = [e for e in root.elements() if needle and needle in e.content()]
+def candidates(root: Node, needles: list[str]) -> list[str]:
+    """Selectors of the elements that hold one of the needles, deepest first, each with up to four ancestors' own selectors."""
+    found = [e for e in root.elements() if any(n in e.content() for n in needles)]
     depth = lambda e: sum(1 for _ in _up(e))
     out: dict[str, None] = {}
     for e in sorted(found, key=lambda e: -depth(e)):
@@ -138,8 +138,16 @@ def _up(e: Node) -> Iterator[Node]:
         yield e
 
 
-def needle_of(value: object) -> str:
-    return "" if value is None or isinstance(value, (dict, list)) else jsonops.marshalled(value) if not isinstance(value, str) else value.strip()
+def needles_of(value: object) -> list[str]:
+    """How a scalar may stand in a page; numbers with point or comma, and with two places."""
+    if value is None or isinstance(value, (dict, list)):
+        return []
+    if isinstance(value, str):
+        return [value.strip()] if value.strip() else []
+    out = [jsonops.marshalled(value)]
+    if isinstance(value, float):
+        out += [f"{value:.2f}", out[0].replace(".", ","), f"{value:.2f}".replace(".", ",")]
+    return out
 
 
 def agreement(samples: list[dict], field: str, selector: dict) -> int:
@@ -161,7 +169,7 @@ def synthesized(samples: list[dict], hints: dict[str, dict], fields: list[str],
                 missing.append(f)
             continue
         best: tuple[int, dict] | None = None
-        options = ([h["css_hint"]] if h.get("css_hint") else []) + [c for s in samples[:1] for c in candidates(s["root"], needle_of(s["truth"].get(f)))]
+        options = ([h["css_hint"]] if h.get("css_hint") else []) + [c for s in samples[:1] for c in candidates(s["root"], needles_of(s["truth"].get(f)))]
         for k, expr in enumerate(options):
             s = {"type": "css", "expr": expr, **extra}
             hits = agreement(samples, f, s)

@@ -99,8 +99,8 @@ def _last(url: Column) -> Column:
 
 
 def record(name: str, url: Column | str, body: Column | str) -> Column:
-    """The site's record as a struct; fields that are absent are '' or 0."""
-    u, b = _col(url), json_body(body)
+    """The site's record as a struct from a bare body (json_body); fields that are absent are '' or 0."""
+    u, b = _col(url), _col(body)
     t, n = lambda *p: text_at(b, *p), lambda *p: number_at(b, *p)
     if name == "github_repo":
         issue = F.get_json_object(b, "$.number").isNotNull()
@@ -151,7 +151,9 @@ def record(name: str, url: Column | str, body: Column | str) -> Column:
 
 def records(bodies: DataFrame, name: str, url: str = "url", status: str = "status", body: str = "body") -> DataFrame:
     """bodies with the columns record and error; error 'status N' for other than 2xx, 'malformed' for bodies that are no JSON."""
+    # the bare body is a column of its own, so that every field reads it instead of making it again
+    bare = bodies.withColumn("_bare", F.col(body) if name == "arxiv" else json_body(body))
     ok = F.col(status).between(200, 299)
-    good = F.lit(True) if name == "arxiv" else F.get_json_object(json_body(body), "$").isNotNull()
+    good = F.lit(True) if name == "arxiv" else F.get_json_object("_bare", "$").isNotNull()
     error = F.when(~F.coalesce(ok, F.lit(False)), F.concat(F.lit("status "), F.coalesce(F.col(status).cast("string"), F.lit("none")))).when(~F.coalesce(good, F.lit(False)), "malformed")
-    return bodies.withColumn("error", error).withColumn("record", F.when(F.col("error").isNull(), record(name, url, body)))
+    return bare.withColumn("error", error).withColumn("record", F.when(F.col("error").isNull(), record(name, url, "_bare"))).drop("_bare")
