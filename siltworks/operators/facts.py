@@ -97,10 +97,11 @@ def scoped(page: str, include: list[str], exclude: list[str]) -> str:
     kept, valid = found(include)
     if include and not valid and not exclude:
         return page
-    for n in found(exclude)[0]:
+    cut = found(exclude)[0]
+    for n in cut:
         n.remove()
     if include and valid:
-        gone = set(map(id, found(exclude)[0]))
+        gone = set(map(id, cut))
         return "".join(n.outer() for n in kept if id(n) not in gone)
     return root.outer()
 

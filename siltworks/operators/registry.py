@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KINDS = ("source", "fetcher", "cleaner", "extractor", "transform", "exporter", "model")
 MAJOR = 1
@@ -72,8 +73,7 @@ def json_transform(df: DataFrame, col: str, change: Callable[[str], str]) -> Dat
             cols[at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(errors, pa.string())], names=[*names, f"{col}_error"])
 
-    schema = df.schema.add(f"{col}_error", "string")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(f"{col}_error", T.StringType())]))
 
 
 def register_table_functions(spark: SparkSession) -> None:
