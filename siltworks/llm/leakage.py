@@ -207,4 +207,9 @@ def p8_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "score", F.round("coverage", 4).alias("coverage"), "run", "first_word", "last_word")
 
 
+SQL = {
+    "p8_found": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), e AS (SELECT item_id, regexp_extract_all(lower(prompt), '[\p{L}\p{N}]+') AS w FROM eval_item),
+        dg AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12)), eg AS (SELECT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e WHERE len(w) >= 12))
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)""",
+}
 QUERIES = {"p8_found": p8_found, "p8_alignments": p8_alignments}

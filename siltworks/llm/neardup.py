@@ -240,4 +240,10 @@ def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "batch_item"), "item_id", "markdown").select(F.col("id").alias("item_id"), "group_id", "links", "copies")
 
 
+SQL = {
+    "p7_found": r"""WITH w AS (SELECT item_id, regexp_extract_all(lower(markdown), '[\p{L}\p{N}]+') AS w FROM batch_item WHERE markdown IS NOT NULL),
+        g AS (SELECT DISTINCT item_id, hash(array_to_string(w[i:i + 2], ' ')) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 80)), n AS (SELECT item_id, count(*) AS n FROM g GROUP BY item_id),
+        o AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.item_id < b.item_id GROUP BY ALL)
+        SELECT a AS item_id_a, b AS item_id_b FROM o JOIN n x ON x.item_id = a JOIN n y ON y.item_id = b WHERE o >= 0.7 * (x.n + y.n - o)""",
+}
 QUERIES = {"p7_found": p7_found, "p7_groups": p7_groups}
