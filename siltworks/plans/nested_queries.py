@@ -20,12 +20,40 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat comment table: author and text of every comment and answer with its links."""
+    """The flat comment table: the text of every comment and answer with its links."""
     nodes = flatten_nested(accepted(spark, sf_dir), API_SHAPES)
     part = F.split("attrs", "\x1f")
     return nodes.where(F.col("entity").isin("comment", "answer")).select(
-        F.col("id").alias("body_id"), "entity", "node_key", "parent_key", F.element_at(part, 1).alias("first_attr"), F.element_at(part, -1).alias("text")
+        F.col("id").alias("body_id"), "entity", "node_key", "parent_key", F.element_at(part, -1).alias("text")
     )
 
 
 QUERIES = {"p1_found": p1_found, "p1_comments": p1_comments}
+
+SQL = {
+    "p1_found": r"""WITH RECURSIVE b AS (SELECT body_id, extractor, regexp_replace(regexp_replace(body, '^[\s\x{FEFF}]+', ''), '[\s\x{FEFF}]+$', '') AS b FROM api_body WHERE status BETWEEN 200 AND 299),
+        q AS (SELECT body_id, extractor, CASE WHEN starts_with(b, '"') AND json_valid(b) THEN regexp_replace(regexp_replace(json_extract_string(b, '$'), '^[\s\x{FEFF}]+', ''), '\s+$', '') ELSE b END AS t FROM b),
+        v AS MATERIALIZED (SELECT body_id, extractor, CAST(t AS JSON) AS j FROM q WHERE json_valid(t) AND (starts_with(t, '{') OR starts_with(t, '['))),
+        rd AS (SELECT body_id, unnest(json_extract(j, '$[*].data.children[*]')) AS node FROM v WHERE extractor = 'reddit'),
+        posts AS (SELECT body_id, node->>'$.data.id' AS k FROM rd WHERE node->>'$.kind' = 't3' AND (node->>'$.data.id') IS NOT NULL),
+        n AS (SELECT rd.body_id, 'c' AS s, node, coalesce(posts.k, '') AS parent FROM rd LEFT JOIN posts ON posts.body_id = rd.body_id
+            UNION ALL SELECT body_id, 'h', unnest(json_extract(j, '$.children[*]')), j->>'$.id' FROM v WHERE extractor = 'hackernews' AND (j->>'$.id') IS NOT NULL
+            UNION ALL SELECT body_id, s, unnest(CASE s WHEN 'c' THEN json_extract(node, '$.data.replies.data.children[*]') ELSE json_extract(node, '$.children[*]') END), CASE s WHEN 'c' THEN node->>'$.data.id' ELSE node->>'$.id' END
+                FROM n WHERE CASE s WHEN 'c' THEN node->>'$.kind' = 't1' AND (node->>'$.data.id') IS NOT NULL ELSE (node->>'$.id') IS NOT NULL END),
+        so AS (SELECT body_id, unnest(json_extract(j, '$.items[*]')) AS i FROM v WHERE extractor = 'stackoverflow'),
+        sc AS (SELECT body_id, i->>'$.answer_id' AS a, unnest(json_extract(i, '$.comments[*]')) AS c FROM so),
+        gl AS (SELECT body_id, j->>'$.number' AS p, unnest(json_extract(j, '$.labels[*]')) AS l FROM v WHERE extractor = 'github_repo' AND (j->>'$.number') IS NOT NULL),
+        o(body_id, entity, node_key, parent_key) AS (
+            SELECT body_id, 'post', k, '' FROM posts
+            UNION ALL SELECT body_id, 'comment', node->>'$.data.id', parent FROM n WHERE s = 'c' AND node->>'$.kind' = 't1'
+            UNION ALL SELECT body_id, 'story', j->>'$.id', '' FROM v WHERE extractor = 'hackernews'
+            UNION ALL SELECT body_id, 'comment', node->>'$.id', parent FROM n WHERE s = 'h'
+            UNION ALL SELECT body_id, 'repo', j->>'$.full_name', '' FROM v WHERE extractor = 'github_repo'
+            UNION ALL SELECT body_id, 'license', j->>'$.license.spdx_id', j->>'$.full_name' FROM v WHERE extractor = 'github_repo' AND (j->>'$.full_name') IS NOT NULL
+            UNION ALL SELECT body_id, 'issue', j->>'$.number', '' FROM v WHERE extractor = 'github_repo'
+            UNION ALL SELECT body_id, 'label', l->>'$.name', p FROM gl
+            UNION ALL SELECT body_id, 'question', i->>'$.question_id', '' FROM so WHERE (i->>'$.answer_id') IS NULL
+            UNION ALL SELECT body_id, 'answer', i->>'$.answer_id', i->>'$.question_id' FROM so
+            UNION ALL SELECT body_id, 'comment', c->>'$.comment_id', a FROM sc)
+        SELECT DISTINCT * FROM o WHERE node_key IS NOT NULL""",
+}
