@@ -4,8 +4,9 @@ A smoothed character trigram model is trained on the clean runs of non-ASCII cha
 records (with their neighbours). Every run of every record is then scored as it stands and
 after each candidate chain of encodings (encode as it was wrongly decoded, decode as it was
 meant, twice where text was garbled twice); the likeliest reading wins if it beats the
-standing text by a margin. The margin is validated: clean runs are garbled through every
-chain, and the margin is set where true repairs and false ones are told apart best.
+standing text by a margin. Single-byte mix-ups leave no trace in the bytes; they are judged by
+the runs of a line together. The margins are validated: clean runs are garbled through every
+chain, and the margins are set where true repairs and false ones are told apart best.
 
 The model is a set of hashed counts of fixed size, whatever the corpus holds; counts cover all
 records, only the validation set is a sample (``SAMPLE`` runs of least hash).
@@ -38,8 +39,10 @@ WRONG = ("cp1252", "latin-1", "mac_roman", "cp850", "cp437", "cp1251", "koi8-r",
 #: Single-byte mix-ups: (read as, meant). Runs shorter than SHORTEST are left to the UTF-8 chains.
 SINGLE = (("cp1252", "cp1251"), ("cp1252", "koi8-r"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("mac_roman", "cp1251"), ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp850", "cp1252"), ("cp1252", "cp850"))
 SHORTEST = 3
-#: Cells of each hashed count (characters, pairs, triples) and runs in the validation sample.
-CELLS, SAMPLE = 1 << 17, 4000
+#: Times that a run must stand in a chunk of the scan to validate with (garbled runs are rare), and the margin where there is too little to validate with.
+SEEN, MARGIN = 3, 6.0
+#: Cells of each hashed count, the counts (characters, pairs, triples, whole runs) and runs in the validation sample.
+CELLS, BLOCKS, SAMPLE = 1 << 17, 4, 4000
 _BACKOFF = 2.0
 
 
@@ -92,14 +95,15 @@ def readings(run: str) -> list[tuple[str, str]]:
                 if twice != got and twice not in seen:
                     seen.add(twice)
                     out.append((f"utf-8<{again}<utf-8<{name}", twice))
-    if len(run) >= SHORTEST:
-        for name, meant in SINGLE:
-            raw = _bytes(run, name)
-            if raw is not None:
-                got = raw.decode("latin-1").translate(_ENC[meant][1])
-                if got != run and got not in seen:
-                    seen.add(got)
-                    out.append((f"{meant}<{name}", got))
+    return out
+
+
+def single_readings(run: str) -> list[str | None]:
+    """The run's text after each single-byte chain, None where the chain can't have made it."""
+    out: list[str | None] = []
+    for name, meant in SINGLE:
+        raw = _bytes(run, name)
+        out.append(None if raw is None else raw.decode("latin-1").translate(_ENC[meant][1]))
     return out
 
 
@@ -121,7 +125,7 @@ class Model:
     """Trigram model over hashed counts with back-off to pairs and single characters."""
 
     def __init__(self, counts: np.ndarray):
-        self.one, self.two, self.three = (counts[k * CELLS : (k + 1) * CELLS] for k in range(3))
+        self.one, self.two, self.three, self.runs = (counts[k * CELLS : (k + 1) * CELLS] for k in range(BLOCKS))
         self.total = max(1, int(self.one.sum()))
 
     def score(self, text: str, skip: int) -> float:
@@ -138,6 +142,11 @@ class Model:
         return out
 
 
+    def known(self, run: str) -> float:
+        """Log of how often the whole run was seen, half a time if never."""
+        return float(np.log(self.runs[_cell2("\x1e" + run)] + 0.5))
+
+
 def _cell1(c: str) -> int:
     o = ord(c)
     return o if o < CELLS else o % CELLS
@@ -158,7 +167,10 @@ def _context(s: str) -> str:
 
 
 def _is_clean(run: str) -> bool:
-    return not _LOST.search(run) and not any(_utf8(run, name) for name in WRONG[:5])
+    """Whether no usual chain makes readable text of the run; Latin, Greek, Cyrillic and common signs are readable."""
+    if _LOST.search(run):
+        return False
+    return not any((x := _utf8(run, name)) and all(c < "\u0530" or "\u2000" <= c <= "\u2122" for c in x) for name in WRONG[:6])
 
 
 def train(texts: DataFrame) -> tuple[np.ndarray, list[str]]:
@@ -166,7 +178,7 @@ def train(texts: DataFrame) -> tuple[np.ndarray, list[str]]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        counts, sample = np.zeros(3 * CELLS, np.int64), {}
+        counts, sample = np.zeros(BLOCKS * CELLS, np.int64), {}
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 text = _plain(text)
@@ -178,7 +190,7 @@ def train(texts: DataFrame) -> tuple[np.ndarray, list[str]]:
         yield dense.packed(counts, sample, int(xxhash.xxh32_intdigest(str(sorted(sample)[:3])) >> 1))
 
     parts = texts.mapInArrow(count, dense.SCHEMA)
-    return dense.summed(parts, 3 * CELLS, SAMPLE)
+    return dense.summed(parts, BLOCKS * CELLS, SAMPLE)
 
 
 def _absorb(counts: np.ndarray, sample: dict[int, str], seen: Counter) -> dict[int, str]:
@@ -189,46 +201,71 @@ def _absorb(counts: np.ndarray, sample: dict[int, str], seen: Counter) -> dict[i
         if not clean[run]:
             continue
         text = left + run + right
+        counts[3 * CELLS + _cell2("\x1e" + run)] += n
         for i in range(len(text)):
             counts[_cell1(text[i])] += n
             if i >= 1:
                 counts[CELLS + _cell2(text[i - 1 : i + 1])] += n
             if i >= 2:
                 counts[2 * CELLS + _cell2(text[i - 2 : i + 1])] += n
+        if n < SEEN:
+            continue
         key = "\x1f".join((left, run, right))
         sample[xxhash.xxh3_64_intdigest(key)] = key
     return dense.least(sample, SAMPLE)
 
 
-def validated_margin(model: Model, sample: list[str]) -> float:
-    """The margin that separates repairs of garbled clean runs from changes to clean runs with the fewest errors, false changes weighing 20 times."""
-    true, false = [], []
-    chains = [f"utf-8<{name}" for name in WRONG[:5]] + [f"{meant}<{name}" for name, meant in SINGLE]
+def _best(true: list[float], false: list[float]) -> float:
+    """The margin with the fewest errors, false changes weighing 20 times; MARGIN without evidence."""
+    if len(true) < 20 or len(false) < 20:
+        return MARGIN
+    t, f = np.sort(true), np.sort(false)
+    at = np.linspace(2, 12, 41)
+    wrong = np.searchsorted(t, at) / len(t) + 20 * (len(f) - np.searchsorted(f, at, side="right")) / len(f)
+    return float(at[wrong <= wrong.min() + 1e-9].mean())  # the middle of what serves equally well
+
+
+def validated_margins(model: Model, sample: list[str]) -> tuple[float, float]:
+    """Margins for the UTF-8 chains and for the single-byte chains, each set where repairs of garbled clean runs and changes to clean runs are told apart best."""
+    true: tuple[list, list] = ([], [])
+    false: tuple[list, list] = ([], [])
     for key in sample:
         left, run, right = key.split("\x1f")
         own = model.score(left + run + right, len(left))
-        false.append(max([model.score(left + x + right, len(left)) - own for _, x in readings(run)], default=-50.0))
-        for chain in chains[:5] if len(run) < SHORTEST else chains:
-            bad = garbled(run, chain)
+        of = lambda x: model.score(left + x + right, len(left)) - own
+        false[0].append(max([of(x) for _, x in readings(run) if model.known(x) < model.known(run) + 2], default=-50.0))
+        for name in WRONG[:6]:
+            bad = garbled(run, f"utf-8<{name}")
             if bad and bad != run:
-                true.append(own - model.score(left + bad + right, len(left)))
-    if not true or not false:
-        return 6.0
-    t, f = np.sort(true), np.sort(false)
-    at = np.unique(np.clip(np.concatenate((np.linspace(2, 12, 41), f[f > 0] + 0.01)), 2, 12))
-    wrong = np.searchsorted(t, at) / len(t) + 20 * (len(f) - np.searchsorted(f, at, side="right")) / len(f)
-    return float(at[int(wrong.argmin())])
+                true[0].append(-of(bad))
+        if len(run) >= SHORTEST and run.isalpha():
+            others = [x for x in single_readings(run) if x and x != run]
+            if all(model.known(x) < model.known(run) + 2 for x in others):  # else the run itself is garbled
+                false[1].append(max([gain(model, left, run, right, x) for x in others], default=-50.0))
+                for name, meant in SINGLE:
+                    bad = garbled(run, f"{meant}<{name}")
+                    if bad and bad != run and bad.isalpha():
+                        true[1].append(gain(model, left, bad, right, run))
+    return _best(true[0], false[0]), _best(true[1], false[1])
+
+
+def gain(model: Model, left: str, run: str, right: str, other: str) -> float:
+    """How much likelier the other text is than the run: by the trigram model, bounded for one run, and by whole runs."""
+    by_model = model.score(left + other + right, len(left)) - model.score(left + run + right, len(left))
+    return max(-10.0, min(10.0, by_model)) + model.known(other) - model.known(run)
 
 
 class Repairer:
-    """Judges runs one by one; what it decided for a run in its context is kept."""
+    """Judges runs and lines; what it decided for a run in its context is kept."""
 
-    def __init__(self, counts: np.ndarray, margin: float):
-        self.model, self.margin = Model(counts), margin
+    def __init__(self, counts: np.ndarray, margins: tuple[float, float]):
+        self.model, (self.margin, self.line_margin) = Model(counts), margins
         self.options: dict[str, list[tuple[str, str]]] = {}
         self.verdicts: dict[tuple[str, str, str], tuple[str, str] | None] = {}
+        self.deltas: dict[tuple[str, str, str], list[float]] = {}
 
     def verdict(self, key: tuple[str, str, str]) -> tuple[str, str] | None:
+        """(chain, text) of the UTF-8 chain that explains the run, None if it stands as it should."""
         if key in self.verdicts:
             return self.verdicts[key]
         left, run, right = key
@@ -248,34 +285,59 @@ class Repairer:
         self.verdicts[key] = got
         return got
 
+    def _gains(self, key: tuple[str, str, str]) -> list[float]:
+        """Gain of the run by each single-byte chain; a chain that can't have made it loses."""
+        got = self.deltas.get(key)
+        if got is None:
+            left, run, right = key
+            got = [-20.0 if x is None or not x.isalpha() else 0.0 if x == run else gain(self.model, left, run, right, x) for x in single_readings(run)]
+            if len(self.deltas) > 400_000:
+                self.deltas.clear()
+            self.deltas[key] = got
+        return got
+
+    def line_chain(self, keys: list[tuple[str, str, str]]) -> tuple[str, str] | None:
+        """(read as, meant) of the single-byte chain that explains the words of a line together; signs don't count."""
+        words = [k for k in keys if k[1].isalpha()]
+        if sum(len(k[1]) for k in words) < SHORTEST or not any(max(self._gains(k)) > 0 for k in words):
+            return None
+        total = [sum(x) for x in zip(*map(self._gains, words))]
+        best = max(range(len(SINGLE)), key=total.__getitem__)
+        return SINGLE[best] if total[best] > self.line_margin else None
+
     def is_garbled(self, text: str) -> bool:
         if text.isascii():
             return False
         if _LOST.search(text):
             return True
-        return any(self.verdict(_window(text, m)) for m in _RUN.finditer(text))
+        for line in text.split("\n"):
+            keys = [] if line.isascii() else [_window(line, m) for m in _RUN.finditer(line)]
+            if any(map(self.verdict, keys)) or self.line_chain(keys):
+                return True
+        return False
 
     def repaired(self, text: str) -> tuple[str, list[str]]:
-        """The text with every accepted run replaced, and the chains used; single-byte chains go for their whole line."""
+        """The text with every explained run replaced, and the chains used; single-byte chains go for their whole line."""
         if text.isascii():
             return text, []
-        used: list[str] = []
+        used: set[str] = set()
         lines = []
         for line in text.split("\n"):
-            at, out, wide = 0, [], ""
-            for m in _RUN.finditer(line):
-                got = self.verdict(_window(line, m))
+            found = [] if line.isascii() else list(_RUN.finditer(line))
+            keys = [_window(line, m) for m in found]
+            marks = [self.verdict(k) for k in keys]
+            chain = None if any(marks) else self.line_chain(keys)
+            at, out = 0, []
+            for m, got in zip(found, marks):
+                if chain is not None:
+                    raw = _bytes(m.group(), chain[0])
+                    got = None if raw is None else (f"{chain[1]}<{chain[0]}", raw.decode("latin-1").translate(_ENC[chain[1]][1]))
                 if got:
                     out += [line[at : m.start()], got[1]]
                     at = m.end()
-                    used.append(got[0])
-                    wide = wide or (got[0] if not got[0].startswith("utf-8") else "")
-            whole = "".join(out) + line[at:]
-            if wide:
-                meant, name = wide.split("<")
-                whole = _RUN.sub(lambda m: raw.decode("latin-1").translate(_ENC[meant][1]) if (raw := _bytes(m.group(), name)) is not None and not self.verdict(_window(line, m)) else m.group(), line) if not out else _RUN.sub(lambda m, n=name, t=meant: (r.decode("latin-1").translate(_ENC[t][1]) if (r := _bytes(m.group(), n)) is not None else m.group()), line)
-            lines.append(whole)
-        return "\n".join(lines), sorted(set(used))
+                    used.add(got[0])
+            lines.append("".join(out) + line[at:])
+        return "\n".join(lines), sorted(used)
 
 
 def _plain(text: str) -> str:
@@ -284,8 +346,8 @@ def _plain(text: str) -> str:
 
 def _trained(spark: SparkSession, texts: DataFrame):
     counts, sample = train(texts.select("text"))
-    margin = validated_margin(Model(counts), sample)
-    return spark.sparkContext.broadcast((counts.astype(np.float32), margin))
+    margins = validated_margins(Model(counts), sample)
+    return spark.sparkContext.broadcast((counts.astype(np.float32), margins))
 
 
 def _tagged(df: DataFrame, id_col: str, text_col: str, tab: str) -> DataFrame:
