@@ -187,11 +187,11 @@ def test_running_sums_over_split_bins(spark, monkeypatch):
 
 def test_repair_round_trip():
     clean = ["café", "Straße", "señor", "naïve", "“quoted”", "it’s", "€5", "дорога"] * 30
-    counts = np.zeros(3 * mojibake.CELLS, np.int64)
+    counts = np.zeros(mojibake.BLOCKS * mojibake.CELLS, np.int64)
     seen = Counter(mojibake._window(t, m) for t in (f"the {w} was" for w in clean) for m in mojibake._RUN.finditer(t))
     sample = mojibake._absorb(counts, {}, seen)
-    margin = mojibake.validated_margin(mojibake.Model(counts), list(sample.values()))
-    r = mojibake.Repairer(counts, margin)
+    margins = mojibake.validated_margins(mojibake.Model(counts), list(sample.values()))
+    r = mojibake.Repairer(counts, margins)
     for w in set(clean):
         text = f"the {w} was"
         assert r.repaired(text) == (text, []), w
