@@ -137,25 +137,33 @@ def role(line: str, path: str) -> str:
     return "text"
 
 
+class _Ids(dict):
+    def __missing__(self, t: str) -> int:
+        i = self[t] = xxhash.xxh32_intdigest(t if t[0].isalnum() else "\x00" + t) % (TOKENS - 64) + 64
+        return i
+
+
 class Features:
-    """Token ids of leaves; ids are kept for tokens already seen."""
+    """Token ids of leaves; ids of tokens and of short leaves are kept."""
 
     def __init__(self) -> None:
-        self.ids: dict[str, int] = {}
+        self.ids = _Ids()
         self.paths: dict[str, int] = {}
+        self.short: dict[str, list[int]] = {}
 
     def of(self, line: str) -> list[int]:
-        ids = self.ids
-        if len(ids) > 400_000:
-            ids.clear()
-        out = []
-        for t in {x.lower() for x in _LEX.findall(line)}:
-            i = ids.get(t)
-            if i is None:
-                i = ids[t] = xxhash.xxh32_intdigest(t) % (TOKENS - 64) + 64 if t[0].isalnum() else xxhash.xxh32_intdigest("\x00" + t) % (TOKENS - 64) + 64
-            out.append(i)
+        known = self.short.get(line)
+        if known is not None:
+            return known
+        if len(self.ids) > 400_000:
+            self.ids.clear()
+        out = list(map(self.ids.__getitem__, set(_LEX.findall(line.lower()))))
         out.append(min(len(line) // 40, 15))  # length class
         out.append(16 + min(len(line) - len(line.lstrip()), 7))  # indent
+        if len(line) <= 80:
+            if len(self.short) > 100_000:
+                self.short.clear()
+            self.short[line] = out
         return out
 
     def path(self, path: str) -> int:
@@ -311,9 +319,11 @@ def _padded(sizes: list[int], flat: np.ndarray) -> tuple[int, np.ndarray, np.nda
 
 def trained(texts: DataFrame) -> Labeller:
     """A labeller fitted to at most TRAIN_DOCS texts, half of them with other marks than Markdown's, as far as there are such."""
-    hashed = texts.select("text", F.xxhash64("text").alias("h"))
-    rich = hashed.where(F.col("text").rlike(r"\[\[|'''|\\[a-zA-Z]+\{|\$\$|</[a-zA-Z]+>|~~~")).orderBy("h").limit(TRAIN_DOCS // 2)
-    rows = rich.unionByName(hashed.orderBy("h").limit(TRAIN_DOCS // 2)).toPandas()
+    hashed = texts.select("text", F.xxhash64("text").alias("h"), F.col("text").rlike(r"\[\[|'''|\\[a-zA-Z]+\{|\$\$|</[a-zA-Z]+>|~~~").alias("rich"))
+    # the least hashes first, without their texts; then the texts up to the last of them
+    last = {rich: hashed.where(F.col("rich") == rich).select("h").orderBy("h").limit(TRAIN_DOCS // 2).agg(F.max("h")).first()[0] for rich in (True, False)}
+    keep = [(F.col("rich") == rich) & (F.col("h") <= h) for rich, h in last.items() if h is not None]
+    rows = hashed.where(keep[0] if len(keep) == 1 else keep[0] | keep[1] if keep else F.lit(False)).dropDuplicates(["h"]).select("text", "h").toPandas()
     labeller = Labeller()
     docs = [d for t in rows.sort_values("h").text if (d := leaves(t))]
     if docs:
