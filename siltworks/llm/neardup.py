@@ -111,7 +111,7 @@ def _merged_sketch(parts: DataFrame) -> bytes:
             pack = zstandard.ZstdCompressor(level=1)
             yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([pack.compress(x.tobytes()) for x in sums.values()], pa.binary())], names=["block", "data"])
 
-    rows = parts.select("block", "data").repartition(BLOCKS // 4, "block").mapInArrow(run, "block int, data binary").collect()  # BLOCKS rows, 2 ** SKETCH_BITS bytes before compression
+    rows = parts.select("block", "data").repartition(BLOCKS, "block").mapInArrow(run, "block int, data binary").collect()  # BLOCKS rows, 2 ** SKETCH_BITS bytes before compression
     step, unpack = (1 << SKETCH_BITS) // BLOCKS, zstandard.ZstdDecompressor()
     whole = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in rows:
