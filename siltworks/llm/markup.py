@@ -34,7 +34,7 @@ from ..session import table
 KINDS = ("html", "markdown", "wiki", "latex")
 ROLES = ("text", "heading", "list", "code", "formula", "table", "quote")
 #: Documents of the training sample, leaves of a window, threshold of nomination.
-TRAIN_DOCS, WINDOW, NOMINATE = 1500, 128, 0.02
+TRAIN_DOCS, WINDOW, NOMINATE = 1500, 128, 0.003
 #: Hashed vectors of words and marks, and of tag paths; their width; width of each direction.
 TOKENS, PATHS, WIDTH, HIDDEN = 8192, 256, 16, 16
 
