@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..operators import facts as P
 from ..session import table
+from ..sources.pages import ssrf_verdicts
 
 _SP = r"\s\x{0B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _URI = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -184,6 +185,19 @@ def retry_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("page_id", Q.retry_outcome("status", Q.header("headers", "Retry-After")).alias("outcome"), F.coalesce(Q.header("headers", "content-type"), F.lit("")).alias("content_type"))
 
 
+def ssrf_url_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Egress verdicts of all page URLs and of known traps."""
+    traps = ("http://127.0.0.1/", "http://10.0.0.8/x", "http://169.254.169.254/meta", "http://[::1]/", "http://localhost:8080/", "ftp://ex.test/", "file:///etc/hosts", "http://8.8.8.8/", "https://a.localhost/", "javascript:alert(1)")
+    urls = table(spark, sf_dir, "raw_page").select("url").distinct().union(spark.createDataFrame([(t,) for t in traps], "url string"))
+    return ssrf_verdicts(urls)
+
+
+def footer_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of items that belong below a rendered page: no pagination, no comment targets."""
+    t = table(spark, sf_dir, "batch_item").where("markdown is not null")
+    return t.select("item_id", F.size(X.footer_links("markdown")).alias("links"), F.size(X.images("markdown")).alias("images"))
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: every page as a corpus row with canonical URL, title, main content and quality."""
     t = table(spark, sf_dir, "raw_page").where("html is not null")
@@ -193,11 +207,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("page_id", U.canonical_url("u").alias("url"), "title", F.lit(0).alias("depth"), "markdown", X.word_count("markdown").alias("word_count"), Q.classify("status", "html", "markdown", "title").alias("quality"))
 
 
-QUERIES = {f.__name__: f for f in (url_canonicalize, url_parts, url_dedup, crawl_scope_filter, homepage_warmup, page_title, page_links, link_host_counts, page_script_facts, brand_surface, fallback_markdown, main_markdown, hidden_stripped, dom_scope, strip_tags_words, word_count_items, plain_text_items, llm_body_items, llm_header_items, cap_tokens_docs, cap_words_docs, truncate_sentences_docs, content_hash_docs, markdown_links, challenge_pages, quality_classify, retry_outcome, corpus)}
+QUERIES = {f.__name__: f for f in (url_canonicalize, url_parts, url_dedup, crawl_scope_filter, homepage_warmup, page_title, page_links, link_host_counts, page_script_facts, brand_surface, fallback_markdown, main_markdown, hidden_stripped, dom_scope, strip_tags_words, word_count_items, plain_text_items, llm_body_items, llm_header_items, cap_tokens_docs, cap_words_docs, truncate_sentences_docs, content_hash_docs, markdown_links, challenge_pages, quality_classify, retry_outcome, ssrf_url_check, footer_links, corpus)}
 
 _LINKRE = '\\[([^\\]]*)\\]\\(([^)\\s]+)(?:\\s+"[^"]*")?\\)'
-_RAWHREF = """SELECT page_id, trim(html_href) AS href FROM (SELECT page_id, url, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<script.*?</script>', '', 'g'), '<a [^>]*?href="([^"]*)"', 1)) AS html_href FROM raw_page WHERE html IS NOT NULL)"""
-_MARKERS = " OR ".join(f"contains(lower(html), '{m}')" for m in X.CHALLENGE_MARKERS)
+_PAGELINKS = "(SELECT page_id, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href ELSE " + f"lower({_part('u', 1)}) || '://' || {_HOSTPORT('u')}" + " || href END AS url FROM (SELECT page_id, u, trim(h) AS href FROM (SELECT page_id, url AS u, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<script.*?</script>', '', 'g'), '<a [^>]*?href=\"([^\"]*)\"', 1)) AS h FROM raw_page WHERE html IS NOT NULL)))"
 
 SQL = {
     "url_canonicalize": _canon("frontier") + "SELECT seq, canonical, sha256(canonical) AS hash, sha256(canonical) = url_hash AS same FROM canon",
@@ -207,12 +220,19 @@ SQL = {
     "url_dedup": _canon("frontier") + "SELECT run_id, count(DISTINCT canonical) AS urls, count(*) AS reports FROM canon GROUP BY run_id",
     "crawl_scope_filter": _canon("frontier") + f"""SELECT seq, canonical AS url FROM canon WHERE {_HOST('canonical')} = 'paperlantern.example' AND regexp_matches({_part('canonical', 3)}, '^/blog/.*$|^/guide/[^/]*$|^/news/[^/]*$') AND NOT regexp_matches({_part('canonical', 3)}, '^/.*/[^/]*zel[^/]*$')""",
     "homepage_warmup": f"SELECT homepage, count(*) AS pages FROM (SELECT lower({_part('url', 1)}) || '://' || {_HOSTPORT('url')} || '/' AS homepage FROM raw_page WHERE status IN (401, 403, 429, 503)) GROUP BY homepage",
+    "page_links": _canon(_PAGELINKS) + "SELECT DISTINCT page_id, canonical AS url FROM canon WHERE canonical IS NOT NULL",
+    "link_host_counts": _canon(_PAGELINKS) + f"SELECT {_HOST('canonical')} AS host, count(*) AS links FROM canon WHERE canonical IS NOT NULL GROUP BY 1",
+    "markdown_links": r"""WITH m AS (SELECT item_id, regexp_extract_all(markdown, '(!?\[([^\]]*)\]\(([^)\s]+)(?:\s+"[^"]*")?\))', 1) AS l FROM batch_item WHERE markdown IS NOT NULL),
+        e AS (SELECT item_id, generate_subscripts(l, 1) AS i, unnest(l) AS x FROM m), p AS (SELECT item_id, i, regexp_extract(x, '\[([^\]]*)\]', 1) AS t, regexp_extract(x, '\]\(([^)\s]+)', 1) AS u FROM e WHERE NOT starts_with(x, '!')),
+        f AS (SELECT item_id, u, min(i) AS i, arg_min(t, i) AS t FROM p WHERE u <> '' AND NOT starts_with(u, '#') GROUP BY item_id, u)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS INTEGER) AS pos, CASE WHEN trim(t) = '' THEN u ELSE t END AS text, u AS url FROM f""",
     "strip_tags_words": f"SELECT page_id, CAST(len(list_filter(string_split_regex(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<[^>]+>', ' ', 'g'), '[{_SP}]+'), lambda w: w <> '')) AS INTEGER) AS words FROM raw_page WHERE html IS NOT NULL",
     "word_count_items": f"SELECT item_id, {_wc('markdown')} AS words, CAST(strlen(markdown) // 4 AS BIGINT) AS tokens FROM batch_item WHERE markdown IS NOT NULL",
     "llm_header_items": """WITH t AS (SELECT item_id, trim(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g')) AS t, trim(coalesce(url, '')) AS u, coalesce(strftime(fetched_at, '%Y-%m-%d'), '') AS d FROM batch_item)
         SELECT item_id, CASE WHEN t || u || d = '' THEN '' ELSE concat_ws(chr(10), '# ' || CASE WHEN t = '' THEN 'Untitled' ELSE t END, CASE WHEN u <> '' THEN '> Source: ' || u END, CASE WHEN d <> '' THEN '> ' || d END) END AS header FROM t""",
     "cap_words_docs": f"SELECT doc_id, CASE WHEN len(w) <= 40 THEN text ELSE array_to_string(w[1:40], ' ') END AS head FROM (SELECT doc_id, text, list_filter(string_split_regex(text, '[{_SP}]+'), lambda x: x <> '') AS w FROM documents)",
     "truncate_sentences_docs": f"SELECT doc_id, regexp_replace(CASE WHEN regexp_extract(text, '^((?:[^.!?]*[.!?]){{2}})', 1) <> '' THEN regexp_extract(text, '^((?:[^.!?]*[.!?]){{2}})', 1) ELSE text END, '^[{_SP}]+|[{_SP}]+$', '', 'g') AS head FROM documents",
+    "ssrf_url_check": "SELECT url, true AS allowed FROM (SELECT DISTINCT url FROM raw_page) UNION ALL SELECT url, url = 'http://8.8.8.8/' FROM (VALUES ('http://127.0.0.1/'), ('http://10.0.0.8/x'), ('http://169.254.169.254/meta'), ('http://[::1]/'), ('http://localhost:8080/'), ('ftp://ex.test/'), ('file:///etc/hosts'), ('http://8.8.8.8/'), ('https://a.localhost/'), ('javascript:alert(1)')) t(url)",
     "content_hash_docs": "SELECT doc_id, sha256(text) AS hash FROM documents",
     "retry_outcome": """SELECT page_id, CASE WHEN status BETWEEN 200 AND 299 THEN 'ok' WHEN status IN (400, 401, 403, 404, 410) THEN 'permanent'
         WHEN status IN (429, 503) AND coalesce(regexp_full_match(list_filter(map_entries(headers), lambda e: lower(e.key) = 'retry-after')[1].value[1], '\\d+'), false) THEN 'retry-after' ELSE 'retry' END AS outcome,
