@@ -1,12 +1,17 @@
 """Operators over ordered sequences: sliding rates, folds with resets, latest and previous versions.
 
-Folds order each key's events inside one array aggregate. Keys are (domain, field) or hosts
-with bounded event rates per batch; a streaming twin keeps the same state across batches.
+A fold whose every step needs the state before it can't be split within a key. Its events are
+hashed by key, sorted within partitions (spilling as needed) and walked as a stream: memory is
+one Arrow batch and one state, however many events a key has, and nothing is gathered. A
+streaming twin keeps the same state across batches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the healing window and of adaptive pacing.
@@ -20,21 +25,56 @@ def null_rate(events: DataFrame, keys: list[str], order: list[str], is_null: str
     return events.withColumn("null_rate", F.avg(F.col(is_null).cast("double")).over(w)).withColumn("seen", F.count("*").over(w))
 
 
-def heal_step(state: Column, null: Column, at: Column, window: int, threshold: float) -> Column:
-    """state (ring, fired): the ring takes the outcome; a full enough ring beyond the threshold fires and empties."""
-    ring = F.concat(state.ring, F.array(null.cast("int")))
-    ring = F.when(F.size(ring) > window, F.slice(ring, F.size(ring) - window + 1, window)).otherwise(ring)
-    nulls = F.aggregate(ring, F.lit(0), lambda a, x: a + x)
-    fire = (F.size(ring) >= window // 5) & (nulls.cast("double") / F.size(ring) > threshold)
-    return F.struct(F.when(fire, F.array().cast("array<int>")).otherwise(ring).alias("ring"), F.when(fire, F.concat(state.fired, F.array(at.cast("bigint")))).otherwise(state.fired).alias("fired"))
+def walked(events: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable, last: Callable | None, out: str, kinds: list[pa.DataType]) -> DataFrame:
+    """Each key's rows in order through step(state, row) -> (state, output values or None); last(state) ends a key.
+
+    Rows are tuples of the columns after the keys. The output holds the keys and the values.
+    """
+    names = [f.split()[0] for f in out.split(", ")]
+    n = len(keys)
+    ordered = events.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, rows = None, None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != row[:n] or state is None:
+                    if state is not None and last is not None:
+                        rows.append((*key, *last(state)))
+                    key, state = row[:n], start()
+                state, value = step(state, row[n:])
+                if value is not None:
+                    rows.append((*key, *value))
+            if len(rows) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                rows = []
+        if state is not None and last is not None:
+            rows.append((*key, *last(state)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    return ordered.mapInArrow(run, out)
+
+
+def heal_step(ring: tuple[bool, ...], null: bool, window: int = WINDOW, threshold: float = THRESHOLD) -> tuple[tuple[bool, ...], bool]:
+    """(ring, fired): the ring takes the outcome; a full enough ring beyond the threshold fires and empties."""
+    ring = (*ring, bool(null))[-window:]
+    fire = len(ring) >= window // 5 and sum(ring) / len(ring) > threshold
+    return (() if fire else ring), fire
 
 
 def heal_triggers(events: DataFrame, keys: list[str], seq: str, is_null: str, window: int = WINDOW, threshold: float = THRESHOLD) -> DataFrame:
-    """(keys, seq) of every outcome at which a key's null rate passes the threshold; the ring starts anew after each."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).cast("bigint").alias("s"), F.coalesce(F.col(is_null), F.lit(False)).alias("n"))))
-    start = F.struct(F.array().cast("array<int>").alias("ring"), F.array().cast("array<bigint>").alias("fired"))
-    fired = F.aggregate(ordered, start, lambda st, e: heal_step(st, e.n, e.s, window, threshold), lambda st: st.fired)
-    return events.groupBy(*keys).agg(fired.alias("fired")).select(*keys, F.explode("fired").alias(seq))
+    """(keys, seq) of every outcome at which a key's null rate passes the threshold; the ring starts anew after each.
+
+    Keys come out as strings; outcomes that are null count as present.
+    """
+
+    def step(ring: tuple, row: tuple) -> tuple:
+        ring, fire = heal_step(ring, row[1], window, threshold)
+        return ring, (row[0],) if fire else None
+
+    wanted = events.select(*(F.col(k).cast("string").alias(k) for k in keys), F.col(seq).cast("bigint").alias(seq), F.coalesce(F.col(is_null), F.lit(False)).alias("_null"))
+    return walked(wanted, keys, [seq], tuple, step, None, ", ".join([*(f"{k} string" for k in keys), f"{seq} bigint"]), [*[pa.string()] * len(keys), pa.int64()])
 
 
 def retained(events: DataFrame, keys: list[str], order: str, n: int = RETAINED) -> DataFrame:
@@ -55,19 +95,19 @@ def changes(versions: DataFrame, keys: list[str], order: list[str], content: str
     return hashed.withColumn("old_hash", F.lag("new_hash").over(w)).withColumn("changed", F.coalesce(F.col("old_hash") != F.col("new_hash"), F.lit(False)))
 
 
-def throttle_step(delay: Column, status: Column, retry_after: Column, floor: float) -> Column:
+def throttle_step(delay: float, status: int, retry_after: float | None, floor: float = 1.0) -> float:
     """The next delay of a host: doubled on refusals up to a minute (Retry-After wins up to five), eased by a quarter on success, never below the floor."""
-    d = F.greatest(delay, F.lit(floor))
-    refused = (status == 429) | status.between(500, 599)
-    waits = F.when(F.coalesce(retry_after, F.lit(0.0)) > 0, F.least(retry_after, F.lit(RETRY_AFTER_CAP_S))).otherwise(F.least(d * 2, F.lit(BACKOFF_CAP_S)))
-    return F.when(refused, waits).when(status.between(200, 299), F.greatest(d * 0.75, F.lit(floor))).otherwise(delay)
+    d = max(delay, floor)
+    if status == 429 or 500 <= status <= 599:
+        return min(retry_after, RETRY_AFTER_CAP_S) if retry_after is not None and retry_after > 0 else min(2 * d, BACKOFF_CAP_S)
+    return max(0.75 * d, floor) if 200 <= status <= 299 else delay
 
 
 def throttle_delays(events: DataFrame, host: str, seq: str, status: str, retry_after: str | None, floor: float = 1.0) -> DataFrame:
-    """(host, delay_s, responses): the delay after all of a host's responses in order."""
+    """(host, delay_s, responses): the delay after all of a host's responses in order; unknown statuses change nothing."""
     wait = F.col(retry_after).cast("double") if retry_after else F.lit(None).cast("double")
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.coalesce(F.col(status), F.lit(0)).alias("st"), wait.alias("ra"))))
-    return events.groupBy(host).agg(F.aggregate(ordered, F.lit(0.0), lambda d, e: throttle_step(d, e.st, e.ra, floor)).alias("delay_s"), F.count("*").alias("responses"))
+    wanted = events.select(F.col(host).cast("string").alias(host), F.col(seq).cast("bigint").alias("_s"), F.coalesce(F.col(status).cast("int"), F.lit(0)).alias("_st"), wait.alias("_ra"))
+    return walked(wanted, [host], ["_s"], lambda: (0.0, 0), lambda st, row: ((throttle_step(st[0], row[1], row[2], floor), st[1] + 1), None), lambda st: st, f"{host} string, delay_s double, responses bigint", [pa.string(), pa.float64(), pa.int64()])
 
 
 def admissions(events: DataFrame, host: str, order: str, at_s: str, rate: float = 1.0, burst: int = 3) -> DataFrame:

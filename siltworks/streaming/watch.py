@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.diff import diff_words
-from ..operators.sequences import BACKOFF_CAP_S, RETRY_AFTER_CAP_S, THRESHOLD, WINDOW
+from ..operators.sequences import THRESHOLD, WINDOW, heal_step, throttle_step
 
 
 def watch(snapshots: DataFrame) -> DataFrame:
@@ -40,13 +40,12 @@ def heal_stream(outcomes: DataFrame, window: int = WINDOW, threshold: float = TH
     """Triggers of a stream of outcomes (domain, field, seq, is_null): domain, field, seq. State: the ring of last outcomes."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        ring = [c == "1" for c in (state.get[0] if state.exists else "")]
+        ring = tuple(c == "1" for c in (state.get[0] if state.exists else ""))
         out = []
         for r in pd.concat(list(batches)).sort_values("seq").itertuples():
-            ring = (ring + [bool(r.is_null)])[-window:]
-            if len(ring) >= window // 5 and sum(ring) / len(ring) > threshold:
+            ring, fire = heal_step(ring, r.is_null, window, threshold)
+            if fire:
                 out.append((*key, r.seq))
-                ring = []
         state.update(("".join("1" if x else "0" for x in ring),))
         yield pd.DataFrame(out, columns=["domain", "field", "seq"])
 
@@ -60,11 +59,7 @@ def throttle_stream(responses: DataFrame, floor: float = 1.0) -> DataFrame:
         delay = state.get[0] if state.exists else 0.0
         out = []
         for r in pd.concat(list(batches)).sort_values("seq").itertuples():
-            d = max(delay, floor)
-            if r.status == 429 or 500 <= r.status <= 599:
-                delay = min(r.retry_after, RETRY_AFTER_CAP_S) if r.retry_after and r.retry_after > 0 else min(2 * d, BACKOFF_CAP_S)
-            elif 200 <= r.status <= 299:
-                delay = max(0.75 * d, floor)
+            delay = throttle_step(delay, r.status, None if pd.isna(r.retry_after) else r.retry_after, floor)
             out.append((key[0], r.seq, delay))
         state.update((delay,))
         yield pd.DataFrame(out, columns=["host", "seq", "delay_s"])
