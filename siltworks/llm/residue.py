@@ -113,8 +113,7 @@ class Judge:
 
     def is_notice(self, blocks: list[str]) -> bool:
         """Whether the blocks, apart from menus, cues and short headings, are error or script notices."""
-        size = sum(map(len, blocks))
-        if size > 4000:
+        if not any(kind in "es" for block in blocks for _, (kind, _) in self.phrases.iter(block.lower())):
             return False
         total = hit = 0
         found_any = False
