@@ -10,6 +10,8 @@ import re
 
 import ahocorasick
 
+from .mojibake import _RUN, WRONG, _utf8
+
 SHARE, BYLINE, CONSENT, LEGAL, SIDE, COMMENTS = range(1, 7)
 _DATE = r"(?:\d{1,4}[-./]\d{1,2}[-./]\d{2,4}|\d{1,2}\.? \w+ \d{4}|\w+ \d{1,2}, \d{4})"
 _WHO = r"[^\d|·,.]{3,60}?"
@@ -106,6 +108,18 @@ def plain(text: str) -> str:
     return _FOLD.sub(" ", _EDGE.sub("", text)).lower().replace("**", "")
 
 
+_GARBLED = re.compile("[ÃÂâÐÑ√¬‚├┬Ô�][^\x00-\x7f]|�")
+
+
+def mended(text: str) -> str:
+    """Text whose runs were UTF-8 read in a common wrong encoding, read rightly; a lost sign stands for the middle dot."""
+    if not _GARBLED.search(text):
+        return text
+    for _ in range(2):
+        text = _RUN.sub(lambda m: next((x for name in WRONG[:4] if (x := _utf8(m.group(), name))), m.group()), text)
+    return text.replace("�", "·")
+
+
 def roots() -> list[str]:
     return [w if w == "·" else w.replace("·", " ") for w in _ROOTS.split()]
 
