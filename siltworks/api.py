@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import quality as Q
 from .functions import text as X
 from .functions import urls as U
-from .operators import diff, extraction, facts, frontier, robots, search, selectors, verticals
+from .operators import clean, diff, extraction, facts, frontier, robots, search, selectors, verticals
 from .operators.schema import RecordSchema
 from .session import importable
 
-FORMATS = ("markdown", "llm", "text", "json", "html")
+FORMATS = ("markdown", "llm", "text", "json", "html", "raw")
 
 
 class OptionError(ValueError):
@@ -26,25 +25,22 @@ class Engine:
         self.spark = spark
         importable(spark)
 
-    def scrape(self, pages: DataFrame, fmt: str = "markdown", max_tokens: int = 8000) -> DataFrame:
+    def scrape(self, pages: DataFrame, fmt: str = "markdown", max_tokens: int = 8000, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
         """(page_id, url, title, content, word_count, error): each page rendered; quality issues are the row's error."""
         if fmt not in FORMATS:
             raise OptionError(f"unknown format {fmt!r}")
         if max_tokens <= 0:
             raise OptionError("max_tokens must be positive")
-        kept = pages.where("html is not null")
-        f = facts.page_facts(kept).select(F.col("id").alias("page_id"), "title", "description", "author", "date", "sidecar")
-        m = facts.page_markdowns(kept).select(F.col("id").alias("page_id"), X.cap_tokens("markdown", max_tokens).alias("markdown"), "fell_back")
-        j = kept.select("page_id", F.coalesce("final_url", "url").alias("url"), "status", "html").join(f, "page_id").join(m, "page_id")
-        issue = Q.classify("status", "html", "markdown", "title")
-        words = X.word_count("markdown")
-        issue = F.when((issue == "") & F.col("fell_back") & (words < 50), "empty").otherwise(issue)
+        p = pages if "content_type" in pages.columns else pages.withColumn("content_type", F.lit(None).cast("string"))
+        c = clean.clean_pages(p, include, exclude, max_tokens)
+        raw = p.select("page_id", F.col("html").alias("raw"))
         head = X.llm_header(F.col("title"), F.col("url"), F.col("description"), F.col("author"), F.col("date"))
         foot = F.transform(X.footer_links("markdown"), lambda x: F.concat(F.lit("- ["), x.text, F.lit("]("), x.url, F.lit(")")))
         llm = F.concat_ws("\n\n", F.nullif(head, F.lit("")), F.nullif(X.llm_body("markdown"), F.lit("")), F.when(F.size(foot) > 0, F.concat(F.lit("## Links\n\n"), F.concat_ws("\n", foot))))
-        envelope = F.to_json(F.struct("url", F.col("url").alias("final_url"), "title", "markdown", F.col("sidecar").alias("structured_data"), F.lit("json").alias("page_format"), F.col("markdown").alias("content"), F.struct("description", "author", "date").alias("metadata"), F.transform(X.links("markdown"), lambda x: x.url).alias("links"), F.transform(X.images("markdown"), lambda x: x.url).alias("images"), words.alias("word_count")))
-        content = {"markdown": F.col("markdown"), "llm": llm, "text": X.to_text("markdown"), "json": envelope, "html": F.col("html")}[fmt]
-        return j.select("page_id", "url", "title", content.alias("content"), words.alias("word_count"), F.nullif(issue, F.lit("")).alias("error"))
+        envelope = F.to_json(F.struct("url", F.col("url").alias("final_url"), "title", "markdown", F.col("sidecar").alias("structured_data"), F.lit("json").alias("page_format"), F.col("markdown").alias("content"), F.struct("description", "author", "date", "lang", "site_name", "image", "favicon").alias("metadata"), F.transform(X.links("markdown"), lambda x: x.url).alias("links"), F.transform(X.images("markdown"), lambda x: x.url).alias("images"), "word_count"))
+        content = {"markdown": F.col("markdown"), "llm": llm, "text": X.to_text("markdown"), "json": envelope, "html": F.col("html"), "raw": F.col("raw")}[fmt]
+        out = c.join(raw, "page_id") if fmt == "raw" else c
+        return out.select("page_id", "url", "title", content.alias("content"), "word_count", F.nullif("quality", F.lit("")).alias("error"))
 
     def batch(self, pages: DataFrame, order: str = "pos") -> DataFrame:
         """(url, ok, title, markdown, error) in input order; failures are data on the row."""

@@ -9,6 +9,7 @@ from ..functions import quality as Q
 from ..functions import text as X
 from ..functions import urls as U
 from ..operators import facts as P
+from ..operators.clean import clean_pages
 from ..session import table
 from ..sources.pages import ssrf_verdicts
 
@@ -185,6 +186,12 @@ def retry_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("page_id", Q.retry_outcome("status", Q.header("headers", "Retry-After")).alias("outcome"), F.coalesce(Q.header("headers", "content-type"), F.lit("")).alias("content_type"))
 
 
+def clean_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through the whole cleaning composite."""
+    c = clean_pages(table(spark, sf_dir, "raw_page"))
+    return c.select("page_id", "title", "word_count", "quality", F.md5("markdown").alias("markdown_md5"))
+
+
 def ssrf_url_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Egress verdicts of all page URLs and of known traps."""
     traps = ("http://127.0.0.1/", "http://10.0.0.8/x", "http://169.254.169.254/meta", "http://[::1]/", "http://localhost:8080/", "ftp://ex.test/", "file:///etc/hosts", "http://8.8.8.8/", "https://a.localhost/", "javascript:alert(1)")
@@ -207,7 +214,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("page_id", U.canonical_url("u").alias("url"), "title", F.lit(0).alias("depth"), "markdown", X.word_count("markdown").alias("word_count"), Q.classify("status", "html", "markdown", "title").alias("quality"))
 
 
-QUERIES = {f.__name__: f for f in (url_canonicalize, url_parts, url_dedup, crawl_scope_filter, homepage_warmup, page_title, page_links, link_host_counts, page_script_facts, brand_surface, fallback_markdown, main_markdown, hidden_stripped, dom_scope, strip_tags_words, word_count_items, plain_text_items, llm_body_items, llm_header_items, cap_tokens_docs, cap_words_docs, truncate_sentences_docs, content_hash_docs, markdown_links, challenge_pages, quality_classify, retry_outcome, ssrf_url_check, footer_links, corpus)}
+QUERIES = {f.__name__: f for f in (url_canonicalize, url_parts, url_dedup, crawl_scope_filter, homepage_warmup, page_title, page_links, link_host_counts, page_script_facts, brand_surface, fallback_markdown, main_markdown, hidden_stripped, dom_scope, strip_tags_words, word_count_items, plain_text_items, llm_body_items, llm_header_items, cap_tokens_docs, cap_words_docs, truncate_sentences_docs, content_hash_docs, markdown_links, challenge_pages, quality_classify, retry_outcome, clean_composite, ssrf_url_check, footer_links, corpus)}
 
 _LINKRE = '\\[([^\\]]*)\\]\\(([^)\\s]+)(?:\\s+"[^"]*")?\\)'
 _PAGELINKS = "(SELECT page_id, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href ELSE " + f"lower({_part('u', 1)}) || '://' || {_HOSTPORT('u')}" + " || href END AS url FROM (SELECT page_id, u, trim(h) AS href FROM (SELECT page_id, url AS u, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<script.*?</script>', '', 'g'), '<a [^>]*?href=\"([^\"]*)\"', 1)) AS h FROM raw_page WHERE html IS NOT NULL)))"
