@@ -73,6 +73,21 @@ def repaired(user: str, side: object, schema: RecordSchema, complete: Complete)
     return None, ATTEMPTS, errors
 
 
+def chain(models: dict[str, Complete]) -> Complete:
+    """A model that asks the given ones in order and takes the first answer; if all fail, one error names them all."""
+
+    def complete(system: str, user: str) -> str:
+        failed = []
+        for name, model in models.items():
+            try:
+                return model(system, user)
+            except Exception as e:  # the next one may do
+                failed.append(f"{name}: {e}")
+        raise RuntimeError("; ".join(failed) or "no model")
+
+    return complete
+
+
 def extract(pages: DataFrame, schema: RecordSchema, complete: Complete, extra: str = "") -> DataFrame:
     """(id, record, attempts, error) of pages (id, sidecar, markdown); a failing model call is the row's error."""
     asked = pages.select(F.col("id").cast("bigint").alias("id"), "sidecar", prompt(F.col("sidecar"), F.col("markdown"), extra).alias("user"))

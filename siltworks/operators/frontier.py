@@ -54,3 +54,22 @@ def crawl(seeds: DataFrame, links: DataFrame, max_depth: int = 3, max_pages: int
         levels.append(nxt)
         level, taken, depth = nxt, taken + n, depth + 1
     return reduce(DataFrame.unionByName, levels)
+
+
+def seeded(seed: DataFrame, listed: DataFrame, scope: Column | None = None, max_pages: int | None = 100, sitemap_only: bool = False, cap_first: bool = True) -> DataFrame:
+    """(url) to start from: the seed and the listed sitemap URLs in scope.
+
+    The listing is cut to max_pages before the scope filter, or after it with cap_first False
+    (then no page in scope is lost to pages out of it). The seed always stays, except in
+    sitemap-only runs, where an empty listing is an error.
+    """
+    urls = listed.select(canonical_url("url").alias("url")).where("url is not null").distinct()
+    cut = lambda df: df.orderBy("url").limit(max_pages) if max_pages is not None else df
+    urls = cut(urls) if cap_first else urls
+    urls = urls.where(scope) if scope is not None else urls
+    urls = urls if cap_first else cut(urls)
+    if sitemap_only:
+        if urls.limit(1).isEmpty():
+            raise ValueError("the sitemaps list nothing in scope")
+        return urls
+    return seed.select(canonical_url("url").alias("url")).where("url is not null").union(urls).distinct()

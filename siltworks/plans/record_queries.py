@@ -12,6 +12,7 @@ from ..operators import schema as S
 from ..operators import search as H
 from ..operators import selectors as L
 from ..operators import verticals as V
+from ..operators.page_records import page_records
 from ..session import table
 
 BODIES = (
@@ -114,7 +115,13 @@ def selector_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("id", F.get_json_object("record", "$.name").alias("name"), F.get_json_object("record", "$.price").cast("double").alias("price"), F.size("missing").alias("n_missing"))
 
 
-QUERIES = {f.__name__: f for f in (search_hits, search_with_pages, vertical_dispatch, vertical_list, repo_records, story_records, question_records, thread_records, record_errors, schema_validate, json_path_walk, selector_learn, selector_apply)}
+def social_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link-preview metadata of every page."""
+    r = page_records(table(spark, sf_dir, "raw_page"), "og")
+    return r.select(F.col("id").alias("page_id"), F.get_json_object("record", "$.title").alias("title"), F.get_json_object("record", "$.h1").alias("h1"), "error")
+
+
+QUERIES = {f.__name__: f for f in (search_hits, search_with_pages, vertical_dispatch, vertical_list, repo_records, story_records, question_records, thread_records, record_errors, schema_validate, json_path_walk, selector_learn, selector_apply, social_records)}
 
 _BODY = """SELECT body_id, url, extractor, CASE WHEN starts_with(b, '"') AND json_valid(b) THEN regexp_replace(json_extract_string(b, '$'), '^[\\s\\x{FEFF}]+', '') ELSE b END AS j FROM (SELECT *, regexp_replace(regexp_replace(body, '^[\\s\\x{FEFF}]+', ''), '\\s+$', '') AS b FROM api_body WHERE status BETWEEN 200 AND 299)"""
 _OK = f"WITH t AS ({_BODY}), g AS (SELECT * FROM t WHERE CASE WHEN json_valid(j) THEN json_type(j) IN ('OBJECT', 'ARRAY') ELSE false END) "

@@ -232,3 +232,41 @@ def test_registry_and_table_functions(spark):
     register_table_functions(spark)
     assert spark.sql("SELECT url FROM page_links('<a href=\"/x\">x</a>', 'https://a.test/')").first().url == "https://a.test/x"
     assert spark.sql("SELECT count(*) n FROM sitemap_locs('<urlset><url><loc>u</loc></url></urlset>')").first().n == 1
+
+
+def test_records_of_pages(spark):
+    from siltworks.operators.page_records import page_records
+
+    pages = [
+        (1, "u1", '<meta property="og:title" content=" A  b "><h1> H </h1>'),
+        (2, "u2", ""),
+        (3, "u3", "<p>x"),
+        (4, "u4", '<script type="application/ld+json">{"@type": ["Product"], "name": "P", "brand": {"name": "B"}, "offers": [{"price": "5", "priceCurrency": "EUR"}]}</script>'),
+        (5, "u5", '<script>var x = {"@type": "Product", "name": "Q"};</script>'),
+        (6, "u6", '<script type="application/ld+json">{"@graph": [{"@type": "Organization", "name": "O", "aggregateRating": {"ratingValue": "4.5"}}, {"@type": "Review", "reviewBody": "ok", "author": {"name": "N"}}]}</script>'),
+    ]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    og = {r.id: r for r in page_records(df, "og").collect()}
+    assert json.loads(og[1].record) == {"og_title": "A b", "h1": "H"} and og[3].error == "no metadata" and 2 not in og
+    products = {r.id: r.record and json.loads(r.record) for r in page_records(df, "ecommerce_product").collect()}
+    assert products[4] == {"name": "P", "brand": "B", "price": "5", "currency": "EUR", "availability": "", "url": "u4"} and products[5]["name"] == "Q" and products[6] is None
+    reviews = {r.id: r for r in page_records(df, "trustpilot").collect()}
+    assert json.loads(reviews[6].record) == {"name": "O", "rating_value": 4.5, "review_count": 0, "reviews": [{"author": "N", "body": "ok", "date": "", "rating": 0}]} and reviews[1].error == "no linked data"
+
+
+def test_seeds_and_model_chain(spark):
+    listed = spark.createDataFrame([("https://b.test/1",), ("https://a.test/1",), ("https://a.test/2",)], "url string")
+    seed = spark.createDataFrame([("https://a.test",)], "url string")
+    scope = U.in_scope("url", "https://a.test/")
+    urls = lambda df: {r.url for r in df.collect()}
+    assert urls(G.seeded(seed, listed, scope)) == {"https://a.test/", "https://a.test/1", "https://a.test/2"}
+    assert urls(G.seeded(seed, listed, F.col("url").contains("b.test"), 2)) == {"https://a.test/"} and urls(G.seeded(seed, listed, F.col("url").contains("b.test"), 2, cap_first=False)) == {"https://a.test/", "https://b.test/1"}
+    with pytest.raises(ValueError):
+        G.seeded(seed, listed.where("false"), None, sitemap_only=True)
+
+    def down(system, user):
+        raise OSError("down")
+
+    assert X.chain({"a": down, "b": lambda s, u: "yes"})("", "") == "yes"
+    with pytest.raises(RuntimeError, match="a: down"):
+        X.chain({"a": down})("", "")
