@@ -39,8 +39,8 @@ from .text import WordHasher, mixed, ngrams, words
 SKETCH_BITS, BLOCKS = 24, 64
 #: Shared n-grams asked of the rare fragment.
 EXTRA = 4
-#: Fragments of the whole order in which the surviving pairs are counted.
-FRAGMENTS = 4
+#: Pivots that cut the global order into the fragments in which the surviving pairs are counted: n-grams whose sketch count is at most 2, 8, 64, and the rest.
+PIVOTS = (2, 8, 64)
 
 
 def gram_set(text: str | None, hasher: WordHasher, n: int, min_words: int) -> np.ndarray | None:
@@ -176,15 +176,15 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, n: int, th
     chosen = members.join(wanted, "c").groupBy("c").agg(F.min("id").alias("id"))
 
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher, sketch = WordHasher(), _load(packed.value)
         for batch in batches:
             cs, fs, gs = [], [], []
             for c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 g = gram_set(text, hasher, n, min_words)
                 if g is None:
                     continue
-                part = (g % np.uint64(FRAGMENTS)).astype(np.int64)
-                for f in range(FRAGMENTS):
+                part = np.searchsorted(PIVOTS, sketch[_slots(g)])
+                for f in range(len(PIVOTS) + 1):
                     own = g[part == f]
                     if len(own):
                         cs.append(c)
