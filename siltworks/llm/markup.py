@@ -21,6 +21,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -191,7 +192,7 @@ class Labeller:
         }
 
     def inputs(self, tokens: list[list[int]], paths: list[int]) -> np.ndarray:
-        flat = np.fromiter((i for t in tokens for i in t), np.int64)
+        flat = np.fromiter(chain.from_iterable(tokens), np.int64)
         size = np.array([len(t) for t in tokens])
         starts = np.concatenate(([0], np.cumsum(size)[:-1]))
         return np.hstack((np.add.reduceat(self.w["tok"][flat], starts) / np.sqrt(size)[:, None].astype(np.float32), self.w["path"][np.array(paths)]))
@@ -240,7 +241,7 @@ class Labeller:
             dc = dcc * f + pass_c
         return dx
 
-    def train(self, docs: list[list[tuple[str, str]]], epochs: int = 3, rate: float = 0.01, batch: int = 48) -> None:
+    def train(self, docs: list[list[tuple[str, str]]], epochs: int = 8, rate: float = 0.02, batch: int = 48) -> None:
         feats = Features()
         windows = []
         for doc in docs:
@@ -283,7 +284,7 @@ class Labeller:
         dx = ds[..., 2 * h :] + self._back(kept["f"], ds[..., :h], x, "f", grad) + self._back(kept["b"], ds[..., h : 2 * h], x, "b", grad)
         dx = dx[put]
         size = np.array([len(t) for t in tokens])
-        np.add.at(grad["tok"], np.fromiter((i for t in tokens for i in t), np.int64), np.repeat(dx[:, :WIDTH] / np.sqrt(size)[:, None], size, axis=0))
+        np.add.at(grad["tok"], np.fromiter(chain.from_iterable(tokens), np.int64), np.repeat(dx[:, :WIDTH] / np.sqrt(size)[:, None], size, axis=0))
         np.add.at(grad["path"], paths, dx[:, WIDTH:])
         for k, g in grad.items():
             g = np.clip(g, -1, 1)
@@ -344,12 +345,15 @@ def markup_kinds(records: DataFrame) -> DataFrame:
                 docs = [leaves(t) for t in texts[a : a + 256]]
                 rows = []
                 for k, (doc, (p, _)) in enumerate(zip(docs, labeller.label(docs, feats))):
-                    found: set[str] = set()
-                    for i in np.flatnonzero((p > NOMINATE).any(axis=1)):
-                        if all(KINDS[j] in found for j in np.flatnonzero(p[i] > NOMINATE)):
-                            continue
-                        found |= {x for x in forms(*doc[i]) if p[i][KINDS.index(x)] > NOMINATE}
-                    rows += [(tabs[a + k], ids[a + k], x) for x in sorted(found)]
+                    seen: dict[int, set[str]] = {}
+                    for j, kind in enumerate(KINDS):
+                        at = np.flatnonzero(p[:, j] > NOMINATE)
+                        for i in at[np.argsort(-p[at, j], kind="stable")].tolist():  # the likeliest leaf first
+                            if i not in seen:
+                                seen[i] = forms(*doc[i])
+                            if kind in seen[i]:
+                                rows.append((tabs[a + k], ids[a + k], kind))
+                                break
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string()))], names=["tab", "rec_id", "markup"])
 
