@@ -318,13 +318,19 @@ def _padded(sizes: list[int], flat: np.ndarray) -> tuple[int, np.ndarray, np.nda
     return t, x, mask, put
 
 
+def _share_bound(most: int, n: int) -> int:
+    """A hash below which about 1.3 times ``most`` of n hashes lie; the largest if n is not more."""
+    return -(1 << 63) + int((1 << 64) * (1.3 * most / n)) if n > 1.3 * most else (1 << 63) - 1
+
+
 def trained(texts: DataFrame) -> Labeller:
     """A labeller fitted to at most TRAIN_DOCS texts, half of them with other marks than Markdown's, as far as there are such."""
     hashed = texts.select("text", F.xxhash64("text").alias("h"), F.col("text").rlike(r"\[\[|'''|\\[a-zA-Z]+\{|\$\$|</[a-zA-Z]+>|~~~").alias("rich"))
-    # the least hashes first, without their texts; then the texts up to the last of them
-    last = {rich: hashed.where(F.col("rich") == rich).select("h").orderBy("h").limit(TRAIN_DOCS // 2).agg(F.max("h")).first()[0] for rich in (True, False)}
-    keep = [(F.col("rich") == rich) & (F.col("h") <= h) for rich, h in last.items() if h is not None]
-    rows = hashed.where(keep[0] if len(keep) == 1 else keep[0] | keep[1] if keep else F.lit(False)).dropDuplicates(["h"]).select("text", "h").toPandas()
+    # hashes are even, so the share that holds the wanted number of least ones is known from the counts
+    n = {r.rich: r["count"] for r in hashed.groupBy("rich").count().collect()}
+    most = TRAIN_DOCS // 2
+    least = F.when(F.col("rich"), F.lit(_share_bound(most, n.get(True, 0)))).otherwise(F.lit(_share_bound(most, n.get(False, 0))))
+    rows = hashed.where(F.col("h") <= least).toPandas().drop_duplicates("h").sort_values("h").groupby("rich").head(most)
     labeller = Labeller()
     docs = [d for t in rows.sort_values("h").text if (d := leaves(t))]
     if docs:
