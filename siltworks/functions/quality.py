@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import has_challenge_marker, strip_tags, trimmed, word_count
@@ -36,13 +36,7 @@ def body_is_richer(body_words: Column, md_words: Column) -> Column:
     return (md_words < THIN_WORDS) & ((body_words - md_words > 50) | ((md_words < 20) & (body_words > 2 * md_words)))
 
 
-def classify(status: Column | str, body: Column | str, md: Column | str, title: Column | str, is_pdf: Column | None = None) -> Column:
-    """'login-required', 'access-denied', 'unavailable', 'empty' or ''; the first rule that holds decides."""
-    status, md, title = F.coalesce(_col(status), F.lit(0)), F.coalesce(_col(md), F.lit("")), F.coalesce(_col(title), F.lit(""))
-    pdf = F.lit(False) if is_pdf is None else is_pdf
-    body = F.when(pdf, "").otherwise(F.coalesce(_col(body), F.lit("")))
-    words = word_count(md)
-    low = F.lower(F.concat_ws("\n", body, md, title))
+def _rules(status: Column, pdf: Column, words: Column, body_words: Column, low: Column) -> Column:
     thin, marker = words < THIN_WORDS, has_challenge_marker(low)
     hard = _any(low, ("<title>just a moment", "checking your browser", "enable javascript and cookies"))
     return (
@@ -51,7 +45,7 @@ def classify(status: Column | str, body: Column | str, md: Column | str, title:
         .when((status == 403) & thin & (marker | low.contains("blocked")), "access-denied")
         .when((status == 429) | status.between(500, 599), "unavailable")
         .when(pdf & (words == 0), "empty")
-        .when(thin & body_is_richer(word_count(strip_tags(body)), words), "empty")
+        .when(thin & body_is_richer(body_words, words), "empty")
         .when(thin & marker & hard, "access-denied")
         .when(thin & marker & (words < 30), "empty")
         .when((status == 404) & thin, "empty")
@@ -59,6 +53,30 @@ def classify(status: Column | str, body: Column | str, md: Column | str, title:
     )
 
 
+def _inputs(status: Column | str, body: Column | str, md: Column | str, title: Column | str, pdf: Column) -> tuple[Column, Column, Column, Column]:
+    md, title = F.coalesce(_col(md), F.lit("")), F.coalesce(_col(title), F.lit(""))
+    body = F.when(pdf, "").otherwise(F.coalesce(_col(body), F.lit("")))
+    return F.coalesce(_col(status), F.lit(0)), word_count(md), word_count(strip_tags(body)), F.lower(F.concat_ws("\n", body, md, title))
+
+
+def classify(status: Column | str, body: Column | str, md: Column | str, title: Column | str, is_pdf: Column | None = None) -> Column:
+    """'login-required', 'access-denied', 'unavailable', 'empty' or ''; the first rule that holds decides.
+
+    One expression; over whole tables use with_issue, which makes the counts once.
+    """
+    pdf = F.lit(False) if is_pdf is None else is_pdf
+    status, words, body_words, low = _inputs(status, body, md, title, pdf)
+    return _rules(status, pdf, words, body_words, low)
+
+
+def with_issue(df: DataFrame, out: str, words_out: str, status: Column | str, body: Column | str, md: Column | str, title: Column | str, is_pdf: Column | None = None) -> DataFrame:
+    """df with the issue and the word count; counts and the lower-case text are columns of their own, so that the rules share them."""
+    pdf = F.lit(False) if is_pdf is None else is_pdf
+    status, words, body_words, low = _inputs(status, body, md, title, pdf)
+    staged = df.withColumns({words_out: words, "_body_words": body_words, "_low": low})
+    return staged.withColumn(out, _rules(status, pdf, F.col(words_out), F.col("_body_words"), F.col("_low"))).drop("_body_words", "_low")
+
+
 def header(headers: Column | str, name: str) -> Column:
     """First value of a header, names compared without case; null if absent."""
     h = _col(headers)

@@ -104,11 +104,10 @@ def clean_pages(pages: DataFrame, include: list[str] | None = None, exclude: lis
     c = _per_page(web, "page_id", "u", "html", {"id": pa.int64(), "clean_html": pa.string(), "markdown": pa.string(), "sidecar": pa.string(), "fell_back": pa.bool_()}, row)
     f = page_facts(web, "page_id", "u").select("id", "title", "description", "author", "date", "lang", "site_name", "image", "favicon")
     j = web.select(F.col("page_id").alias("id"), "u", "status").join(c, "id").join(f, "id")
-    words = X.word_count("markdown")
-    issue = Q.classify("status", "clean_html", "markdown", "title")
-    issue = F.when((issue == "") & F.col("fell_back") & (words < FALLBACK_WORDS), "empty").otherwise(issue)
+    j = Q.with_issue(j, "issue", "word_count", "status", "clean_html", "markdown", "title")
+    issue = F.when((F.col("issue") == "") & F.col("fell_back") & (F.col("word_count") < FALLBACK_WORDS), "empty").otherwise(F.col("issue"))
     meta = ("description", "author", "date", "lang", "site_name", "image", "favicon")
-    out = j.select(F.col("id").alias("page_id"), F.col("u").alias("url"), F.coalesce("title", F.lit("")).alias("title"), "markdown", "sidecar", F.col("clean_html").alias("html"), *meta, words.alias("word_count"), issue.alias("quality"))
+    out = j.select(F.col("id").alias("page_id"), F.col("u").alias("url"), F.coalesce("title", F.lit("")).alias("title"), "markdown", "sidecar", F.col("clean_html").alias("html"), *meta, "word_count", issue.alias("quality"))
 
     def read(i: int, u: str, page: str) -> tuple:
         return i, capped(pdf_markdown(pdf_text(page)), max_tokens) if pdf_text else ""
@@ -116,7 +115,7 @@ def clean_pages(pages: DataFrame, include: list[str] | None = None, exclude: lis
     d = _per_page(docs, "page_id", "u", "html", {"id": pa.int64(), "markdown": pa.string()}, read)
     k = docs.select(F.col("page_id").alias("id"), "u", "status").join(d, "id")
     title = pdf_title("u")
-    return out.unionByName(k.select(F.col("id").alias("page_id"), F.col("u").alias("url"), title.alias("title"), "markdown", F.lit(None).cast("string").alias("sidecar"), F.lit("").alias("html"), *(F.lit(None).cast("string").alias(m) for m in meta), words.alias("word_count"), Q.classify("status", F.lit(""), "markdown", title, F.lit(True)).alias("quality")))
+    return out.unionByName(k.select(F.col("id").alias("page_id"), F.col("u").alias("url"), title.alias("title"), "markdown", F.lit(None).cast("string").alias("sidecar"), F.lit("").alias("html"), *(F.lit(None).cast("string").alias(m) for m in meta), X.word_count("markdown").alias("word_count"), Q.classify("status", F.lit(""), "markdown", title, F.lit(True)).alias("quality")))
 
 
 def trimmed_for_proposals(page: str, needles: list[str], cap: int = 32_000) -> str:

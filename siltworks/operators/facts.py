@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonops
 from ..functions.dom import Node, parse, select
 from ..functions.markdown import fallback, page_markdown
+from ..session import spread
 
 FACTS = {
     "id": pa.int64(), "title": pa.string(), "lang": pa.string(), "description": pa.string(), "author": pa.string(), "date": pa.string(), "site_name": pa.string(), "image": pa.string(), "favicon": pa.string(), "canonical": pa.string(), "h1": pa.string(),
@@ -117,8 +118,8 @@ def brand(root: Node) -> tuple[list[str] | None, list[str] | None, str | None]:
     return colors or None, fonts or None, logo
 
 
-def page_facts_row(i: int, url: str, page: str) -> tuple:
-    root = parse(page)
+def page_facts_row(i: int, url: str, page: str, root: Node | None = None) -> tuple:
+    root = parse(page) if root is None else root
     meta = _meta(root)
     side = sidecar(root, page)
     titles = select(root, "title")
@@ -168,7 +169,7 @@ def _per_page(df: DataFrame, id_col: str, url_col: str, html_col: str, kinds: di
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], names=list(kinds))
 
-    return wanted.mapInArrow(run, ddl(kinds))
+    return spread(wanted).mapInArrow(run, ddl(kinds))
 
 
 def page_facts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -176,6 +177,28 @@ def page_facts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return _per_page(df, id_col, url_col, html_col, FACTS, page_facts_row)
 
 
+def page_content(df: DataFrame, carry: list[str], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Facts, markdown and fell_back of every page with HTML in one parse, with the page's ``carry`` columns beside them: no join."""
+    kinds = FACTS | {"markdown": pa.string(), "fell_back": pa.bool_()}
+    wanted = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.col(html_col).cast("string").alias("html"), *(F.col(c).alias(f"c_{c}") for c in carry)).where("id is not null and html is not null and html <> ''")
+    extra = ", ".join(f"`c_{f.name}` {f.dataType.simpleString()}" for f in df.select(*carry).schema.fields) if carry else ""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                rows = []
+                for i, url, page in zip(*(c.to_pylist() for c in part.columns[:3])):
+                    root = parse(page)
+                    rows.append((*page_facts_row(i, url, page, root), *page_markdown(root)))
+                if rows:
+                    cols = [pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())]
+                    yield pa.RecordBatch.from_arrays([*cols, *part.columns[3:]], names=[*kinds, *part.schema.names[3:]])
+
+    out = spread(wanted).mapInArrow(run, ddl(kinds) + (", " + extra if extra else ""))
+    return out.select(*kinds, *(F.col(f"c_{c}").alias(f"page_{c}" if c in kinds else c) for c in carry))
+
+
 def page_markdowns(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, markdown, fell_back, fallback): main content as Markdown, and the plain fallback rendering."""
 

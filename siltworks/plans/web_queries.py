@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..operators import facts as P
 from ..operators.clean import clean_pages
-from ..session import table
+from ..session import spread, table
 from ..sources.pages import ssrf_verdicts
 
 _SP = r"\s\x{0B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -126,17 +126,17 @@ def strip_tags_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_count_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "batch_item").where("markdown is not null")
+    t = spread(table(spark, sf_dir, "batch_item").select("item_id", "markdown").where("markdown is not null"))
     return t.select("item_id", X.word_count("markdown").alias("words"), X.token_estimate("markdown").alias("tokens"))
 
 
 def plain_text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "batch_item").where("markdown is not null")
+    t = spread(table(spark, sf_dir, "batch_item").select("item_id", "markdown").where("markdown is not null"))
     return t.select("item_id", F.md5(X.to_text("markdown")).alias("text_md5"), F.length(X.to_text("markdown")).alias("n_chars"))
 
 
 def llm_body_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "batch_item").where("markdown is not null")
+    t = spread(table(spark, sf_dir, "batch_item").select("item_id", "markdown").where("markdown is not null"))
     return t.select("item_id", X.llm_body("markdown").alias("body"))
 
 
@@ -164,7 +164,7 @@ def content_hash_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markdown_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors of items, each URL once per item, with their position."""
-    t = table(spark, sf_dir, "batch_item").where("markdown is not null")
+    t = spread(table(spark, sf_dir, "batch_item").select("item_id", "markdown").where("markdown is not null"))
     return t.select("item_id", F.posexplode(X.links("markdown")).alias("pos", "l")).select("item_id", "pos", "l.text", "l.url")
 
 
@@ -175,10 +175,8 @@ def challenge_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality issue of every page by its status, body, main content and title."""
-    t = table(spark, sf_dir, "raw_page").where("html is not null")
-    m = P.page_markdowns(t).select(F.col("id").alias("page_id"), "markdown")
-    f = P.page_facts(t).select(F.col("id").alias("page_id"), "title")
-    return t.select("page_id", "status", "html").join(m, "page_id").join(f, "page_id").select("page_id", Q.classify("status", "html", "markdown", "title").alias("issue"))
+    c = P.page_content(table(spark, sf_dir, "raw_page"), ["status", "html"])
+    return Q.with_issue(c, "issue", "words", "status", "html", "markdown", "title").select(F.col("id").alias("page_id"), "issue")
 
 
 def retry_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,17 +199,15 @@ def ssrf_url_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def footer_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of items that belong below a rendered page: no pagination, no comment targets."""
-    t = table(spark, sf_dir, "batch_item").where("markdown is not null")
+    t = spread(table(spark, sf_dir, "batch_item").select("item_id", "markdown").where("markdown is not null"))
     return t.select("item_id", F.size(X.footer_links("markdown")).alias("links"), F.size(X.images("markdown")).alias("images"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: every page as a corpus row with canonical URL, title, main content and quality."""
-    t = table(spark, sf_dir, "raw_page").where("html is not null")
-    m = P.page_markdowns(t).select(F.col("id").alias("page_id"), "markdown")
-    f = P.page_facts(t).select(F.col("id").alias("page_id"), "title")
-    j = t.select("page_id", "status", "html", F.coalesce("final_url", "url").alias("u")).join(m, "page_id").join(f, "page_id")
-    return j.select("page_id", U.canonical_url("u").alias("url"), "title", F.lit(0).alias("depth"), "markdown", X.word_count("markdown").alias("word_count"), Q.classify("status", "html", "markdown", "title").alias("quality"))
+    """Flagship: every page as a corpus row with canonical URL, title, main content and quality; one scan, one parse, no shuffle."""
+    c = P.page_content(table(spark, sf_dir, "raw_page").withColumn("u", F.coalesce("final_url", "url")), ["status", "html", "u"])
+    c = Q.with_issue(c, "quality", "word_count", "status", "html", "markdown", "title")
+    return c.select(F.col("id").alias("page_id"), U.canonical_url("u").alias("url"), "title", F.lit(0).alias("depth"), "markdown", "word_count", "quality")
 
 
 QUERIES = {f.__name__: f for f in (url_canonicalize, url_parts, url_dedup, crawl_scope_filter, homepage_warmup, page_title, page_links, link_host_counts, page_script_facts, brand_surface, fallback_markdown, main_markdown, hidden_stripped, dom_scope, strip_tags_words, word_count_items, plain_text_items, llm_body_items, llm_header_items, cap_tokens_docs, cap_words_docs, truncate_sentences_docs, content_hash_docs, markdown_links, challenge_pages, quality_classify, retry_outcome, clean_composite, ssrf_url_check, footer_links, corpus)}

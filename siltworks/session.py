@@ -59,3 +59,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut at a reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer partitions than there are cores; as it is otherwise.
+
+    For costly row-wise work on inputs of a few row groups. Large inputs have more partitions
+    than cores and are never shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
