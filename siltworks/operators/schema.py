@@ -91,16 +91,22 @@ def _kind(v: Column) -> Column:
     return F.when(v.isNull() | (s == "VOID"), "null").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s.startswith("BIGINT"), "integer").when(s.startswith("DECIMAL") | s.isin("DOUBLE", "FLOAT"), "number").when(s.startswith("ARRAY"), "array").otherwise("object")
 
 
-def errors(record: Column, schema: RecordSchema) -> Column:
+def with_errors(df: DataFrame, record: str, schema: RecordSchema, out: str = "errors") -> DataFrame:
+    """df with the record's errors; the record is parsed once."""
+    staged = df.withColumns({"_v": F.try_parse_json(record), "_keys": F.json_object_keys(record)})
+    return staged.withColumn(out, errors(F.col(record), schema, F.col("_v"), F.col("_keys"))).drop("_v", "_keys")
+
+
+def errors(record: Column, schema: RecordSchema, parsed: Column | None = None, names: Column | None = None) -> Column:
     """Array of '/field: reason' of a record in JSON text, empty if it is valid; null and malformed records have '/: not an object'.
 
     Checked: type, required, additionalProperties, enum, minimum, maximum, minLength, maxLength, pattern.
     """
-    v = F.try_parse_json(record)
+    v = F.try_parse_json(record) if parsed is None else parsed
     is_object = F.coalesce(_kind(v) == "object", F.lit(False))
     out: list[Column] = []
     name_error = lambda f, reason: F.lit(f"/{f}: {reason}")
-    keys = F.json_object_keys(record)
+    keys = F.json_object_keys(record) if names is None else names
     for f in schema.required:
         out.append(F.when(~F.coalesce(F.array_contains(keys, f), F.lit(False)), name_error(f, "required")))
     if schema.doc.get("additionalProperties") is False:

@@ -89,7 +89,8 @@ def record_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def schema_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validation errors of event properties against a schema with bounds (a stand-in for extracted records)."""
     schema = S.RecordSchema(EVENT_SCHEMA)
-    return table(spark, sf_dir, "events").select("event_id", F.concat_ws("; ", S.errors(F.col("props"), schema)).alias("errors"))
+    t = S.with_errors(table(spark, sf_dir, "events").select("event_id", "props"), "props", schema)
+    return t.select("event_id", F.concat_ws("; ", "errors").alias("errors"))
 
 
 def json_path_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
