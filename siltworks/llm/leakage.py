@@ -5,9 +5,12 @@
 2. Of every window of ``min_run`` words of a prompt the rarest seed is kept. Any passage of
    that length that a document shares with a prompt therefore holds a kept seed: nothing is
    lost by leaving out the common ones.
-3. Documents and prompts that meet in a kept seed are aligned by Smith-Waterman over words.
-   The score finds edited copies; the longest exact run within the aligned words decides
-   verbatim leakage.
+   This choice serves verbatim runs only (``p8_found``): an edited passage may lack just the
+   seeds that were kept.
+3. Documents and prompts that meet in a kept seed are aligned by Smith-Waterman over words;
+   the longest exact run within the aligned words decides verbatim leakage.
+4. For edited copies (``p8_alignments``) nothing is chosen: documents and prompts that meet in
+   any seed are aligned within the one scan, and the score tells copies from stock phrases.
 
 The prompts are the bounded side: at most ``MAX_ITEMS`` of them, counted before they are sent
 to the tasks. The corpus is neither shuffled as text nor shortened.
@@ -38,6 +41,8 @@ MAX_ITEMS = 100_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words of the document around a seed that are aligned beyond the prompt's own length.
 MARGIN = 16
+#: Cells of a row of alignments that are worked out side by side.
+CELLS = 30_000
 
 
 def smith_waterman(doc: np.ndarray, prompt: np.ndarray) -> tuple[int, int, int]:
@@ -85,6 +90,80 @@ def longest_run(doc: np.ndarray, prompt: np.ndarray) -> int:
     return most
 
 
+def aligned_parts(docs: list[np.ndarray], prompts: list[np.ndarray]) -> np.ndarray:
+    """(score, first, last, run) of each pair, as smith_waterman and longest_run give them, many pairs side by side."""
+    out = np.zeros((len(docs), 4), np.int64)
+    order = sorted(range(len(docs)), key=lambda k: (len(docs[k]), len(prompts[k])))
+    a = 0
+    while a < len(order):
+        b = a + 1
+        while b < len(order) and (b + 1 - a) * (len(docs[order[b]]) + 1) <= CELLS:
+            b += 1
+        some = sorted(order[a:b], key=lambda k: -len(prompts[k]))
+        out[some] = _side_by_side([docs[k] for k in some], [prompts[k] for k in some])
+        a = b
+    return out
+
+
+def _side_by_side(docs: list[np.ndarray], prompts: list[np.ndarray]) -> np.ndarray:
+    # longest prompts first: a pair leaves when its prompt ends
+    # words past the end of a document or prompt equal nothing, so no score grows there
+    m, n, rows = len(docs), max(map(len, docs)), max(map(len, prompts))
+    small = np.int16 if 2 * MATCH * rows + 3 * n < 1 << 15 else np.int32
+    doc, prompt = np.full((m, n), -1, small), np.full((rows, m, 1), -2, small)
+    for i, (d, p) in enumerate(zip(docs, prompts)):
+        own, prompt[: len(p), i, 0] = np.unique(p, return_inverse=True)
+        if len(own):
+            at = np.minimum(np.searchsorted(own, d), len(own) - 1)
+            doc[i, : len(d)] = np.where(own[at] == d, at, -1)
+    place = np.arange(n + 1, dtype=small)
+    slope = small(-GAP) * place
+    score, start, run, row, origin, top = (np.zeros((m, n + 1), small) for _ in range(6))
+    start[:] = place
+    out = np.zeros((m, 4), np.int64)
+    size = np.array([len(p) for p in prompts])
+    for r, live in enumerate((size > np.arange(rows)[:, None]).sum(axis=1).tolist()):
+        if live < len(doc):
+            doc, score, start, run, row, origin, top = (x[:live] for x in (doc, score, start, run, row, origin, top))
+        w = prompt[r, :live]
+        same = doc == w
+        diag = same * small(MATCH - MISMATCH)
+        diag += score[:, :-1]
+        diag += small(MISMATCH)
+        up = score[:, 1:] + small(GAP)
+        here = row[:, 1:]
+        np.maximum(diag, up, out=here)
+        np.maximum(here, small(0), out=here)
+        # choices by arithmetic: a masked copy takes many times as long
+        o = start[:, :-1] - start[:, 1:]
+        o *= diag >= up
+        o += start[:, 1:]
+        o -= place[1:]
+        o *= here > 0
+        np.add(o, place[1:], out=origin[:, 1:])
+        origin[:, 0] = 0
+        # gaps along the document; few places are reached by one
+        lifted = row + slope
+        np.maximum.accumulate(lifted, axis=1, out=top)
+        across = top - slope
+        i, k = np.nonzero(across > row)
+        if len(i):
+            # the last place before k that has the lifted score of k
+            source = np.maximum.accumulate((lifted == top) * place, axis=1)
+            origin[i, k] = origin[i, source[i, k]]
+        score, row, start, origin = across, score, origin, start
+        row[:, 0] = 0
+        j = score.argmax(axis=1)
+        most = score[np.arange(live), j]
+        k = np.flatnonzero(most > out[:live, 0])
+        out[k, 0], out[k, 1], out[k, 2] = most[k], start[k, j[k]], j[k]
+        ahead = run[:, :-1] + small(1)
+        ahead *= same
+        run[:, 1:] = ahead
+        np.maximum(out[:live, 3], run.max(axis=1), out=out[:live, 3])
+    return out
+
+
 def _prompts(items: DataFrame, id_col: str, text_col: str) -> tuple[list[int], list[np.ndarray]]:
     bounded = items.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     if bounded.count() > MAX_ITEMS:
@@ -107,45 +186,136 @@ def _hashed_docs(batch: pa.RecordBatch, hasher: WordHasher) -> tuple[list[int],
     return ids, docs
 
 
+class _Seeds:
+    """Which of the sorted seeds stand in which document of a batch."""
+
+    def __init__(self, known: np.ndarray) -> None:
+        self.known, self.hasher = known, WordHasher()
+        # a bit per possible top 20 bits rules out nearly every place before the search
+        self.gate = np.zeros(1 << 20, bool)
+        self.gate[(known >> np.uint64(44)).astype(np.int64)] = True
+
+    def __call__(self, batch: pa.RecordBatch) -> tuple[list[int], list[np.ndarray], np.ndarray]:
+        """(ids, hashed words, distinct (document, seed) as two rows)."""
+        known = self.known
+        ids, hashed = _hashed_docs(batch, self.hasher)
+        if not ids or not len(known):
+            return ids, hashed, np.zeros((2, 0), np.int64)
+        size = np.array([len(h) for h in hashed])
+        grams = ngrams(np.concatenate(hashed), SEED)
+        owner = np.repeat(np.arange(len(ids)), size)
+        within = owner[: len(grams)] == owner[SEED - 1 :]
+        at = np.flatnonzero(within & self.gate[(grams >> np.uint64(44)).astype(np.int64)])
+        k = np.searchsorted(known, grams[at])
+        k[k == len(known)] = 0
+        ok = known[k] == grams[at]
+        return ids, hashed, np.unique(np.stack((owner[at[ok]], k[ok])), axis=1)
+
+
 def seed_hits(docs: DataFrame, seeds: np.ndarray) -> DataFrame:
     """(id, seed): which of the sorted seeds occur in which document, one scan, no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(seeds.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, hasher = np.frombuffer(sent.value, np.uint64), WordHasher()
-        # a bit per possible top 20 bits rules out nearly every place before the search
-        gate = np.zeros(1 << 20, bool)
-        gate[(known >> np.uint64(44)).astype(np.int64)] = True
+        find = _Seeds(np.frombuffer(sent.value, np.uint64))
         for batch in batches:
-            ids, hashed = _hashed_docs(batch, hasher)
-            if not ids:
-                continue
-            size = np.array([len(h) for h in hashed])
-            grams = ngrams(np.concatenate(hashed), SEED)
-            owner = np.repeat(np.arange(len(ids)), size)
-            within = owner[: len(grams)] == owner[SEED - 1 :]
-            at = np.flatnonzero(within & gate[(grams >> np.uint64(44)).astype(np.int64)])
-            k = np.searchsorted(known, grams[at])
-            k[k == len(known)] = 0
-            ok = known[k] == grams[at] if len(known) else np.zeros(0, bool)
-            if ok.any():
-                pairs = np.unique(np.stack((owner[at[ok]], k[ok])), axis=1)
+            ids, _, pairs = find(batch)
+            if pairs.shape[1]:
                 yield pa.record_batch([pa.array(np.array(ids, np.int64)[pairs[0]]), pa.array(pairs[1].astype(np.int32))], names=["id", "seed"])
 
     return docs.mapInArrow(run, "id bigint, seed int")
 
 
+_ALIGNED = "id bigint, item bigint, score int, coverage double, run int, first_word int, last_word int"
+
+
+class _Aligner:
+    """Alignments of documents with the prompts that each is wanted for."""
+
+    def __init__(self, names: list[int], prompts: list[np.ndarray]) -> None:
+        self.names, self.prompts = names, prompts
+        self.grams: dict[int, np.ndarray] = {}
+
+    def __call__(self, wanted: Iterator[tuple[int, np.ndarray, list[int]]]) -> Iterator[pa.RecordBatch]:
+        keys, parts, cells = [], [], 0
+        for i, doc, ks in wanted:
+            own = ngrams(doc, SEED)
+            for k in ks:
+                prompt = self.prompts[k]
+                if k not in self.grams:
+                    self.grams[k] = np.unique(ngrams(prompt, SEED))
+                grams = self.grams[k]
+                found = np.flatnonzero(grams[np.minimum(np.searchsorted(grams, own), len(grams) - 1)] == own)
+                if not len(found):
+                    continue
+                reach = len(prompt) + MARGIN
+                keys.append((i, k, []))
+                for part in np.split(found, np.flatnonzero(np.diff(found) > 2 * reach) + 1):  # seeds near each other are one passage
+                    a, b = max(0, int(part[0]) - reach), int(part[-1]) + SEED + reach
+                    keys[-1][2].append(a)
+                    parts.append((doc[a:b], prompt))
+                    cells += len(parts[-1][0])
+            if cells > 20 * CELLS:
+                yield self._scored(keys, parts)
+                keys, parts, cells = [], [], 0
+        if keys:
+            yield self._scored(keys, parts)
+
+    def _scored(self, keys: list[tuple[int, int, list[int]]], parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        got, at, out = aligned_parts([d for d, _ in parts], [p for _, p in parts]).tolist(), 0, []
+        for i, k, places in keys:
+            best, run = (0, 0, 0), 0
+            for a in places:
+                score, s, e, r = got[at]
+                if score > best[0]:
+                    best = (score, a + s, a + e)
+                run, at = max(run, r), at + 1
+            out.append((i, self.names[k], best[0], best[0] / (MATCH * len(self.prompts[k])), run, best[1], best[2]))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32()))], names=["id", "item", "score", "coverage", "run", "first_word", "last_word"])
+
+
+def _read(corpus: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str) -> tuple[list[int], list[np.ndarray], DataFrame, list[np.ndarray], np.ndarray]:
+    """Item ids, their words, the documents (id, text), the items' seeds and all seeds in order."""
+    names, prompts = _prompts(items, item_id, item_text)
+    docs = corpus.select(F.col(doc_id).cast("bigint").alias("id"), F.col(doc_text).cast("string").alias("text")).where("id is not null and text is not null and text <> ''")
+    per_item = [ngrams(w, SEED) for w in prompts]
+    return names, prompts, docs, per_item, np.unique(np.concatenate(per_item)) if per_item else np.zeros(0, np.uint64)
+
+
+def alignments(corpus: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "prompt") -> DataFrame:
+    """(id, item, score, coverage, run, first_word, last_word) as in leaks, of every document and item that share any seed; one scan, no shuffle."""
+    names, prompts, docs, per_item, seeds = _read(corpus, items, doc_id, doc_text, item_id, item_text)
+    sent = corpus.sparkSession.sparkContext.broadcast((names, prompts, seeds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names_, prompts_, known = sent.value
+        find, align = _Seeds(known), _Aligner(names_, prompts_)
+        own = [np.searchsorted(known, np.unique(ngrams(w, SEED))) for w in prompts_]
+        seed, item = np.concatenate(own or [np.zeros(0, np.int64)]), np.repeat(np.arange(len(own)), [len(x) for x in own])
+        item = item[np.argsort(seed, kind="stable")]  # the items of a seed stand together
+        size = np.bincount(seed, minlength=len(known))
+        first = np.cumsum(size) - size
+        for batch in batches:
+            ids, hashed, (doc, k) = find(batch)
+            if not len(doc):
+                continue
+            n = size[k]
+            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[k], n)
+            pairs = np.unique(np.stack((np.repeat(doc, n), item[at])), axis=1)
+            start = np.flatnonzero(np.diff(pairs[0], prepend=-1))
+            yield from align((ids[d], hashed[d], ks.tolist()) for d, ks in zip(pairs[0][start].tolist(), np.split(pairs[1], start[1:])))
+
+    return docs.mapInArrow(run, _ALIGNED)
+
+
 def leaks(corpus: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "prompt", min_run: int = 12) -> DataFrame:
-    """(id, item, score, coverage, run, first_word, last_word) of every document and item that share a kept seed.
+    """(id, item, score, coverage, run, first_word, last_word) of every document and item that share a kept seed: lossless for runs of min_run words, not for edited copies.
 
     score: best Smith-Waterman score; coverage: score over the prompt's best possible one;
     run: longest exact common run in words.
     """
     spark = corpus.sparkSession
-    names, prompts = _prompts(items, item_id, item_text)
-    docs = corpus.select(F.col(doc_id).cast("bigint").alias("id"), F.col(doc_text).cast("string").alias("text")).where("id is not null and text is not null and text <> ''")
-    per_item = [ngrams(w, SEED) for w in prompts]
-    seeds = np.unique(np.concatenate(per_item)) if per_item else np.zeros(0, np.uint64)
+    names, prompts, docs, per_item, seeds = _read(corpus, items, doc_id, doc_text, item_id, item_text)
     hits = checkpointed(seed_hits(docs, seeds))
     counts = np.zeros(len(seeds), np.int64)
     for r in hits.groupBy("seed").count().toLocalIterator():  # one row per seed at most
@@ -165,34 +335,11 @@ def leaks(corpus: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text:
     sent = spark.sparkContext.broadcast((names, prompts))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items_, prompts_ = sent.value
-        grams_ = {}
-        hasher = WordHasher()
+        aligner, hasher = _Aligner(*sent.value), WordHasher()
         for batch in batches:
-            out = []
-            for i, text, ks in zip(*(c.to_pylist() for c in batch.columns)):
-                doc = hasher(words(text))
-                own = ngrams(doc, SEED)
-                for k in set(ks):
-                    prompt = prompts_[k]
-                    if k not in grams_:
-                        grams_[k] = np.unique(ngrams(prompt, SEED))
-                    found = np.flatnonzero(np.isin(own, grams_[k]))
-                    if not len(found):
-                        continue
-                    reach = len(prompt) + MARGIN
-                    best, run = (0, 0, 0), 0
-                    for part in np.split(found, np.flatnonzero(np.diff(found) > 2 * reach) + 1):  # seeds near each other are one passage
-                        a, b = max(0, int(part[0]) - reach), int(part[-1]) + SEED + reach
-                        score, s, e = smith_waterman(doc[a:b], prompt)
-                        if score > best[0]:
-                            best = (score, a + s, a + e)
-                        run = max(run, longest_run(doc[a:b], prompt))
-                    out.append((i, items_[k], best[0], best[0] / (MATCH * len(prompt)), run, best[1], best[2]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32()))], names=["id", "item", "score", "coverage", "run", "first_word", "last_word"])
-
-    return docs.join(wanted, "id").select("id", "text", "ks").mapInArrow(align, "id bigint, item bigint, score int, coverage double, run int, first_word int, last_word int")
+            yield from aligner((i, hasher(words(text)), sorted(set(ks))) for i, text, ks in zip(*(c.to_pylist() for c in batch.columns)))
+
+    return docs.join(wanted, "id").select("id", "text", "ks").mapInArrow(align, _ALIGNED)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,8 +349,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignment of every document and item that share a rare seed, edited copies included."""
-    got = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+    """Alignment of every document and item that share any run of five words, edited copies included."""
+    got = alignments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
     return got.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "score", F.round("coverage", 4).alias("coverage"), "run", "first_word", "last_word")
 
 

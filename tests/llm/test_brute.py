@@ -132,6 +132,26 @@ def test_smith_waterman_against_the_table():
         assert leakage.smith_waterman(x, y)[0] == best and leakage.longest_run(x, y) == run
 
 
+def test_alignments_side_by_side_against_one_by_one():
+    r = random.Random(4)
+    some = [[np.array([r.randrange(6) for _ in range(r.randint(0, 40))], np.uint64) for _ in range(90)] for _ in range(2)]
+    got = leakage.aligned_parts(*some)
+    assert [tuple(x) for x in got.tolist()] == [(*leakage.smith_waterman(x, y), leakage.longest_run(x, y)) for x, y in zip(*some)]
+
+
+def test_edited_copies_are_aligned_by_any_seed(spark, tmp_path):
+    prompt = [f"w{i}" for i in range(48)]
+    copy = [f"x{i}" if i % 8 == 7 else w for i, w in enumerate(prompt)]  # runs of 7 words: no window of 12 is whole
+    other = " ".join(f"y{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, f"{other} {' '.join(copy)} {other}"), (2, other), (3, "w20 w21 w22 w23 w24")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(prompt)), (8, "w20 w21 w22 w23 w24"), (9, "too short")], "item_id bigint, prompt string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/eval_item.parquet")
+    got = {(x.doc_id, x.item_id): x for x in leakage.p8_alignments(spark, str(tmp_path)).collect()}
+    assert set(got) == {(1, 7), (3, 7), (3, 8)}
+    assert (got[1, 7].score, got[1, 7].run, got[1, 7].first_word, got[1, 7].last_word) == (2 * 42 - 5, 7, 60, 60 + 47)
+
+
 def test_leaks_against_all_windows(spark):
     r = random.Random(9)
     w = [f"w{i}" for i in range(40)]
