@@ -2,11 +2,15 @@
 
 Every chunk of the scan concatenates the line identifiers of its documents, source by source,
 into one integer string with separators, sorts its suffixes by prefix doubling, and reads
-repeated blocks off the longest common prefixes of neighbours. An identifier covers the source,
+repeated identifiers off the common prefixes of neighbours. An identifier covers the source,
 so equal lines of two sources never match. Chunks hold whole documents and are bounded by the
-scan's partition size, however many rows a source has; the document counts of a block, which
+scan's partition size, however many rows a source has; the document counts of a line, which
 add up over chunks, are summed after a partial count in each chunk. A line is deleted when
-it, or a block that it belongs to, spans at least ``min_docs`` documents.
+it spans at least ``min_docs`` documents; so does every line of a block that does.
+
+Blocks (``repeated_blocks``) are read off the LCP intervals of the suffix array over the runs of
+repeated lines of a whole source, forwards and backwards. Documents with the same runs come in
+once, with their number, so a source takes the memory of its distinct runs.
 
 Defined results: null and empty texts have no lines; lines without letters, fenced code with
 its fences and lines that start with ``|`` never count; a line that occurs twice in a document
@@ -16,6 +20,7 @@ counts once; each row is a document of its own (ids are unique); a null source i
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +38,6 @@ _FENCE = re.compile(r"[ \t]{0,3}(`{3,}|~{3,})")
 MAX_SENT = 2_000_000
 #: Line identifiers sorted at a time.
 CHUNK_LINES = 200_000
-#: Longest block, in lines, that is reported as one.
-MAX_BLOCK = 64
 
 
 def line_keys(text: str) -> list[tuple[int, str]]:
@@ -102,13 +105,13 @@ def suffix_array(seq: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
-def _documents(batch: pa.RecordBatch, ids: _Ids) -> Iterator[tuple[int, list[int], np.ndarray]]:
+def _documents(batch: pa.RecordBatch, ids: _Ids) -> Iterator[tuple[int, str | None, list[int], np.ndarray]]:
     for i, source, text in zip(*(c.to_pylist() for c in batch.columns[:3])):
         if i is None or not text:
             continue
         keys = line_keys(text)
         if keys:
-            yield i, [n for n, _ in keys], np.array([ids(source, k) for _, k in keys], np.uint64)
+            yield i, source, [n for n, _ in keys], np.array([ids(source, k) for _, k in keys], np.uint64)
 
 
 def _repeats(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +148,7 @@ def repeated_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, m
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, docs, lines = _Ids(), [], 0
         for batch in batches:
-            for _, _, keys in _documents(batch, ids):
+            for *_, keys in _documents(batch, ids):
                 docs.append(keys)
                 lines += len(keys)
                 if lines >= CHUNK_LINES:
@@ -169,6 +172,11 @@ def _three(df: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFr
 
 def lines_to_delete(df: DataFrame, id_col: str, source_col: str, text_col: str, min_docs: int = 10) -> DataFrame:
     """(id, line_no, h) of every line of every document that is repeated over min_docs documents of its source."""
+    return _hot_lines(df, id_col, source_col, text_col, min_docs).select("id", "line_no", "h")
+
+
+def _hot_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, min_docs: int) -> DataFrame:
+    """(id, source, line_no, h, place): the repeated lines; source: its hash; place: number among the lines of the document that count."""
     spark = df.sparkSession
     hot = checkpointed(repeated_lines(df, id_col, source_col, text_col, min_docs))
     wanted = _three(df, id_col, source_col, text_col)
@@ -181,8 +189,8 @@ def lines_to_delete(df: DataFrame, id_col: str, source_col: str, text_col: str,
         ids = _Ids()
         known = np.frombuffer(sent.value, np.int64) if sent else None
         for batch in batches:
-            out_id, out_no, out_h = [], [], []
-            for i, numbers, keys in _documents(batch, ids):
+            out_id, out_source, out_no, out_h, out_at = [], [], [], [], []
+            for i, source, numbers, keys in _documents(batch, ids):
                 keys = keys.view(np.int64)
                 if known is not None:
                     at = np.searchsorted(known, keys)
@@ -194,12 +202,14 @@ def lines_to_delete(df: DataFrame, id_col: str, source_col: str, text_col: str,
                 if ok.any():
                     out_no.append(np.array(numbers)[ok])
                     out_h.append(keys[ok])
+                    out_at.append(np.flatnonzero(ok))
                     out_id.append(np.full(int(ok.sum()), i, np.int64))
+                    out_source.append(np.full(int(ok.sum()), 0 if source is None else xxhash.xxh3_64_intdigest(source), np.uint64))
             if out_id:
-                yield pa.record_batch([pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_no).astype(np.int32)), pa.array(np.concatenate(out_h))], names=["id", "line_no", "h"])
+                yield pa.record_batch([pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_source).view(np.int64)), pa.array(np.concatenate(out_no).astype(np.int32)), pa.array(np.concatenate(out_h)), pa.array(np.concatenate(out_at).astype(np.int32))], names=["id", "source", "line_no", "h", "place"])
 
-    lines = wanted.mapInArrow(mark, "id bigint, line_no int, h bigint")
-    return lines if sent else lines.join(hot.select("h"), "h", "left_semi").select("id", "line_no", "h")
+    lines = wanted.mapInArrow(mark, "id bigint, source bigint, line_no int, h bigint, place int")
+    return lines if sent else lines.join(hot.select("h"), "h", "left_semi").select("id", "source", "line_no", "h", "place")
 
 
 def without_repeated_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, min_docs: int = 10) -> DataFrame:
@@ -211,31 +221,106 @@ def without_repeated_lines(df: DataFrame, id_col: str, source_col: str, text_col
 
 
 def repeated_blocks(df: DataFrame, id_col: str, source_col: str, text_col: str, min_docs: int = 10) -> DataFrame:
-    """(block, lines, docs): maximal runs of repeated lines, each with the number of documents it spans.
+    """(block, lines, docs): closed blocks of lines, each with the number of documents of its source that it spans.
 
-    A run is named by the digest of its identifiers; runs longer than MAX_BLOCK lines are cut there.
+    A block is a sequence of lines that follow each other among the lines that count; closed: with
+    a line more before or after, it spans fewer documents. It is named by the digest of its
+    identifiers. Whatever stands around a block, it is one block.
     """
-    lines = lines_to_delete(df, id_col, source_col, text_col, min_docs)
+    hot = _hot_lines(df, id_col, source_col, text_col, min_docs)
+    whole = hot.groupBy("id", "source").agg(F.sort_array(F.collect_list(F.struct("place", "h"))).alias("rows"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # rows of a document stand together, in order
-            ids, no, h = (batch.column(k).to_numpy() for k in range(3))
-            if not len(ids):
-                continue
-            new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (no[1:] - no[:-1] > 2)))
-            run = np.cumsum(new) - 1
-            start = np.flatnonzero(new)
-            place = np.arange(len(ids)) - start[run]
-            new |= place % MAX_BLOCK == 0
-            start = np.flatnonzero(new)
-            with np.errstate(over="ignore"):
-                value = mixed(h.view(np.uint64) + mixed((place % MAX_BLOCK).astype(np.uint64) + np.uint64(1)))
-                block = np.add.reduceat(value, start)
-            size = np.diff(np.concatenate((start, [len(ids)])))
-            yield pa.record_batch([pa.array(block.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(ids[start])], names=["block", "lines", "id"])
-
-    found = lines.mapInArrow(runs, "block bigint, lines int, id bigint")
-    return found.distinct().groupBy("block", "lines").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+        for batch in batches:
+            source, rows = batch.column(0), batch.column(1)
+            size = np.diff(rows.offsets.to_numpy())
+            place, h = (np.split(rows.flatten().field(k).to_numpy(), np.cumsum(size)[:-1]) for k in (0, 1))
+            # runs are kept apart by their sizes
+            cut = [np.diff(np.flatnonzero(np.diff(x, prepend=-9, append=x[-1] + 9) != 1)).astype(np.int32).tobytes() for x in place]
+            yield pa.record_batch([source, pa.array([x.tobytes() for x in h], pa.binary()), pa.array(cut, pa.binary())], names=["source", "h", "sizes"])
+
+    alike = whole.select("source", "rows").mapInArrow(runs, "source bigint, h binary, sizes binary").groupBy("source", "h", "sizes").agg(F.count("*").alias("docs"))
+
+    def read(t: pa.Table) -> pa.Table:
+        docs = t.column("docs").to_numpy()
+        h = [np.frombuffer(x, np.uint64) for x in t.column("h").to_pylist()]
+        sizes = [np.frombuffer(x, np.int32) for x in t.column("sizes").to_pylist()]
+        block, lines, n = closed_blocks(h, sizes, docs, min_docs)
+        return pa.table([pa.array(block.view(np.int64)), pa.array(lines.astype(np.int32)), pa.array(n.astype(np.int64))], names=["block", "lines", "docs"])
+
+    return alike.groupBy("source").applyInArrow(read, "block bigint, lines int, docs bigint")
+
+
+def _intervals(seq: np.ndarray, owner: np.ndarray, weight: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, length, documents) of the LCP intervals that span at least least documents and more than any longer interval inside.
+
+    Documents are the summed weights of the distinct owners of an interval: every suffix adds its
+    owner's, and the innermost interval that holds a suffix and the owner's suffix before takes
+    one off again.
+    """
+    order, lcp = suffix_array(seq, most)
+    starts, own = order.tolist(), owner[order].tolist()
+    heights, weights = [*lcp.tolist(), 0], weight.tolist()
+    last: dict[int, int] = {}
+    depth, left, value, inner = [0], [0], [0], [0]  # the open intervals; inner: most documents of an interval inside
+    out = []
+    for i in range(1, len(starts) + 1):
+        # the suffix before goes to the innermost open interval; intervals deeper than the common prefix end
+        prior, g, height = i - 1, own[i - 1], heights[i]
+        if g in last:
+            value[bisect_right(left, last[g]) - 1] -= weights[g]
+        last[g] = prior
+        carry, begin, ended = weights[g], prior, 0
+        while depth[-1] > height:
+            d, begin, carry, most_inside = depth.pop(), left.pop(), value.pop() + carry, max(inner.pop(), ended)
+            if carry >= least and carry > most_inside:
+                out.append((starts[begin], d, carry))
+            ended = carry
+        if depth[-1] == height:
+            value[-1] += carry
+            inner[-1] = max(inner[-1], ended)
+        else:
+            depth.append(height)
+            left.append(begin)
+            value.append(carry)
+            inner.append(ended)
+    got = np.array(out, np.int64).reshape(-1, 3)
+    return got[:, 0], got[:, 1], got[:, 2]
+
+
+def closed_blocks(h: list[np.ndarray], sizes: list[np.ndarray], docs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, lines, documents) of the closed blocks of one source; h: repeated lines of each kind of document, sizes: of its runs, docs: documents of the kind."""
+    # every kind stands twice, the second time without weight: so what stands in one kind only is an interval too
+    flat, cut = np.concatenate(h * 2), np.concatenate(sizes * 2).astype(np.int64)
+    kinds = np.repeat(np.arange(2 * len(h)), [len(x) for x in h] * 2)
+    weight = np.concatenate((docs, np.zeros(len(docs), np.int64))).astype(np.int64)
+    names, ids = np.unique(flat, return_inverse=True)
+    run = np.repeat(np.arange(len(cut)), cut)
+    seq, owner = np.empty(len(flat) + len(cut), np.int64), np.zeros(len(flat) + len(cut), np.int64)
+    at, ends = np.arange(len(flat)) + run, np.cumsum(cut + 1) - 1
+    seq[at], owner[at] = ids, kinds
+    seq[ends], owner[ends] = len(names) + np.arange(len(cut)), owner[ends - 1]  # a separator after every run
+    most = int(cut.max())
+    place, length, n = _intervals(seq, owner, weight, most, least)
+    back, size, _ = _intervals(seq[::-1], owner[::-1], weight, most, least)
+    # blocks that a line after doesn't keep, and a line before doesn't
+    text = np.zeros(len(seq), np.uint64)
+    text[at] = flat
+    both = np.isin(_digests(text, place, length), _digests(text, len(seq) - back - size, size))
+    place, length, n = place[both], length[both], n[both]
+    return _digests(text, place, length), length, n
+
+
+def _digests(text: np.ndarray, place: np.ndarray, length: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(place), np.uint64)
+    order = np.argsort(-length, kind="stable")
+    live = len(order)
+    for k in range(int(length.max()) if len(length) else 0):  # a line of all blocks at a time
+        live = int(np.searchsorted(-length[order], -k, side="left"))
+        some = order[:live]
+        with np.errstate(over="ignore"):
+            out[some] += mixed(text[place[some] + k] + mixed(np.array([k + 1], np.uint64)))
+    return out
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,7 +330,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated blocks of lines with their size and the number of items that they span."""
+    """Repeated blocks of lines, whatever stands around them, with their size and the number of items of a host that they span."""
     return repeated_blocks(table(spark, sf_dir, "batch_item"), "item_id", "host", "markdown", 10)
 
 

@@ -111,6 +111,35 @@ def test_blocks_and_deletion(spark):
     assert {x.text for x in sitelines.without_repeated_lines(df, "item_id", "host", "markdown", 10).collect()} == {f"body number {c}" for c in "abcdefghijkl"}
 
 
+@pytest.mark.parametrize("sent", [True, False])
+def test_blocks_against_all_sequences(spark, monkeypatch, sent):
+    r = random.Random(8)
+    legal = ["Legal notice", "Share now", "Follow us"]
+    rows = []
+    for i in range(60):  # the same block between other repeated lines
+        around = [f"hot {'abcdef'[r.randrange(6)] * 3}" for _ in range(r.randint(0, 5))]
+        at = r.randint(0, len(around))
+        rows.append((i, "gh"[i % 2], "\n".join([*around[:at], *(legal if i % 3 else legal[:2]), *around[at:], *["", "own " + chr(97 + i // 26) + chr(97 + i % 26)] * (i % 2), *around[:2]])))
+    rows += [(100 + i, "long", "\n".join(f"row {chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(90))) for i in range(10)]
+    docs = defaultdict(set)
+    for i, host, text in rows:
+        lines = [x for x in text.split("\n") if x]
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                docs[host, tuple(lines[a:b])].add(i)
+    seen = {k for k, v in docs.items() if len(v) >= 10}
+    longer = defaultdict(int)
+    for host, x in seen:
+        for part in (x[1:], x[:-1]):
+            longer[host, part] = max(longer[host, part], len(docs[host, x]))
+    want = sorted((len(k[1]), len(docs[k])) for k in seen if longer[k] < len(docs[k]))
+    monkeypatch.setattr(sitelines, "MAX_SENT", 2_000_000 if sent else 0)
+    df = spark.createDataFrame(rows, "item_id bigint, host string, markdown string").repartition(5)
+    got = sitelines.repeated_blocks(df, "item_id", "host", "markdown", 10).collect()
+    assert sorted((x.lines, x.docs) for x in got) == want and len({x.block for x in got}) == len(got)
+    assert (90, 10) in want and (3, 20) in want
+
+
 def test_smith_waterman_against_the_table():
     r = random.Random(2)
     for _ in range(40):
