@@ -1,5 +1,6 @@
 """Operators against plain versions on small data."""
 
+import hashlib
 import math
 import random
 import re
@@ -8,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from siltworks.llm import leakage, mixing, mojibake, neardup, reading, residue, sitelines
+from siltworks.llm import leakage, mainbody, mixing, mojibake, neardup, reading, residue, sitelines
 from siltworks.llm.graph import components
 from siltworks.llm.markup import Labeller, forms, leaves
 from siltworks.llm.sitelines import suffix_array
@@ -140,6 +141,19 @@ def test_blocks_against_all_sequences(spark, monkeypatch, sent):
     assert (90, 10) in want and (3, 20) in want
 
 
+def test_long_notices_of_a_host_are_furniture(spark):
+    notice = "This paragraph stands under every page of the archive and goes on about the conditions of lending, " * 4
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    own = lambda i: f"The {abc[i % 26] * 4} of {abc[i // 26] * 5} was found in a field and later shown to the public in a small room."
+    rows = [("batch_item", i, "h", f"{own(i)}\n\n{notice}{1900 + i}.\n\n{own(i + 100)}{' More was said of it then.' * 9}") for i in range(60)]
+    got = defaultdict(set)
+    for x in mainbody.main_blocks(spark.createDataFrame(rows, "tab string, rec_id bigint, host string, text string")).collect():
+        got[x.rec_id].add(x.block_md5)
+    for _, i, _, text in rows:
+        a, b, c = (hashlib.md5(x.encode()).hexdigest() for x in text.split("\n\n"))
+        assert got[i] == {a, c}
+
+
 def test_smith_waterman_against_the_table():
     r = random.Random(2)
     for _ in range(40):
