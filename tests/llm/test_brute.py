@@ -154,6 +154,22 @@ def test_long_notices_of_a_host_are_furniture(spark):
         assert got[i] == {a, c}
 
 
+def test_furniture_is_counted_per_host(spark):
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: abc[i // 26 % 26] * 3 + abc[i % 26] * 4
+    line = lambda h: f"Visit the shelf of {word(h)} near the harbour wall"
+    own = lambda h, i: f"The {word(h * 12 + i)} of {word(h)} was found in a field and later shown to the public."
+    rows = [("batch_item", h * 12 + i, f"h{h}", f"{own(h, i)}\n\n{line(h)}\n\n{own(h + 200, i)}") for h in range(40) for i in range(12)]
+
+    def kept(some):
+        df = spark.createDataFrame(some, "tab string, rec_id bigint, host string, text string")
+        return {(x.rec_id, x.block_md5) for x in mainbody.main_blocks(df).collect()}
+
+    want = {(i, hashlib.md5(x.encode()).hexdigest()) for _, i, _, text in rows for x in text.split("\n\n")[::2]}
+    assert kept(rows) == want
+    assert kept(rows[:12]) == {x for x in want if x[0] < 12}  # the same page comes out the same in a small group
+
+
 def test_smith_waterman_against_the_table():
     r = random.Random(2)
     for _ in range(40):
