@@ -96,12 +96,12 @@ def change_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word diffs of each item against the one before of its host (a stand-in for versions of one page)."""
+    """Word diffs of the page text of every version of an item URL against the one before, as change_detect pairs them; empty for unchanged ones."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("host").orderBy("item_id")
-    t = table(spark, sf_dir, "batch_item").where("ok").select("host", "item_id", F.coalesce("title", F.lit("")).alias("cur"))
-    v = t.withColumn("prev", F.lag("cur").over(w)).where("prev is not null and prev <> cur")
+    w = Window.partitionBy("u").orderBy("ingested_at", "item_id")
+    t = table(spark, sf_dir, "batch_item").where("ok").select(U.canonical_url("url").alias("u"), "item_id", "ingested_at", F.coalesce("markdown", F.lit("")).alias("cur"))
+    v = t.withColumn("prev", F.lag("cur").over(w)).where("prev is not null")
     return D.word_diffs(v, "item_id", "prev", "cur").select(F.col("id").alias("item_id"), "diff", "error")
 
 

@@ -270,3 +270,24 @@ def test_seeds_and_model_chain(spark):
     assert X.chain({"a": down, "b": lambda s, u: "yes"})("", "") == "yes"
     with pytest.raises(RuntimeError, match="a: down"):
         X.chain({"a": down})("", "")
+
+
+def test_word_diff_compares_the_text_of_versions_of_a_url(spark, tmp_path):
+    from datetime import datetime
+
+    from siltworks.plans.ledger_queries import word_diff
+
+    long = " ".join(f"w{i}" for i in range(2001))
+    rows = [
+        (1, "https://a.example/x", "a.example", True, "same title", "one two three", 1),
+        (2, "https://a.example/y", "a.example", True, "other title", "one two three", 2),
+        (3, "https://a.example/x", "a.example", True, "same title", "one 2 three", 4),
+        (4, "https://a.example/x", "a.example", True, "new title", "one 2 three", 5),
+        (5, "https://a.example/x", "a.example", False, "same title", None, 3),
+        (6, "https://a.example/y", "a.example", True, "other title", long, 3),
+        (7, "https://a.example/y", "a.example", True, "other title", None, 4),
+    ]
+    df = spark.createDataFrame([(*r[:6], datetime(2024, 1, r[6])) for r in rows], "item_id bigint, url string, host string, ok boolean, title string, markdown string, ingested_at timestamp")
+    df.write.parquet(f"{tmp_path}/batch_item.parquet")
+    got = {r.item_id: (r.diff, r.error) for r in word_diff(spark, str(tmp_path)).collect()}
+    assert got == {3: ("- two\n+ 2\n", ""), 4: ("", ""), 6: ("", "too large"), 7: ("", "too large")}
