@@ -317,27 +317,58 @@ class Repairer:
         return False
 
     def repaired(self, text: str) -> tuple[str, list[str]]:
-        """The text with every explained run replaced, and the chains used; single-byte chains go for their whole line."""
-        if text.isascii():
+        """The text with every explained run replaced, also where it is written as entities, and the chains used; single-byte chains go for their whole line."""
+        plain, places = _mapped(text)
+        if plain.isascii():
             return text, []
         used: set[str] = set()
-        lines = []
-        for line in text.split("\n"):
+        at, base, out = 0, 0, []
+        for line in plain.split("\n"):
             found = [] if line.isascii() else list(_RUN.finditer(line))
             keys = [_window(line, m) for m in found]
             marks = [self.verdict(k) for k in keys]
             chain = None if any(marks) else self.line_chain(keys)
-            at, out = 0, []
             for m, got in zip(found, marks):
                 if chain is not None:
                     raw = _bytes(m.group(), chain[0])
                     got = None if raw is None else (f"{chain[1]}<{chain[0]}", raw.decode("latin-1").translate(_ENC[chain[1]][1]))
                 if got:
-                    out += [line[at : m.start()], got[1]]
-                    at = m.end()
+                    start, end = base + m.start(), base + m.end()
+                    if places is not None:
+                        start, end = places[start], places[end]
+                    if start < 0 or end < 0:
+                        continue
+                    out += [text[at:start], got[1]]
+                    at = end
                     used.add(got[0])
-            lines.append("".join(out) + line[at:])
-        return "\n".join(lines), sorted(used)
+            base += len(line) + 1
+        return "".join(out) + text[at:], sorted(used)
+
+
+#: What html.unescape looks at.
+_ENTITY = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+
+
+def _mapped(text: str) -> tuple[str, list[int] | None]:
+    """The text with entities decoded, and where each of its characters (and its end) starts in the raw text; -1 inside an entity of several characters."""
+    if "&" not in text:
+        return text, None
+    out, places, at = [], [], 0
+    for m in _ENTITY.finditer(text):
+        raw, new = m.group(), html.unescape(m.group())
+        if raw == new:
+            continue
+        same = 0  # letters after an entity without semicolon stay themselves
+        while same < len(new) - 1 and raw[-1 - same] == new[-1 - same]:
+            same += 1
+        end = m.end() - same
+        new = new[: len(new) - same]
+        out += [text[at : m.start()], new]
+        places += [*range(at, m.start()), m.start(), *[-1] * (len(new) - 1)][: m.start() - at + len(new)]
+        at = end
+    out.append(text[at:])
+    places += range(at, len(text) + 1)
+    return "".join(out), places
 
 
 def _plain(text: str) -> str:
@@ -367,9 +398,9 @@ def garbled_records(records: DataFrame) -> DataFrame:
     return records.mapInArrow(find, "tab string, rec_id bigint")
 
 
-def repaired_records(records: DataFrame) -> DataFrame:
-    """(tab, rec_id, text, chains, left): the garbled records restored as far as a chain recovers them; left counts characters that are lost."""
-    known = _trained(records.sparkSession, records)
+def repaired_records(records: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """(tab, rec_id, text, chains, left): the garbled records restored as far as a chain recovers them; left counts characters that are lost; texts: what to learn from if not the records."""
+    known = _trained(records.sparkSession, records if texts is None else texts)
 
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repairer = Repairer(*known.value)
@@ -378,7 +409,7 @@ def repaired_records(records: DataFrame) -> DataFrame:
             for tab, i, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if repairer.is_garbled(_plain(text)):
                     new, chains = repairer.repaired(text)
-                    rows.append((tab, i, new, ",".join(chains), len(_LOST.findall(new))))
+                    rows.append((tab, i, new, ",".join(chains), len(_LOST.findall(_plain(new)))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32()))], names=["tab", "rec_id", "text", "chains", "left"])
 
@@ -395,8 +426,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The restored texts of the garbled pages and items, with the chains that were undone."""
-    return repaired_records(_records(spark, sf_dir))
+    """The restored texts of the garbled pages and items, and of garbled item titles (tab batch_item.title), with the chains that were undone."""
+    texts = _records(spark, sf_dir)
+    titles = _tagged(table(spark, sf_dir, "batch_item"), "item_id", "title", "batch_item.title")
+    return repaired_records(texts.unionByName(titles), texts)
 
 
 QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired}

@@ -281,6 +281,19 @@ def test_repair_round_trip():
     assert not r.is_garbled("LA FENÊTRE DU CHÂTEAU, L’ÂGE D’OR, 12 ± 2 °C")
 
 
+def test_titles_and_entities_are_repaired(spark, tmp_path):
+    good = [f"the café of señor {w}, naïve" for w in ("lane", "hill", "wood")]
+    pages = [(i, f"<p>{good[i % 3]}</p>") for i in range(90)] + [(100, "<p>A &amp; B: the caf&Atilde;&copy; of se&#195;&#177;or &lt;lane&gt;, caf&eacute;</p>")]
+    items = [(i, good[i % 3], good[i % 3]) for i in range(90)] + [(200, "the cafÃ© of lane", "fine")]
+    spark.createDataFrame(pages, "page_id bigint, html string").write.parquet(f"{tmp_path}/raw_page.parquet")
+    spark.createDataFrame(items, "item_id bigint, title string, markdown string").write.parquet(f"{tmp_path}/batch_item.parquet")
+    got = {(r.tab, r.rec_id): (r.text, r.chains != "", r.left) for r in mojibake.p2_repaired(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("raw_page", 100): ("<p>A &amp; B: the café of señor &lt;lane&gt;, caf&eacute;</p>", True, 0),
+        ("batch_item.title", 200): ("the café of lane", True, 0),
+    }
+
+
 @pytest.mark.parametrize("text,kinds", [("Dear {{ name }}, hi", "placeholder"), ("```\n{{ name }}\n```\nfine text", ""), ("Sum x^{2} over a_{0}", ""), ("# 404 Not Found\n\nThe page you were looking for does not exist or has been moved.", "notice"), ("Lorem ipsum dolor sit amet consectetur elit.", "filler"), ("Designers fill an empty page with lorem ipsum until the real text arrives from them.", ""), ("An essay on how page not found messages came to be. " * 5 + "It has much more to say about it, and goes on. " * 20, ""), ("Пожалуйста\n\nДля просмотра включите JavaScript и обновите страницу.", "notice")])
 def test_residue_verdicts(text, kinds):
     assert ",".join(residue._judged(residue.Judge(), "batch_item", text)) == kinds
