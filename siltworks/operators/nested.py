@@ -1,39 +1,43 @@
-"""Deeply nested JSON records to flat node tables with parent links.
+"""Deeply nested JSON records to flat tables with parent links.
 
-A shape says, per record kind, which objects are nodes, which field is a node's key and
-where its child nodes stand. Bodies of one Arrow batch are parsed together by Arrow's JSON
-reader into nested list/struct buffers; nodes then come out level by level: list offsets
-give the parent index of every child, and the parents' keys reach the children by a
-vectorised ``take``. No row is visited in Python unless its types contradict the shape.
+A shape says, per record kind, which objects are nodes, which field is a node's key and where
+its child nodes stand. All bodies of an Arrow batch are indexed together (``jsonindex``): every
+value has the index of its parent, so a node's place in the shape is tested by following parent
+indices, all nodes of all depths at once. Nodes whose enclosing node fell away go by pointer
+doubling, and keys reach the children by a vectorised ``take``. No body, node or level is
+visited in Python, and a body of any depth costs what its length costs.
 
 Defined results
 - null, empty, truncated or non-JSON bodies, bodies with trailing text, and bodies that lack
   the shape's root give no rows;
 - a leading byte-order mark, outer white space and one layer of JSON string quoting are removed;
 - absent or null lists have no children, null elements are no nodes, nodes without a key are
-  left out together with what they enclose;
+  left out together with what they enclose; of a member that occurs twice the last counts;
 - numbers and strings serve as keys alike, printed as they stand;
-- equal rows of one body come out once; repeated bodies each give their own rows;
+- nodes of equal keys are nodes of their own, told apart by ``seq``; repeated bodies each give
+  their own rows;
 - other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.json as pj
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODE_SCHEMA = "id bigint, entity string, node_key string, parent_key string, attrs string"
-#: Characters of JSON parsed in one go.
-CHUNK_CHARS = 16_000_000
+from .jsonindex import JsonIndex
+
+NODE_SCHEMA = "id bigint, kind string, seq int, parent_seq int, entity string, node_key string, parent_key string, attrs array<string>"
+LINK_SCHEMA = "id bigint, entity string, node_key string, parent_key string"
+#: Bytes of JSON indexed in one go; a longer body is indexed alone.
+CHUNK_BYTES = 4_000_000
+_TRIM = " \t\r\n\ufeff"
 
 
 @dataclass(frozen=True)
@@ -43,8 +47,9 @@ class Node:
     path: fields and, as ``[]``, list steps from the enclosing node to the candidates.
     where: (field, value) pairs that a candidate must have; value None: the field must be absent or null.
     body: field that holds the node's own object ('' for the candidate itself).
-    key: field of that object with the node's key. attrs: scalar fields to carry along.
-    children: nodes found below the node's object; ``recursive`` adds the node's own kind.
+    key: field of that object with the node's key. attrs: scalar fields to carry along, each
+    ``name`` or ``name:type`` (the type of its column in the node's table).
+    children: nodes found below the node's object; recursive: path to nodes of the same kind.
     parent: field of the node's object with the parent's key, if not the enclosing node's.
     """
 
@@ -58,218 +63,164 @@ class Node:
     recursive: tuple[str, ...] = ()
     parent: str = ""
 
-
-@dataclass
-class _Tree:
-    fields: dict[str, "_Tree"] = field(default_factory=dict)
-    item: "_Tree | None" = None
-    scalar: bool = False
-
-
-def _tree_of(nodes: tuple[Node, ...], depth: int) -> _Tree:
-    root = _Tree()
-
-    def walk(at: _Tree, path: tuple[str, ...]) -> _Tree:
-        for step in path:
-            if step == "[]":
-                at.item = at.item or _Tree()
-                at = at.item
-            else:
-                at = at.fields.setdefault(step, _Tree())
-        return at
-
-    def leaf(at: _Tree, name: str) -> None:
-        if name not in at.fields:
-            at.fields[name] = _Tree(scalar=True)
-
-    def put(at: _Tree, node: Node, left: int) -> None:
-        at = walk(at, node.path)
-        for name, _ in node.where:
-            leaf(at, name)
-        own = walk(at, (node.body,)) if node.body else at
-        for name in (node.key, *node.attrs, *([node.parent] if node.parent else [])):
-            leaf(own, name)
-        for child in node.children:
-            put(own, child, left)
-        if node.recursive and left > 0:
-            put(own, Node(node.entity, node.recursive, node.key, node.where, node.body, node.attrs, node.children, node.recursive, node.parent), left - 1)
-
-    for node in nodes:
-        put(root, node, depth)
-    return root
-
-
-def _type_of(tree: _Tree) -> pa.DataType:
-    if tree.item is not None:
-        return pa.list_(_type_of(tree.item))
-    if tree.fields:
-        return pa.struct([(k, _type_of(v)) for k, v in tree.fields.items()])
-    return pa.string()
-
-
-def _structural(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, int]:
-    """Which rows close every bracket and string they open, and the deepest nesting among those."""
-    quote, back = text == 0x22, text == 0x5C
-    if back.any():
-        idx = np.arange(len(text), dtype=np.int64)
-        last = np.maximum.accumulate(np.where(~back, idx, -1))
-        run = idx - last  # backslashes up to and with this place
-        before = np.concatenate(([0], run[:-1]))
-        quote &= before % 2 == 0
-    inside = np.cumsum(quote, dtype=np.int64)
-    step = np.zeros(len(text), np.int8)
-    step[(text == 0x7B) | (text == 0x5B)] = 1
-    step[(text == 0x7D) | (text == 0x5D)] = -1
-    base = np.where(starts > 0, inside[np.maximum(starts - 1, 0)], 0)
-    row = np.repeat(np.arange(len(starts)), ends - starts)
-    odd = (inside - base[row]) % 2 == 1
-    step[odd] = 0
-    depth = np.cumsum(step, dtype=np.int64)
-    low = np.where(starts > 0, depth[np.maximum(starts - 1, 0)], 0)
-    level = depth - low[row]
-    full = ends > starts
-    ok = full.copy()
-    last = np.maximum(ends - 1, 0)
-    ok &= (level[last] == 0) & ((inside[last] - base) % 2 == 0)
-    least = np.minimum.reduceat(level, starts[full]) if full.any() else np.zeros(0)
-    most = np.maximum.reduceat(level, starts[full]) if full.any() else np.zeros(0)
-    tmp = np.zeros(len(starts), np.int64)
-    tmp[full] = least
-    ok &= tmp >= 0
-    tmp[full] = most
-    return ok, int(tmp[ok].max()) if ok.any() else 0
+    @property
+    def columns(self) -> tuple[tuple[str, str], ...]:
+        """(field, type) of the carried fields."""
+        return tuple((a.partition(":")[0], a.partition(":")[2] or "string") for a in self.attrs)
 
 
 class Flattener:
     """Flattens JSON bodies of one record kind.
 
-    roots: the root nodes. brackets: how many of them one level of recursion adds.
-    anchor: entity of the root node that is the parent of the other roots of the same body.
+    roots: the root nodes. anchor: entity of the root node that is the parent of the other roots
+    of the same body.
     """
 
-    def __init__(self, roots: tuple[Node, ...], brackets: int = 2, anchor: str = ""):
-        self.roots, self.brackets, self.anchor = roots, max(1, brackets), anchor
-        names: set[str] = set()
-        scalars: set[str] = set()
-
-        def objects(node: Node) -> None:
-            names.update(x for x in (*node.path, *node.recursive, node.body) if x not in ("", "[]"))
-            scalars.update((node.key, *node.attrs, *([node.parent] if node.parent else []), *(x for x, _ in node.where)))
-            for child in node.children:
-                objects(child)
-
-        for node in roots:
-            objects(node)
-        number = r"-?[0-9][0-9.eE+-]*|true|false"
-        # numbers and flags of scalar fields are read as their text
-        self._number = r'("(?:' + "|".join(sorted(map(re.escape, scalars))) + r')"\s*:\s*)(' + number + ")"
-        # a scalar where the shape has an object or list counts as absent
-        self._scalar = r'("(?:' + "|".join(sorted(map(re.escape, names))) + r')"\s*:\s*)(?:"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false)' if names else ""
-
-    def _unquoted(self, texts: pa.Array) -> pa.Array:
-        trim = " \t\r\n﻿"
-        texts = pc.utf8_trim(texts, characters=trim)
-        quoted = pc.fill_null(pc.starts_with(texts, '"'), False)
-        if pc.any(quoted).as_py():
-            at = np.flatnonzero(quoted.to_numpy(zero_copy_only=False))
-            inner = []
-            for i in at:  # only rows with the extra layer
-                try:
-                    inner.append(json.loads(texts[int(i)].as_py()))
-                except ValueError:
-                    inner.append("")
-            values = pa.array(inner, pa.large_string()) if all(isinstance(x, str) for x in inner) else pa.array([x if isinstance(x, str) else "" for x in inner], pa.large_string())
-            texts = pc.replace_with_mask(texts, quoted, pc.utf8_trim(values, characters=trim))
-        return texts
-
-    def nodes(self, ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
-        texts = self._unquoted(texts.cast(pa.large_string()))
-        keep = pc.fill_null(pc.or_(pc.starts_with(texts, "{"), pc.starts_with(texts, "[")), False)
-        ids, texts = ids.filter(keep), texts.filter(keep)
-        if not len(texts):
-            return
+    def __init__(self, roots: tuple[Node, ...], anchor: str = ""):
+        self.roots, self.anchor = roots, anchor
+        #: The kinds of nodes, enclosing ones first; of each: (number of the enclosing kind or -1, path from there), its own kind last.
+        self.nodes: list[Node] = []
+        self.edges: list[list[tuple[int, tuple[str, ...]]]] = []
+        todo = [(node, -1) for node in roots]
+        while todo:
+            node, above = todo.pop(0)
+            me = len(self.nodes)
+            self.nodes.append(node)
+            self.edges.append([(above, node.path), *([(me, node.recursive)] if node.recursive else [])])
+            todo += [(child, me) for child in node.children]
+        names: dict[str, None] = {}
+        for node in self.nodes:
+            names |= dict.fromkeys(x for x in (*node.path, *node.recursive, node.body, node.key, node.parent, *(a for a, _ in node.columns), *(w for w, _ in node.where)) if x not in ("", "[]"))
+        self.names = list(names)
+
+    def batches(self, ids: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, dict[str, pa.Array]]]:
+        """(ids of the nodes, their columns) by chunks of bodies; texts without nulls."""
+        texts = _unquoted(texts.cast(pa.large_string()))
         size = pc.cumulative_sum(pc.cast(pc.binary_length(texts), pa.int64())).to_numpy()
-        for a, b in _chunks(size, CHUNK_CHARS):
-            yield from self._chunk(ids.slice(a, b - a), texts.slice(a, b - a))
-
-    def _chunk(self, ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
-        texts = pc.replace_substring_regex(texts, pattern=self._number, replacement=r'\1"\2"')
-        if self._scalar:
-            texts = pc.replace_substring_regex(texts, pattern=self._scalar, replacement=r"\1null")
-        texts = pa.concat_arrays([texts])  # offset 0
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if texts.buffers()[2] else np.zeros(0, np.uint8)
-        ok, deep = _structural(data, offsets[:-1] - offsets[0], offsets[1:] - offsets[0])
-        ids, texts = ids.filter(pa.array(ok)), texts.filter(pa.array(ok))
-        if not len(texts):
-            return
-        schema = _type_of(_tree_of(self.roots, deep // self.brackets + 1))
-        yield from self._parse(ids, texts, schema)
-
-    def _parse(self, ids: pa.Array, texts: pa.Array, schema: pa.DataType) -> Iterator[pa.RecordBatch]:
-        parsed = _read(texts, schema)
-        if parsed is not None:
-            yield from self._levels(ids, parsed)
-        elif len(texts) > 1:
-            half = len(texts) // 2
-            yield from self._parse(ids.slice(0, half), texts.slice(0, half), schema)
-            yield from self._parse(ids.slice(half), texts.slice(half), schema)
-        else:
+        for a, b in _chunks(size, CHUNK_BYTES):
+            got = self._nodes(JsonIndex(texts.slice(a, b - a), self.names))
+            if got is not None:
+                yield ids.slice(a, b - a).take(pa.array(got.pop("row"))), got
+
+    def _nodes(self, j: JsonIndex) -> dict | None:
+        if not len(j.kind):
+            return None
+        everything = np.flatnonzero(j.is_object(np.arange(len(j.kind))))
+        found, own_of, total = [], [], 0
+        for me, node in enumerate(self.nodes):  # enclosing kinds come first
+            at, own, keys = _candidates(j, everything, node)
+            above, number = np.full(len(at), -2, np.int64), np.full(len(j.kind), -1, np.int64)  # -1: a root; -2: stands nowhere in the shape
+            for parent, path in self.edges[me]:
+                up, ok = _climb(j, at, path)
+                if parent == me:
+                    number[own] = np.arange(len(at))
+                    inner = np.flatnonzero(ok & (above == -2) & (number[up] >= 0))
+                    # every round doubles the distance to the outermost of a chain
+                    jump = np.arange(len(at))
+                    jump[inner] = number[up[inner]]
+                    chain = jump.copy()
+                    while not (chain[chain] == chain).all():
+                        chain = chain[chain]
+                    live = np.flatnonzero(above[chain] != -2)
+                    place = np.full(len(at), -1, np.int64)
+                    place[live] = np.arange(len(live))
+                    above = np.where(jump != np.arange(len(at)), total + place[jump], above)[live]
+                else:
+                    held = np.where(j.parent[up] < 0, -1, -2) if parent < 0 else np.where(own_of[parent][up] >= 0, own_of[parent][up], -2)
+                    above = np.where(ok, held, -2)
+                    live = np.flatnonzero(above != -2) if len(self.edges[me]) == 1 else np.arange(len(at))
+                    above = above[live]
+                at, own, keys = at[live], own[live], keys[live]
+            number[:] = -1
+            number[own] = total + np.arange(len(own))
+            own_of.append(number)
+            total += len(own)
+            found.append((at, own, keys, above, np.full(len(at), me)))
+        if not total:
+            return None
+        at, own, keys, above, spec = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(at, kind="stable")
+        new = np.empty(total, np.int64)
+        new[order] = np.arange(total)
+        at, own, keys, spec = at[order], own[order], keys[order], spec[order]
+        above = np.where(above[order] >= 0, new[np.maximum(above[order], 0)], -1)
+        row = j.row[at]
+        if self.anchor:
+            anchors = np.flatnonzero(np.array([n.entity == self.anchor for n in self.nodes])[spec])
+            rows, k = np.unique(row[anchors], return_index=True)
+            if len(rows):
+                of_row = np.minimum(np.searchsorted(rows, row), len(rows) - 1)
+                held = anchors[k][of_row]
+                above = np.where((above < 0) & (rows[of_row] == row) & ~np.isin(np.arange(len(row)), anchors), held, above)
+        node_keys = j.texts(keys)
+        parent_keys = node_keys.take(pa.array(above, mask=above < 0))
+        for me, node in enumerate(self.nodes):
+            if node.parent and (spec == me).any():
+                said = np.where(spec == me, j.member(own, node.parent), -1)
+                parent_keys = pc.if_else(pa.array(spec == me), j.texts(said), parent_keys)
+                above = np.where(spec == me, -1, above)
+        begin = np.flatnonzero(np.diff(row, prepend=-1))
+        seq = np.arange(len(row)) - np.repeat(begin, np.diff(np.append(begin, len(row))))
+        return {
+            "row": row,
+            "seq": pa.array(seq.astype(np.int32)),
+            "parent_seq": pa.array(seq[np.maximum(above, 0)].astype(np.int32), mask=above < 0),
+            "entity": pa.array([n.entity for n in self.nodes]).take(pa.array(spec)),
+            "node_key": node_keys,
+            "parent_key": pc.fill_null(parent_keys, ""),
+            "attrs": self._attrs(j, own, spec),
+        }
+
+    def _attrs(self, j: JsonIndex, own: np.ndarray, spec: np.ndarray) -> pa.Array:
+        size = np.array([len(n.attrs) for n in self.nodes])[spec]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        values = np.full(int(ends[-1]), -1, np.int64)
+        for me, node in enumerate(self.nodes):
+            mine = np.flatnonzero(spec == me)
+            for k, (name, _) in enumerate(node.columns):
+                values[ends[mine] + k] = j.member(own[mine], name)
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), j.texts(values).cast(pa.string()))
+
+
+def _candidates(j: JsonIndex, objects: np.ndarray, node: Node) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, own object, key) of what is such a node by what it holds, wherever it stands."""
+    at = objects
+    for name, want in node.where:
+        text = j.texts(j.member(at, name))
+        ok = pc.is_null(text) if want is None else pc.fill_null(pc.equal(text, want), False)
+        at = at[ok.to_numpy(zero_copy_only=False)]
+    own = j.member(at, node.body) if node.body else at
+    at, own = at[j.is_object(own)], own[j.is_object(own)]
+    keys = j.member(own, node.key)
+    ok = np.flatnonzero(keys >= 0)
+    ok = ok[pc.is_valid(j.texts(keys[ok])).to_numpy(zero_copy_only=False)]
+    return at[ok], own[ok], keys[ok]
+
+
+def _climb(j: JsonIndex, at: np.ndarray, path: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(where the path to each value starts, whether it is that path)."""
+    up, ok = at, np.ones(len(at), bool)
+    for step in reversed(path):
+        ok &= j.name[up] == (-2 if step == "[]" else j.names.index(step))
+        up = j.parent[up]
+        ok &= up >= 0
+        up = np.maximum(up, 0)
+    return up, ok
+
+
+def _unquoted(texts: pa.Array) -> pa.Array:
+    texts = pc.utf8_trim(texts, characters=_TRIM)
+    quoted = pc.starts_with(texts, '"')
+    if pc.any(quoted).as_py():
+        inner = []
+        for text in texts.filter(quoted).to_pylist():  # only rows with the extra layer
             try:
-                value = json.loads(texts[0].as_py())
-            except (ValueError, RecursionError):
-                return
-            yield from self._levels(ids, pa.array([_fitted(value, schema)], schema))
-
-    def _levels(self, ids: pa.Array, roots: pa.Array) -> Iterator[pa.RecordBatch]:
-        """Level by level over the shape; todo holds (node, path, parents' values, their keys, their row)."""
-        row = pa.array(np.arange(len(roots)))
-        above = pa.nulls(len(roots), pa.string())
-        for root in self.roots:
-            for node, keys, rows, batch in self._below([(root, root.path, roots, above, row)], ids):
-                if node.entity == self.anchor and node is root:
-                    first = np.unique(rows.to_numpy(), return_index=True)
-                    spread = np.full(len(roots), -1, np.int64)
-                    spread[first[0]] = first[1]
-                    above = keys.take(pa.array(spread, mask=spread < 0))
-                yield batch
-
-    def _below(self, todo: list, ids: pa.Array) -> Iterator[tuple[Node, pa.Array, pa.Array, pa.RecordBatch]]:
-        while todo:
-            node, path, values, parents, row = todo.pop()
-            found = _follow(values, path)
-            if found is None:
-                continue
-            values, index = found
-            parents, row = parents.take(index), row.take(index)
-            mask = pc.is_valid(values)
-            for name, want in node.where:
-                got = _child(values, name)
-                mask = pc.and_(mask, pc.fill_null(pc.equal(got, want), False) if want is not None else pc.is_null(got))
-            own = _child(values, node.body) if node.body else values
-            if own is None:
-                continue
-            mask = pc.and_(mask, pc.is_valid(own))
-            keys = _child(own, node.key)
-            if keys is None:
-                continue
-            mask = pc.and_(mask, pc.is_valid(keys))
-            own, keys, parents, row = (x.filter(mask) for x in (own, keys, parents, row))
-            if not len(keys):
-                continue
-            if node.parent:
-                parents = _child(own, node.parent)
-            attrs = [_child(own, name) for name in node.attrs]
-            attrs = [pc.fill_null(x, "") for x in attrs if x is not None]
-            batch = pa.record_batch(
-                [ids.take(row), pa.array([node.entity]).take(pa.array(np.zeros(len(keys), np.int64))), keys, pc.fill_null(parents, ""), pc.binary_join_element_wise(*attrs, "\x1f") if attrs else pa.nulls(len(keys), pa.string())],
-                names=["id", "entity", "node_key", "parent_key", "attrs"],
-            )
-            yield node, keys, row, batch
-            for child in node.children:
-                todo.append((child, child.path, own, keys, row))
-            if node.recursive:
-                todo.append((node, node.recursive, own, keys, row))
+                value = json.loads(text)
+            except ValueError:
+                value = ""
+            inner.append(value.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if isinstance(value, str) else "")
+        texts = pc.replace_with_mask(texts, quoted, pc.utf8_trim(pa.array(inner, pa.large_string()), characters=_TRIM))
+    return texts
 
 
 def _chunks(ends: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -281,101 +232,83 @@ def _chunks(ends: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def _read(texts: pa.Array, schema: pa.DataType) -> pa.Array | None:
-    """The parsed bodies, or None if any can't be read as the schema or isn't exactly one value."""
-    lines = pc.binary_join_element_wise(*(x if isinstance(x, pa.Array) else pa.scalar(x, pa.large_string()) for x in ('{"r":', texts, "}\n", "")))
-    ends = np.frombuffer(lines.buffers()[1], np.int64)
-    whole = lines.buffers()[2].slice(int(ends[lines.offset]), int(ends[lines.offset + len(lines)] - ends[lines.offset]))
-    try:
-        got = pj.read_json(
-            pa.BufferReader(whole),
-            read_options=pj.ReadOptions(use_threads=False, block_size=min(whole.size + 64, 2**31 - 1)),
-            parse_options=pj.ParseOptions(explicit_schema=pa.schema([("r", schema)]), newlines_in_values=True, unexpected_field_behavior="ignore"),
-        )
-    except pa.ArrowException:
-        return None
-    if got.num_rows != len(texts):
-        return None
-    column = got.column("r")
-    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
-
-
-def _fitted(value: object, kind: pa.DataType) -> object:
-    """value as far as it has the type; what contradicts it becomes null."""
-    if pa.types.is_struct(kind):
-        return {f.name: _fitted(value.get(f.name), f.type) for f in kind} if isinstance(value, dict) else None
-    if pa.types.is_list(kind):
-        return [_fitted(x, kind.value_type) for x in value] if isinstance(value, list) else None
-    if value is None or isinstance(value, (dict, list)):
-        return None
-    return (value if isinstance(value, str) else json.dumps(value)).encode("utf-8", "replace").decode("utf-8")
-
-
-def _child(values: pa.Array, name: str) -> pa.Array | None:
-    if not pa.types.is_struct(values.type) or values.type.get_field_index(name) < 0:
-        return None
-    return pc.struct_field(values, [values.type.get_field_index(name)])
-
-
-def _follow(values: pa.Array, path: tuple[str, ...]) -> tuple[pa.Array, pa.Array] | None:
-    """The values at the path and the index of the start value that each belongs to."""
-    index = pa.array(np.arange(len(values)))
-    for step in path:
-        if step == "[]":
-            if not pa.types.is_list(values.type):
-                return None
-            index = index.take(pc.list_parent_indices(values))
-            values = pc.list_flatten(values)
-        else:
-            values = _child(values, step)
-            if values is None:
-                return None
-    return values, index
+def _wanted(df: DataFrame, shapes: dict[str, Flattener], id_col: str, kind_col: str, body_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(kind_col).cast("string").alias("kind"), F.col(body_col).cast("string").alias("body")).where(F.col("body").isNotNull() & F.col("kind").isin(list(shapes)))
+
+
+def _flattened(batch: pa.RecordBatch, shapes: dict[str, Flattener]) -> Iterator[tuple[str, pa.Array, dict[str, pa.Array]]]:
+    for kind, flattener in shapes.items():
+        part = batch.filter(pc.equal(batch.column("kind"), kind))
+        if part.num_rows:
+            for ids, columns in flattener.batches(part.column("id"), part.column("body")):
+                yield kind, ids, columns
 
 
 def flatten_nested(df: DataFrame, shapes: dict[str, Flattener], id_col: str = "body_id", kind_col: str = "extractor", body_col: str = "body") -> DataFrame:
-    """Flat node table of nested JSON bodies: id, entity, node_key, parent_key, attrs.
+    """Every node of nested JSON bodies as a row of NODE_SCHEMA.
 
-    attrs holds the node's carried scalar fields joined by U+001F. One pass, no shuffle.
+    seq numbers the nodes of a body in the order of the text, parent_seq is the number of the node
+    that encloses it (null for roots and for parents named by a field). attrs holds the node's
+    carried fields in the order of its ``attrs``. One pass, no shuffle.
     """
-    wanted = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(kind_col).cast("string").alias("kind"), F.col(body_col).cast("string").alias("body")).where(F.col("body").isNotNull() & F.col("kind").isin(list(shapes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "entity", "node_key", "parent_key", "attrs"]
-        kinds = [pa.int64()] + [pa.string()] * 4
+        names = ["id", "kind", "seq", "parent_seq", "entity", "node_key", "parent_key", "attrs"]
         for batch in batches:
-            for kind, flattener in shapes.items():
-                part = batch.filter(pc.fill_null(pc.equal(batch.column("kind"), kind), False))
-                if not part.num_rows:
-                    continue
-                out = list(flattener.nodes(part.column("id"), part.column("body")))
-                if out:
-                    got = pa.Table.from_arrays([pa.chunked_array([x.column(i).cast(t) for x in out]) for i, t in enumerate(kinds)], names=names)
-                    got = got.group_by(names[:4], use_threads=False).aggregate([("attrs", "min")]).rename_columns(names)
-                    yield from got.combine_chunks().to_batches(max_chunksize=20_000)
+            for kind, ids, c in _flattened(batch, shapes):
+                kinds = pa.array([kind]).take(pa.array(np.zeros(len(ids), np.int64)))
+                got = pa.Table.from_arrays([ids, kinds, c["seq"], c["parent_seq"], c["entity"], c["node_key"].cast(pa.string()), c["parent_key"].cast(pa.string()), c["attrs"]], names=names)
+                yield from got.to_batches(max_chunksize=20_000)
+
+    return _wanted(df, shapes, id_col, kind_col, body_col).mapInArrow(run, NODE_SCHEMA)
+
 
-    return wanted.mapInArrow(run, NODE_SCHEMA)
+def node_links(df: DataFrame, shapes: dict[str, Flattener], id_col: str = "body_id", kind_col: str = "extractor", body_col: str = "body") -> DataFrame:
+    """(id, entity, node_key, parent_key) of every node, equal rows of one body once; one pass, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "entity", "node_key", "parent_key"]
+        for batch in batches:
+            for _, ids, c in _flattened(batch, shapes):
+                got = pa.Table.from_arrays([ids, c["entity"], c["node_key"].cast(pa.string()), c["parent_key"].cast(pa.string())], names=names)
+                yield from got.group_by(names, use_threads=False).aggregate([]).select(names).combine_chunks().to_batches(max_chunksize=20_000)
+
+    return _wanted(df, shapes, id_col, kind_col, body_col).mapInArrow(run, LINK_SCHEMA)
+
+
+def node_tables(nodes: DataFrame, shapes: dict[str, Flattener]) -> dict[str, DataFrame]:
+    """One typed table per kind and entity, named ``kind_entity``, of the rows that flatten_nested gives.
+
+    Columns: id, seq, node_key, parent_seq, parent_key, then the node's carried fields, each cast
+    to its type (null where it doesn't fit). (id, seq) is the key, (id, parent_seq) the link.
+    """
+    out = {}
+    for kind, flattener in shapes.items():
+        for node in flattener.nodes:
+            fields = [F.expr(f"try_cast(try_element_at(attrs, {k + 1}) as {t})").alias(name) for k, (name, t) in enumerate(node.columns)]
+            out[f"{kind}_{node.entity}"] = nodes.where((F.col("kind") == kind) & (F.col("entity") == node.entity)).select("id", "seq", "node_key", "parent_seq", "parent_key", *fields)
+    return out
 
 
 def _listing(*inner: str) -> tuple[str, ...]:
     return (*inner, "data", "children", "[]")
 
 
-_COMMENT = Node("comment", _listing("[]"), "id", where=(("kind", "t1"),), body="data", attrs=("author", "score", "body"), recursive=_listing("replies"))
+_COMMENT = Node("comment", _listing("[]"), "id", where=(("kind", "t1"),), body="data", attrs=("author", "score:int", "body"), recursive=_listing("replies"))
 #: Shapes of the API bodies of this project.
 API_SHAPES: dict[str, Flattener] = {
-    "reddit": Flattener((Node("post", _listing("[]"), "id", where=(("kind", "t3"),), body="data", attrs=("author", "score", "title"), children=()), _COMMENT), brackets=4, anchor="post"),
-    "hackernews": Flattener((Node("story", (), "id", attrs=("author", "points", "title"), children=(Node("comment", ("children", "[]"), "id", attrs=("author", "text"), recursive=("children", "[]")),)),), brackets=2),
+    "reddit": Flattener((Node("post", _listing("[]"), "id", where=(("kind", "t3"),), body="data", attrs=("author", "score:int", "title")), _COMMENT), anchor="post"),
+    "hackernews": Flattener((Node("story", (), "id", attrs=("author", "points:int", "title"), children=(Node("comment", ("children", "[]"), "id", attrs=("author", "text"), recursive=("children", "[]")),)),)),
     "github_repo": Flattener(
         (
-            Node("repo", (), "full_name", attrs=("description", "language", "stargazers_count"), children=(Node("license", ("license",), "spdx_id", attrs=("name",)),)),
+            Node("repo", (), "full_name", attrs=("description", "language", "stargazers_count:int"), children=(Node("license", ("license",), "spdx_id", attrs=("name",)),)),
             Node("issue", (), "number", attrs=("title", "state", "body"), children=(Node("label", ("labels", "[]"), "name", attrs=("color",)),)),
         )
     ),
     "stackoverflow": Flattener(
         (
-            Node("question", ("items", "[]"), "question_id", where=(("answer_id", None),), attrs=("title", "score", "body")),
-            Node("answer", ("items", "[]"), "answer_id", attrs=("score", "is_accepted", "body"), parent="question_id", children=(Node("comment", ("comments", "[]"), "comment_id", attrs=("body",)),)),
+            Node("question", ("items", "[]"), "question_id", where=(("answer_id", None),), attrs=("title", "score:int", "body")),
+            Node("answer", ("items", "[]"), "answer_id", attrs=("score:int", "is_accepted:boolean", "body"), parent="question_id", children=(Node("comment", ("comments", "[]"), "comment_id", attrs=("body",)),)),
         )
     ),
 }
