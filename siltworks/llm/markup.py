@@ -442,7 +442,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "batch_item").select(F.lit("batch_item").alias("tab"), F.col("item_id").alias("rec_id"), F.col("markdown").alias("text"))
     shapes = {k: API_SHAPES[k] for k in ("github_repo", "stackoverflow")}
     nodes = flatten_nested(table(spark, sf_dir, "api_body").where(F.col("status").between(200, 299)), shapes)
-    bodies = nodes.where(F.col("entity").isin("question", "answer", "issue")).select(F.lit("api_body").alias("tab"), F.col("id").alias("rec_id"), F.element_at(F.split("attrs", "\x1f"), 3).alias("text"))
+    bodies = nodes.where(F.col("entity").isin("question", "answer", "issue")).select(F.lit("api_body").alias("tab"), F.col("id").alias("rec_id"), F.element_at("attrs", 3).alias("text"))
     return items.unionByName(bodies).where("text is not null and text <> ''")
 
 
