@@ -1,15 +1,18 @@
 """Markup residue in text documents: which kinds a text carries, and clean text with its structure.
 
 A text becomes a sequence of leaves (its lines, each with the path of open elements and
-fences). A bidirectional LSTM in numpy reads the sequence: every leaf is the mean of hashed
-vectors of its words and marks plus the vector of its tag path; both directions give every
-leaf the context of the whole document. Two heads label each leaf with its kinds of markup
-(html, markdown, wiki, latex) and its role (text, heading, list, code, formula, table, quote).
-
-The labeller is trained in the session, with a fixed seed, on at most ``TRAIN_DOCS`` documents
-(least hash of the text), whose leaves are labelled by the exact forms of the four syntaxes.
-It then nominates leaves of all documents at a low threshold, and the exact form is looked
-for in the nominated leaf: the network decides where to look, the form decides.
+fences). A bidirectional LSTM in numpy reads the sequence. A leaf is the sum of the hashed
+vectors of its marks, the mean of those of its words, and the vector of its tag path; both
+directions give every leaf the context of the whole document. Two heads give each leaf the
+probability of each kind of markup (html, markdown, wiki, latex) and its role (text, heading,
+list, code, formula, table, quote). The network decides: a record carries a kind if one of its
+leaves reaches ``DECIDE``.
+
+A mark is a run of one non-letter with the classes of the characters around it, a command, a
+tag or an entity; delimiters that open and later close are a further mark. What a mark means
+is learnt: the labels come from markup planted in clean lines (``planting``), never from
+patterns. The weights are fitted once (``python -m siltworks.llm.markup_fit``) and travel with
+the package; every query reads the same ones.
 
 Defined results: null and empty texts carry nothing; markup shown inside fences, pre or code
 does not count, the fences, spans and tags themselves do; texts of any length are read whole,
@@ -19,6 +22,7 @@ in windows of ``WINDOW`` leaves; repeated rows are each judged.
 from __future__ import annotations
 
 import html
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -34,25 +38,20 @@ from ..session import table
 
 KINDS = ("html", "markdown", "wiki", "latex")
 ROLES = ("text", "heading", "list", "code", "formula", "table", "quote")
-#: Documents of the training sample, leaves of a window, threshold of nomination.
-TRAIN_DOCS, WINDOW, NOMINATE = 1500, 128, 0.003
-#: Hashed vectors of words and marks, and of tag paths; their width; width of each direction.
-TOKENS, PATHS, WIDTH, HIDDEN = 8192, 256, 16, 16
-
-_TAGS = "a abbr article aside b blockquote body br button caption center cite code col dd del details div dl dt em fieldset figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label li link main mark meta nav noscript ol option p pre q s samp script section select small span strike strong style sub summary sup table tbody td textarea tfoot th thead time title tr tt u ul var video"
-_TAG = re.compile(r"</?(?:" + "|".join(_TAGS.split()) + r")(?:\s+[^<>]*)?/?>|<!--|<!DOCTYPE", re.I)
-_CODE_TAG = re.compile(r"</?(?:pre|code)(?:\s[^<>]*)?>", re.I)
-_ENTITY = re.compile(r"&(?:nbsp|amp|lt|gt|quot|apos|copy|reg|hellip|[mn]dash|[lr][sd]quo|[lr]aquo|bull|middot|euro|pound|eacute|[a-z]{1,2}(?:acute|grave|circ|uml|tilde|cedil)|#\d{2,6}|#x[0-9a-f]{2,6});", re.I)
-_SPAN = re.compile(r"(`+)(?!`)(.+?)(?<!`)\1(?!`)")
+#: Leaves of a window, probability from which a leaf carries a kind.
+WINDOW, DECIDE = 128, 0.5
+#: Hashed vectors of marks, of words, and of tag paths; their width; width of each direction.
+MARKS, WORDS, PATHS, WIDTH, HIDDEN = 4096, 1024, 128, 16, 16
+WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "markup_weights.npz")
+
 _FENCE = re.compile(r"[ \t]{0,3}(`{3,}|~{3,})")
-_MARKDOWN = re.compile(
-    r"^[ \t]{0,3}#{1,6}[ \t]+\S|^[ \t]*[-*+][ \t]+(?:\[[ xX]\][ \t]+)?\S|^[ \t]*\d{1,3}[.)][ \t]+\S|^[ \t]{0,3}>[ \t]?\S|^[ \t]*\|.*\|[ \t]*$|^[ \t]*\|?(?:[ \t]*:?-{3,}:?[ \t]*\|)+|!?\[[^\[\]\n]*\]\([^()\s]+(?:[ \t]+\"[^\"]*\")?\)|(?<![\w*])\*\*(?=\S)[^*\n]+(?<=\S)\*\*|(?<![\w*\\])\*(?=[^\s*])[^*\n]*[^\s*]\*(?![\w*])|(?<!~)~~(?=[^\s~])[^~\n]+~~(?!~)"
-)
-_WIKI = re.compile(r"\[\[[^\[\]\n]+\]\]|'''?[^'\n]+'''?|^={2,6}[ \t]*[^=\n]+?[ \t]*={2,6}[ \t]*$|(?:^|[ \t])\{\|[ \t]*(?:class|style|border|$)|^\|-(?![-:|])|^\|\}|\[https?://[^\s\]]+[ \t]+[^\]\n]+\]|(?<!~)~{3,5}(?!~)|\{\{[A-Za-z][^{}|\n]*\|[^{}\n]*\}\}|<ref[ >/]|^[*#:;]+\[\[")
-_LATEX = re.compile(r"\\(?:begin|end)\{[a-zA-Z*]+\}|\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{|\$\$[^$]+\$\$|(?<![\w$\\])\$(?=[^\s$])[^$\n]*[\\^_][^$\n]*\$(?!\d)|\\(?:frac|sum|prod|int|cdot|sqrt|leq|geq|alpha|beta|gamma|infty|item|times|partial)(?![a-zA-Z])|\\[(\[](?=[^\n]*\\[)\]])")
-_LEX = re.compile(r"\\[a-zA-Z]+|</?[a-zA-Z][a-zA-Z0-9]*|&#?\w+;|\[\[|\]\]|'{2,}|={2,}|#{1,6}|\*+|`+|~+|\|-?|\$+|\{\||\{\{|\]\(|[<>\[\]{}()^_&!-]|\d+|[^\W\d_]+")
+_SPAN = re.compile(r"(`+)(?!`)(.+?)(?<!`)\1(?!`)")
+_CODE = re.compile(r"(<code\b[^<>]*>).*?(</code>|$)|(<pre\b[^<>]*>).*?(</pre>|$)", re.I)
 _OPEN = re.compile(r"<(/?)(pre|code|ul|ol|li|table|tr|td|th|blockquote|div|details|p|h[1-6])\b[^<>]*?(/?)>", re.I)
 _NESTING = frozenset("pre code ul ol table blockquote div details".split())
+_MARK = re.compile(r"\\[a-zA-Z]+\*?|\\.|<!--|</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>|<[a-z]+:[^\s<>]+>|&#?\w{2,10};|\d+[.)](?=\s)|([^\w\s.,;?!\"%/@“”‘’„…—–«»·€£¥©°±¿¡�()\x00-\x1f])\1*|(?<!\w)_+|_+(?!\w)|[_(](?=[{\[])|\]\(|\]\[|:\s*//|^\s*[;:]+")
+_PAIRED = frozenset(["*", "**", "***", "_", "__", "`", "~~", "$", "$$", "''", "'''", "'''''", "==", "|"])
+_TAG = re.compile(r"</?[a-zA-Z][a-zA-Z0-9]*(?:\s+[^<>]*)?/?>|<!--.*?-->|<!DOCTYPE[^>]*>", re.I)
 
 
 def leaves(text: str) -> list[tuple[str, str]]:
@@ -88,90 +87,90 @@ def leaves(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def forms(line: str, path: str) -> set[str]:
-    """The kinds of markup whose exact form the leaf shows."""
-    if path == "fence":
-        return set()
-    if path == "fence/edge":
-        return {"markdown"}
-    out = set()
-    if "pre" in path.split("/") or "code" in path.split("/"):
+def _class(c: str) -> str:
+    return "a" if c.isalpha() else "0" if c.isdigit() else " " if c.isspace() else c
+
+
+def marks(line: str, path: str) -> list[str]:
+    """The marks of a leaf as text."""
+    if "pre" in path or "code" in path:
         end = re.search(r"</(?:pre|code)>", line, re.I)
-        if not end:
-            return out
-        out.add("html")
-        line = line[end.end() :]
+        if path == "fence" or not end:
+            return []
+        line = line[end.start() :]
+    if path == "fence":
+        return []
     if "`" in line:
-        bare = _SPAN.sub(" ", line)
-        if bare != line:
-            out.add("markdown")
-        line = bare
-    if "<" in line and _CODE_TAG.search(line):
-        out.add("html")
-        line = re.sub(r"<(pre|code)\b[^<>]*>.*?(?:</\1>|$)", " ", line, flags=re.I)
-    if "<" in line and _TAG.search(line) or "&" in line and _ENTITY.search(line):
-        out.add("html")
-    if _WIKI.search(line):
-        out.add("wiki")
-    if ("\\" in line or "$" in line) and _LATEX.search(line):
-        out.add("latex")
-    text = _WIKI.sub(" ", line) if "wiki" in out else line
-    if _MARKDOWN.search(text):
-        out.add("markdown")
+        line = _SPAN.sub(lambda m: m.group(1) + "\x01" + m.group(1), line)
+    if "<" in line:
+        line = _CODE.sub(lambda m: (m.group(1) or m.group(3)) + (m.group(2) or m.group(4) or ""), line)
+    out, opened = [], {}
+    n = len(line)
+    for m in _MARK.finditer(line):
+        a, b = m.span()
+        t = m.group()
+        first = t[0]
+        left = "^" if a == 0 or line[:a].isspace() else _class(line[a - 1])
+        right = "$" if b >= n else _class(line[b])
+        if first == "<" and len(t) > 2:
+            name = re.match(r"</?[a-zA-Z0-9]+|<!--|<", t).group().lower()
+            out.append("<@>" if name == "<" or "://" in t[:12] else "<t>")
+            out.append(name)
+            out.append(left + "<")
+        elif first == "&" and len(t) > 2:
+            out += ["&;", t.lower()]
+        elif first == "\\" and len(t) > 1:
+            out += ["\\a" + right if t[1].isalpha() else t + right, left + t if right in "{[" else t, left + "\\a" + right]
+        elif first.isdigit():
+            out.append(left + "0" + t[-1])
+        else:
+            if len(t) > 6:
+                t = t[:6]
+            t = t.strip() or t
+            out.append(left + t + right)
+            out.append(t + right if left in "^ a0" else left + t)
+            if t in _PAIRED:
+                if t in opened and left not in " ^" and not (right.isalnum() and first != "|"):
+                    out.append("P" + t)
+                    out.append("P" + t + opened.pop(t)[0] + left)
+                elif right not in " $" and not left.isalnum() or t == "|" and left == "^":
+                    opened[t] = (right, len(out))
+    if "P$" in out:  # what stands between the dollars
+        out += ["in$" + c for c in set(re.findall(r"[\\^_={+<]", line[line.find("$") :]))]
     return out
 
 
-def role(line: str, path: str) -> str:
-    if path.startswith("fence") or "pre" in path or re.match(r"\s*<pre", line, re.I):
-        return "code"
-    s = line.strip()
-    if re.match(r"#{1,6}\s|={2,6}[^=]+={2,6}$|<h[1-6]\b", s, re.I) or re.match(r"\\(?:sub)*section", s):
-        return "heading"
-    if s.startswith("$$") or re.match(r"\\begin\{(?:equation|align)", s):
-        return "formula"
-    if re.match(r"\|.*\||\{\||\|[-}]|</?(?:table|tr|td)\b", s, re.I):
-        return "table"
-    if re.match(r"[-*+]\s|\d{1,3}[.)]\s|</?(?:li|ul|ol)\b|\\begin\{itemize", s, re.I) or "ul" in path.split("/"):
-        return "list"
-    if s.startswith(">") or re.match(r"<blockquote", s, re.I):
-        return "quote"
-    return "text"
-
-
 class _Ids(dict):
+    def __init__(self, cells: int):
+        self.cells = cells
+
     def __missing__(self, t: str) -> int:
-        i = self[t] = xxhash.xxh32_intdigest(t if t[0].isalnum() else "\x00" + t) % (TOKENS - 64) + 64
+        if len(self) > 300_000:
+            self.clear()
+        i = self[t] = xxhash.xxh32_intdigest(t) % self.cells
         return i
 
 
 class Features:
-    """Token ids of leaves; ids of tokens and of short leaves are kept."""
+    """Ids of the marks, words and paths of leaves; those of short leaves are kept."""
 
     def __init__(self) -> None:
-        self.ids = _Ids()
-        self.paths: dict[str, int] = {}
-        self.short: dict[str, list[int]] = {}
+        self.marks, self.words, self.paths = _Ids(MARKS - 32), _Ids(WORDS - 1), _Ids(PATHS)
+        self.short: dict[tuple[str, str], tuple[list[int], list[int]]] = {}
 
-    def of(self, line: str) -> list[int]:
-        known = self.short.get(line)
+    def of(self, line: str, path: str) -> tuple[list[int], list[int]]:
+        known = self.short.get((line, path))
         if known is not None:
             return known
-        if len(self.ids) > 400_000:
-            self.ids.clear()
-        out = list(map(self.ids.__getitem__, set(_LEX.findall(line.lower()))))
-        out.append(min(len(line) // 40, 15))  # length class
-        out.append(16 + min(len(line) - len(line.lstrip()), 7))  # indent
+        m = list(set(map(self.marks.__getitem__, marks(line, path))))
+        m.append(MARKS - 32 + min(len(line) // 20, 15))  # length class
+        m.append(MARKS - 16 + min(len(line) - len(line.lstrip()), 7))  # indent
+        w = list(set(map(self.words.__getitem__, line.lower().split()))) or [WORDS - 1]
         if len(line) <= 80:
             if len(self.short) > 100_000:
                 self.short.clear()
-            self.short[line] = out
-        return out
-
-    def path(self, path: str) -> int:
-        i = self.paths.get(path)
-        if i is None:
-            i = self.paths[path] = xxhash.xxh32_intdigest(path) % PATHS
-        return i
+            self.short[line, path] = (m, w)
+        return m, w
 
 
 def _sig(x: np.ndarray) -> np.ndarray:
@@ -181,21 +180,28 @@ def _sig(x: np.ndarray) -> np.ndarray:
 class Labeller:
     """Bidirectional LSTM over leaf vectors with two linear heads, trained by Adam on whole windows."""
 
-    def __init__(self, seed: int = 11):
+    def __init__(self, weights: dict[str, np.ndarray] | None = None, seed: int = 11):
+        if weights is not None:
+            self.w = weights
+            return
         r = np.random.default_rng(seed)
-        d, h = 2 * WIDTH, HIDDEN
+        d, h = 3 * WIDTH, HIDDEN
         f = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
+        e = lambda n: (0.2 * r.standard_normal((n, WIDTH))).astype(np.float32)
         self.w = {
-            "tok": (0.3 * r.standard_normal((TOKENS, WIDTH))).astype(np.float32), "path": (0.3 * r.standard_normal((PATHS, WIDTH))).astype(np.float32),
+            "mark": e(MARKS), "word": e(WORDS), "path": e(PATHS),
             "xf": f(d, 4 * h), "hf": f(h, 4 * h), "bf": np.zeros(4 * h, np.float32), "xb": f(d, 4 * h), "hb": f(h, 4 * h), "bb": np.zeros(4 * h, np.float32),
             "ok": f(2 * h + d, len(KINDS)), "bk": np.full(len(KINDS), -2, np.float32), "or": f(2 * h + d, len(ROLES)), "br": np.zeros(len(ROLES), np.float32),
         }
 
-    def inputs(self, tokens: list[list[int]], paths: list[int]) -> np.ndarray:
-        flat = np.fromiter(chain.from_iterable(tokens), np.int64)
-        size = np.array([len(t) for t in tokens])
-        starts = np.concatenate(([0], np.cumsum(size)[:-1]))
-        return np.hstack((np.add.reduceat(self.w["tok"][flat], starts) / np.sqrt(size)[:, None].astype(np.float32), self.w["path"][np.array(paths)]))
+    def inputs(self, tokens: list[tuple[list[int], list[int]]], paths: list[int]) -> np.ndarray:
+        both = []
+        for k, name in enumerate(("mark", "word")):
+            flat = np.fromiter(chain.from_iterable(t[k] for t in tokens), np.int64)
+            size = np.array([len(t[k]) for t in tokens])
+            total = np.add.reduceat(self.w[name][flat], np.concatenate(([0], np.cumsum(size)[:-1])))
+            both.append(total if k == 0 else total / size[:, None].astype(np.float32))
+        return np.hstack((*both, self.w["path"][np.array(paths)]))
 
     def _run(self, x: np.ndarray, mask: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
         """x: time, window, width; mask: time, window. Hidden states, zero where masked."""
@@ -241,14 +247,14 @@ class Labeller:
             dc = dcc * f + pass_c
         return dx
 
-    def train(self, docs: list[list[tuple[str, str]]], epochs: int = 8, rate: float = 0.02, batch: int = 48) -> None:
+    def train(self, docs: list[tuple[list[tuple[str, str]], np.ndarray, np.ndarray]], epochs: int = 8, rate: float = 0.01, batch: int = 48) -> None:
+        """docs: (leaves, kinds as 0 or 1, roles) of each document."""
         feats = Features()
         windows = []
-        for doc in docs:
+        for doc, kinds, roles in docs:
             for a in range(0, len(doc), WINDOW):
                 part = doc[a : a + WINDOW]
-                kinds = np.array([[k in forms(*leaf) for k in KINDS] for leaf in part], np.float32)
-                windows.append(([feats.of(line) for line, _ in part], [feats.path(p) for _, p in part], kinds, np.array([ROLES.index(role(*leaf)) for leaf in part])))
+                windows.append(([feats.of(*leaf) for leaf in part], [feats.paths[p] for _, p in part], kinds[a : a + WINDOW].astype(np.float32), roles[a : a + WINDOW]))
         r = np.random.default_rng(5)
         m1, m2, step = {}, {}, 0
         for _ in range(epochs):
@@ -256,7 +262,8 @@ class Labeller:
             groups = [windows[a : a + batch] for a in range(0, len(windows), batch)]
             for g in r.permutation(len(groups)):
                 step += 1
-                self._step(groups[g], m1, m2, step, rate * (0.3 if step > 0.7 * epochs * len(groups) else 1))
+                done = step / (epochs * len(groups))
+                self._step(groups[g], m1, m2, step, rate * (1 if done < 0.5 else 0.3 if done < 0.8 else 0.1))
 
     def _step(self, group: list, m1: dict, m2: dict, step: int, rate: float) -> None:
         tokens = [t for w in group for t in w[0]]
@@ -267,7 +274,7 @@ class Labeller:
         yk = np.zeros_like(lk)
         yk[put] = np.concatenate([w[2] for w in group])
         n = mask.sum()
-        weight = (1 + 4 * yk) * mask[..., None] / n  # rare kinds weigh more
+        weight = mask[..., None] / n
         dk = (_sig(lk) - yk) * weight
         e = np.exp(lr - lr.max(2, keepdims=True))
         dr = e / e.sum(2, keepdims=True)
@@ -283,9 +290,11 @@ class Labeller:
         h = HIDDEN
         dx = ds[..., 2 * h :] + self._back(kept["f"], ds[..., :h], x, "f", grad) + self._back(kept["b"], ds[..., h : 2 * h], x, "b", grad)
         dx = dx[put]
-        size = np.array([len(t) for t in tokens])
-        np.add.at(grad["tok"], np.fromiter(chain.from_iterable(tokens), np.int64), np.repeat(dx[:, :WIDTH] / np.sqrt(size)[:, None], size, axis=0))
-        np.add.at(grad["path"], paths, dx[:, WIDTH:])
+        for k, name in enumerate(("mark", "word")):
+            size = np.array([len(t[k]) for t in tokens])
+            part = dx[:, k * WIDTH : (k + 1) * WIDTH]
+            np.add.at(grad[name], np.fromiter(chain.from_iterable(t[k] for t in tokens), np.int64), np.repeat(part / (size[:, None] if k else 1), size, axis=0))
+        np.add.at(grad["path"], paths, dx[:, 2 * WIDTH :])
         for k, g in grad.items():
             g = np.clip(g, -1, 1)
             m1[k] = 0.9 * m1.get(k, 0) + 0.1 * g
@@ -300,7 +309,8 @@ class Labeller:
         for g in range(0, len(parts), 64):
             group = parts[g : g + 64]
             own = [docs[d][a : a + WINDOW] for d, a in group]
-            _, x, mask, put = _padded([len(w) for w in own], self.inputs([feats.of(line) for w in own for line, _ in w], [feats.path(p) for w in own for _, p in w]))
+            flat = [leaf for w in own for leaf in w]
+            _, x, mask, put = _padded([len(w) for w in own], self.inputs([feats.of(*leaf) for leaf in flat], [feats.paths[p] for _, p in flat]))
             lk, lr = self.logits(x, mask)
             pk, pr, at = _sig(lk[put]), lr[put].argmax(1), 0
             for (d, a), w in zip(group, own):
@@ -318,52 +328,40 @@ def _padded(sizes: list[int], flat: np.ndarray) -> tuple[int, np.ndarray, np.nda
     return t, x, mask, put
 
 
-def _share_bound(most: int, n: int) -> int:
-    """A hash below which about 1.3 times ``most`` of n hashes lie; the largest if n is not more."""
-    return -(1 << 63) + int((1 << 64) * (1.3 * most / n)) if n > 1.3 * most else (1 << 63) - 1
+def load_weights(path: str = WEIGHTS) -> dict[str, np.ndarray]:
+    with np.load(path) as f:
+        return {k: f[k].astype(np.float32) for k in f.files}
 
 
-def trained(texts: DataFrame) -> Labeller:
-    """A labeller fitted to at most TRAIN_DOCS texts, half of them with other marks than Markdown's, as far as there are such."""
-    hashed = texts.select("text", F.xxhash64("text").alias("h"), F.col("text").rlike(r"\[\[|'''|\\[a-zA-Z]+\{|\$\$|</[a-zA-Z]+>|~~~").alias("rich"))
-    # hashes are even, so the share that holds the wanted number of least ones is known from the counts
-    n = {r.rich: r["count"] for r in hashed.groupBy("rich").count().collect()}
-    most = TRAIN_DOCS // 2
-    least = F.when(F.col("rich"), F.lit(_share_bound(most, n.get(True, 0)))).otherwise(F.lit(_share_bound(most, n.get(False, 0))))
-    rows = hashed.where(F.col("h") <= least).toPandas().drop_duplicates("h").sort_values("h").groupby("rich").head(most)
-    labeller = Labeller()
-    docs = [d for t in rows.sort_values("h").text if (d := leaves(t))]
-    if docs:
-        labeller.train(docs)
-    return labeller
-
-
-def markup_kinds(records: DataFrame) -> DataFrame:
-    """(tab, rec_id, markup) of the records (tab, rec_id, text), one row per kind."""
-    sent = records.sparkSession.sparkContext.broadcast(trained(records).w)
+def _labelled(records: DataFrame, weights: dict[str, np.ndarray] | None, emit, schema: str) -> DataFrame:
+    """emit(ids, leaves and labels) for the records (tab, rec_id, text) in groups; one pass, no shuffle."""
+    sent = records.sparkSession.sparkContext.broadcast(weights or load_weights())  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller, feats = Labeller.__new__(Labeller), Features()
-        labeller.w = sent.value
+        labeller, feats = Labeller(sent.value), Features()
         for batch in batches:
             tabs, ids, texts = (c.to_pylist() for c in batch.columns)
             for a in range(0, len(ids), 256):
-                docs = [leaves(t) for t in texts[a : a + 256]]
-                rows = []
-                for k, (doc, (p, _)) in enumerate(zip(docs, labeller.label(docs, feats))):
-                    seen: dict[int, set[str]] = {}
-                    for j, kind in enumerate(KINDS):
-                        at = np.flatnonzero(p[:, j] > NOMINATE)
-                        for i in at[np.argsort(-p[at, j], kind="stable")].tolist():  # the likeliest leaf first
-                            if i not in seen:
-                                seen[i] = forms(*doc[i])
-                            if kind in seen[i]:
-                                rows.append((tabs[a + k], ids[a + k], kind))
-                                break
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string()))], names=["tab", "rec_id", "markup"])
-
-    return records.mapInArrow(run, "tab string, rec_id bigint, markup string")
+                docs = [leaves(t) if t else [] for t in texts[a : a + 256]]
+                got = emit(list(zip(tabs[a : a + 256], ids[a : a + 256], docs, labeller.label(docs, feats))))
+                if got is not None:
+                    yield got
+
+    return records.mapInArrow(run, schema)
+
+
+def _batch(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch | None:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types.values())], names=list(types)) if rows else None
+
+
+def markup_kinds(records: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
+    """(tab, rec_id, markup) of the records (tab, rec_id, text), one row per kind that a leaf carries by the network's judgement."""
+
+    def emit(group: list) -> pa.RecordBatch | None:
+        rows = [(tab, i, KINDS[k]) for tab, i, doc, (p, _) in group if doc for k in np.flatnonzero(p.max(axis=0) >= DECIDE)]
+        return _batch(rows, {"tab": pa.string(), "rec_id": pa.int64(), "markup": pa.string()})
+
+    return _labelled(records, weights, emit, "tab string, rec_id bigint, markup string")
 
 
 _INLINE = (
@@ -420,21 +418,14 @@ def clean_text(doc: list[tuple[str, str]], roles: np.ndarray) -> str:
     return "\n".join(out)
 
 
-def cleaned(records: DataFrame) -> DataFrame:
+def cleaned(records: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
     """(tab, rec_id, text, headings, lists, code, formulas) of the records, converted to clean text."""
-    sent = records.sparkSession.sparkContext.broadcast(trained(records).w)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller, feats = Labeller.__new__(Labeller), Features()
-        labeller.w = sent.value
-        for batch in batches:
-            tabs, ids, texts = (c.to_pylist() for c in batch.columns)
-            for a in range(0, len(ids), 256):
-                docs = [leaves(t) for t in texts[a : a + 256]]
-                rows = [(tabs[a + k], ids[a + k], clean_text(doc, r), *(int((r == ROLES.index(x)).sum()) for x in ("heading", "list", "code", "formula"))) for k, (doc, (_, r)) in enumerate(zip(docs, labeller.label(docs, feats)))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string(), *[pa.int32()] * 4))], names=["tab", "rec_id", "text", "headings", "lists", "code", "formulas"])
+    def emit(group: list) -> pa.RecordBatch | None:
+        rows = [(tab, i, clean_text(doc, r), *(int((r == ROLES.index(x)).sum()) for x in ("heading", "list", "code", "formula"))) for tab, i, doc, (_, r) in group]
+        return _batch(rows, {"tab": pa.string(), "rec_id": pa.int64(), "text": pa.string()} | dict.fromkeys(("headings", "lists", "code", "formulas"), pa.int32()))
 
-    return records.mapInArrow(run, "tab string, rec_id bigint, text string, headings int, lists int, code int, formulas int")
+    return _labelled(records, weights, emit, "tab string, rec_id bigint, text string, headings int, lists int, code int, formulas int")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,6 @@ import pytest
 
 from siltworks.llm import leakage, mainbody, mixing, mojibake, neardup, reading, residue, sitelines
 from siltworks.llm.graph import components
-from siltworks.llm.markup import Labeller, forms, leaves
 from siltworks.llm.sitelines import suffix_array
 
 WORD = re.compile(r"[^\W_]+")
@@ -299,22 +298,6 @@ def test_residue_verdicts(text, kinds):
     assert ",".join(residue._judged(residue.Judge(), "batch_item", text)) == kinds
 
 
-@pytest.mark.parametrize("line,path,want", [("# A", "", {"markdown"}), ("see [[X|y]]", "", {"wiki"}), ("\\begin{x} y", "", {"latex"}), ("a < b and c > d", "", set()), ("costs $9 in May and $9 in June", "", set()), ("C:\\temp\\new on it", "", set()), ("grid[9][9] = 9", "", set()), ("2 * 3 * 4 under max_page_count", "", set()), ("<p>x</p>", "", {"html"}), ("`<p>`", "", {"markdown"}), ("<p>x</p>", "fence", set()), ("|---|---|", "", {"markdown"}), ("'''A''' is ''b''", "", {"wiki"}), ("$x_{1} = \\frac{1}{2}$", "", {"latex"})])
-def test_markup_forms(line, path, want):
-    assert forms(line, path) == want
-
-
-def test_labeller_learns_all_kinds():
-    docs = [leaves("# T\n\nplain words here\n- item\n<p>x</p>\n[[W]] is\n\\emph{z} y\n```\ncode()\n```") for _ in range(30)]
-    lab = Labeller()
-    lab.train(docs, epochs=150)
-    from siltworks.llm.markup import Features
-
-    p, roles = lab.label(docs[:1], Features())[0]
-    want = np.array([[k in forms(*leaf) for k in ("html", "markdown", "wiki", "latex")] for leaf in docs[0]])
-    assert ((p > 0.5) == want).all()
-
-
 def test_reading_fit_on_held_out_labels():
     r = np.random.default_rng(4)
     level = r.integers(1, 6, 800)
