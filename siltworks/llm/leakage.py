@@ -1,19 +1,19 @@
 """Evaluation texts that leak into training text.
 
 1. Every run of five words of the test prompts is a possible seed. One scan of the corpus
-   finds where seeds occur; their document counts over the whole corpus say how rare each is.
-2. Of every window of ``min_run`` words of a prompt the rarest seed is kept. Any passage of
-   that length that a document shares with a prompt therefore holds a kept seed: nothing is
-   lost by leaving out the common ones.
-   This choice serves verbatim runs only (``p8_found``): an edited passage may lack just the
-   seeds that were kept.
-3. Documents and prompts that meet in a kept seed are aligned by Smith-Waterman over words;
-   the longest exact run within the aligned words decides verbatim leakage.
-4. For edited copies (``p8_alignments``) nothing is chosen: documents and prompts that meet in
-   any seed are aligned within the one scan, and the score tells copies from stock phrases.
-
-The prompts are the bounded side: at most ``MAX_ITEMS`` of them, counted before they are sent
-to the tasks. The corpus is neither shuffled as text nor shortened.
+   counts in how many documents each seed occurs.
+2. Of every window of ``min_run`` words of a prompt the rarest seed that occurs at all is kept.
+   A passage of that length that a document shares with a prompt holds every seed of some
+   window, so also the kept one: nothing is lost by leaving out the common ones. An edited
+   passage keeps the kept seed of a window wherever that seed was spared.
+3. A second scan finds the kept seeds, and where a document and a prompt meet in one, their
+   words are aligned by Smith-Waterman within the scan. The score decides: a verbatim run of n
+   words scores at least n matches, so lower scores are out; an exact check of the run follows.
+4. For edited copies (``alignments``) nothing is chosen: documents and prompts that meet in
+   any seed are aligned, and the score tells copies from stock phrases.
+
+The prompts are sent to the tasks in blocks of ``ITEM_BLOCK``, each block with scans of its own,
+so their number is free and what is sent is bounded. The corpus is never shuffled.
 
 Defined results: null and empty texts and prompts match nothing; prompts shorter than five
 words match nothing; items with equal passages are each reported; repeated documents are
@@ -22,7 +22,6 @@ each reported; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, table
+from ..session import table
 from .text import WordHasher, ngrams, words
 
 #: Words of a seed.
 SEED = 5
-#: Most test items (the side that is sent to every task).
-MAX_ITEMS = 100_000
+#: Test items that are sent to the tasks at a time.
+ITEM_BLOCK = 20_000
+#: Share of the best possible score from which an alignment is a copy, edited or not.
+COPY = 0.5
 #: Smith-Waterman over words: match, mismatch, gap.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words of the document around a seed that are aligned beyond the prompt's own length.
@@ -164,14 +165,20 @@ def _side_by_side(docs: list[np.ndarray], prompts: list[np.ndarray]) -> np.ndarr
     return out
 
 
-def _prompts(items: DataFrame, id_col: str, text_col: str) -> tuple[list[int], list[np.ndarray]]:
-    bounded = items.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    if bounded.count() > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} test items: align them in several calls")
-    hasher = WordHasher()
-    rows = [(r.id, hasher(words(r.text))) for r in bounded.orderBy("id").toLocalIterator()]
-    rows = [(i, w) for i, w in rows if len(w) >= SEED]
-    return [i for i, _ in rows], [w for _, w in rows]
+def _prompt_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """(ids, hashed words) of the prompts with a seed, ITEM_BLOCK at a time."""
+    rows = items.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    hasher, names, prompts = WordHasher(), [], []
+    for r in rows.orderBy("id").toLocalIterator():
+        ws = hasher(words(r.text))
+        if len(ws) >= SEED:
+            names.append(r.id)
+            prompts.append(ws)
+        if len(names) == ITEM_BLOCK:
+            yield names, prompts
+            names, prompts = [], []
+    if names:
+        yield names, prompts
 
 
 def _hashed_docs(batch: pa.RecordBatch, hasher: WordHasher) -> tuple[list[int], list[np.ndarray]]:
@@ -212,18 +219,21 @@ class _Seeds:
         return ids, hashed, np.unique(np.stack((owner[at[ok]], k[ok])), axis=1)
 
 
-def seed_hits(docs: DataFrame, seeds: np.ndarray) -> DataFrame:
-    """(id, seed): which of the sorted seeds occur in which document, one scan, no shuffle."""
+def seed_counts(docs: DataFrame, seeds: np.ndarray) -> np.ndarray:
+    """In how many documents (id, text) each of the sorted seeds occurs; one scan, partial counts."""
     sent = docs.sparkSession.sparkContext.broadcast(seeds.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _Seeds(np.frombuffer(sent.value, np.uint64))
+        find, total = _Seeds(np.frombuffer(sent.value, np.uint64)), np.zeros(len(sent.value) // 8, np.int64)
         for batch in batches:
-            ids, _, pairs = find(batch)
-            if pairs.shape[1]:
-                yield pa.record_batch([pa.array(np.array(ids, np.int64)[pairs[0]]), pa.array(pairs[1].astype(np.int32))], names=["id", "seed"])
+            total += np.bincount(find(batch)[2][1], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["seed", "n"])
 
-    return docs.mapInArrow(run, "id bigint, seed int")
+    counts = np.zeros(len(seeds), np.int64)
+    for r in docs.mapInArrow(run, "seed int, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).toLocalIterator():  # one row per seed at most
+        counts[r.seed] = r.n
+    return counts
 
 
 _ALIGNED = "id bigint, item bigint, score int, coverage double, run int, first_word int, last_word int"
@@ -274,24 +284,16 @@ class _Aligner:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32()))], names=["id", "item", "score", "coverage", "run", "first_word", "last_word"])
 
 
-def _read(corpus: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str) -> tuple[list[int], list[np.ndarray], DataFrame, list[np.ndarray], np.ndarray]:
-    """Item ids, their words, the documents (id, text), the items' seeds and all seeds in order."""
-    names, prompts = _prompts(items, item_id, item_text)
-    docs = corpus.select(F.col(doc_id).cast("bigint").alias("id"), F.col(doc_text).cast("string").alias("text")).where("id is not null and text is not null and text <> ''")
-    per_item = [ngrams(w, SEED) for w in prompts]
-    return names, prompts, docs, per_item, np.unique(np.concatenate(per_item)) if per_item else np.zeros(0, np.uint64)
-
-
-def alignments(corpus: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "prompt") -> DataFrame:
-    """(id, item, score, coverage, run, first_word, last_word) as in leaks, of every document and item that share any seed; one scan, no shuffle."""
-    names, prompts, docs, per_item, seeds = _read(corpus, items, doc_id, doc_text, item_id, item_text)
-    sent = corpus.sparkSession.sparkContext.broadcast((names, prompts, seeds))
+def _aligned(docs: DataFrame, names: list[int], prompts: list[np.ndarray], wanted: list[np.ndarray]) -> DataFrame:
+    """Alignments of the documents (id, text) with the prompts that they meet in one of the prompt's wanted seeds; one scan, no shuffle."""
+    seeds = np.unique(np.concatenate(wanted))
+    sent = docs.sparkSession.sparkContext.broadcast((names, prompts, wanted, seeds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names_, prompts_, known = sent.value
+        names_, prompts_, wanted_, known = sent.value
         find, align = _Seeds(known), _Aligner(names_, prompts_)
-        own = [np.searchsorted(known, np.unique(ngrams(w, SEED))) for w in prompts_]
-        seed, item = np.concatenate(own or [np.zeros(0, np.int64)]), np.repeat(np.arange(len(own)), [len(x) for x in own])
+        own = [np.searchsorted(known, w) for w in wanted_]
+        seed, item = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
         item = item[np.argsort(seed, kind="stable")]  # the items of a seed stand together
         size = np.bincount(seed, minlength=len(known))
         first = np.cumsum(size) - size
@@ -308,50 +310,58 @@ def alignments(corpus: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
     return docs.mapInArrow(run, _ALIGNED)
 
 
+def _rarest(grams: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
+    """Of every window of a prompt's seeds the rarest that occurs, ties by the seed itself."""
+    keep = set()
+    for a in range(max(1, len(grams) - window + 1)):
+        part, n = grams[a : a + window], counts[a : a + window]
+        part, n = part[n > 0], n[n > 0]
+        if len(part):
+            keep.add(part[np.lexsort((part, n))[0]])
+    return np.array(sorted(keep), np.uint64)
+
+
+def _over_blocks(corpus: DataFrame, items: DataFrame, names: tuple[str, str, str, str], window: int | None) -> DataFrame:
+    doc_id, doc_text, item_id, item_text = names
+    docs = corpus.select(F.col(doc_id).cast("bigint").alias("id"), F.col(doc_text).cast("string").alias("text")).where("id is not null and text is not null and text <> ''")
+    out = corpus.sparkSession.createDataFrame([], _ALIGNED)
+    for ids, prompts in _prompt_blocks(items, item_id, item_text):
+        grams = [ngrams(w, SEED) for w in prompts]
+        wanted = [np.unique(g) for g in grams]
+        if window is not None:
+            seeds = np.unique(np.concatenate(grams))
+            counts = seed_counts(docs, seeds)
+            wanted = [_rarest(g, counts[np.searchsorted(seeds, g)], window) for g in grams]
+        if any(map(len, wanted)):
+            out = out.union(_aligned(docs, ids, prompts, wanted))
+    return out
+
+
+def alignments(corpus: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "prompt") -> DataFrame:
+    """(id, item, score, coverage, run, first_word, last_word) as in leaks, of every document and item that share any seed."""
+    return _over_blocks(corpus, items, (doc_id, doc_text, item_id, item_text), None)
+
+
 def leaks(corpus: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "prompt", min_run: int = 12) -> DataFrame:
-    """(id, item, score, coverage, run, first_word, last_word) of every document and item that share a kept seed: lossless for runs of min_run words, not for edited copies.
+    """(id, item, score, coverage, run, first_word, last_word) of every document and item that share a kept seed.
 
-    score: best Smith-Waterman score; coverage: score over the prompt's best possible one;
-    run: longest exact common run in words.
+    Lossless for verbatim runs of min_run words: these have score >= MATCH * min_run and
+    run >= min_run. score: best Smith-Waterman score; coverage: score over the prompt's best
+    possible one; run: longest exact common run in words.
     """
-    spark = corpus.sparkSession
-    names, prompts, docs, per_item, seeds = _read(corpus, items, doc_id, doc_text, item_id, item_text)
-    hits = checkpointed(seed_hits(docs, seeds))
-    counts = np.zeros(len(seeds), np.int64)
-    for r in hits.groupBy("seed").count().toLocalIterator():  # one row per seed at most
-        counts[r["seed"]] = r["count"]
-    # the rarest seed of every window
-    of_seed: dict[int, set[int]] = defaultdict(set)
-    window = max(1, min_run - SEED + 1)
-    for k, grams in enumerate(per_item):
-        at = np.searchsorted(seeds, grams)
-        for a in range(max(1, len(at) - window + 1)):
-            part = at[a : a + window]
-            of_seed[int(part[np.lexsort((part, counts[part]))[0]])].add(k)
-    rows = [(s, k) for s, ks in sorted(of_seed.items()) for k in sorted(ks)]
-    kept = spark.createDataFrame(rows or [(-1, -1)], "seed int, k int")
-    pairs = hits.join(F.broadcast(kept), "seed").select("id", "k").distinct()
-    wanted = pairs.groupBy("id").agg(F.collect_list("k").alias("ks"))
-    sent = spark.sparkContext.broadcast((names, prompts))
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, hasher = _Aligner(*sent.value), WordHasher()
-        for batch in batches:
-            yield from aligner((i, hasher(words(text)), sorted(set(ks))) for i, text, ks in zip(*(c.to_pylist() for c in batch.columns)))
-
-    return docs.join(wanted, "id").select("id", "text", "ks").mapInArrow(align, _ALIGNED)
+    return _over_blocks(corpus, items, (doc_id, doc_text, item_id, item_text), max(1, min_run - SEED + 1))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with at least 12 consecutive words of a test prompt, and the items."""
-    got = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
-    return got.where("run >= 12").select(F.col("id").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+    got = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), min_run=12)
+    return got.where((F.col("score") >= 12 * MATCH) & (F.col("run") >= 12)).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id")).distinct()
 
 
 def p8_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignment of every document and item that share any run of five words, edited copies included."""
+    """Alignment of every document and item that share any run of five words; copy: by its score it is a copy, edited or not."""
     got = alignments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
-    return got.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "score", F.round("coverage", 4).alias("coverage"), "run", "first_word", "last_word")
+    return got.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "score", F.round("coverage", 4).alias("coverage"), (F.col("coverage") >= COPY).alias("copy"), "run", "first_word", "last_word")
 
 
 SQL = {

@@ -210,6 +210,29 @@ def test_edited_copies_are_aligned_by_any_seed(spark, tmp_path):
     assert (got[1, 7].score, got[1, 7].run, got[1, 7].first_word, got[1, 7].last_word) == (2 * 42 - 5, 7, 60, 60 + 47)
 
 
+@pytest.mark.parametrize("every", [6, 12])
+def test_recall_of_edited_copies(spark, every):
+    r = random.Random(every)
+    w = [f"w{i}" for i in range(4000)]
+    prompts = [(i, " ".join(r.choices(w, k=40))) for i in range(50)]
+    docs = []
+    for i, p in prompts:
+        ws = [f"edit{r.randrange(10**6)}" if k % every == every - 1 else x for k, x in enumerate(p.split())]
+        docs.append((i, " ".join([*r.choices(w, k=30), *ws, *r.choices(w, k=30)])))
+    got = leakage.alignments(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(prompts, "item_id bigint, prompt string")).where(f"coverage >= {leakage.COPY}").collect()
+    found = {(x.id, x.item) for x in got}
+    assert found <= {(i, i) for i in range(50)} and len(found) >= 45
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "ITEM_BLOCK", 3)
+    r = random.Random(1)
+    prompts = [(i, " ".join(r.choices([f"w{k}" for k in range(300)], k=20))) for i in range(8)]
+    docs = spark.createDataFrame([(i, f"and so {p} it goes") for i, p in prompts], "doc_id bigint, text string")
+    got = leakage.leaks(docs, spark.createDataFrame(prompts, "item_id bigint, prompt string")).where("run >= 12")
+    assert {(x.id, x.item) for x in got.collect()} == {(i, i) for i in range(8)}
+
+
 def test_leaks_against_all_windows(spark):
     r = random.Random(9)
     w = [f"w{i}" for i in range(40)]
