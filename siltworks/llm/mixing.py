@@ -6,63 +6,65 @@ its weighted sample. A source with T tokens and budget B is taken whole floor(B
 most max_repeats times, and of the rest of the budget the documents in key order whose running
 token sum stays within it.
 
-Running sums without one task per source: keys map monotonically onto ``BINS`` bins; token sums
-per source and bin (a table of bounded size) give each bin's start; only the bin in which the
-budget ends is ordered by row, after further splits while it holds more than ``BIN_ROWS``.
+Running sums without one task per source: keys fall into bins of their logarithm, so a bin holds
+a small share of a source whatever its weights are. Token sums per source and bin (a table of
+bounded size) say in which bin the budget ends. That bin is split evenly between its least and
+greatest key, again and again, until it holds at most ``BIN_ROWS`` rows; only these are ordered
+by row. What reaches the driver is one row per source of the targets and split.
 
 Defined results: null and empty texts have 0 tokens and never enter the mix; documents with a
 null source or a source without a target are left out; sources of the targets without
-documents get share 0; equal keys are ordered by id; quality weights that are null or not
-positive count as the least weight.
+documents get share 0; equal keys are ordered by id (rows of one id have one key and stay in
+one bin); quality weights that are null or not positive count as the least weight.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, table
 
-#: Where the public tokenizers lie, and which one counts tokens.
+#: Where the public tokenizers lie, and which one counts tokens; read on the driver only.
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
-BINS = 1024
-#: Rows of the last bin that one task orders.
+#: The pattern by which that tokenizer splits text before its merges; a fixed value of the public tokenizer.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Bins of a doubling of the key; parts of a split.
+LOG_BINS, PARTS = 64, 1024
+#: Rows of the last bin of a source that one task orders.
 BIN_ROWS = 200_000
 LEAST_WEIGHT = 0.05
 
 
-def _encoding(folder: str, name: str):
-    import importlib.util
-    import os
-
+def _encoding(ranks: bytes):
     import tiktoken
 
-    spec = importlib.util.spec_from_file_location("public_tokenizers_at", os.path.join(folder, "__init__.py"))
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
-    with open(os.path.join(folder, name), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("siltworks", pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("siltworks", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, special_tokens={})
 
 
-_LOADED: dict[tuple[str, str], object] = {}
+_LOADED: dict[int, object] = {}
 
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, source_col: str, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
     """(id, source, tokens, weight): size of each document in tokens, and its quality weight.
 
     The weight falls with the share of characters that are neither letters nor spaces and with
-    repeated lines; whole texts are read.
+    repeated lines; whole texts are read. The vocabulary file is read here and sent to the tasks.
     """
+    with open(os.path.join(folder, name), "rb") as f:
+        sent = df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary, of fixed size
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text")).where("id is not null and source is not null and text is not null and text <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _LOADED.get((folder, name)) or _LOADED.setdefault((folder, name), _encoding(folder, name))
+        ranks = sent.value
+        key = xxhash.xxh3_64_intdigest(ranks)
+        enc = _LOADED.get(key) or _LOADED.setdefault(key, _encoding(ranks))
         for batch in batches:
             texts = batch.column(2).to_pylist()
             n = [len(enc.encode_ordinary(t)) for t in texts]
@@ -89,30 +91,24 @@ def mixture(sized: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     weight = F.greatest(F.coalesce("weight", F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT))
     u = (F.xxhash64(F.lit(7), "id").bitwiseAND(F.lit((1 << 53) - 1)).cast("double") + 0.5) / float(1 << 53)
     keyed = checkpointed(sized.where("tokens > 0").select("id", "source", "tokens", (-F.log(u) / weight).alias("key")))
-    # 1 - exp(-key) spreads keys of unit weight evenly and is monotone for all
-    even = 1 - F.exp(-F.col("key"))
-    keyed = keyed.withColumn("bin", F.least(F.floor(even * BINS).cast("int"), F.lit(BINS - 1)))
-    per_bin = keyed.groupBy("source", "bin").agg(F.sum("tokens").alias("t"), F.count("*").alias("rows"))
-    have = per_bin.groupBy("source").agg(F.sum("t").alias("available"))
+    binned = _sums(keyed, F.floor(F.log2("key") * LOG_BINS))
+    binned = checkpointed(binned)  # some thousand rows per source
+    have = binned.groupBy("source").agg(F.sum("t").alias("available"))
     goal = goal.join(have, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
     whole = F.lit(float(total_tokens)) if total_tokens is not None else F.coalesce(F.min(F.when(F.col("available") > 0, F.col("available") * F.col("max_repeats") / F.col("target_share"))).over(Window.partitionBy(F.lit(1))), F.lit(0.0))
     goal = goal.withColumn("budget", F.least(F.floor(whole * F.col("target_share") + 1e-6), F.col("available") * F.col("max_repeats"))).withColumn("epochs", F.when(F.col("available") > 0, F.floor(F.col("budget") / F.col("available"))).otherwise(0).cast("int")).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("available"))
     goal = checkpointed(goal)  # one row per source of the targets
-    before = F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = per_bin.withColumn("before", before).join(F.broadcast(goal.select("source", "epochs", "rest")), "source")
-    placed = keyed.join(F.broadcast(starts.select("source", "bin", "before", "rest", "epochs", "t", "rows")), ["source", "bin"])
-    inside = placed.where(F.col("before") + F.col("t") <= F.col("rest")).select("id", "source", "tokens", (F.col("epochs") + 1).alias("copies"))
-    outside = placed.where(F.col("before") >= F.col("rest")).where("epochs > 0").select("id", "source", "tokens", F.col("epochs").alias("copies"))
-    edge = placed.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("t") > F.col("rest")))
-    # the last bin of each source, split again by even steps of its rows' keys where it is large
-    parts = F.greatest(F.lit(1), F.ceil(F.col("rows") / BIN_ROWS)).cast("int")
-    edge = edge.withColumn("sub", F.least(F.floor((even * BINS - F.col("bin")) * parts).cast("int"), parts - 1))
-    sub = edge.groupBy("source", "sub").agg(F.sum("tokens").alias("st")).withColumn("sub_before", F.coalesce(F.sum("st").over(Window.partitionBy("source").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ordered = edge.join(sub, ["source", "sub"]).withColumn("running", F.col("before") + F.col("sub_before") + F.sum("tokens").over(Window.partitionBy("source", "sub").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, 0)))
+    cuts = keyed.sparkSession.createDataFrame(edge_bins(keyed, binned, goal) or [("", 1.0, 0.0, 0, 0)], _CUT)
+    cuts = goal.select("source", "epochs", "rest", "available").join(cuts, "source", "left")
+    placed = keyed.join(F.broadcast(cuts), "source")  # one row per source of the targets
+    inside = placed.where("key < lo").select("id", "source", "tokens", (F.col("epochs") + 1).alias("copies"))
+    outside = placed.where("lo is null or key > hi").where("epochs > 0").select("id", "source", "tokens", F.col("epochs").alias("copies"))
+    edge = placed.where("key between lo and hi")
+    ordered = edge.withColumn("running", F.col("before") + F.sum("tokens").over(Window.partitionBy("source").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, 0)))
     last = ordered.withColumn("copies", F.col("epochs") + (F.col("running") <= F.col("rest")).cast("int")).where("copies > 0").select("id", "source", "tokens", "copies")
     chosen = inside.unionByName(outside).unionByName(last)
     taken = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("taken"), F.count("*").alias("docs"), F.sum("copies").alias("rows_out"), F.max("copies").alias("most_copies"))
-    report = goal.join(F.broadcast(taken), "source", "left").select(
+    report = goal.join(taken, "source", "left").select(
         "source", "target_share", "max_repeats", "available", "budget", "epochs",
         F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("rows_out", F.lit(0)).alias("rows_out"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
     )
@@ -120,6 +116,38 @@ def mixture(sized: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     return chosen, report
 
 
+_CUT = "source string, lo double, hi double, before bigint, rows bigint"
+
+
+def _sums(keyed: DataFrame, part) -> DataFrame:
+    """(source, bin, t, rows, lo, hi): tokens, rows, least and greatest key of each part."""
+    return keyed.groupBy("source", part.alias("bin")).agg(F.sum("tokens").alias("t"), F.count("*").alias("rows"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+
+
+def _ending(sums: DataFrame, goal: DataFrame) -> DataFrame:
+    """Of each source the part in which its rest ends, with the tokens before it; sums has a column start."""
+    before = F.col("start") + F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sums.withColumn("before", before).join(goal.select("source", "rest"), "source").where("before <= rest and before + t > rest").select("source", "lo", "hi", "before", "rows")
+
+
+def edge_bins(keyed: DataFrame, binned: DataFrame, goal: DataFrame) -> list[tuple]:
+    """(source, lo, hi, before, rows): of each source the keys among which its rest ends, split until they are BIN_ROWS rows or one key.
+
+    Sources of which nothing or all is left over have a bin as well: its first row that exceeds the rest ends them.
+    """
+    spark = keyed.sparkSession
+    cuts = {r.source: tuple(r) for r in _ending(binned.withColumn("start", F.lit(0)), goal).collect()}  # one row per source
+    tried: set[tuple] = set()
+    while large := [c for c in cuts.values() if c[4] > BIN_ROWS and c[1] < c[2] and c not in tried]:
+        tried |= set(large)
+        frame = spark.createDataFrame(large, _CUT).select("source", F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("before").alias("start"))
+        rows = keyed.join(F.broadcast(frame), "source").where("key between a and b")
+        part = F.least(F.floor((F.col("key") - F.col("a")) / (F.col("b") - F.col("a")) * PARTS), F.lit(PARTS - 1))
+        sums = rows.groupBy("source", "start", part.alias("bin")).agg(F.sum("tokens").alias("t"), F.count("*").alias("rows"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        cuts |= {r.source: tuple(r) for r in _ending(sums, goal).collect()}
+    return list(cuts.values())
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     sized = token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
     return mixture(sized, table(spark, sf_dir, "mix_target"))

@@ -276,14 +276,41 @@ def test_mixture_meets_budgets_and_caps(spark):
     assert max(r.copies for r in whole.collect()) <= 3
 
 
-def test_running_sums_over_split_bins(spark, monkeypatch):
+@pytest.mark.parametrize("weights", [[1.0], [0.05], [1.0, 0.05, 0.3]])
+def test_running_sums_over_split_bins(spark, monkeypatch, weights):
     monkeypatch.setattr(mixing, "BIN_ROWS", 3)
-    monkeypatch.setattr(mixing, "BINS", 4)
-    rows = [(i, "a", 5, 1.0) for i in range(200)]
+    monkeypatch.setattr(mixing, "PARTS", 4)
+    rows = [(i, "ab"[i % 3 == 0], 1 + i % 7, weights[i % len(weights)]) for i in range(400)]
     sized = spark.createDataFrame(rows, "id bigint, source string, tokens bigint, weight double")
-    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
-    chosen, report = mixing.mixture(sized, targets, 403)
-    assert chosen.count() == 80 and report.first().taken == 400
+    targets = spark.createDataFrame([("a", 0.6, 1), ("b", 0.4, 2)], "source string, target_share double, max_repeats int")
+    chosen, report = mixing.mixture(sized, targets, 900)
+    got = defaultdict(dict)
+    for r in chosen.collect():
+        got[r.source][r.id] = r.copies
+    keys = {r.id: r.key for r in sized.selectExpr("id", "-ln(((xxhash64(7, id) & 9007199254740991) + 0.5D) / 9007199254740992D) / greatest(weight, 0.05D) as key").collect()}
+    for r in report.collect():
+        want, left = {}, r.budget - r.epochs * r.available
+        for i, source, tokens, _ in sorted(rows, key=lambda x: keys[x[0]]):
+            if source == r.source:
+                left -= tokens
+                if r.epochs + (left >= 0):
+                    want[i] = r.epochs + (left >= 0)
+        assert got[r.source] == want
+
+
+@pytest.mark.parametrize("weight", [1.0, 0.05])
+def test_no_bin_is_hot(spark, weight):
+    keyed = spark.range(1_000_000).selectExpr("id", "'s' as source", "5L as tokens", f"-ln(((xxhash64(7, id) & 9007199254740991) + 0.5D) / 9007199254740992D) / {weight} as key")
+    mixing_rows = 2_000
+    goal = spark.createDataFrame([("s", 2_345_678)], "source string, rest bigint")
+    old, mixing.BIN_ROWS = mixing.BIN_ROWS, mixing_rows
+    try:
+        binned = mixing._sums(keyed, mixing.F.floor(mixing.F.log2("key") * mixing.LOG_BINS))
+        assert binned.agg({"rows": "max"}).first()[0] < 10_000
+        ((_, lo, hi, before, rows),) = mixing.edge_bins(keyed, binned, goal)
+    finally:
+        mixing.BIN_ROWS = old
+    assert rows <= mixing_rows and before <= 2_345_678 < before + 5 * rows and before == 5 * keyed.where(f"key < {lo!r}").count()
 
 
 def test_repair_round_trip():
