@@ -1,7 +1,9 @@
 """Words by which pages mark what is not their own text, in six languages.
 
-Patterns work on a block's text folded to lower case with single spaces (``plain``). Every
-pattern describes a whole block, not a part of a sentence.
+A cue is a short block dominated by stems of one kind: the stems are general (a verb of
+sharing, a word for cookies, a word for rights), whole sentences are not listed. Length does
+not switch a cue off: what counts is how dense the stems are among the words of the block.
+A cue alone removes nothing; ``mainbody`` asks for repetition as well.
 """
 
 from __future__ import annotations
@@ -13,94 +15,59 @@ import ahocorasick
 from .mojibake import _RUN, WRONG, _utf8
 
 SHARE, BYLINE, CONSENT, LEGAL, SIDE, COMMENTS = range(1, 7)
-_DATE = r"(?:\d{1,4}[-./]\d{1,2}[-./]\d{2,4}|\d{1,2}\.? \w+ \d{4}|\w+ \d{1,2}, \d{4})"
-_WHO = r"[^\d|·,.]{3,60}?"
-_SITE = r"[^.,:;!?]{2,60}?"
-_END = r"[.!]?$"
-
-_PATTERNS: dict[int, tuple[str, ...]] = {
-    SHARE: (
-        r"(?:liked it\? )?send this page to a friend" + _END,
-        r"share (?:this|the) (?:article|page|post|story)(?: \(\d+\))?" + _END,
-        r"share on your favou?rite network(?: \(\d+ shares?\))?" + _END,
-        r"print(?: · e-?mail)?(?: · copy link)" + _END,
-        r"follow " + _SITE + r"(?: for more stories like this)" + _END,
-        r"(?:beitrag|artikel|seite) teilen(?: \(\d+\))?" + _END,
-        r"seite drucken · link kopieren" + _END,
-        r"folgen sie " + _SITE + _END,
-        r"partager (?:l[’']article|la page|cet article)(?: \(\d+\))?" + _END,
-        r"imprimer · copier le lien" + _END,
-        r"suivez " + _SITE + _END,
-        r"(?:compartir|partilhar) (?:el|o) (?:artículo|artigo)(?: \(\d+\))?" + _END,
-        r"imprimir · copiar (?:enlace|ligação)" + _END,
-        r"sigue a " + _SITE + _END,
-        r"segue " + _SITE + _END,
-        r"поделиться статьёй(?: \(\d+\))?" + _END,
-        r"печать · копировать ссылку" + _END,
-        r"читайте (?!также)[^\s.,]+(?: web)?" + _END,
-    ),
-    BYLINE: (
-        r"(?:by|von|par|por|written by|posted by) " + _WHO + r",? (?:le |el |em |am )?" + _DATE + _END,
-        r"(?:written by|verfasst von|publié par|escrito por|автор:) " + _WHO + r",?(?: ·| am| el| em| le)?(?: updated)? ?" + _DATE + _END,
-        _WHO + r" \| " + _DATE + r" \| \d+ min read" + _END,
-        _WHO + r" · " + _DATE + _END,
-    ),
-    CONSENT: (
-        r"we use cookies to keep this site running\. read the cookie policy of " + _SITE + _END,
-        r"your privacy matters at " + _SITE + r": choose which trackers you allow" + _END,
-        r"by browsing " + _SITE + r" you agree that we and our partners may set cookies" + _END,
-        _SITE + r" stores small files on your device to remember your choices\. accept all or manage settings" + _END,
-        _SITE + r" verwendet cookies, um ihr erlebnis zu verbessern\..{0,60}",
-        r"für den betrieb von " + _SITE + r" sind cookies nötig\. einstellungen öffnen" + _END,
-        _SITE + r" utilise des témoins de connexion\. accepter ou paramétrer" + _END,
-        r"vos préférences sont gérées par " + _SITE + r"\. tout accepter" + _END,
-        r"al continuar en " + _SITE + r" aceptas el uso de cookies" + _END,
-        _SITE + r" utiliza cookies (?:propias y de terceros|para melhorar a navegação)\..{0,60}",
-        r"gerir as opções de privacidade de " + _SITE + _END,
-        _SITE + r" использует файлы куки\. принять все или настроить" + _END,
-        r"продолжая чтение " + _SITE + r", вы соглашаетесь с правилами" + _END,
-        r"[^.]{0,120}\bcookies?\b[^.]{0,120}\.? ?(?:accept|agree|allow|akzeptieren|accepter|aceptar|aceitar)[^.]{0,60}" + _END,
-        r"(?:ok|accept(?: all)?)$",
-    ),
-    LEGAL: (
-        r"(?:©|\(c\)) ?\d{4} " + _SITE + r"\.? (?:all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|todos os direitos reservados|все права защищены)" + _END,
-        r"copyright \d{4} " + _SITE + r" — reproduction without permission is not allowed" + _END,
-        _SITE + r" is a registered imprint\. content may not be republished" + _END,
-        r"this material was prepared by " + _SITE + r" and is offered without warranty of any kind" + _END,
-        r"terms of use · privacy · imprint(?: · " + _SITE + r")?(?: \d{4})?" + _END,
-        r"impressum · datenschutz · agb(?: · " + _SITE + r")?" + _END,
-        r"nachdruck nur mit genehmigung der " + _SITE + r" redaktion" + _END,
-        r"mentions légales · confidentialité(?: · " + _SITE + r")?" + _END,
-        r"reproduction interdite sans l[’']accord de " + _SITE + _END,
-        r"aviso legal · privacidad(?: · " + _SITE + r")?" + _END,
-        r"prohibida la reproducción sin permiso de " + _SITE + _END,
-        r"termos · privacidade(?: · " + _SITE + r")?" + _END,
-        r"é proibida a reprodução sem autorização de " + _SITE + _END,
-        r"правила · конфиденциальность(?: · " + _SITE + r")?" + _END,
-        r"перепечатка без согласия " + _SITE + r" запрещена" + _END,
-    ),
-    SIDE: (
-        r"(?:you may also like|most read this week|sponsored stories|advertisement|related (?:stories|articles))" + _END,
-        r"sign up for the weekly letter from " + _SITE + _END,
-        r"(?:meistgelesen|das könnte sie interessieren|anzeige|werbung)" + _END,
-        r"(?:les plus lus|à lire également|publicité)" + _END,
-        r"(?:también te puede interesar|lo más leído|publicidad)" + _END,
-        r"(?:mais lidas|veja também|publicidade)" + _END,
-        r"(?:читайте также|самое читаемое|реклама)" + _END,
-    ),
-    COMMENTS: (r"\d+ (?:comments?|kommentare?|commentaires?|comentarios?|comentários?|комментари(?:й|я|ев))" + _END,),
-}
-_COMPILED = [(kind, re.compile("|".join(f"(?:{p})" for p in patterns))) for kind, patterns in _PATTERNS.items()]
-#: A word of every pattern of more than a name and a date; the automaton rules out blocks without any.
-_ROOTS = (
-    "friend share network print follow teilen drucken folgen partager imprimer suivez compartir partilhar imprimir sigue segue поделиться печать читайте "
-    "· by von par por verfasst publié escrito автор min·read cookie privacy trackers stores·small témoins préférences privacidade куки соглашаетесь ok accept "
-    "© copyright (c) imprint warranty terms impressum nachdruck mentions reproduction aviso reproducción termos reprodução правила перепечатка "
-    "also most·read sponsored advertisement related sign·up meistgelesen interessieren anzeige werbung lus également publicité interesar leído publicidad lidas também самое реклама "
-    "comment kommentar comentári комментари"
+
+# Stems; a leading blank means that a word starts with it, a trailing one that it ends there.
+_SHARE = (
+    " share |sharing| tweet| pin it| whatsapp| facebook| telegram| linkedin|e-mail |email | print | printer|copy link|copy url|send this|to a friend|tell a friend| follow | like us"
+    "| teilen| drucken |weitersagen|link kopieren| folgen sie| folge | partage|imprimer|copier le lien| suivez| suivre |envoyer à"
+    "| compartir| comparte|imprimir|copiar enlace|copiar el enlace| sigue | síguenos| seguir | partilh| compartilh|copiar ligação|copiar link| segue | siga |поделит|печать|копировать|скопировать|подписывайтесь на | читайте | следите за"
+)
+_DATA = (
+    " cookie|cookies | tracker| tracking|privacy| consent|personal data|small files| datenschutz | datenschutzerklärung| datenschutzhinweis| einwilligung|témoins|traceur|confidentialité|vie privée|préférences|privacidad|privacidade|consentim|rastre|куки|cookie-|конфиденциальн|персональных данн"
+)
+_CHOICE = (
+    " accept| agree| allow| decline| reject| manage| settings| preferences| policy| learn more| we use| uses | use of | choose| partners| improve| required| remember|akzeptier|zustimm|ablehn|einstellung| verwend| nutzt | nutzen | nötig| erforderlich| verbesser"
+    "|accepter|refuser|paramétr|utilis|gérer|gérées|choix|améliorer|acept|rechaz|ajust|utiliza|uso de|configur|mejorar|aceit|recus|gerir|opções|melhorar|принять|принима|настро|использ|соглаша|правил|отклон"
+)
+_RIGHTS = (
+    "©|copyright|rights reserved|rechte vorbehalten|droits réservés|derechos reservados|direitos reservados|права защищены|imprint|impressum|terms | terms|conditions|legal | disclaimer|privacy| datenschutz | datenschutzerklärung| datenschutzhinweis| agb |nutzungsbeding|mentions légales|confidentialité|conditions générales|aviso legal|términos|privacidad|termos|privacidade|правила|конфиденциальност|условия"
+    "|reproduc|republish|redistribut|nachdruck|vervielfält|reprodução|перепечат|воспроизвед|permission|genehmigung|autorisation|accord de|autorización|permiso|autorização|согласия|разрешен|prohibit|interdit|prohibid|proibid|запрещ|without warranty|no warranty|warrant|as is |of any kind|liability|gewähr|haftung|garantie|responsab|garantía|garantia|гаранти|ответственност|all rights|without permission|trademark|registered"
+)
+_SIDE = (
+    "also like|also read|read also|read more|more from|more stories|related |most read|most popular| popular|trending|recommended|editor’s pick|editor's pick|sponsored|advertis|promoted|our newsletter|the newsletter|weekly letter|sign up|subscribe to|subscribe for|in your inbox"
+    "|auch interessant|interessieren|lesen sie auch|mehr zum thema|meistgelesen|beliebt|empfohlen|anzeige|werbung|abonnier|rundbrief|plus lus|lire aussi|lire également|à découvrir|recommandé|sponsoris|publicité|abonnez|infolettre"
+    "|te puede interesar|también te|más leíd|más vist|lea también|relacionad|recomendad|patrocin|publicidad|suscríb|boletín|mais lid|mais vist|veja também|leia também|publicidade|assine|boletim|читайте также|самое читаем|популярн|рекоменду|по теме|реклама|спонсор|рассылк|подпи"
 )
+_TALK = " comment| comments| kommentar| commentaire| comentario| comentário| комментари| repl| antwort| réponse| respuesta| resposta| ответ"
+_BY = " by | von | par | por | автор| written by| posted by| verfasst| publié par| escrito"
+
+_KINDS = {"s": _SHARE, "d": _DATA, "c": _CHOICE, "r": _RIGHTS, "x": _SIDE, "t": _TALK, "b": _BY}
+
+
+def _automaton() -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    of: dict[str, str] = {}
+    for kind, stems in _KINDS.items():
+        for stem in stems.split("|"):
+            of[stem] = of.get(stem, "") + kind
+    for stem, kinds in of.items():
+        a.add_word(stem, (kinds, len(stem)))
+    a.make_automaton()
+    return a
+
+
+_STEMS = _automaton()
+_DATE = r"(?:\d{1,4}[-./]\d{1,2}[-./]\d{2,4}|\d{1,2}\.? (?:de )?[^\W\d]+\.? (?:de )?\d{4}|[^\W\d]+\.? \d{1,2}, \d{4})"
+_NAME = r"[^\d|·,.:;!?]{3,60}?"
+_BYLINE = re.compile(
+    rf"(?:by|von|par|por|автор:?|written by|posted by|verfasst von|publié par|escrito por) {_NAME},? ?[·|]? ?(?:updated |am |le |el |em |on )?(?:{_DATE})?(?: ?[·|] ?\d+ min(?:\.|utes)?(?: read)?)?|{_NAME} [|·] {_DATE}(?: [|·] \d+ min(?:\.|utes)?(?: read)?)?"
+)
+_YEAR = re.compile(r"(?:©|\(c\)|copyright) ?(?:\d{4}|[^\W\d])")
+_COUNTED = re.compile(r"\d+ [^\W\d]+|[^\W\d]+ \(\d+\)")
+_BLANK = re.compile(r"[,.:;!?()\[\]·|“”„«»\"/]")
 _EDGE = re.compile(r"^[\s*_»>#-]+|[\s*_»]+$")
 _FOLD = re.compile(r"\s+")
+_SENTENCE = re.compile(r"[.!?…](?:\s|$)")
 
 
 def plain(text: str) -> str:
@@ -120,22 +87,49 @@ def mended(text: str) -> str:
     return text.replace("�", "·")
 
 
-def roots() -> list[str]:
-    return [w if w == "·" else w.replace("·", " ") for w in _ROOTS.split()]
-
-
-_GATE = ahocorasick.Automaton()
-for _w in roots():
-    _GATE.add_word(_w, 1)
-_GATE.make_automaton()
-
-
 def cue(text: str) -> int:
     """The kind of a block of plain text, 0 if none."""
-    if len(text) > 160 or next(_GATE.iter(text), None) is None:
-        return 0
-    for kind, pattern in _COMPILED:
-        m = pattern.match(text)
-        if m and m.end() == len(text):
-            return kind
+    padded = _BLANK.sub(" ", f" {text} ")
+    found: dict[str, list[tuple[int, int]]] = {}
+    for end, (kinds, n) in _STEMS.iter(padded):
+        for k in kinds:
+            found.setdefault(k, []).append((end - n + 1, n))
+    words = text.count(" ") + 1
+    if not found:
+        return BYLINE if words <= 12 and _BYLINE.fullmatch(text) else 0
+    size = {k: sum(n for _, n in _apart(v)) for k, v in found.items()}
+    first = {k: min(s for s, _ in v) for k, v in found.items()}
+    sentences = len(_SENTENCE.findall(text)) or 1
+    if "x" in found and words <= 4 and size["x"] >= 0.5 * len(text):
+        return SIDE
+    # a call to share: it opens the block or fills a good part of it
+    if "s" in found and words <= 9 * sentences and sentences <= 2 and (first["s"] <= 1 or size["s"] >= 0.3 * len(text)):
+        return SHARE
+    if words <= 12 and _BYLINE.fullmatch(text):
+        return BYLINE
+    if "r" in found and (_YEAR.match(text) or len(found["r"]) >= 2 and size["r"] >= 0.18 * len(text)):
+        if not ("d" in found and "c" in found and len(found["c"]) >= len(found["r"])):
+            return LEGAL
+    if "d" in found and ("c" in found and words <= 14 * (len(found["d"]) + len(found["c"])) or words <= 4):
+        return CONSENT
+    if "r" in found and words <= 3 and size["r"] >= 0.6 * len(text):
+        return LEGAL
+    if "c" in found and len(found["c"]) >= 2 and words <= 8 and size["c"] >= 0.2 * len(text):
+        return CONSENT
+    if "c" in found and words <= 2 and size["c"] >= 0.6 * len(text):
+        return CONSENT
+    if "t" in found and words <= 4 and _COUNTED.fullmatch(text):
+        return COMMENTS
+    if "x" in found and words <= 9 and sentences <= 1 and size["x"] >= 0.25 * len(text):
+        return SIDE
     return 0
+
+
+def _apart(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretches without those inside others."""
+    out, end = [], -1
+    for s, n in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if s >= end:
+            out.append((s, n))
+            end = s + n
+    return out
