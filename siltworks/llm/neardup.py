@@ -1,20 +1,22 @@
 """Near-duplicate records: an exact set-similarity join over distinct word n-grams.
 
-Vertical partitioning. All n-grams have one global order, rare first. The order is cut into
-fragments; every fragment counts the overlaps of the records that meet in it, and the partial
-counts are summed per pair.
+Vertical partitioning. All n-grams have one global order, rare first: by their count in a
+sketch over the whole collection, then by hash. Any order gives the right result, a rare-first
+one gives it fast. The order is cut into fragments; every fragment counts the overlaps of the
+records that meet in it, and the partial counts are summed per pair.
 
 1. One scan turns each text into its set of n-grams, names the set by a 64-bit digest (records
-   with equal sets form a class and are joined once), and adds the n-grams to a counting
-   sketch of fixed size. Sketch count, then hash, is the global order; any order is correct,
-   a rare-first one is fast.
-2. The rare fragment: the first n - a + k n-grams of each class (a: least overlap with any
+   with equal sets form a class and are joined once), and adds the n-grams to the sketch.
+2. The rare fragments hold the first n - a + k n-grams of each class (a: least overlap with any
    partner, k = ``EXTRA``). Two sets with the wanted overlap share at least min(k, a) of them.
-   n-grams that the sketch shows to be unique are left out, they meet nobody. Classes that meet
-   in an n-gram, with fitting sizes and places, give one partial count each; pairs with fewer
-   than min(k, a) are out.
-3. For the remaining pairs every fragment of the order counts its overlap, and the sums decide
-   exactly. No candidate is capped or sampled.
+   Each fragment is a range of the order and one task: it counts, for the classes that meet in
+   its n-grams with fitting sizes and places, how many they share. Sums of at least min(k, a)
+   make a pair of candidates. n-grams that the sketch shows to be unique meet nobody and are
+   left out; the sketch bounds how many records meet in an n-gram of these fragments.
+3. n-grams beyond that bound (``HOT``) form a fragment of their own, which is joined with salt:
+   the classes of one n-gram spread over many tasks.
+4. For the candidates the fragments of the whole order count the full overlap, and the sums
+   decide exactly. No candidate is capped or sampled.
 
 Defined results: null, empty and short texts have no pairs; records with the same id and the
 same text are one record; very long texts are cut into fragments by n-gram, never shortened.
@@ -22,13 +24,14 @@ same text are one record; very long texts are cut into fragments by n-gram, neve
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, table
@@ -39,8 +42,12 @@ from .text import WordHasher, mixed, ngrams, words
 SKETCH_BITS, BLOCKS = 24, 64
 #: Shared n-grams asked of the rare fragment.
 EXTRA = 4
-#: Pivots that cut the global order into the fragments in which the surviving pairs are counted: n-grams whose sketch count is at most 2, 8, 64, and the rest.
+#: Pivots that cut the global order: n-grams whose sketch count is at most 2, 8, 64, and the rest.
 PIVOTS = (2, 8, 64)
+#: Sketch count beyond which an n-gram is joined with salt; below it, it is a proven bound of the records that meet there.
+HOT = PIVOTS[-1]
+#: n-grams of a rare fragment, and classes of a hot n-gram that one task takes.
+FRAGMENT_GRAMS, SALT_CLASSES = 1_500_000, 2_000
 
 
 def gram_set(text: str | None, hasher: WordHasher, n: int, min_words: int) -> np.ndarray | None:
@@ -130,12 +137,82 @@ def _load(packed: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
 
 
+def _fragment(grams: np.ndarray, times: np.ndarray, fragments: int) -> np.ndarray:
+    """Number of the range of the global order in which each n-gram stands, -1 for hot ones."""
+    part = np.searchsorted(PIVOTS[:-1], times).astype(np.int64)
+    place = ((grams >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
+    return np.where(times > HOT, -1, part * fragments + place).astype(np.int32)
+
+
+def _need(threshold: float) -> Column:
+    """Overlap that two sets of sizes n1 and n2 need."""
+    return F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n1") + F.col("n2")) - 1e-9).cast("int")
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Partial overlaps of a fragment: rows sorted by n-gram; what remains of the last n-gram of a batch waits for the next."""
+    rest = None
+    for batch in batches:
+        t = [batch.column(k).to_numpy() for k in range(1, 5)]  # g, p, c, n
+        if rest is not None:
+            t = [np.concatenate(x) for x in zip(rest, t)]
+        cut = int(np.searchsorted(t[0], t[0][-1])) if len(t[0]) else 0
+        rest = [x[cut:] for x in t]
+        if cut:
+            yield from _counted([x[:cut] for x in t], threshold)
+    if rest is not None and len(rest[0]):
+        yield from _counted(rest, threshold)
+
+
+def _counted(t: list[np.ndarray], threshold: float) -> Iterator[pa.RecordBatch]:
+    g, p, c, n = t
+    new = np.ones(len(g), bool)  # a class may come from several tasks
+    new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+    g, p, c, n = (x[new] for x in (g, p, c, n))
+    one, two, d = [], [], 1
+    while d < len(g):
+        i = np.flatnonzero(g[:-d] == g[d:])
+        if not len(i):
+            break
+        j = i + d
+        need = np.ceil(threshold / (1 + threshold) * (n[i].astype(np.int64) + n[j]) - 1e-9)
+        share = np.minimum(EXTRA, need)
+        ok = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9) & (p[i] < n[i] - need + share) & (p[j] < n[j] - need + share)
+        one.append(i[ok])
+        two.append(j[ok])
+        d += 1
+    if not one or not sum(map(len, one)):
+        return
+    i, j = np.concatenate(one), np.concatenate(two)
+    order = np.lexsort((c[j], c[i]))  # classes of an n-gram are sorted, so c[i] < c[j]
+    i, j = i[order], j[order]
+    first = np.flatnonzero((np.diff(c[i], prepend=c[i[0]] - 1) != 0) | (np.diff(c[j], prepend=c[j[0]] - 1) != 0))
+    count = np.diff(np.append(first, len(i)))
+    yield pa.record_batch([pa.array(c[i[first]]), pa.array(c[j[first]]), pa.array(n[i[first]]), pa.array(n[j[first]]), pa.array(count.astype(np.int32))], names=["c1", "c2", "n1", "n2", "shared"])
+
+
+def _salted(hot: DataFrame, threshold: float) -> DataFrame:
+    """Partial overlaps in the hot n-grams: the classes of one n-gram in parts, each part met with all."""
+    hot = hot.select("g", "p", "c", "n").dropDuplicates(["g", "c"])
+    parts = hot.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g", F.ceil(F.col("k") / SALT_CLASSES).cast("int").alias("parts"))
+    hot = hot.join(parts, "g")
+    x = hot.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")).select("g", "part", *(F.col(k).alias(f"{k}1") for k in "pcn"))
+    y = hot.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("g", "part", *(F.col(k).alias(f"{k}2") for k in "pcn"))
+    need = _need(threshold)
+    share = F.least(F.lit(EXTRA), need)
+    meet = (F.col("c1") < F.col("c2")) & (F.least("n1", "n2") >= threshold * F.greatest("n1", "n2") - 1e-9) & (F.col("p1") < F.col("n1") - need + share) & (F.col("p2") < F.col("n2") - need + share)
+    return x.join(y, ["g", "part"]).where(meet).groupBy("c1", "c2", "n1", "n2").agg(F.count("*").cast("int").alias("shared"))
+
+
 def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float, min_words: int) -> tuple[DataFrame, DataFrame]:
     """(members, links): class of each record (id, c, n), and the pairs of classes (c1 < c2) that reach the threshold."""
     spark = df.sparkSession
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null and text <> ''")
     first = checkpointed(_classes_and_sketch(texts, n, min_words))
     members = first.where("id is not null").select("id", "c", "n")
+    total = members.agg(F.sum("n")).first()[0] or 0
+    # at least a task per core; beyond that fragments grow in number, not in size
+    fragments_ = max(math.ceil(spark.sparkContext.defaultParallelism / len(PIVOTS)), math.ceil(total * (1 - threshold) / FRAGMENT_GRAMS))
     packed = spark.sparkContext.broadcast(_merged_sketch(first.where("block is not null")))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,20 +232,20 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, n: int, th
                 g, times = _ordered(g, sketch)
                 p = min(size, size - math.ceil(threshold * size - 1e-9) + EXTRA)
                 keep = np.flatnonzero(times[:p] > 1)
-                out.append((g[keep], keep, c, size))
+                out.append((g[keep], times[keep], keep, c, size))
             if out:
                 k = [len(x[0]) for x in out]
+                grams, times = (np.concatenate([x[i] for x in out]) for i in (0, 1))
                 yield pa.record_batch(
-                    [pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), pa.array(np.concatenate([x[1] for x in out]).astype(np.int32)), pa.array(np.repeat(np.array([x[2] for x in out], np.int64), k)), pa.array(np.repeat(np.array([x[3] for x in out], np.int32), k))],
-                    names=["g", "p", "c", "n"],
+                    [pa.array(_fragment(grams, times, fragments_)), pa.array(grams.view(np.int64)), pa.array(np.concatenate([x[2] for x in out]).astype(np.int32)), pa.array(np.repeat(np.array([x[3] for x in out], np.int64), k)), pa.array(np.repeat(np.array([x[4] for x in out], np.int32), k))],
+                    names=["f", "g", "p", "c", "n"],
                 )
 
-    entries = texts.select("text").mapInArrow(prefixes, "g bigint, p int, c bigint, n int").dropDuplicates(["g", "c"])
-    x, y = (entries.select("g", *(F.col(k).alias(f"{k}{i}") for k in "pcn")) for i in (1, 2))
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n1") + F.col("n2")) - 1e-9).cast("int")
-    share = F.least(F.lit(EXTRA), need)
-    meet = (F.col("c1") < F.col("c2")) & (F.least("n1", "n2") >= threshold * F.greatest("n1", "n2") - 1e-9) & (F.col("p1") < F.col("n1") - need + share) & (F.col("p2") < F.col("n2") - need + share)
-    pairs = x.join(y, "g").where(meet).groupBy("c1", "c2", "n1", "n2").agg(F.count("*").alias("shared")).where(F.col("shared") >= share).select("c1", "c2", "n1", "n2")
+    entries = texts.select("text").mapInArrow(prefixes, "f int, g bigint, p int, c bigint, n int")
+    within = functools.partial(_meetings, threshold=threshold)
+    partial = entries.where("f >= 0").repartitionById(len(PIVOTS) * fragments_, "f").sortWithinPartitions("g", "c").mapInArrow(within, "c1 bigint, c2 bigint, n1 int, n2 int, shared int")
+    partial = partial.unionByName(_salted(entries.where("f < 0"), threshold))
+    pairs = partial.groupBy("c1", "c2", "n1", "n2").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= F.least(F.lit(EXTRA), _need(threshold))).select("c1", "c2", "n1", "n2")
     pairs = checkpointed(pairs)
 
     # one record of each class in a pair, cut into the fragments of the order

@@ -53,6 +53,23 @@ def test_near_duplicates_against_all_pairs(spark, n, threshold):
     assert groups == {i: find(i) for p in want for i in p}
 
 
+def test_hot_grams_and_repeated_sets(spark):
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    base = r.choices(words, k=60)
+    t = []
+    for _ in range(110):  # all share most of their n-grams: every n-gram is hot
+        w = list(base)
+        for _ in range(r.choice([1, 2, 3, 6])):
+            w[r.randrange(len(w))] = r.choice(words)
+        t.append(" ".join(w))
+    t += [t[0]] * 30 + [" ".join(r.choices(words, k=60)) for _ in range(20)]
+    sets = [{tuple(x.split()[k : k + 3]) for k in range(58)} for x in t]
+    want = {(a, b) for a in range(len(t)) for b in range(a + 1, len(t)) if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b]) - 1e-9}
+    df = spark.createDataFrame(list(enumerate(t)), "id bigint, text string").repartition(6)
+    assert {tuple(x) for x in neardup.near_duplicate_pairs(df, "id", "text", 3, 0.7).collect()} == want and len(want) > 2000
+
+
 def test_repeated_texts_with_few_distinct_grams(spark):
     t = ["go here now " * 30, "go here now " * 31, "go here now " * 30 + "stop " * 3]
     df = spark.createDataFrame(list(enumerate(t)), "id bigint, text string")
