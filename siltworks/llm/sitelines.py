@@ -1,12 +1,13 @@
 """Lines and blocks of lines that one site repeats over many documents.
 
-Every chunk of the scan concatenates the line identifiers of its documents, source by source,
-into one integer string with separators, sorts its suffixes by prefix doubling, and reads
-repeated identifiers off the common prefixes of neighbours. An identifier covers the source,
-so equal lines of two sources never match. Chunks hold whole documents and are bounded by the
-scan's partition size, however many rows a source has; the document counts of a line, which
-add up over chunks, are summed after a partial count in each chunk. A line is deleted when
-it spans at least ``min_docs`` documents; so does every line of a block that does.
+One scan reads every text once and writes the identifiers of its lines that count, with their
+numbers; all else works on that small table. Every chunk of it concatenates the identifiers of
+its documents, source by source, into one integer string with separators, sorts its suffixes by
+prefix doubling, and reads repeated identifiers off the common prefixes of neighbours. An
+identifier covers the source, so equal lines of two sources never match. Chunks hold whole
+documents and are bounded, however many rows a source has; the document counts of a line, which
+add up over chunks, are summed after a partial count in each chunk. A line is deleted when it
+spans at least ``min_docs`` documents; so does every line of a block that does.
 
 Blocks (``repeated_blocks``) are read off the LCP intervals of the suffix array over the runs of
 repeated lines of a whole source, forwards and backwards. Documents with the same runs come in
@@ -22,6 +23,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -105,13 +107,34 @@ def suffix_array(seq: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
-def _documents(batch: pa.RecordBatch, ids: _Ids) -> Iterator[tuple[int, str | None, list[int], np.ndarray]]:
-    for i, source, text in zip(*(c.to_pylist() for c in batch.columns[:3])):
-        if i is None or not text:
-            continue
-        keys = line_keys(text)
-        if keys:
-            yield i, source, [n for n, _ in keys], np.array([ids(source, k) for _, k in keys], np.uint64)
+_ENCODED = "id bigint, source bigint, numbers array<int>, lines array<bigint>"
+
+
+def encoded_lines(df: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """(id, source, numbers, lines): of every document with lines that count, their numbers and identifiers; source: its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = _Ids()
+        for batch in batches:
+            out_id, out_source, numbers, lines = [], [], [], []
+            for i, source, text in zip(*(c.to_pylist() for c in batch.columns)):
+                keys = line_keys(text)
+                if keys:
+                    out_id.append(i)
+                    out_source.append(0 if source is None else xxhash.xxh3_64_intdigest(source))
+                    numbers.append([n for n, _ in keys])
+                    lines.append([ids(source, k) for _, k in keys])
+            if out_id:
+                ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in numbers]))).astype(np.int32))
+                flat = np.fromiter(chain.from_iterable(lines), np.uint64).view(np.int64)
+                yield pa.record_batch([pa.array(out_id, pa.int64()), pa.array(np.array(out_source, np.uint64).view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(np.fromiter(chain.from_iterable(numbers), np.int32))), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["id", "source", "numbers", "lines"])
+
+    return checkpointed(_three(df, id_col, source_col, text_col).mapInArrow(run, _ENCODED))
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, items) of a list column without nulls."""
+    return np.diff(column.offsets.to_numpy()), column.flatten().to_numpy()
 
 
 def _repeats(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -140,24 +163,22 @@ def _repeats(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return spaced[order[first]], counts
 
 
-def repeated_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, min_docs: int = 10) -> DataFrame:
+def repeated_lines(encoded: DataFrame, min_docs: int = 10) -> DataFrame:
     """(h): identifiers of the lines that span at least min_docs documents of their source."""
-    spark = df.sparkSession
-    wanted = _three(df, id_col, source_col, text_col)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, docs, lines = _Ids(), [], 0
+        docs, lines = [], 0
         for batch in batches:
-            for *_, keys in _documents(batch, ids):
-                docs.append(keys)
-                lines += len(keys)
-                if lines >= CHUNK_LINES:
-                    yield _counted(docs)
-                    docs, lines = [], 0
+            size, items = _lists(batch.column(0))
+            docs += np.split(items.view(np.uint64), np.cumsum(size)[:-1])
+            lines += len(items)
+            if lines >= CHUNK_LINES:
+                yield _counted(docs)
+                docs, lines = [], 0
         if docs:
             yield _counted(docs)
 
-    found = wanted.mapInArrow(partial, "h bigint, docs bigint")
+    found = encoded.select("lines").mapInArrow(partial, "h bigint, docs bigint")
     return found.groupBy("h").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
 
 
@@ -172,48 +193,37 @@ def _three(df: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFr
 
 def lines_to_delete(df: DataFrame, id_col: str, source_col: str, text_col: str, min_docs: int = 10) -> DataFrame:
     """(id, line_no, h) of every line of every document that is repeated over min_docs documents of its source."""
-    return _hot_lines(df, id_col, source_col, text_col, min_docs).select("id", "line_no", "h")
+    return _hot_lines(encoded_lines(df, id_col, source_col, text_col), min_docs).select("id", "line_no", "h")
 
 
-def _hot_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, min_docs: int) -> DataFrame:
-    """(id, source, line_no, h, place): the repeated lines; source: its hash; place: number among the lines of the document that count."""
-    spark = df.sparkSession
-    hot = checkpointed(repeated_lines(df, id_col, source_col, text_col, min_docs))
-    wanted = _three(df, id_col, source_col, text_col)
-    if hot.count() <= MAX_SENT:
-        sent = spark.sparkContext.broadcast(np.sort(np.array(hot.select("h").toPandas()["h"], np.int64)).tobytes())
-    else:
-        sent = None
+def _hot_lines(encoded: DataFrame, min_docs: int) -> DataFrame:
+    """(id, source, line_no, h, place): the repeated lines; place: number among the lines of the document that count."""
+    hot = checkpointed(repeated_lines(encoded, min_docs).select("h"))
+    if hot.count() > MAX_SENT:
+        each = encoded.select("id", "source", F.posexplode(F.arrays_zip("numbers", "lines")).alias("place", "x"))
+        return each.select("id", "source", F.col("x.numbers").alias("line_no"), F.col("x.lines").alias("h"), "place").join(hot, "h", "left_semi").select("id", "source", "line_no", "h", "place")
+    sent = encoded.sparkSession.sparkContext.broadcast(np.sort(np.array(hot.toPandas()["h"], np.int64)).tobytes())  # at most MAX_SENT, counted
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids()
-        known = np.frombuffer(sent.value, np.int64) if sent else None
+        known = np.frombuffer(sent.value, np.int64)
         for batch in batches:
-            out_id, out_source, out_no, out_h, out_at = [], [], [], [], []
-            for i, source, numbers, keys in _documents(batch, ids):
-                keys = keys.view(np.int64)
-                if known is not None:
-                    at = np.searchsorted(known, keys)
-                    ok = np.zeros(len(keys), bool)
-                    inside = at < len(known)
-                    ok[inside] = known[at[inside]] == keys[inside]
-                else:
-                    ok = np.ones(len(keys), bool)
-                if ok.any():
-                    out_no.append(np.array(numbers)[ok])
-                    out_h.append(keys[ok])
-                    out_at.append(np.flatnonzero(ok))
-                    out_id.append(np.full(int(ok.sum()), i, np.int64))
-                    out_source.append(np.full(int(ok.sum()), 0 if source is None else xxhash.xxh3_64_intdigest(source), np.uint64))
-            if out_id:
-                yield pa.record_batch([pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_source).view(np.int64)), pa.array(np.concatenate(out_no).astype(np.int32)), pa.array(np.concatenate(out_h)), pa.array(np.concatenate(out_at).astype(np.int32))], names=["id", "source", "line_no", "h", "place"])
+            size, h = _lists(batch.column(3))
+            at = np.searchsorted(known, h)
+            at[at == len(known)] = 0
+            ok = np.flatnonzero(known[at] == h) if len(known) else np.zeros(0, np.int64)
+            if len(ok):
+                doc = np.repeat(np.arange(len(size)), size)
+                place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+                yield pa.record_batch([batch.column(0).take(pa.array(doc[ok])), batch.column(1).take(pa.array(doc[ok])), pa.array(_lists(batch.column(2))[1][ok]), pa.array(h[ok]), pa.array(place[ok].astype(np.int32))], names=["id", "source", "line_no", "h", "place"])
 
-    lines = wanted.mapInArrow(mark, "id bigint, source bigint, line_no int, h bigint, place int")
-    return lines if sent else lines.join(hot.select("h"), "h", "left_semi").select("id", "source", "line_no", "h", "place")
+    return encoded.mapInArrow(mark, "id bigint, source bigint, line_no int, h bigint, place int")
 
 
 def without_repeated_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, min_docs: int = 10) -> DataFrame:
-    """(id, text): each document without its repeated lines; documents without any stay as they are."""
+    """(id, text): each document without its repeated lines; documents without any stay as they are.
+
+    Only documents that lose lines meet the list of these; the texts are joined to it by id.
+    """
     gone = lines_to_delete(df, id_col, source_col, text_col, min_docs).groupBy("id").agg(F.collect_set("line_no").alias("gone"))
     kept = _three(df, id_col, source_col, text_col).join(gone, "id", "left")
     numbered = F.filter(F.split("text", "\n"), lambda line, i: F.col("gone").isNull() | ~F.array_contains("gone", i))
@@ -227,7 +237,7 @@ def repeated_blocks(df: DataFrame, id_col: str, source_col: str, text_col: str,
     a line more before or after, it spans fewer documents. It is named by the digest of its
     identifiers. Whatever stands around a block, it is one block.
     """
-    hot = _hot_lines(df, id_col, source_col, text_col, min_docs)
+    hot = _hot_lines(encoded_lines(df, id_col, source_col, text_col), min_docs)
     whole = hot.groupBy("id", "source").agg(F.sort_array(F.collect_list(F.struct("place", "h"))).alias("rows"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,18 +344,43 @@ def p6_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_blocks(table(spark, sf_dir, "batch_item"), "item_id", "host", "markdown", 10)
 
 
+def p6_block_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many repeated blocks there are of each number of lines and items."""
+    return p6_blocks(spark, sf_dir).groupBy("lines", "docs").agg(F.count("*").alias("blocks"))
+
+
 def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length and digest of every item's markdown without the repeated lines."""
     kept = without_repeated_lines(table(spark, sf_dir, "batch_item"), "item_id", "host", "markdown", 10)
     return kept.select(F.col("id").alias("item_id"), F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
-SQL = {
-    "p6_found": r"""WITH a AS (SELECT item_id, host, string_split(markdown, chr(10)) AS l FROM batch_item WHERE markdown IS NOT NULL),
+#: Lines that count with their keys, and the keys that at least 10 items of a host share.
+_LINES = r"""WITH a AS (SELECT item_id, host, string_split(markdown, chr(10)) AS l FROM batch_item WHERE markdown IS NOT NULL),
         l AS (SELECT item_id, host, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM a),
         f AS (SELECT *, regexp_matches(line, '^[ \t]{0,3}(```|~~~)') AS fence, sum(CASE WHEN regexp_matches(line, '^[ \t]{0,3}(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY line_no) AS n FROM l),
         k AS (SELECT item_id, host, line_no, trim(regexp_replace(lower(line), '[^\p{L}]+', ' ', 'g')) AS key FROM f WHERE NOT fence AND n % 2 = 0 AND NOT starts_with(line, '|')),
-        hot AS (SELECT host, key FROM k WHERE key <> '' GROUP BY host, key HAVING count(DISTINCT item_id) >= 10)
+        hot AS (SELECT host, key FROM k WHERE key <> '' GROUP BY host, key HAVING count(DISTINCT item_id) >= 10)"""
+
+SQL = {
+    "p6_found": _LINES
+    + """
         SELECT item_id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN hot USING (host, key)""",
+    "p6_clean": _LINES
+    + """,
+        gone AS (SELECT item_id, line_no FROM k JOIN hot USING (host, key)),
+        kept AS (SELECT item_id, string_agg(line, chr(10) ORDER BY line_no) AS t FROM l ANTI JOIN gone USING (item_id, line_no) GROUP BY item_id)
+        SELECT item_id, length(coalesce(t, '')) AS n_chars, md5(coalesce(t, '')) AS text_md5 FROM batch_item LEFT JOIN kept USING (item_id) WHERE markdown <> ''""",
+    "p6_block_sizes": _LINES
+    + """,
+        c AS (SELECT item_id, host, key, row_number() OVER (PARTITION BY item_id ORDER BY line_no) AS place FROM k WHERE key <> ''),
+        h AS (SELECT c.*, place - row_number() OVER (PARTITION BY item_id ORDER BY place) AS run FROM c JOIN hot USING (host, key)),
+        r AS (SELECT item_id, host, list(key ORDER BY place) AS keys FROM h GROUP BY item_id, host, run),
+        s AS (SELECT item_id, host, keys, unnest(range(1, len(keys) + 1)) AS a FROM r),
+        e AS (SELECT item_id, host, keys, a, unnest(range(a, len(keys) + 1)) AS b FROM s),
+        d AS (SELECT host, keys[a:b] AS block, count(DISTINCT item_id) AS docs FROM e GROUP BY ALL HAVING count(DISTINCT item_id) >= 10),
+        x AS (SELECT host, block[2:] AS block, docs FROM d WHERE len(block) > 1 UNION ALL SELECT host, block[:-2], docs FROM d WHERE len(block) > 1),
+        m AS (SELECT host, block, max(docs) AS longer FROM x GROUP BY ALL)
+        SELECT CAST(len(block) AS INTEGER) AS lines, docs, count(*) AS blocks FROM d LEFT JOIN m USING (host, block) WHERE longer IS NULL OR longer < docs GROUP BY ALL""",
 }
-QUERIES = {"p6_found": p6_found, "p6_blocks": p6_blocks, "p6_clean": p6_clean}
+QUERIES = {"p6_found": p6_found, "p6_blocks": p6_blocks, "p6_block_sizes": p6_block_sizes, "p6_clean": p6_clean}
