@@ -145,7 +145,7 @@ def record(name: str, url: Column | str, body: Column | str) -> Column:
         return F.struct(t("$.name").alias("name"), n("$.aggregateRating.ratingValue").alias("rating_value"), n("$.aggregateRating.reviewCount").alias("review_count"))
     if name == "arxiv":
         x = lambda e: F.trim(F.xpath_string(F.regexp_replace(_col(body), r'\sxmlns="[^"]*"', ""), F.lit(e)))
-        return F.struct(x("/feed/entry[1]/title").alias("title"), F.transform(F.xpath(F.regexp_replace(_col(body), r'\sxmlns="[^"]*"', ""), F.lit("/feed/entry[1]/author/name/text()")), F.trim).alias("authors"), x("/feed/entry[1]/summary").alias("summary"), x("/feed/entry[1]/published").alias("published"), F.concat(F.lit("https://arxiv.org/abs/"), F.regexp_replace(_last(u), r"\.pdf$", "")).alias("url"))
+        return F.struct(x("/feed/entry[1]/title").alias("title"), F.transform(F.xpath(F.regexp_replace(_col(body), r'\sxmlns="[^"]*"', ""), F.lit("/feed/entry[1]/author/name/text()")), lambda a: F.trim(a)).alias("authors"), x("/feed/entry[1]/summary").alias("summary"), x("/feed/entry[1]/published").alias("published"), F.concat(F.lit("https://arxiv.org/abs/"), F.regexp_replace(_last(u), r"\.pdf$", "")).alias("url"))
     raise KeyError(name)
 
 

@@ -24,10 +24,6 @@ BODIES = (
     (1, "duckduckgo", '<div class="result"><a class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fd.test%2Fp%3Fq%3D1&amp;rut=z">D <b>x</b></a><a class="result__snippet">snip</a></div><div class="result"></div>'),
     (2, "serper", "not json"),
 )
-URLS = (
-    "https://arxiv.org/abs/2401.12345v2", "https://github.com/a/b", "https://github.com/a/b/issues/3", "https://github.com/a", "https://pypi.org/project/x/", "https://www.npmjs.com/package/y", "https://crates.io/crates/z", "https://hub.docker.com/r/o/r", "https://hub.docker.com/r/o",
-    "https://huggingface.co/o/n", "https://huggingface.co/datasets/o", "https://old.reddit.com/r/s/comments/1/t", "https://news.ycombinator.com/item?id=1", "https://news.ycombinator.com/item", "https://stackoverflow.com/questions/5/slug", "https://www.trustpilot.com/review/d.test", "https://youtu.be/abcdefghijk", "https://www.youtube.com/watch?v=short", "https://shop.test/products/p", "ftp://github.com/a/b",
-)
 PRODUCT = '<html><body><h1 class="title">{name}</h1><div class="box"><span class="price main-price" id="p-{k}">{price} €</span></div><ul class="tags"><li>a</li><li>b</li></ul></body></html>'
 PRODUCT_SCHEMA = {"type": "object", "required": ["name", "price"], "additionalProperties": False, "properties": {"name": {"type": "string", "x-hints": {"css_hint": "h1", "trim": True}}, "price": {"type": "number", "x-hints": {"coerce": "eur_decimal"}}}}
 EVENT_SCHEMA = {"type": "object", "required": ["k"], "additionalProperties": False, "properties": {"k": {"type": "integer", "minimum": 10, "maximum": 90}}}
@@ -46,15 +42,6 @@ def search_with_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("query_id", "provider", "position", "url", F.coalesce("page.title", F.lit("")).alias("page_title"))
 
 
-def vertical_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([(u,) for u in URLS], "url string")
-    return t.select("url", F.coalesce(V.dispatch("url"), F.lit("")).alias("site"), F.coalesce(V.mismatch("url", F.lit("github_repo")), F.lit("")).alias("as_github"))
-
-
-def vertical_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.listing(spark)
-
-
 def repo_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed records of repositories and issues."""
     t = V.records(table(spark, sf_dir, "api_body").where("extractor = 'github_repo'"), "github_repo").where("error is null and (record.full_name <> '' or record.title <> '')")
@@ -122,7 +109,7 @@ def social_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("id").alias("page_id"), F.get_json_object("record", "$.title").alias("title"), F.get_json_object("record", "$.h1").alias("h1"), "error")
 
 
-QUERIES = {f.__name__: f for f in (search_hits, search_with_pages, vertical_dispatch, vertical_list, repo_records, story_records, question_records, thread_records, record_errors, schema_validate, json_path_walk, selector_learn, selector_apply, social_records)}
+QUERIES = {f.__name__: f for f in (search_hits, search_with_pages, repo_records, story_records, question_records, thread_records, record_errors, schema_validate, json_path_walk, selector_learn, selector_apply, social_records)}
 
 _BODY = """SELECT body_id, url, extractor, CASE WHEN starts_with(b, '"') AND json_valid(b) THEN regexp_replace(json_extract_string(b, '$'), '^[\\s\\x{FEFF}]+', '') ELSE b END AS j FROM (SELECT *, regexp_replace(regexp_replace(body, '^[\\s\\x{FEFF}]+', ''), '\\s+$', '') AS b FROM api_body WHERE status BETWEEN 200 AND 299)"""
 _OK = f"WITH t AS ({_BODY}), g AS (SELECT * FROM t WHERE CASE WHEN json_valid(j) THEN json_type(j) IN ('OBJECT', 'ARRAY') ELSE false END) "
@@ -139,6 +126,4 @@ SQL = {
     "schema_validate": "SELECT event_id, CASE WHEN k < 10 THEN '/k: minimum' WHEN k > 90 THEN '/k: maximum' ELSE '' END AS errors FROM (SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events)",
     "json_path_walk": "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events",
     "selector_apply": "SELECT k AS id, 'Item ' || k AS name, k + 0.5 AS price, 0 AS n_missing FROM range(1, 5) t(k)",
-    "vertical_dispatch": """SELECT url, CASE WHEN url LIKE 'https://arxiv.org/abs/%' THEN 'arxiv' WHEN url IN ('https://github.com/a/b', 'https://github.com/a/b/issues/3') THEN 'github_repo' WHEN url LIKE 'https://pypi.org/%' THEN 'pypi' WHEN url LIKE 'https://www.npmjs.com/%' THEN 'npm' WHEN url LIKE 'https://crates.io/%' THEN 'crates_io' WHEN url = 'https://hub.docker.com/r/o/r' THEN 'dockerhub' WHEN url = 'https://huggingface.co/o/n' THEN 'huggingface' WHEN url LIKE '%reddit.com/r/%' THEN 'reddit' WHEN url LIKE '%/item?id=1' THEN 'hackernews' WHEN url LIKE 'https://stackoverflow%' THEN 'stackoverflow' WHEN url LIKE '%trustpilot%' THEN 'trustpilot' WHEN url LIKE 'https://youtu.be/%' THEN 'youtube' ELSE '' END AS site,
-        CASE WHEN url IN ('https://github.com/a/b', 'https://github.com/a/b/issues/3') THEN '' ELSE 'mismatch' END AS as_github FROM (VALUES """ + ", ".join(f"('{u}')" for u in URLS) + ") t(url)",
 }
