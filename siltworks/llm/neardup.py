@@ -138,10 +138,10 @@ def _load(packed: bytes) -> np.ndarray:
 
 
 def _fragment(grams: np.ndarray, times: np.ndarray, fragments: int) -> np.ndarray:
-    """Number of the range of the global order in which each n-gram stands, -1 for hot ones."""
-    part = np.searchsorted(PIVOTS[:-1], times).astype(np.int64)
+    """Number of the range of the global order in which each n-gram stands; those of hot ones come last."""
+    part = np.searchsorted(PIVOTS, times).astype(np.int64)
     place = ((grams >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
-    return np.where(times > HOT, -1, part * fragments + place).astype(np.int32)
+    return (part * fragments + place).astype(np.int32)
 
 
 def _need(threshold: float) -> Column:
@@ -149,10 +149,27 @@ def _need(threshold: float) -> Column:
     return F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n1") + F.col("n2")) - 1e-9).cast("int")
 
 
-def _meetings(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Partial overlaps of a fragment: rows sorted by n-gram; what remains of the last n-gram of a batch waits for the next."""
+#: Partial overlaps (c1, c2, n1, n2, shared), or a class in a hot n-gram (c1, n1, g, p).
+_MET = "c1 bigint, c2 bigint, n1 int, n2 int, shared int, g bigint, p int"
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], threshold: float, hot: int) -> Iterator[pa.RecordBatch]:
+    """Partial overlaps of a fragment: rows sorted by n-gram; what remains of the last n-gram of a batch waits for the next.
+
+    Fragments from number ``hot`` on are passed through, each class of an n-gram once.
+    """
     rest = None
     for batch in batches:
+        if batch.num_rows and batch.column(0)[0].as_py() >= hot:
+            g, p, c, n = (batch.column(k).to_numpy() for k in range(1, 5))
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+            if rest is not None:  # the last row of the batch before
+                new[0] = (g[0], c[0]) != rest
+            rest = (g[-1], c[-1])
+            k = int(new.sum())
+            yield pa.record_batch([pa.array(c[new]), pa.nulls(k, pa.int64()), pa.array(n[new]), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.array(g[new]), pa.array(p[new])], names=["c1", "c2", "n1", "n2", "shared", "g", "p"])
+            continue
         t = [batch.column(k).to_numpy() for k in range(1, 5)]  # g, p, c, n
         if rest is not None:
             t = [np.concatenate(x) for x in zip(rest, t)]
@@ -160,7 +177,7 @@ def _meetings(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
         rest = [x[cut:] for x in t]
         if cut:
             yield from _counted([x[:cut] for x in t], threshold)
-    if rest is not None and len(rest[0]):
+    if isinstance(rest, list) and len(rest[0]):
         yield from _counted(rest, threshold)
 
 
@@ -188,12 +205,11 @@ def _counted(t: list[np.ndarray], threshold: float) -> Iterator[pa.RecordBatch]:
     i, j = i[order], j[order]
     first = np.flatnonzero((np.diff(c[i], prepend=c[i[0]] - 1) != 0) | (np.diff(c[j], prepend=c[j[0]] - 1) != 0))
     count = np.diff(np.append(first, len(i)))
-    yield pa.record_batch([pa.array(c[i[first]]), pa.array(c[j[first]]), pa.array(n[i[first]]), pa.array(n[j[first]]), pa.array(count.astype(np.int32))], names=["c1", "c2", "n1", "n2", "shared"])
+    yield pa.record_batch([pa.array(c[i[first]]), pa.array(c[j[first]]), pa.array(n[i[first]]), pa.array(n[j[first]]), pa.array(count.astype(np.int32)), pa.nulls(len(count), pa.int64()), pa.nulls(len(count), pa.int32())], names=["c1", "c2", "n1", "n2", "shared", "g", "p"])
 
 
 def _salted(hot: DataFrame, threshold: float) -> DataFrame:
-    """Partial overlaps in the hot n-grams: the classes of one n-gram in parts, each part met with all."""
-    hot = hot.select("g", "p", "c", "n").dropDuplicates(["g", "c"])
+    """Partial overlaps in the hot n-grams (g, p, c, n): the classes of one n-gram in parts, each part met with all."""
     parts = hot.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g", F.ceil(F.col("k") / SALT_CLASSES).cast("int").alias("parts"))
     hot = hot.join(parts, "g")
     x = hot.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")).select("g", "part", *(F.col(k).alias(f"{k}1") for k in "pcn"))
@@ -242,9 +258,10 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, n: int, th
                 )
 
     entries = texts.select("text").mapInArrow(prefixes, "f int, g bigint, p int, c bigint, n int")
-    within = functools.partial(_meetings, threshold=threshold)
-    partial = entries.where("f >= 0").repartitionById(len(PIVOTS) * fragments_, "f").sortWithinPartitions("g", "c").mapInArrow(within, "c1 bigint, c2 bigint, n1 int, n2 int, shared int")
-    partial = partial.unionByName(_salted(entries.where("f < 0"), threshold))
+    count = functools.partial(_meetings, threshold=threshold, hot=len(PIVOTS) * fragments_)
+    met = checkpointed(entries.repartitionById((len(PIVOTS) + 1) * fragments_, "f").sortWithinPartitions("g", "c").mapInArrow(count, _MET))
+    partial = met.where("shared is not null").select("c1", "c2", "n1", "n2", "shared")
+    partial = partial.unionByName(_salted(met.where("shared is null").select("g", "p", F.col("c1").alias("c"), F.col("n1").alias("n")), threshold))
     pairs = partial.groupBy("c1", "c2", "n1", "n2").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= F.least(F.lit(EXTRA), _need(threshold))).select("c1", "c2", "n1", "n2")
     pairs = checkpointed(pairs)
 
