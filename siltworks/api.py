@@ -51,8 +51,8 @@ class Engine:
 
     def crawl(self, pages: DataFrame, seed: str, max_depth: int = 3, max_pages: int | None = 100, scope: Column | None = None) -> DataFrame:
         """Pages reached from the seed over the links of the given pages, with depth."""
-        f = facts.page_facts(pages).select(F.col("id").alias("page_id"), F.explode("hrefs").alias("href"))
-        links = pages.select("page_id", U.url_hash(U.canonical_url("url")).alias("src_hash")).join(f, "page_id").select("src_hash", F.col("href").alias("url"))
+        f = facts.page_facts(pages, carry=["url"]).select(U.url_hash(U.canonical_url("url")).alias("src_hash"), F.explode("hrefs").alias("href"))
+        links = f.select("src_hash", F.col("href").alias("url"))
         seeds = self.spark.createDataFrame([(seed,)], "url string")
         return frontier.crawl(seeds, links, max_depth, max_pages, U.in_scope("url", seed) if scope is None else scope)
 

@@ -158,45 +158,37 @@ def page_facts_row(i: int, url: str, page: str, root: Node | None = None) -> tup
     )
 
 
-def _per_page(df: DataFrame, id_col: str, url_col: str, html_col: str, kinds: dict[str, pa.DataType], row) -> DataFrame:
-    wanted = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.col(html_col).cast("string").alias("html")).where("id is not null and html is not null and html <> ''")
+def _per_page(df: DataFrame, id_col: str, url_col: str, html_col: str, kinds: dict[str, pa.DataType], row, carry: list[str] | None = None) -> DataFrame:
+    """row(id, url, page) of every page with HTML; the columns ``carry`` stay beside it, so that nothing has to be joined back."""
+    carry = carry or []
+    wanted = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.col(html_col).cast("string").alias("html"), *(F.col(c).alias(f"c_{c}") for c in carry)).where("id is not null and html is not null and html <> ''")
+    extra = "".join(f", `c_{f.name}` {f.dataType.simpleString()}" for f in df.select(*carry).schema.fields) if carry else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                rows = [row(*x) for x in zip(*(c.to_pylist() for c in part.columns))]
+                rows = [row(*x) for x in zip(*(c.to_pylist() for c in part.columns[:3]))]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], names=list(kinds))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())), *part.columns[3:]], names=[*kinds, *part.schema.names[3:]])
 
-    return spread(wanted).mapInArrow(run, ddl(kinds))
+    out = spread(wanted).mapInArrow(run, ddl(kinds) + extra)
+    return out.select(*kinds, *(F.col(f"c_{c}").alias(f"page_{c}" if c in kinds else c) for c in carry)) if carry else out
 
 
-def page_facts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row of facts per page with HTML; a narrow scan without a shuffle."""
-    return _per_page(df, id_col, url_col, html_col, FACTS, page_facts_row)
+def page_facts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", carry: list[str] | None = None) -> DataFrame:
+    """One row of facts per page with HTML, with the ``carry`` columns beside them; a narrow scan without a shuffle."""
+    return _per_page(df, id_col, url_col, html_col, FACTS, page_facts_row, carry)
 
 
 def page_content(df: DataFrame, carry: list[str], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Facts, markdown and fell_back of every page with HTML in one parse, with the page's ``carry`` columns beside them: no join."""
-    kinds = FACTS | {"markdown": pa.string(), "fell_back": pa.bool_()}
-    wanted = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.col(html_col).cast("string").alias("html"), *(F.col(c).alias(f"c_{c}") for c in carry)).where("id is not null and html is not null and html <> ''")
-    extra = ", ".join(f"`c_{f.name}` {f.dataType.simpleString()}" for f in df.select(*carry).schema.fields) if carry else ""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                rows = []
-                for i, url, page in zip(*(c.to_pylist() for c in part.columns[:3])):
-                    root = parse(page)
-                    rows.append((*page_facts_row(i, url, page, root), *page_markdown(root)))
-                if rows:
-                    cols = [pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())]
-                    yield pa.RecordBatch.from_arrays([*cols, *part.columns[3:]], names=[*kinds, *part.schema.names[3:]])
+    def row(i: int, url: str, page: str) -> tuple:
+        root = parse(page)
+        return (*page_facts_row(i, url, page, root), *page_markdown(root))
 
-    out = spread(wanted).mapInArrow(run, ddl(kinds) + (", " + extra if extra else ""))
-    return out.select(*kinds, *(F.col(f"c_{c}").alias(f"page_{c}" if c in kinds else c) for c in carry))
+    return _per_page(df, id_col, url_col, html_col, FACTS | {"markdown": pa.string(), "fell_back": pa.bool_()}, row, carry)
 
 
 def page_markdowns(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -13,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import BROADCAST_ROWS, checkpointed
 
 # Bounds of a sitemap listing.
 MAX_CHILDREN, MAX_URLS, MAX_DEPTH = 100, 10_000, 5
 MAX_ROBOTS = 1 << 20
+#: Bytes of robots files that may be sent to every task.
+BROADCAST_BYTES = 64 << 20
 
 
 @dataclass
@@ -60,47 +62,84 @@ def groups_for(groups: list[Group], agent: str) -> list[Group]:
     return own or [g for g in groups if "*" in g.agents]
 
 
-def rule_length(pattern: str, path: str) -> int:
-    """Length of the pattern if it matches the path from its start, else -1; '*' any text, '$' the end."""
-    if not pattern:
-        return -1
-    regex = "".join(".*" if c == "*" else re.escape(c) for c in pattern.removesuffix("$")) + (r"\Z" if pattern.endswith("$") else "")
-    return len(pattern) if re.match(regex, path, re.S) else -1
+class Rules:
+    """What a robots body says to one agent, read once."""
+
+    def __init__(self, body: str | None, agent: str):
+        own = groups_for(parse_robots(body or ""), agent)
+        # the longest pattern decides, a permission before a ban of its length
+        rules = [(len(p), ok, re.compile(_pattern(p), re.S)) for g in own for ok, p in g.rules if p]
+        self.rules = sorted(rules, key=lambda r: (-r[0], not r[1]))
+        self.delay = max((g.delay for g in own), default=0.0)
+
+    def allowed(self, path: str) -> bool:
+        return next((ok for _, ok, p in self.rules if p.match(path or "/")), True)
+
+
+def _pattern(rule: str) -> str:
+    return "".join(".*" if c == "*" else re.escape(c) for c in rule.removesuffix("$")) + (r"\Z" if rule.endswith("$") else "")
+
+
+def permits(status: int | None) -> bool | None:
+    """What the status of a robots file says by itself: a client error permits everything, any other failure nothing; None where its rules decide."""
+    if status is not None and 200 <= status < 300:
+        return None
+    return status is not None and 400 <= status < 500
 
 
 def allowed(body: str | None, status: int | None, agent: str, path: str) -> bool:
-    """Whether robots permit the path; a client error permits everything, any other failure nothing."""
-    if status is None or not 200 <= status < 300:
-        return status is not None and 400 <= status < 500
-    best, verdict = -1, True
-    for g in groups_for(parse_robots(body or ""), agent):
-        for ok, pattern in g.rules:
-            n = rule_length(pattern, path or "/")
-            if n > best or n == best and n >= 0 and ok:
-                best, verdict = n, ok
-    return verdict
+    """Whether robots permit the path."""
+    verdict = permits(status)
+    return Rules(body, agent).allowed(path) if verdict is None else verdict
 
 
 def crawl_delay(body: str | None, agent: str) -> float:
-    return max((g.delay for g in groups_for(parse_robots(body or ""), agent)), default=0.0)
+    return Rules(body, agent).delay
 
 
 def robots_verdicts(pages: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     """(id, allowed, delay) for pages (id, host, path) and robots (host, status, body); hosts without robots deny nothing.
 
-    Bodies stay on their side until the join on host; each is parsed once per batch.
+    Up to BROADCAST_ROWS robots files, counted, of together BROADCAST_BYTES, measured, are sent to
+    the tasks and pages stay where they are; more are joined by host. Either way each body is read
+    once per task.
     """
-    joined = pages.select("id", "host", "path").join(robots.select("host", "status", "body").dropDuplicates(["host"]), "host", "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    files = robots.select("host", "status", F.substring("body", 1, MAX_ROBOTS).alias("body")).dropDuplicates(["host"])
+    size = files.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("bytes")).first()
+    schema = "id bigint, allowed boolean, delay double"
+
+    def verdict(known: dict, host: str | None, status: int | None, body: str | None, path: str | None) -> tuple[bool, float]:
+        if status is None and body is None:
+            return True, 0.0
+        rules = known.get(host)
+        if rules is None:
+            if len(known) > 10_000:
+                known.clear()
+            rules = known[host] = Rules(body, agent)
+        ok = permits(status)
+        return rules.allowed(path) if ok is None else ok, rules.delay
+
+    def emit(ids: pa.Array, got: list[tuple[bool, float]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([x for x, _ in got], pa.bool_()), pa.array([d for _, d in got], pa.float64())], names=["id", "allowed", "delay"])
+
+    if size.n <= BROADCAST_ROWS and size.bytes <= BROADCAST_BYTES:
+        sent = pages.sparkSession.sparkContext.broadcast({r.host: (r.status, r.body) for r in files.toLocalIterator()})
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict = {}
+            for batch in batches:
+                rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+                yield emit(batch.column(0), [verdict(known, h, *sent.value.get(h, (None, None)), p) for h, p in rows])
+
+        return pages.select("id", "host", "path").mapInArrow(look_up, schema)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
         for batch in batches:
-            _, ids, paths, status, body = (c.to_pylist() for c in batch.columns)
-            ok = [s is None and b is None or allowed(b, s, agent, p) for p, s, b in zip(paths, status, body)]
-            delays: dict[str, float] = {}
-            wait = [delays.setdefault(b or "", crawl_delay(b, agent)) if b else 0.0 for b in body]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ok, pa.bool_()), pa.array(wait, pa.float64())], names=["id", "allowed", "delay"])
+            hosts, ids, paths, status, body = batch.columns
+            yield emit(ids, [verdict(known, *x) for x in zip(hosts.to_pylist(), status.to_pylist(), body.to_pylist(), paths.to_pylist())])
 
-    return joined.mapInArrow(run, "id bigint, allowed boolean, delay double")
+    return pages.select("id", "host", "path").join(files, "host", "left").select("host", "id", "path", "status", "body").mapInArrow(joined, schema)
 
 
 def sitemap_seeds(robots: DataFrame) -> DataFrame:

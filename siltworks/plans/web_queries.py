@@ -88,11 +88,9 @@ def link_host_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_script_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts that the script score needs, and the score."""
-    t = table(spark, sf_dir, "raw_page")
-    f = P.page_facts(t).select("id", "visible_chars", "script_bytes", "link_count", "hidden")
-    j = t.select(F.col("page_id").alias("id"), "html").join(f, "id")
+    f = P.page_facts(table(spark, sf_dir, "raw_page"), carry=["html"])
     s = Q.js_score("html", F.col("visible_chars"), F.col("script_bytes"), F.col("link_count"))
-    return j.select(F.col("id").alias("page_id"), "visible_chars", "script_bytes", "link_count", "hidden", s.alias("score"), Q.needs_browser(s, Q.has_embedded_data("html")).alias("browser"))
+    return f.select(F.col("id").alias("page_id"), "visible_chars", "script_bytes", "link_count", "hidden", s.alias("score"), Q.needs_browser(s, Q.has_embedded_data("html")).alias("browser"))
 
 
 def brand_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
