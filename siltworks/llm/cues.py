@@ -64,15 +64,13 @@ _BYLINE = re.compile(
 )
 _YEAR = re.compile(r"(?:©|\(c\)|copyright) ?(?:\d{4}|[^\W\d])")
 _COUNTED = re.compile(r"\d+ [^\W\d]+|[^\W\d]+ \(\d+\)")
-_BLANK = re.compile(r"[,.:;!?()\[\]·|“”„«»\"/]")
-_EDGE = re.compile(r"^[\s*_»>#-]+|[\s*_»]+$")
-_FOLD = re.compile(r"\s+")
+_PUNCTUATION = ",.:;!?()[]·|“”„«»\"/"
 _SENTENCE = re.compile(r"[.!?…](?:\s|$)")
 
 
 def plain(text: str) -> str:
     """Lower case, single spaces, without emphasis marks and arrows at the ends."""
-    return _FOLD.sub(" ", _EDGE.sub("", text)).lower().replace("**", "")
+    return " ".join(text.split()).lstrip("*_»># -").rstrip("*_» ").lower().replace("**", "")
 
 
 _GARBLED = re.compile("[ÃÂâÐÑ√¬‚├┬Ô�][^\x00-\x7f]|�")
@@ -89,7 +87,10 @@ def mended(text: str) -> str:
 
 def cue(text: str) -> int:
     """The kind of a block of plain text, 0 if none."""
-    padded = _BLANK.sub(" ", f" {text} ")
+    padded = f" {text} "
+    for mark in _PUNCTUATION:
+        if mark in padded:
+            padded = padded.replace(mark, " ")
     found: dict[str, list[tuple[int, int]]] = {}
     for end, (kinds, n) in _STEMS.iter(padded):
         for k in kinds:

@@ -116,11 +116,12 @@ class Judge:
 
     def is_notice(self, blocks: list[str]) -> bool:
         """Whether the blocks, apart from menus, cues and short headings, are error or script notices."""
-        texts = [plain(_LINK.sub(r"\1", block) if "](" in block else block).replace("’", "'") for block in blocks]
-        kinds = [{k for _, (ks, _) in self.phrases.iter(t) for k in ks} for t in texts]
+        texts = [block.lower().replace("’", "'") for block in blocks]
+        kinds = [set("".join(ks for _, (ks, _) in self.phrases.iter(t))) for t in texts]
         strong = [bool(k & {"e", "s"}) or {"n", "r"} <= k for k in kinds]
         if not any(strong):
             return False
+        texts = [plain(_LINK.sub(r"\1", t) if "](" in t else t) for t in texts]
         # long blocks of other text rule most pages out before all blocks are read
         most = sum(len(t) + REACH for t, x in zip(texts, strong) if x)
         others = sum(len(t) for t, x in zip(texts, strong) if x)
