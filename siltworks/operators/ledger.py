@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATUSES = ("pending", "inflight", "done", "error")
+#: Tables whose rows may be counted by name.
+COUNTABLE = ("batch_item", "frontier", "llm_call", "raw_page")
 
 
 def latest_status(log: DataFrame, keys: tuple[str, ...] = ("run_id", "url_hash"), at: str = "updated_at", tie: str = "seq") -> DataFrame:
@@ -66,6 +68,28 @@ def one_run(runs: DataFrame, run_id: str) -> DataFrame:
     return found
 
 
+class NotCountable(ValueError):
+    """A table that is not on the list."""
+
+
+def row_counts(tables: dict[str, DataFrame], names: list[str]) -> DataFrame:
+    """(name, n) of the named tables; names that are not on the list are an error before any work."""
+    bad = sorted(set(names) - set(COUNTABLE))
+    if bad:
+        raise NotCountable(", ".join(bad))
+    out = None
+    for name in names:
+        one = tables[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def stamped(df: DataFrame, column: str, now: str | None = None) -> DataFrame:
+    """df with a stamp of RFC 3339 in UTC, the time of the query or the given one."""
+    at = F.to_timestamp(F.lit(now)) if now else F.current_timestamp()
+    return df.withColumn(column, F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old with the rows of new in place of those with equal keys; the last of equal new rows by updated_at."""
     rows = new.withColumn("_n", F.lit(1)).unionByName(old.withColumn("_n", F.lit(0)))

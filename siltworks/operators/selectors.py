@@ -224,6 +224,16 @@ def healed(old: str, new: dict[str, dict], broken: list[str], total: int) -> tup
     return doc, False
 
 
+def cleared(cache: DataFrame, domain: str | None = None, schema_hash: str | None = None) -> DataFrame:
+    """The cache without the documents of a domain, of a schema, or of both together; without either all go."""
+    gone = F.lit(True)
+    if domain is not None:
+        gone = gone & (F.col("domain") == domain)
+    if schema_hash is not None:
+        gone = gone & (F.col("schema_hash") == schema_hash)
+    return cache.where(~F.coalesce(gone, F.lit(False)))
+
+
 def cacheable(df: DataFrame, fields: str, known: str) -> DataFrame:
     """Adds non_cacheable: schema fields without a selector."""
     return df.withColumn("non_cacheable", F.array_sort(F.array_except(fields, known)))

@@ -8,46 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..operators import facts as P
 from ..operators import frontier as G
-from ..operators import robots as R
 from ..session import table
 
-#: A small site: cycles, a subdomain, an asset, a tracking duplicate, a tail beyond depth 3.
-SITE = (
-    ("https://site.test/", "https://site.test/a"), ("https://site.test/", "https://site.test/b?utm_source=x"), ("https://site.test/", "https://sub.site.test/s"), ("https://site.test/", "mailto:a@site.test"),
-    ("https://site.test/a", "https://site.test/b"), ("https://site.test/a", "https://site.test/"), ("https://site.test/b", "https://site.test/c#top"), ("https://site.test/b", "https://site.test/file.pdf"),
-    ("https://site.test/c", "https://SITE.test:443/d"), ("https://site.test/d", "https://site.test/e"), ("https://site.test/e", "https://site.test/a"),
-)
-ROBOTS = (
-    ("paperlantern.example", 200, "User-agent: *\nDisallow: /blog/\nAllow: /blog/2026/\nCrawl-delay: 2\nSitemap: https://paperlantern.example/map.xml # main\n"),
-    ("quaellubase.example", 404, None),
-    ("minjofenmarket.example", 503, None),
-    ("ellabipress.test", 200, "user-agent: otherbot\ndisallow: /\n\nuser-agent: *\ndisallow: /p/\n"),
-)
-_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
-SITEMAPS = (
-    ("https://paperlantern.example/map.xml", f'<sitemapindex xmlns="{_NS}"><sitemap><loc>https://paperlantern.example/m1.xml</loc></sitemap><sitemap><loc>https://paperlantern.example/gone.xml</loc></sitemap></sitemapindex>'),
-    ("https://paperlantern.example/m1.xml", f'<urlset xmlns="{_NS}"><url><loc>https://paperlantern.example/x?a=1&amp;b=2</loc></url><url><loc> https://paperlantern.example/y </loc></url></urlset>'),
-    ("https://ellabipress.test/sitemap.xml", f'<urlset xmlns="{_NS}"><url><loc>https://ellabipress.test/q</loc></url></urlset>'),
-)
-
-
-def _site_links(spark: SparkSession) -> DataFrame:
-    t = spark.createDataFrame(SITE, "src string, url string")
-    return t.select(U.url_hash(U.canonical_url("src")).alias("src_hash"), "url")
-
-
-def frontier_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least depth of every page of the small site from its root, subdomains included."""
-    seeds = spark.createDataFrame([("https://site.test/",)], "url string")
-    scope = U.in_scope("url", "https://site.test/", allow_subdomains=True)
-    return G.crawl(seeds, _site_links(spark), 3, None, scope).select("url", "depth")
-
-
 def page_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crawl over the links of the fetched pages from every page's host root, two levels deep."""
     t = table(spark, sf_dir, "raw_page")
-    f = P.page_facts(t).select("id", F.explode("hrefs").alias("url"))
-    links = t.select(F.col("page_id").alias("id"), U.homepage("url").alias("home")).join(f, "id").select(U.url_hash(U.canonical_url("home")).alias("src_hash"), "url")
+    f = P.page_facts(t, carry=["url"])
+    links = f.select(U.url_hash(U.canonical_url(U.homepage("url"))).alias("src_hash"), F.explode("hrefs").alias("href")).withColumnRenamed("href", "url")
     seeds = t.select(U.homepage("url").alias("url")).where("url <> ''").distinct()
     return G.crawl(seeds, links, 2).select("url", "depth")
 
@@ -60,30 +27,8 @@ def new_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.enqueued(new, t.join(F.broadcast(deep), t.depth < deep.m).select("url_hash"))
 
 
-def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether robots permit each page, and its crawl delay."""
-    t = table(spark, sf_dir, "raw_page").select(F.col("page_id").alias("id"), U.hostname("url").alias("host"), U.path("url").alias("path"))
-    rules = spark.createDataFrame(ROBOTS, "host string, status int, body string")
-    return R.robots_verdicts(t, rules, "siltbot").withColumnRenamed("id", "page_id")
-
-
-def sitemap_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(ROBOTS, "host string, status int, body string").where("host in ('paperlantern.example', 'ellabipress.test')")
-    docs = spark.createDataFrame(SITEMAPS, "url string, body string")
-    urls, flags = R.sitemap_listing(R.sitemap_seeds(rules), docs)
-    return urls.join(flags, "host").select("host", U.canonical_url("url").alias("url"), "truncated")
-
-
-QUERIES = {f.__name__: f for f in (frontier_bfs, page_crawl, new_links, robots_allowed, sitemap_listing)}
-
-from .web_queries import _HOST, _part  # noqa: E402
+QUERIES = {f.__name__: f for f in (page_crawl, new_links)}
 
-_H, _P = _HOST("url"), _part("url", 3)
 SQL = {
-    "frontier_bfs": """WITH RECURSIVE e(s, t) AS (VALUES ('https://site.test/', 'https://site.test/a'), ('https://site.test/', 'https://site.test/b'), ('https://site.test/', 'https://sub.site.test/s'), ('https://site.test/a', 'https://site.test/b'), ('https://site.test/a', 'https://site.test/'), ('https://site.test/b', 'https://site.test/c'), ('https://site.test/c', 'https://site.test/d'), ('https://site.test/d', 'https://site.test/e'), ('https://site.test/e', 'https://site.test/a')),
-        w AS (SELECT 'https://site.test/' AS url, 0 AS depth UNION SELECT e.t, w.depth + 1 FROM w JOIN e ON e.s = w.url WHERE w.depth < 3) SELECT url, min(depth) AS depth FROM w GROUP BY url""",
     "new_links": "SELECT DISTINCT url_hash FROM frontier WHERE depth = (SELECT max(depth) FROM frontier) AND url_hash NOT IN (SELECT url_hash FROM frontier WHERE depth < (SELECT max(depth) FROM frontier))",
-    "robots_allowed": f"""SELECT page_id, CASE WHEN {_H} = 'paperlantern.example' THEN NOT (starts_with({_P}, '/blog/') AND NOT starts_with({_P}, '/blog/2026/')) WHEN {_H} = 'minjofenmarket.example' THEN false WHEN {_H} = 'ellabipress.test' THEN NOT starts_with({_P}, '/p/') ELSE true END AS allowed,
-        CASE WHEN {_H} = 'paperlantern.example' THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS delay FROM raw_page""",
-    "sitemap_listing": "SELECT * FROM (VALUES ('paperlantern.example', 'https://paperlantern.example/x?a=1&b=2', true), ('paperlantern.example', 'https://paperlantern.example/y', true), ('ellabipress.test', 'https://ellabipress.test/q', false)) t(host, url, truncated)",
 }

@@ -2,46 +2,17 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import urls as U
 from ..operators import schema as S
-from ..operators import search as H
-from ..operators import selectors as L
 from ..operators import verticals as V
 from ..operators.page_records import page_records
 from ..session import table
 
-BODIES = (
-    (1, "brave", '// saved\n{"web": {"results": [{"title": "One", "url": "https://a.test/1", "description": "d1"}, {"title": "Two", "url": "https://a.test/2", "description": "d2"}]}}'),
-    (1, "serper", '{"organic": [{"title": "S", "link": "https://s.test/", "snippet": "x", "position": 9}]}'),
-    (1, "serpapi", '{"organic_results": [{"title": "P", "link": "https://p.test/"}]}'),
-    (1, "searxng", '{"results": [{"title": "N", "url": "https://n.test/", "content": "c"}, {"title": "no url"}]}'),
-    (1, "exa", '{"results": [{"title": "E", "url": "https://e.test/", "text": "t", "future": {"x": 1}}]}'),
-    (1, "duckduckgo", '<div class="result"><a class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fd.test%2Fp%3Fq%3D1&amp;rut=z">D <b>x</b></a><a class="result__snippet">snip</a></div><div class="result"></div>'),
-    (2, "serper", "not json"),
-)
-PRODUCT = '<html><body><h1 class="title">{name}</h1><div class="box"><span class="price main-price" id="p-{k}">{price} €</span></div><ul class="tags"><li>a</li><li>b</li></ul></body></html>'
-PRODUCT_SCHEMA = {"type": "object", "required": ["name", "price"], "additionalProperties": False, "properties": {"name": {"type": "string", "x-hints": {"css_hint": "h1", "trim": True}}, "price": {"type": "number", "x-hints": {"coerce": "eur_decimal"}}}}
 EVENT_SCHEMA = {"type": "object", "required": ["k"], "additionalProperties": False, "properties": {"k": {"type": "integer", "minimum": 10, "maximum": 90}}}
 
 
-def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of one saved body per search provider."""
-    return H.hits(spark.createDataFrame(BODIES, "query_id bigint, provider string, body string"))
-
-
-def search_with_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Saved hits with the page of the first position attached."""
-    found = search_hits(spark, sf_dir)
-    pages = found.where("position = 1").select("url", F.upper("title").alias("title"), F.lit("body").alias("markdown")).dropDuplicates(["url"])
-    j = H.with_pages(found, pages, 1)
-    return j.select("query_id", "provider", "position", "url", F.coalesce("page.title", F.lit("")).alias("page_title"))
-
-
 def repo_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed records of repositories and issues."""
     t = V.records(table(spark, sf_dir, "api_body").where("extractor = 'github_repo'"), "github_repo").where("error is null and (record.full_name <> '' or record.title <> '')")
@@ -84,39 +55,17 @@ def json_path_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
 
 
-def _products(spark: SparkSession) -> DataFrame:
-    rows = [("shop.test", k, PRODUCT.format(name=f"Item {k}", price=f"{k},50", k=k), json.dumps({"name": f"Item {k}", "price": k + 0.5})) for k in range(1, 5)]
-    return spark.createDataFrame(rows, "domain string, seq int, html string, truth string")
-
-
-def selector_learn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selectors learned from labelled product pages."""
-    schema = S.RecordSchema(PRODUCT_SCHEMA, {f: p["x-hints"] for f, p in PRODUCT_SCHEMA["properties"].items()})
-    return L.learn(_products(spark), schema.hints, schema.fields)
-
-
-def selector_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of product pages by learned selectors."""
-    cache = selector_learn(spark, sf_dir)
-    pages = _products(spark).select(F.col("seq").cast("bigint").alias("id"), "domain", "html")
-    a = L.apply_selectors(pages, cache)
-    return a.select("id", F.get_json_object("record", "$.name").alias("name"), F.get_json_object("record", "$.price").cast("double").alias("price"), F.size("missing").alias("n_missing"))
-
-
 def social_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Link-preview metadata of every page."""
     r = page_records(table(spark, sf_dir, "raw_page"), "og")
     return r.select(F.col("id").alias("page_id"), F.get_json_object("record", "$.title").alias("title"), F.get_json_object("record", "$.h1").alias("h1"), "error")
 
 
-QUERIES = {f.__name__: f for f in (search_hits, search_with_pages, repo_records, story_records, question_records, thread_records, record_errors, schema_validate, json_path_walk, selector_learn, selector_apply, social_records)}
+QUERIES = {f.__name__: f for f in (repo_records, story_records, question_records, thread_records, record_errors, schema_validate, json_path_walk, social_records)}
 
 _BODY = """SELECT body_id, url, extractor, CASE WHEN starts_with(b, '"') AND json_valid(b) THEN regexp_replace(json_extract_string(b, '$'), '^[\\s\\x{FEFF}]+', '') ELSE b END AS j FROM (SELECT *, regexp_replace(regexp_replace(body, '^[\\s\\x{FEFF}]+', ''), '\\s+$', '') AS b FROM api_body WHERE status BETWEEN 200 AND 299)"""
 _OK = f"WITH t AS ({_BODY}), g AS (SELECT * FROM t WHERE CASE WHEN json_valid(j) THEN json_type(j) IN ('OBJECT', 'ARRAY') ELSE false END) "
-_HITS = "(1, 'brave', 1, 'One', 'https://a.test/1', 'd1'), (1, 'brave', 2, 'Two', 'https://a.test/2', 'd2'), (1, 'serper', 1, 'S', 'https://s.test/', 'x'), (1, 'serpapi', 1, 'P', 'https://p.test/', ''), (1, 'searxng', 1, 'N', 'https://n.test/', 'c'), (1, 'exa', 1, 'E', 'https://e.test/', 't'), (1, 'duckduckgo', 1, 'D x', 'https://d.test/p?q=1', 'snip')"
 SQL = {
-    "search_hits": f"SELECT * FROM (VALUES {_HITS}) t(query_id, provider, position, title, url, snippet)",
-    "search_with_pages": f"SELECT query_id, provider, position, url, CASE WHEN position = 1 THEN upper(title) ELSE '' END AS page_title FROM (VALUES {_HITS}) t(query_id, provider, position, title, url, snippet)",
     "repo_records": _OK + """SELECT body_id, CASE WHEN json_extract(j, '$.number') IS NOT NULL THEN 'issue' ELSE 'repo' END AS kind, coalesce(j->>'$.full_name', '') AS full_name, coalesce(TRY_CAST(j->>'$.stargazers_count' AS DOUBLE), 0.0) AS stars, lower(coalesce(j->>'$.license.name', '')) AS license, coalesce(j->>'$.title', '') AS title, coalesce(j->>'$.state', '') AS state, coalesce(TRY_CAST(j->>'$.comments' AS DOUBLE), 0.0) AS comments
         FROM g WHERE extractor = 'github_repo' AND (coalesce(j->>'$.full_name', '') <> '' OR coalesce(j->>'$.title', '') <> '')""",
     "story_records": _OK + """SELECT body_id, CASE WHEN (j->>'$.parent_id') IS NOT NULL THEN 'comment' ELSE 'story' END AS kind, j->>'$.title' AS title, coalesce(TRY_CAST(j->>'$.points' AS DOUBLE), 0.0) AS points, coalesce(j->>'$.author', '') AS author, CAST(coalesce(json_array_length(j, '$.children'), 0) AS DOUBLE) AS comments FROM g WHERE extractor = 'hackernews' AND coalesce(j->>'$.title', '') <> ''""",
@@ -125,5 +74,4 @@ SQL = {
     "record_errors": "SELECT extractor, 'status ' || coalesce(CAST(status AS VARCHAR), 'none') AS error, count(*) AS n FROM api_body WHERE NOT coalesce(status BETWEEN 200 AND 299, false) GROUP BY ALL",
     "schema_validate": "SELECT event_id, CASE WHEN k < 10 THEN '/k: minimum' WHEN k > 90 THEN '/k: maximum' ELSE '' END AS errors FROM (SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events)",
     "json_path_walk": "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events",
-    "selector_apply": "SELECT k AS id, 'Item ' || k AS name, k + 0.5 AS price, 0 AS n_missing FROM range(1, 5) t(k)",
 }
