@@ -188,4 +188,9 @@ SQL = {
         SELECT page_id, round(greatest(a, max(a - (k - 1)) OVER (PARTITION BY host ORDER BY page_id ROWS UNBOUNDED PRECEDING) + (k - 1) - 2), 6) AS admitted_s FROM e""",
     "coerce_values": "SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS INTEGER) AS BIGINT) AS i, CAST(printf('%.2f', CAST(l_extendedprice AS DOUBLE)) AS DOUBLE) AS price, strftime(l_shipdate, '%Y-%m-%d') AS day, CASE l_returnflag WHEN 'R' THEN true WHEN 'A' THEN false END AS flag FROM lineitem",
     "regex_extract": "SELECT doc_id, regexp_extract(text, '([0-9]+[.,][0-9]{2}) ?€', 1) AS price FROM documents WHERE regexp_matches(text, '([0-9]+[.,][0-9]{2}) ?€')",
+    "healer_triggers": """WITH RECURSIVE o AS (SELECT host, item_id, title IS NULL AS missing, row_number() OVER (PARTITION BY host ORDER BY item_id) AS n FROM batch_item),
+        f(host, n, item_id, ring, fire) AS (SELECT host, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BOOLEAN[]), false FROM o WHERE n = 1
+            UNION ALL SELECT host, n, item_id, CASE WHEN fire THEN CAST([] AS BOOLEAN[]) ELSE ring END, fire FROM (SELECT *, len(ring) >= 10 AND len(list_filter(ring, lambda x: x)) / len(ring) > 0.1 AS fire FROM (SELECT o.host, o.n, o.item_id, list_append(f.ring, o.missing)[-50:] AS ring FROM f JOIN o ON o.host = f.host AND o.n = f.n + 1)))
+        SELECT host, item_id FROM f WHERE fire""",
+    "word_diff": _canon("(SELECT * FROM batch_item WHERE ok)") + ", v AS (SELECT item_id, coalesce(markdown, '') AS cur, lag(coalesce(markdown, '')) OVER (PARTITION BY canonical ORDER BY ingested_at, item_id) AS prev FROM canon) SELECT item_id, '' AS diff, '' AS error FROM v WHERE prev = cur",
 }

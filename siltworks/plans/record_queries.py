@@ -15,12 +15,12 @@ EVENT_SCHEMA = {"type": "object", "required": ["k"], "additionalProperties": Fal
 
 def repo_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed records of repositories and issues."""
-    t = V.records(table(spark, sf_dir, "api_body").where("extractor = 'github_repo'"), "github_repo").where("error is null and (record.full_name <> '' or record.title <> '')")
+    t = V.records(table(spark, sf_dir, "api_body").where("extractor = 'github_repo'"), "github_repo").where("error is null")
     return t.select("body_id", "record.kind", "record.full_name", "record.stars", "record.license", "record.title", "record.state", "record.comments")
 
 
 def story_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = V.records(table(spark, sf_dir, "api_body").where("extractor = 'hackernews'"), "hackernews").where("error is null and record.title <> ''")
+    t = V.records(table(spark, sf_dir, "api_body").where("extractor = 'hackernews'"), "hackernews").where("error is null")
     return t.select("body_id", "record.kind", "record.title", "record.points", "record.author", "record.comments")
 
 
@@ -30,7 +30,7 @@ def question_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def thread_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = V.records(table(spark, sf_dir, "api_body").where("extractor = 'reddit'"), "reddit").where("error is null and record.title <> ''")
+    t = V.records(table(spark, sf_dir, "api_body").where("extractor = 'reddit'"), "reddit").where("error is null")
     return t.select("body_id", "record.title", "record.author", "record.score")
 
 
@@ -41,7 +41,7 @@ def record_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name in ("github_repo", "hackernews", "stackoverflow", "reddit"):
         part = V.records(t.where(F.col("extractor") == name), name).where("error is not null").select("extractor", "error")
         out = part if out is None else out.unionByName(part)
-    return out.where("error like 'status%'").groupBy("extractor", "error").agg(F.count("*").alias("n"))
+    return out.groupBy("extractor", "error").agg(F.count("*").alias("n"))
 
 
 def schema_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,11 +67,12 @@ _BODY = """SELECT body_id, url, extractor, CASE WHEN starts_with(b, '"') AND jso
 _OK = f"WITH t AS ({_BODY}), g AS (SELECT * FROM t WHERE CASE WHEN json_valid(j) THEN json_type(j) IN ('OBJECT', 'ARRAY') ELSE false END) "
 SQL = {
     "repo_records": _OK + """SELECT body_id, CASE WHEN json_extract(j, '$.number') IS NOT NULL THEN 'issue' ELSE 'repo' END AS kind, coalesce(j->>'$.full_name', '') AS full_name, coalesce(TRY_CAST(j->>'$.stargazers_count' AS DOUBLE), 0.0) AS stars, lower(coalesce(j->>'$.license.name', '')) AS license, coalesce(j->>'$.title', '') AS title, coalesce(j->>'$.state', '') AS state, coalesce(TRY_CAST(j->>'$.comments' AS DOUBLE), 0.0) AS comments
-        FROM g WHERE extractor = 'github_repo' AND (coalesce(j->>'$.full_name', '') <> '' OR coalesce(j->>'$.title', '') <> '')""",
-    "story_records": _OK + """SELECT body_id, CASE WHEN (j->>'$.parent_id') IS NOT NULL THEN 'comment' ELSE 'story' END AS kind, j->>'$.title' AS title, coalesce(TRY_CAST(j->>'$.points' AS DOUBLE), 0.0) AS points, coalesce(j->>'$.author', '') AS author, CAST(coalesce(json_array_length(j, '$.children'), 0) AS DOUBLE) AS comments FROM g WHERE extractor = 'hackernews' AND coalesce(j->>'$.title', '') <> ''""",
+        FROM g WHERE extractor = 'github_repo'""",
+    "story_records": _OK + """SELECT body_id, CASE WHEN (j->>'$.parent_id') IS NOT NULL THEN 'comment' ELSE 'story' END AS kind, coalesce(j->>'$.title', '') AS title, coalesce(TRY_CAST(j->>'$.points' AS DOUBLE), 0.0) AS points, coalesce(j->>'$.author', '') AS author, CAST(coalesce(json_array_length(j, '$.children'), 0) AS DOUBLE) AS comments FROM g WHERE extractor = 'hackernews'""",
     "question_records": _OK + """SELECT body_id, coalesce(j->>'$.items[0].title', '') AS title, coalesce(TRY_CAST(j->>'$.items[0].score' AS DOUBLE), 0.0) AS score, CAST(coalesce(len(list_filter(CAST(json_extract(j, '$.items') AS JSON[]), lambda x: (x->>'$.answer_id') IS NOT NULL)), 0) AS INTEGER) AS n_answers, coalesce(j->>'$.items[0].owner.display_name', '') AS owner FROM g WHERE extractor = 'stackoverflow'""",
-    "thread_records": _OK + """SELECT body_id, j->>'$[0].data.children[0].data.title' AS title, coalesce(j->>'$[0].data.children[0].data.author', '') AS author, coalesce(TRY_CAST(j->>'$[0].data.children[0].data.score' AS DOUBLE), 0.0) AS score FROM g WHERE extractor = 'reddit' AND coalesce(j->>'$[0].data.children[0].data.title', '') <> ''""",
-    "record_errors": "SELECT extractor, 'status ' || coalesce(CAST(status AS VARCHAR), 'none') AS error, count(*) AS n FROM api_body WHERE NOT coalesce(status BETWEEN 200 AND 299, false) GROUP BY ALL",
+    "thread_records": _OK + """SELECT body_id, coalesce(j->>'$[0].data.children[0].data.title', '') AS title, coalesce(j->>'$[0].data.children[0].data.author', '') AS author, coalesce(TRY_CAST(j->>'$[0].data.children[0].data.score' AS DOUBLE), 0.0) AS score FROM g WHERE extractor = 'reddit'""",
+    "record_errors": """WITH b AS (SELECT extractor, status, regexp_replace(regexp_replace(coalesce(body, ''), '^[\\s\\x{FEFF}]+', ''), '\\s+$', '') AS b FROM api_body), j AS (SELECT extractor, status, CASE WHEN starts_with(b, '"') AND json_valid(b) THEN regexp_replace(regexp_replace(json_extract_string(b, '$'), '^[\\s\\x{FEFF}]+', ''), '\\s+$', '') ELSE b END AS j FROM b)
+        SELECT extractor, CASE WHEN NOT coalesce(status BETWEEN 200 AND 299, false) THEN 'status ' || coalesce(CAST(status AS VARCHAR), 'none') ELSE 'malformed' END AS error, count(*) AS n FROM j WHERE NOT coalesce(status BETWEEN 200 AND 299, false) OR NOT json_valid(j) GROUP BY ALL""",
     "schema_validate": "SELECT event_id, CASE WHEN k < 10 THEN '/k: minimum' WHEN k > 90 THEN '/k: maximum' ELSE '' END AS errors FROM (SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events)",
     "json_path_walk": "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events",
 }

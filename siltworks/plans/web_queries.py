@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,23 @@ def _wc(md: str) -> str:
     return f"CAST(coalesce(list_sum(list_transform(list_filter(list_transform(string_split({bare}, chr(10)), lambda x: {trim}), lambda x: NOT starts_with(x, '```')), lambda x: len(list_filter(string_split_regex(regexp_replace(x, '[#*_`>~\\-|\\[\\]()!]+', ' ', 'g'), '[{_SP}]+'), lambda w: w <> '')))), 0) AS INTEGER)"
 
 
+def _unescaped(text: str) -> str:
+    """SQL for a text with its numeric and Latin entities read."""
+    known = "map {" + ", ".join(f"'{n}': {c}" for n, c in name2codepoint.items() if c < 256 or 0x2010 <= c < 0x2040) + "}"
+    whole = "regexp_matches(x, '^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z]+[0-9]*);')"
+    name, rest = "regexp_extract(x, '^([^;]*);', 1)", "regexp_replace(x, '^[^;]*;', '')"
+    code = f"CASE WHEN starts_with(lower({name}), '#x') THEN CAST('0x' || substr({name}, 3) AS INTEGER) WHEN starts_with({name}, '#') THEN CAST(substr({name}, 2) AS INTEGER) ELSE {known}[{name}] END"
+    return f"array_to_string(list_transform(string_split({text}, '&'), lambda x, i: CASE WHEN i = 1 THEN x WHEN {whole} AND {code} IS NOT NULL THEN chr({code}) || {rest} ELSE '&' || x END), '')"
+
+
+def _plain(md: str) -> str:
+    """The thirteen replacements of plain text as nested calls."""
+    t = md
+    for pattern, to in ((X.IMAGE, ""), (X.LINK, "\\1"), (X.HEADING, ""), (X.BOLD, "\\1"), (X.ITALIC, "\\1\\2\\3"), (X.CODE, "\\1"), (r"(?m)^\s*>\s?", ""), (X.FENCE, ""), ("`", ""), (r"\*", ""), (r"[ \t]+", " "), (r"(?m)^[ \t]+", ""), (r"\n{3,}", "\n\n")):
+        t = f"regexp_replace({t}, '{pattern}', '{to}', 'g')"
+    return f"regexp_replace({t}, '^[{_SP}]+|[{_SP}]+\\z', '', 'g')"
+
+
 def url_canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical form and hash of every frontier URL."""
     c = U.canonical_url("url")
@@ -211,7 +230,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (url_canonicalize, url_parts, url_dedup, crawl_scope_filter, homepage_warmup, page_title, page_links, link_host_counts, page_script_facts, brand_surface, fallback_markdown, main_markdown, hidden_stripped, dom_scope, strip_tags_words, word_count_items, plain_text_items, llm_body_items, llm_header_items, cap_tokens_docs, cap_words_docs, truncate_sentences_docs, content_hash_docs, markdown_links, challenge_pages, quality_classify, retry_outcome, clean_composite, ssrf_url_check, footer_links, corpus)}
 
 _LINKRE = '\\[([^\\]]*)\\]\\(([^)\\s]+)(?:\\s+"[^"]*")?\\)'
-_PAGELINKS = "(SELECT page_id, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href ELSE " + f"lower({_part('u', 1)}) || '://' || {_HOSTPORT('u')}" + " || href END AS url FROM (SELECT page_id, u, trim(h) AS href FROM (SELECT page_id, url AS u, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<script.*?</script>', '', 'g'), '<a [^>]*?href=\"([^\"]*)\"', 1)) AS h FROM raw_page WHERE html IS NOT NULL)))"
+_PAGELINKS = "(SELECT page_id, u, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href ELSE " + f"lower({_part('u', 1)}) || '://' || {_HOSTPORT('u')}" + " || href END AS url FROM (SELECT page_id, u, trim(h) AS href FROM (SELECT page_id, url AS u, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<script.*?</script>', '', 'g'), '<a [^>]*?href=\"([^\"]*)\"', 1)) AS h FROM raw_page WHERE html IS NOT NULL)))"
 
 SQL = {
     "url_canonicalize": _canon("frontier") + "SELECT seq, canonical, sha256(canonical) AS hash, sha256(canonical) = url_hash AS same FROM canon",
@@ -241,4 +260,13 @@ SQL = {
     "brand_surface": """WITH c AS (SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '(?s)<style>(.*?)</style>', 1), lambda x: x), chr(10)) AS css FROM raw_page WHERE html IS NOT NULL AND html <> '')
         SELECT page_id, coalesce(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(css, '#[0-9a-fA-F]{3,8}\\b'), lambda x: lower(x)))), ','), '') AS colors,
         coalesce(array_to_string(list_sort(list_distinct(list_transform(flatten(list_transform(regexp_extract_all(css, '(?i)font-family\\s*:\\s*([^;{}]+)', 1), lambda x: string_split(x, ','))), lambda y: trim(trim(y), '"''')))), ','), '') AS fonts FROM c""",
+    "cap_tokens_docs": "WITH d AS (SELECT doc_id, text, CASE WHEN strlen(text) // 4 > 100 THEN text[1:list_max(list_filter(range(1, 401), lambda i: strlen(text[1:i]) <= 400))] END AS head FROM documents), h AS (SELECT doc_id, CASE WHEN head IS NULL THEN text WHEN strlen(regexp_extract(head, '(?s)^(.*)\n', 1)) > 200 THEN regexp_extract(head, '(?s)^(.*)\n', 1) ELSE head END AS t FROM d) SELECT doc_id, strlen(t) AS bytes, md5(t) AS text_md5 FROM h",
+    "plain_text_items": "SELECT item_id, md5(t) AS text_md5, length(t) AS n_chars FROM (SELECT item_id, " + _plain("markdown") + " AS t FROM batch_item WHERE markdown IS NOT NULL)",
+    "footer_links": r"""WITH m AS (SELECT item_id, regexp_extract_all(markdown, '(!?\[([^\]]*)\]\(([^)\s]+)(?:\s+"[^"]*")?\))', 1) AS l FROM batch_item WHERE markdown IS NOT NULL),
+        e AS (SELECT item_id, generate_subscripts(l, 1) AS i, unnest(l) AS x FROM m), p AS (SELECT item_id, i, starts_with(x, '!') AS image, regexp_extract(x, '\[([^\]]*)\]', 1) AS t, regexp_extract(x, '\]\(([^)\s]+)', 1) AS u FROM e),
+        f AS (SELECT item_id, image, u, arg_min(t, i) AS t FROM p WHERE image OR NOT starts_with(u, '#') GROUP BY ALL), c AS (SELECT item_id, count(*) FILTER (NOT image AND NOT regexp_matches(u, '(?i)(/page/\d+|#comments|#reply|reply-to|comment-\d+)') AND NOT contains(lower(CASE WHEN trim(t) = '' THEN u ELSE t END), 'reply')) AS links, count(*) FILTER (image) AS images FROM f GROUP BY item_id)
+        SELECT item_id, CAST(coalesce(links, 0) AS INTEGER) AS links, CAST(coalesce(images, 0) AS INTEGER) AS images FROM m LEFT JOIN c USING (item_id)""",
+    "challenge_pages": f"""WITH r AS (SELECT page_id, html, lower(html) AS low, coalesce(status, 0) AS status, headers, strlen(html) < 15360 AS small, {_wc('html')} < 200 AS thin FROM raw_page WHERE html IS NOT NULL), m AS (SELECT *, ({" OR ".join(f"contains(low, '{m}')" for m in X.CHALLENGE_MARKERS)}) AS marker FROM r)
+        SELECT page_id, marker, CASE WHEN len(list_filter(map_entries(headers), lambda e: lower(e.key) = 'cf-mitigated')) > 0 THEN 'cloudflare' WHEN html = '' OR NOT small OR NOT thin THEN '' {" ".join("WHEN " + " AND ".join(f"contains(low, '{w}')" for w in ws) + f" THEN '{v}'" for ws, v in Q.SIGNATURES)} ELSE '' END AS vendor, thin AND small AND (status IN (401, 403, 429, 503) OR marker) AS challenge FROM m""",
+    "page_title": f"SELECT page_id, {_unescaped("regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '^\\s+|\\s+$', '', 'g')")} AS title, coalesce(regexp_extract(html, '(?i)<html[^>]* lang=\"([^\"]*)\"', 1), '') AS lang FROM raw_page WHERE html <> ''",
 }
