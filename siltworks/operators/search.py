@@ -68,3 +68,57 @@ def with_pages(found: DataFrame, pages: DataFrame, top: int) -> DataFrame:
     page = pages.select("url", F.struct(*(c for c in pages.columns if c != "url")).alias("page"))
     joined = found.where(F.col("position") <= top).join(page, "url", "left")
     return joined.unionByName(found.where(F.col("position") > top).withColumn("page", F.lit(None).cast(joined.schema["page"].dataType)))
+
+
+# The public endpoints of the providers; {base} is the caller's own instance.
+ENDPOINTS = {
+    "brave": ("GET", "https://api.search.brave.com/res/v1/web/search?q={q}&count={n}", "X-Subscription-Token"),
+    "serper": ("POST", "https://google.serper.dev/search", "X-API-KEY"),
+    "serpapi": ("GET", "https://serpapi.com/search.json?engine=google&q={q}&num={n}&api_key={key}", ""),
+    "searxng": ("GET", "{base}/search?q={q}&format=json", ""),
+    "exa": ("POST", "https://api.exa.ai/search", "x-api-key"),
+    "duckduckgo": ("GET", "https://html.duckduckgo.com/html/?q={q}", ""),
+}
+
+
+class SearchError(RuntimeError):
+    """A search that can't be asked."""
+
+
+def request(provider: str, query: str, limit: int = 10, key: str = "", base: str = "") -> dict:
+    """method, url, headers and body of a search; unknown providers, and absent keys or instances, are errors."""
+    import json
+    from urllib.parse import quote_plus
+
+    if provider not in ENDPOINTS:
+        raise SearchError(f"unknown provider {provider!r}")
+    method, url, name = ENDPOINTS[provider]
+    if (name or "{key}" in url) and not key:
+        raise SearchError(f"{provider} needs a key")
+    if "{base}" in url and not base:
+        raise SearchError(f"{provider} needs an instance")
+    body = {"serper": {"q": query, "num": limit}, "exa": {"query": query, "numResults": limit, "contents": {"text": True}}}.get(provider)
+    return {"method": method, "url": url.format(q=quote_plus(query), n=limit, key=quote_plus(key), base=base.rstrip("/")), "headers": {name: key} if name else {}, "body": json.dumps(body) if body else None}
+
+
+def searched(queries: DataFrame, transport, keys: dict[str, str] | None = None, base: str = "", limit: int = 10) -> DataFrame:
+    """Hits of queries (query_id, provider, query) asked over transport(request) -> body; a failed search has a row with its error and no hit."""
+    keys = keys or {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, provider, query in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    rows.append((i, provider, transport(request(provider, query or "", limit, keys.get(provider, ""), base)), None))
+                except Exception as e:  # a failed search is data on the row
+                    rows.append((i, provider, None, str(e)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.string()))], names=["query_id", "provider", "body", "error"])
+
+    from ..session import checkpointed
+
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "provider", "query").mapInArrow(run, "query_id bigint, provider string, body string, error string")
+    asked = checkpointed(asked)  # a search is asked once
+    failed = asked.where("error is not null").select("query_id", "provider", F.lit(None).cast("int").alias("position"), F.lit("").alias("title"), F.lit("").alias("url"), F.lit("").alias("snippet"), "error")
+    return hits(asked.where("error is null"), limit).select("query_id", "provider", "position", "title", "url", "snippet", F.lit(None).cast("string").alias("error")).unionByName(failed)

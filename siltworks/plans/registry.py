@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("nested_queries", "web_queries", "ledger_queries", "graph_queries", "record_queries", "vertical_queries", "value_queries", "flow_queries", "page_queries")
+MODULES = ("nested_queries", "web_queries", "ledger_queries", "graph_queries", "record_queries", "vertical_queries", "value_queries", "flow_queries", "page_queries", "stream_queries")
 
 
 def _gather(attribute: str) -> dict:

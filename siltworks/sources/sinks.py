@@ -87,3 +87,49 @@ def webhook_sink(post: Callable[[str], int], record: Callable[[str, str], None])
                 record(r.url, f"error: {e}")
 
     return each
+
+
+def write_records(df: DataFrame, path: str, keys: list[str], at: str = "updated_at") -> int:
+    """Puts rows into the keyed record table at path; rows of equal keys are replaced by the latest, so a delivery twice changes nothing.
+
+    Each write is a new version of the table; the number of the version is returned. A version
+    counts once it is complete, so a lost writer leaves the table as it was. Older versions stay
+    until drop_versions.
+    """
+    from ..operators.ledger import upserted
+
+    spark = df.sparkSession
+    last = _version(spark, path)
+    none = spark.createDataFrame([], df.schema)
+    merged = upserted(spark.read.parquet(f"{path}/v={last}") if last else none, df, keys)
+    merged.write.mode("overwrite").parquet(f"{path}/v={last + 1}")
+    return last + 1
+
+
+def read_records(spark, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/v={_version(spark, path)}")
+
+
+def drop_versions(spark, path: str) -> None:
+    """Deletes all versions but the last complete one."""
+    last = _version(spark, path)
+    fs, at = _files(spark, path)
+    for s in fs.listStatus(at) if fs.exists(at) else []:
+        name = s.getPath().getName()
+        if name.startswith("v=") and int(name[2:]) < last:
+            fs.delete(s.getPath(), True)
+
+
+def _files(spark, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _version(spark, path: str) -> int:
+    """The last complete version, 0 if there is none."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at):
+        return 0
+    child = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    done = [int(s.getPath().getName()[2:]) for s in fs.listStatus(at) if s.getPath().getName().startswith("v=") and fs.exists(child(s.getPath(), "_SUCCESS"))]
+    return max(done, default=0)
