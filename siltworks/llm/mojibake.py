@@ -36,6 +36,8 @@ _RUN = re.compile(r"[^\x00-\x7f]+")
 _LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 #: Encodings that UTF-8 bytes are read as by mistake.
 WRONG = ("cp1252", "latin-1", "mac_roman", "cp850", "cp437", "cp1251", "koi8-r", "cp866", "cp1250", "iso8859-15")
+#: Encodings of several bytes a character that UTF-8 is read as; a character may have swallowed the ASCII letter after it.
+WIDE = ("gbk", "big5", "shift_jis", "euc_kr")
 #: Single-byte mix-ups: (read as, meant). Runs shorter than SHORTEST are left to the UTF-8 chains.
 SINGLE = (("cp1252", "cp1251"), ("cp1252", "koi8-r"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("mac_roman", "cp1251"), ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp850", "cp1252"), ("cp1252", "cp850"))
 SHORTEST = 3
@@ -65,11 +67,23 @@ _ENC = {name: _tables(name) for name in {*WRONG, *(x for p in SINGLE for x in p)
 
 def _bytes(run: str, name: str) -> bytes | None:
     try:
+        if name in WIDE:
+            return run.encode(name)
         return run.translate(_ENC[name][0]).encode("latin-1")
     except UnicodeEncodeError:
         return None
 
 
+def _chars(raw: bytes, name: str) -> str | None:
+    """The bytes as the encoding reads them; None where one of several bytes a character can't."""
+    if name not in WIDE:
+        return raw.decode("latin-1").translate(_ENC[name][1])
+    try:
+        return raw.decode(name)
+    except UnicodeDecodeError:
+        return None
+
+
 def _utf8(run: str, name: str) -> str | None:
     raw = _bytes(run, name)
     if raw is None:
@@ -83,7 +97,7 @@ def _utf8(run: str, name: str) -> str | None:
 def readings(run: str) -> list[tuple[str, str]]:
     """(chain, text) of every chain that can have garbled the run."""
     out, seen = [], set()
-    for name in WRONG:
+    for name in (*WRONG, *WIDE):
         got = _utf8(run, name)
         if got is None or got == run or got in seen:
             continue
@@ -117,7 +131,9 @@ def garbled(run: str, chain: str) -> str | None:
             return None
         if raw is None:
             return None
-        run = raw.decode("latin-1").translate(_ENC[name][1])
+        run = _chars(raw, name)
+        if run is None:
+            return None
     return run
 
 
@@ -170,7 +186,7 @@ def _is_clean(run: str) -> bool:
     """Whether no usual chain makes readable text of the run; Latin, Greek, Cyrillic and common signs are readable."""
     if _LOST.search(run):
         return False
-    return not any((x := _utf8(run, name)) and all(c < "\u0530" or "\u2000" <= c <= "\u2122" for c in x) for name in WRONG[:6])
+    return not any((x := _utf8(run, name)) and all(c < "\u0530" or "\u2000" <= c <= "\u2122" for c in x) for name in (*WRONG[:6], *WIDE))
 
 
 def train(texts: DataFrame) -> tuple[np.ndarray, list[str]]:

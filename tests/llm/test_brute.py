@@ -344,6 +344,13 @@ def test_repair_round_trip():
             bad = "the " + w.encode().decode("latin-1").translate(mojibake._ENC[wrong][1]) + " was"
             fixed, chains = r.repaired(bad)
             assert fixed == text and chains, (w, wrong, bad, fixed)
+    for w, wrong in (("café", "gbk"), ("señor", "gbk"), ("naïve", "big5"), ("дорога", "euc_kr"), ("дорога", "gbk")):
+        raw = f"the {w} was".encode()
+        try:
+            bad = raw.decode(wrong)
+        except UnicodeDecodeError:
+            continue
+        assert r.repaired(bad)[0] == f"the {w} was", (w, wrong, bad, r.repaired(bad))
     assert not r.is_garbled("LA FENÊTRE DU CHÂTEAU, L’ÂGE D’OR, 12 ± 2 °C")
 
 
