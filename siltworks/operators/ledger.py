@@ -111,7 +111,8 @@ def cost_ceiling(calls: DataFrame, keys: list[str], order: list[str], cost: str,
 
     Once a call is refused all later ones of the key are.
     """
+    from .sequences import running
+
     flat = F.lit(False) if flat_rate is None else flat_rate
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spent = F.sum(F.when(flat, 0.0).otherwise(F.coalesce(F.col(cost), F.lit(0.0)))).over(w)
-    return calls.withColumn("running_cost", spent).withColumn("aborted", F.max((F.col("running_cost") > ceiling) & ~flat).over(w))
+    spent = running(calls, keys, order, {"running_cost": F.when(flat, 0.0).otherwise(F.coalesce(F.col(cost), F.lit(0.0)))})
+    return running(spent, keys, order, maxima={"aborted": (F.col("running_cost") > ceiling) & ~flat})

@@ -11,9 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 # Fixed values of the healing window and of adaptive pacing.
 WINDOW, THRESHOLD, RETAINED = 50, 0.30, 3
 BACKOFF_CAP_S, RETRY_AFTER_CAP_S = 60.0, 300.0
@@ -110,29 +112,61 @@ def throttle_delays(events: DataFrame, host: str, seq: str, status: str, retry_a
     return walked(wanted, [host], ["_s"], lambda: (0.0, 0), lambda st, row: ((throttle_step(st[0], row[1], row[2], floor), st[1] + 1), None), lambda st: st, f"{host} string, delay_s double, responses bigint", [pa.string(), pa.float64(), pa.int64()])
 
 
+#: Rows of one key beyond which running values are worked out in blocks of its order.
+HOT_ROWS = 1_000_000
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """df with running sums and maxima of each key's rows in order, the row itself included.
+
+    Sums and maxima add up over stretches of the order. Where a key holds more than hot_rows rows
+    (counted), rows are put into ranges of (key, order), each range is worked out by itself, and
+    the totals of a key's earlier ranges, a table of one row per key and range, are carried in:
+    no task holds a hot key. The values are the same either way.
+    """
+    sums, maxima = sums or {}, maxima or {}
+    both = {n: (F.sum, c) for n, c in sums.items()} | {n: (F.max, c) for n, c in maxima.items()}
+
+    def window(by: list[str]):
+        return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    most = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= hot_rows:
+        return df.withColumns({n: f(c).over(window(keys)) for n, (f, c) in both.items()})
+    ranged = checkpointed(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    totals = ranged.groupBy(*keys, "_range").agg(*(f(c).alias(f"_{n}") for n, (f, c) in both.items()))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_range").alias("_r"), *(f(F.col(f"_{n}")).over(before).alias(f"_{n}") for n, (f, _) in both.items()))
+    own = ranged.withColumns({n: f(c).over(window([*keys, "_range"])) for n, (f, c) in both.items()})
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = own.join(carried, same, "left")
+    out = {n: F.coalesce(F.col(f"_{n}"), F.lit(0)) + F.col(n) for n in sums} | {n: F.greatest(F.col(f"_{n}"), F.col(n)) for n in maxima}
+    return joined.withColumns(out).select(*df.columns, *both)
+
+
 def admissions(events: DataFrame, host: str, order: str, at_s: str, rate: float = 1.0, burst: int = 3) -> DataFrame:
     """Admission time of each request of a host under a token bucket: with a full bucket at first, request k waits for k - burst tokens.
 
     The k-th request enters no earlier than the (k - burst)-th plus burst intervals; unfolded this is a running maximum.
     """
-    w = Window.partitionBy(host).orderBy(order)
-    k = F.row_number().over(w)
-    lead = F.max(F.col(at_s) - (F.col("_k") - 1) / rate).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return events.withColumn("_k", k).withColumn("admitted_s", F.greatest(F.col(at_s), lead + (F.col("_k") - 1) / rate - (burst - 1) / rate)).drop("_k")
+    numbered = running(events, [host], [order], {"_k": F.lit(1)})
+    led = running(numbered, [host], [order], maxima={"_lead": F.col(at_s) - (F.col("_k") - 1) / rate})
+    return led.withColumn("admitted_s", F.greatest(F.col(at_s), F.col("_lead") + (F.col("_k") - 1) / rate - (burst - 1) / rate)).drop("_k", "_lead")
 
 
 def every_nth(events: DataFrame, keys: list[str], order: list[str], n: int = 25) -> DataFrame:
     """Every n-th row of each key, as flush points."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return events.withColumn("position", F.row_number().over(w)).where(F.col("position") % n == 0)
+    return running(events, keys, order, {"position": F.lit(1)}).withColumn("position", F.col("position").cast("int")).where(F.col("position") % n == 0)
 
 
 def round_robin(requests: DataFrame, order: list[str], pool: list[str], keys: list[str]) -> DataFrame:
     """Requests of each key dealt over the pool in turn."""
     if not pool:
         raise ValueError("empty pool")
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return requests.withColumn("proxy", F.element_at(F.array(*map(F.lit, pool)), F.pmod(F.row_number().over(w) - 1, F.lit(len(pool))) + 1))
+    numbered = running(requests, keys, order, {"_k": F.lit(1)})
+    return numbered.withColumn("proxy", F.element_at(F.array(*map(F.lit, pool)), (F.pmod(F.col("_k") - 1, F.lit(len(pool))) + 1).cast("int"))).drop("_k")
 
 
 def retry_schedule(tries: int = 4, start_s: float = 0.5, factor: float = 2.0, cap_s: float = 30.0, budget_s: float = 120.0) -> list[float]:
