@@ -7,12 +7,16 @@ import re
 from .dom import Node, select
 
 _DROP = frozenset("script style noscript template nav aside footer form iframe svg button head".split())
-_ROLE = re.compile(r"(?i)(^|[\s_-])(nav|menu|footer|sidebar|cookie|consent|share|social|breadcrumb|related|promo|advert|ad|comments?)([\s_-]|$)")
+_ROLE = re.compile(r"(?i)(?:[a-z0-9]+[-_]+)*(?:nav|navbar|menu|footer|sidebar|cookies?|consent|share|sharing|social|breadcrumbs?|related|promo|advert|ads?|comments?|byline|newsletter)(?:[-_]+(?!less|free|off|none|no\b)[a-z0-9]+)*")
+_INNER = frozenset("a abbr b br cite code em i img q small span strong sub sup time mark u s label button option script style title".split())
 _WS = re.compile(r"\s+")
 
 
 def _dropped(n: Node) -> bool:
-    return n.tag in _DROP or n.tag in ("header",) and not select(n, "h1") or bool(_ROLE.search(n.attrs.get("class", "") + " " + n.attrs.get("id", ""))) or n.attrs.get("role") in ("navigation", "banner", "contentinfo")
+    if n.tag in _DROP or n.attrs.get("role") in ("navigation", "banner", "contentinfo"):
+        return True
+    names = (n.attrs.get("class", "") + " " + n.attrs.get("id", "")).split()
+    return (n.tag == "header" or any(map(_ROLE.fullmatch, names))) and not select(n, "h1")
 
 
 def _text_size(n: Node, links: bool = False) -> int:
@@ -36,17 +40,17 @@ def main_node(root: Node) -> Node | None:
             if _text_size(best) >= 80:
                 return best
     scores: dict[int, tuple[float, Node]] = {}
-    for p in select(root, "p, pre, blockquote, td, li"):
-        up = p.parent
-        if up is None or any(_dropped(a) for a in _line(p)):
+    for p in root.elements():
+        # what holds text of its own speaks for the element around it
+        if p.tag in _INNER or not any(c.tag == "#text" and c.text.strip() for c in p.children) or any(_dropped(a) for a in _line(p)):
             continue
         worth = _text_size(p) - 2 * _text_size(p, links=True)
-        if worth < 25:
+        up = p.parent
+        if worth < 25 or up is None:
             continue
-        while up is not None and up.tag in ("ul", "ol", "tr", "tbody", "table", "blockquote"):
+        while up.parent is not None and up.tag in ("ul", "ol", "tr", "tbody", "table", "blockquote"):
             up = up.parent
-        if up is not None:
-            scores[id(up)] = (scores.get(id(up), (0, up))[0] + worth, up)
+        scores[id(up)] = (scores.get(id(up), (0, up))[0] + worth, up)
     return max(scores.values(), key=lambda s: s[0])[1] if scores else None
 
 
