@@ -11,6 +11,8 @@ from .operators import clean, diff, extraction, facts, frontier, robots, search,
 from .operators.schema import RecordSchema
 from .session import importable
 
+#: Pages of a batch.
+BATCH = 100
 FORMATS = ("markdown", "llm", "text", "json", "html", "raw")
 
 
@@ -42,8 +44,10 @@ class Engine:
         out = c.join(raw, "page_id") if fmt == "raw" else c
         return out.select("page_id", "url", "title", content.alias("content"), "word_count", F.nullif("quality", F.lit("")).alias("error"))
 
-    def batch(self, pages: DataFrame, order: str = "pos") -> DataFrame:
-        """(url, ok, title, markdown, error) in input order; failures are data on the row."""
+    def batch(self, pages: DataFrame, order: str = "pos", limit: int | None = BATCH) -> DataFrame:
+        """(url, ok, title, markdown, error) in input order; failures are data on the row; more than ``limit`` pages are an error before any work."""
+        if limit is not None and pages.select(order).limit(limit + 1).count() > limit:
+            raise OptionError(f"a batch holds at most {limit} pages")
         s = self.scrape(pages).withColumnRenamed("content", "markdown")
         j = pages.select("page_id", F.col("url").alias("asked"), order).join(s.drop("url"), "page_id", "left")
         error = F.coalesce("error", F.when(F.col("markdown").isNull(), "no body"))
@@ -51,8 +55,8 @@ class Engine:
 
     def crawl(self, pages: DataFrame, seed: str, max_depth: int = 3, max_pages: int | None = 100, scope: Column | None = None) -> DataFrame:
         """Pages reached from the seed over the links of the given pages, with depth."""
-        f = facts.page_facts(pages, carry=["url"]).select(U.url_hash(U.canonical_url("url")).alias("src_hash"), F.explode("hrefs").alias("href"))
-        links = f.select("src_hash", F.col("href").alias("url"))
+        f = facts.page_facts(pages, carry=["url"]).select(F.col("url").alias("src"), F.explode("hrefs").alias("url"))
+        links = f.select(U.url_hash(U.canonical_url("src")).alias("src_hash"), "url")
         seeds = self.spark.createDataFrame([(seed,)], "url string")
         return frontier.crawl(seeds, links, max_depth, max_pages, U.in_scope("url", seed) if scope is None else scope)
 

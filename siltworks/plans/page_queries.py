@@ -91,7 +91,7 @@ def built_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def built_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch in input order: failed pages are rows with an error."""
     p = _pages(spark, sf_dir).withColumns({"final_url": F.lit(None).cast("string"), "status": F.when(F.col("p_size") % 3 == 0, 503).otherwise(200), "pos": F.col("page_id")})
-    b = Engine(spark).batch(p)
+    b = Engine(spark).batch(p, limit=None)
     return b.where("not ok or markdown is not null").select("url", "pos", F.when(F.col("error") == "unavailable", "unavailable").otherwise("").alias("error"))
 
 

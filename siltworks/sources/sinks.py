@@ -6,7 +6,7 @@ import json
 import subprocess
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: Rows of a JSON array document, which is one value in one place.
@@ -72,6 +72,25 @@ def export_process(df: DataFrame, command: list[str]) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("j")).mapInPandas(run, "partition int, sent bigint, code int, message string")
 
 
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """df, and what can be asked after it has run: the number of its rows, and further aggregates by name. Counted while rows pass, in no pass of its own."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in metrics.items())), seen
+
+
+def record_hook(each: Callable[[dict], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that hands every row of a batch to a function, in the executors; a failing hook fails no batch."""
+
+    def one(rows: Iterator) -> None:
+        for r in rows:
+            try:
+                each(r.asDict(True))
+            except Exception:  # a hook must not stop the stream
+                continue
+
+    return lambda batch, epoch: batch.foreachPartition(one)
+
+
 def webhook_payload(row: dict) -> str:
     return json.dumps({k: row.get(k) for k in ("url", "changed", "old_hash", "new_hash", "diff")}, ensure_ascii=False)
 

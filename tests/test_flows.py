@@ -119,3 +119,26 @@ def test_robots_by_join_and_by_broadcast(spark, monkeypatch):
     assert {r.id: r.allowed for r in robots.robots_verdicts(pages, files, "bot").collect()} == want
     monkeypatch.setattr(robots, "BROADCAST_BYTES", -1)
     assert {r.id: r.allowed for r in robots.robots_verdicts(pages, files, "bot").collect()} == want
+
+
+def test_progress_and_record_hooks(spark, tmp_path):
+    df, seen = sinks.observed(spark.range(10), "ten", odd=F.count_if(F.col("id") % 2 == 1))
+    assert df.count() == 10 and seen.get == {"rows": 10, "odd": 5}
+    at = str(tmp_path / "hook")
+
+    def each(row):
+        if row["id"] == 3:
+            raise ValueError
+        with open(f"{at}-{row['id']}", "w"):
+            pass
+
+    sinks.record_hook(each)(spark.range(5), 0)
+    assert len(list(tmp_path.iterdir())) == 4
+
+
+def test_a_batch_has_a_limit(spark):
+    from siltworks.api import Engine, OptionError
+
+    pages = spark.range(101).selectExpr("id as page_id", "id as pos", "'https://a.test/' as url", "'' as final_url", "200 as status", "'<p>x</p>' as html")
+    with pytest.raises(OptionError):
+        Engine(spark).batch(pages)
