@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import checkpointed, table
 from .language import LANGUAGES, OTHER, language_of
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -118,10 +118,11 @@ DEFAULT = _default()
 
 def _measured(docs: DataFrame, familiar: list[frozenset]) -> DataFrame:
     """(id, lang, unfamiliar, sentence) of every document with words."""
+    sent = docs.sparkSession.sparkContext.broadcast(familiar)  # bounded by the share, see above
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, *got) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (got := measures(t, familiar))]
+            rows = [(i, *got) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (got := measures(t, sent.value))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.float64(), pa.float64()))], names=["id", "lang", "unfamiliar", "sentence"])
 
@@ -132,18 +133,19 @@ def reading_levels(df: DataFrame, labels: DataFrame | None, id_col: str = "doc_i
     """(id, lang, unfamiliar, sentence, score, level) of every document with words.
 
     labels: (id_col, level); at most MAX_LABELS of them are used for the fit. level is the
-    number of boundaries passed, plus one; score is the log odds of level 4 or more.
+    number of boundaries passed, plus one; score is the log odds of level 4 or more. Texts are
+    read twice, for the list and for the measures; fit and grading read the measures alone.
     """
     docs = _texts(df, id_col, text_col)
     known: list[set] = [set() for _ in range(OTHER + 1)]
     for r in familiar_words(df, text_col).toLocalIterator():
         known[r.lang].add(r.word)
-    familiar = [frozenset(x) for x in known]
+    measured = checkpointed(_measured(docs, [frozenset(x) for x in known]))
     weights = DEFAULT
     if labels is not None:
         wanted = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col("level").cast("int").alias("label")).where("id is not null and label between 1 and 5").dropDuplicates(["id"])
         sample = wanted.orderBy(F.xxhash64("id")).limit(MAX_LABELS)
-        fitted = _measured(docs.join(sample, "id", "left_semi"), familiar).join(sample, "id").toPandas()
+        fitted = measured.join(sample, "id").toPandas()  # one row per label
         if len(fitted) >= 50 and fitted.label.nunique() == 5:
             weights = fit_boundaries(fitted[["lang", "unfamiliar", "sentence"]].to_numpy(float), fitted.label.to_numpy())
 
@@ -154,7 +156,7 @@ def reading_levels(df: DataFrame, labels: DataFrame | None, id_col: str = "doc_i
             odds = design(np.column_stack([batch.column(k).to_numpy() for k in (1, 2, 3)]).astype(float)) @ weights.T
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odds[:, 2]), pa.array((1 + (odds > 0).sum(axis=1)).astype(np.int32))], names=["id", "lang", "unfamiliar", "sentence", "score", "level"])
 
-    return _measured(docs, familiar).mapInArrow(grade, "id bigint, lang int, unfamiliar double, sentence double, score double, level int")
+    return measured.mapInArrow(grade, "id bigint, lang int, unfamiliar double, sentence double, score double, level int")
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
