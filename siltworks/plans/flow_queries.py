@@ -116,6 +116,27 @@ def seeded_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.seeded(seed, listed, U.path("url").startswith("/blog/"), None)
 
 
+def crawl_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty pages of the crawl: whole levels in order, each by URL (the cap is the feature)."""
+    links = _chain(spark, sf_dir).select(U.url_hash(U.canonical_url("src")).alias("src_hash"), "url")
+    t = table(spark, sf_dir, "batch_item").where("url is not null")
+    seeds = t.groupBy("host").agg(F.min("url").alias("url")).orderBy("url").limit(3).select("url")
+    return G.crawl(seeds, links, 3, 20).select("url", "depth")
+
+
+def cacheable_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of a schema for which no selector was learned."""
+    known = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("name"))).otherwise(F.array(F.lit("size"), F.lit("name")))
+    t = table(spark, sf_dir, "part").select("p_partkey", F.array(*map(F.lit, ("size", "price", "name"))).alias("fields"), known.alias("known"))
+    return C.cacheable(t, "fields", "known").select("p_partkey", F.concat_ws(",", "non_cacheable").alias("non_cacheable"))
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model is asked: embedded data first, then the page, then what the caller adds."""
+    side = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('{"n": "'), "p_name", F.lit('"}')))
+    return table(spark, sf_dir, "part").select("p_partkey", X.prompt(side, F.nullif("p_type", F.lit("ECONOMY")), "Be brief.").alias("prompt"))
+
+
 #: A product page as a shop would print it.
 PRODUCT = '<html><body><h1 class="title">%s</h1><div class="box"><span class="price main-price" id="p-%s">%s €</span></div><ul class="tags"><li>%s</li><li>b</li></ul></body></html>'
 PRODUCT_SCHEMA = {"type": "object", "required": ["name", "price"], "additionalProperties": False, "properties": {"name": {"type": "string", "x-hints": {"css_hint": "h1", "trim": True}}, "price": {"type": "number", "x-hints": {"coerce": "eur_decimal"}}}}
@@ -287,7 +308,7 @@ def cached_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        search_hits, search_with_pages, robots_allowed, sitemap_listing, frontier_bfs, seeded_urls, selector_learn, selector_apply, selector_heal, repaired_answers, model_summaries, jsonl_round_trip, csv_round_trip, array_document, appended_records, exported, url_list_file, whole_files, captured_requests, required_records, one_run, fetch_telemetry, run_events, table_counts, cached_selectors,
+        search_hits, search_with_pages, robots_allowed, sitemap_listing, frontier_bfs, crawl_capped, seeded_urls, cacheable_fields, prompts, selector_learn, selector_apply, selector_heal, repaired_answers, model_summaries, jsonl_round_trip, csv_round_trip, array_document, appended_records, exported, url_list_file, whole_files, captured_requests, required_records, one_run, fetch_telemetry, run_events, table_counts, cached_selectors,
     )
 }
 
@@ -302,6 +323,11 @@ SQL = {
     "sitemap_listing": _canon("(SELECT DISTINCT host, regexp_replace(url, '#.*$', '') AS url FROM batch_item WHERE url IS NOT NULL AND host IN (SELECT host FROM batch_item WHERE url IS NOT NULL GROUP BY host HAVING count(DISTINCT item_id % 2) = 2))") + "SELECT DISTINCT host, canonical AS url, length(host) % 2 = 0 AS truncated FROM canon",
     "frontier_bfs": _canon("(SELECT * FROM batch_item WHERE url IS NOT NULL)").replace("WITH s AS", "WITH RECURSIVE s AS", 1).rstrip() + """, e AS (SELECT DISTINCT a.canonical AS s, b.canonical AS t FROM canon a JOIN canon b ON a.run_id = b.run_id AND b.pos - a.pos IN (1, 3) WHERE a.canonical IS NOT NULL AND b.canonical IS NOT NULL),
         w AS (SELECT DISTINCT canonical AS url, 0 AS depth FROM canon JOIN (SELECT run_id, min(pos) AS pos FROM canon GROUP BY run_id) USING (run_id, pos) WHERE canonical IS NOT NULL UNION SELECT e.t, w.depth + 1 FROM w JOIN e ON e.s = w.url WHERE w.depth < 3) SELECT url, min(depth) AS depth FROM w GROUP BY url""",
+    "crawl_capped": _canon("(SELECT * FROM batch_item WHERE url IS NOT NULL)").replace("WITH s AS", "WITH RECURSIVE s AS", 1).rstrip() + """, e AS (SELECT DISTINCT a.canonical AS s, b.canonical AS t FROM canon a JOIN canon b ON a.run_id = b.run_id AND b.pos - a.pos IN (1, 3) WHERE a.canonical IS NOT NULL AND b.canonical IS NOT NULL),
+        f AS (SELECT DISTINCT canonical AS url FROM canon WHERE url IN (SELECT url FROM (SELECT host, min(url) AS url FROM batch_item WHERE url IS NOT NULL GROUP BY host) ORDER BY url LIMIT 3)),
+        w AS (SELECT url, 0 AS depth FROM f UNION SELECT e.t, w.depth + 1 FROM w JOIN e ON e.s = w.url WHERE w.depth < 3), m AS (SELECT url, min(depth) AS depth FROM w GROUP BY url) SELECT url, depth FROM m ORDER BY depth, url LIMIT 20""",
+    "cacheable_fields": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'price,size' ELSE 'price' END AS non_cacheable FROM part",
+    "prompts": """SELECT p_partkey, concat_ws(chr(10) || chr(10), CASE WHEN p_size % 2 = 0 THEN 'Embedded data:' || chr(10) || '{"n": "' || p_name || '"}' END, CASE WHEN p_type <> 'ECONOMY' THEN 'Page:' || chr(10) || p_type END, 'Be brief.') AS prompt FROM part""",
     "seeded_urls": _canon("(SELECT * FROM batch_item WHERE url IS NOT NULL)") + f"SELECT DISTINCT canonical AS url FROM canon WHERE starts_with({_part('canonical', 3)}, '/blog/') UNION SELECT 'https://seed.example/'",
     "selector_learn": "SELECT p_brand AS domain, CAST(least(count(*), 3) AS INTEGER) AS samples_used, 'h1' AS name_expr, 'eur_decimal' AS price_coerce FROM part GROUP BY p_brand",
     "selector_apply": "SELECT p_partkey AS id, p_name AS name, round(p_retailprice, 2) AS price, 0 AS n_missing FROM part",

@@ -119,7 +119,52 @@ def word_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.word_diffs(pairs, "p_partkey", "a", "b").select(F.col("id").alias("p_partkey"), "diff", "error")
 
 
-QUERIES = {f.__name__: f for f in (built_facts, built_counts, built_social, built_fallback, built_hidden, built_scope, built_main, built_clean, built_batch, formats, quality_items, word_diffs)}
+_MARKDOWN = "\n".join(
+    (
+        "# {n}", "", "![](/logo.png)", "![pic](/a.png) of [the {n}](/p/{k}) is **bold** and `code`.", "> said {b}.", "", "", "", "Alpha {k}", "Beta Corp", "", "12.99", "Total parts", "", "| a  |  {s} |", "|---|:-:|", ".btn .btn-primary", "{ color: red; margin: 0 auto; padding: 1px }", "Next at /page/2",
+        "A long sentence about the {n}, which stands here twice.", "", "A long sentence about the {n}, which stands here twice.", "- item one", "- item one",
+    )
+)
+
+
+def built_llm_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown slimmed for a model: marks, logo runs, styles, pagination and repeated paragraphs go, a number joins its label."""
+    t = table(spark, sf_dir, "part")
+    md: Column = F.lit(_MARKDOWN)
+    for name, value in {"n": F.col("p_name"), "k": F.col("p_partkey").cast("string"), "b": F.col("p_type"), "s": F.col("p_size").cast("string")}.items():
+        md = F.replace(md, F.lit("{" + name + "}"), value)
+    return t.select("p_partkey", X.llm_body(md).alias("body"))
+
+
+def built_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How strongly pages seem to need scripts: bare mounts, heavy scripts, notices and embedded data."""
+    t = table(spark, sf_dir, "part")
+    k = F.col("p_partkey") % 4
+    body = F.when(k == 0, F.concat(F.lit('<div id="root"></div><script>'), F.repeat(F.lit("x"), 100), F.lit("</script>"))).when(k == 1, F.concat(F.lit("<p>"), F.repeat(F.lit("word "), 150), F.lit('</p><a href="/a">a</a><a href="/b">b</a><a href="/c">c</a>'))).when(k == 2, F.lit("<p>Please enable JavaScript</p>")).otherwise(F.lit('<script id="__NEXT_DATA__" type="application/json">{}</script>'))
+    pages = t.select(F.col("p_partkey").alias("page_id"), F.lit("https://a.test/").alias("url"), F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
+    f = P.page_facts(pages, carry=["html"])
+    s = Q.js_score("html", F.col("visible_chars"), F.col("script_bytes"), F.col("link_count"))
+    return f.select(F.col("id").alias("page_id"), s.alias("score"), Q.needs_browser(s, Q.has_embedded_data("html")).alias("browser"))
+
+
+def capped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut to a hundred tokens by the text function that cleaning uses."""
+    cut = F.pandas_udf(lambda texts: texts.map(lambda t: None if t is None else CL.capped(t, 100)), "string")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(cut("text")).alias("text_md5"))
+
+
+def proposal_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of pages that hold a value, as they are shown to whoever proposes selectors."""
+
+    @F.pandas_udf("string")
+    def part(pages, needles):
+        return pages.combine(needles, lambda p, n: CL.trimmed_for_proposals(p, [n]))
+
+    out = part("html", F.concat(F.lit("one "), (F.col("p_size") + 1000).cast("string")))
+    return _pages(spark, sf_dir).select("page_id", out.contains("one 1").alias("found"), out.contains("<script").alias("scripts"))
+
+
+QUERIES = {f.__name__: f for f in (built_facts, built_counts, built_social, built_fallback, built_hidden, built_scope, built_main, built_clean, built_batch, built_llm_body, built_scores, capped_texts, proposal_parts, formats, quality_items, word_diffs)}
 _B = "WITH p AS (SELECT *, CAST(p_partkey AS VARCHAR) AS k, replace(p_brand, '#', '') AS b, CAST(p_size + 1000 AS VARCHAR) AS s, p_name AS n, p_type AS t FROM part) "
 _TAGS = "'(?s)<script.*?</script>|<style.*?</style>|<[^>]+>'"
 _MARKERS = " OR ".join(f"contains(low, '{m}')" for m in X.CHALLENGE_MARKERS)
@@ -141,4 +186,8 @@ SQL = {
         WHEN status = 403 AND thin AND (marker OR contains(low, 'blocked')) THEN 'access-denied' WHEN status = 429 OR status BETWEEN 500 AND 599 THEN 'unavailable' WHEN thin AND (bw - words > 50 OR (words < 20 AND bw > 2 * words)) THEN 'empty'
         WHEN thin AND marker AND (contains(low, '<title>just a moment') OR contains(low, 'checking your browser') OR contains(low, 'enable javascript and cookies')) THEN 'access-denied' WHEN thin AND marker AND words < 30 THEN 'empty' WHEN status = 404 AND thin THEN 'empty' ELSE '' END AS issue FROM r""",
     "word_diffs": "SELECT p_partkey, '- old' || chr(10) || '+ new' || chr(10) || CASE WHEN p_size % 2 = 0 THEN '+ today' || chr(10) ELSE '' END AS diff, '' AS error FROM part",
+    "built_llm_body": "SELECT p_partkey, replace('# ' || p_name || '~~pic of the ' || p_name || ' is bold and code.~said ' || p_type || '.~~Total parts: 12.99~~| a | ' || p_size || ' |~A long sentence about the ' || p_name || ', which stands here twice.~~- item one~- item one', '~', chr(10)) AS body FROM part",
+    "built_scores": "SELECT p_partkey AS page_id, CASE p_partkey % 4 WHEN 0 THEN 6 WHEN 1 THEN 0 WHEN 2 THEN 4 ELSE 3 END AS score, p_partkey % 4 IN (0, 2) AS browser FROM part",
+    "capped_texts": "WITH d AS (SELECT doc_id, text, CASE WHEN strlen(text) // 4 > 100 THEN text[1:list_max(list_filter(range(1, 401), lambda i: strlen(text[1:i]) <= 400))] END AS head FROM documents) SELECT doc_id, md5(CASE WHEN head IS NULL THEN text WHEN strlen(regexp_extract(head, '(?s)^(.*)\\n', 1)) > 200 THEN regexp_extract(head, '(?s)^(.*)\\n', 1) ELSE head END) AS text_md5 FROM d",
+    "proposal_parts": "SELECT p_partkey AS page_id, true AS found, false AS scripts FROM part",
 }
