@@ -124,6 +124,13 @@ def watch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(spark, W.watch(s), "watch").select("url", "seq", "changed", F.coalesce("old_hash", F.lit("")).alias("old_hash"), "new_hash")
 
 
+def watch_hash_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of the host's front line of titles, as a stream that keeps hashes only, and the diffs of what changed."""
+    items = lambda t: t.where("ok and title is not null").select(F.col("host").alias("url"), F.sha2("title", 256).alias("content_hash"), F.col("title").alias("markdown"), F.col("item_id").alias("seq"))
+    changes = _drained(spark, W.watch_hashes(items(_items(spark, sf_dir))), "hashes")
+    return W.with_diffs(changes, items(table(spark, sf_dir, "batch_item"))).select("url", "seq", "old_seq", (F.col("diff") != "").alias("differs"))
+
+
 def heal_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items at which a host's share of missing titles passes the threshold, as a stream."""
     s = _items(spark, sf_dir).select(F.col("host").alias("domain"), F.lit("title").alias("field"), F.col("item_id").alias("seq"), F.col("title").isNull().alias("is_null"))
@@ -142,7 +149,7 @@ def seen_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(spark, W.seen_once(s), "seen").groupBy("run_id").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (fetched_pages, searched, record_store, cache_first, module_transforms, table_functions, watch_stream, heal_stream, throttle_stream, seen_stream)}
+QUERIES = {f.__name__: f for f in (fetched_pages, searched, record_store, cache_first, module_transforms, table_functions, watch_stream, watch_hash_stream, heal_stream, throttle_stream, seen_stream)}
 
 from .ledger_queries import SQL as _LEDGER  # noqa: E402
 from .web_queries import _canon  # noqa: E402
@@ -155,6 +162,7 @@ SQL = {
     "module_transforms": "SELECT event_id, CASE WHEN k % 10 = 0 THEN k ELSE k + 1 END AS k, CASE WHEN k % 10 = 0 THEN 'tens' ELSE '' END AS error FROM (SELECT event_id, CAST(props->>'$.k' AS INTEGER) AS k FROM events WHERE event_type = 'click')",
     "table_functions": "SELECT n_nationkey, unnest(['https://a.test/n/' || n_name, 'https://b.test/']) AS url FROM nation",
     "watch_stream": "SELECT url, item_id AS seq, coalesce(lag(h) OVER w <> h, false) AS changed, coalesce(lag(h) OVER w, '') AS old_hash, h AS new_hash FROM (SELECT *, sha256(markdown) AS h FROM batch_item WHERE ok AND url IS NOT NULL) WINDOW w AS (PARTITION BY url ORDER BY item_id)",
+    "watch_hash_stream": "SELECT host AS url, item_id AS seq, o AS old_seq, true AS differs FROM (SELECT host, item_id, title, lag(title) OVER w AS t, lag(item_id) OVER w AS o FROM batch_item WHERE ok AND title IS NOT NULL WINDOW w AS (PARTITION BY host ORDER BY item_id)) WHERE t <> title",
     "heal_stream": _LEDGER["healer_triggers"].replace("SELECT host, item_id FROM f WHERE fire", "SELECT host AS domain, item_id AS seq FROM f WHERE fire"),
     "throttle_stream": """WITH RECURSIVE o AS (SELECT host, item_id, row_number() OVER (PARTITION BY host ORDER BY item_id) AS n FROM batch_item),
         f(host, n, item_id, d) AS (SELECT host, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS DOUBLE) FROM o WHERE n = 1

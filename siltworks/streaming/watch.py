@@ -36,6 +36,39 @@ def watch(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("url").applyInPandasWithState(step, "url string, changed boolean, old_hash string, new_hash string, diff string, seq bigint", "hash string, text string", "append", GroupStateTimeout.NoTimeout)
 
 
+def watch_hashes(snapshots: DataFrame) -> DataFrame:
+    """Changes of a stream of snapshots (url, content_hash, seq): url, changed, old_hash, new_hash, old_seq, seq.
+
+    State per URL: the last hash and its number, no text. with_diffs adds the diffs of what changed.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        old_hash, old_seq = state.get if state.exists else (None, None)
+        rows = sorted((seq, h) for b in batches for seq, h in zip(b.seq, b.content_hash))
+        out = []
+        for seq, h in rows:
+            out.append((key[0], old_hash is not None and h != old_hash, old_hash, h, old_seq, seq))
+            old_hash, old_seq = h, int(seq)
+        state.update((old_hash, old_seq))
+        got = pd.DataFrame(out, columns=["url", "changed", "old_hash", "new_hash", "old_seq", "seq"])
+        yield got.astype({"old_seq": "Int64", "old_hash": "string"})
+
+    wanted = snapshots.select("url", "content_hash", "seq")
+    return wanted.groupBy("url").applyInPandasWithState(step, "url string, changed boolean, old_hash string, new_hash string, old_seq bigint, seq bigint", "hash string, seq bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def with_diffs(changes: DataFrame, versions: DataFrame) -> DataFrame:
+    """The changed rows of watch_hashes with their word diffs; versions (url, seq, markdown) is the table of all snapshots. For batches of the stream or its written output."""
+    from ..operators.diff import word_diffs
+
+    v = versions.select("url", F.col("seq").alias("_s"), F.coalesce("markdown", F.lit("")).alias("_md"))
+    old = v.select("url", F.col("_s").alias("old_seq"), F.col("_md").alias("prev"))
+    new = v.select("url", F.col("_s").alias("seq"), F.col("_md").alias("cur"))
+    changed = changes.where("changed")
+    diffs = word_diffs(changed.join(old, ["url", "old_seq"]).join(new, ["url", "seq"]), "seq", "prev", "cur")
+    return changed.join(diffs.select(F.col("id").alias("seq"), "diff", F.col("error").alias("diff_error")), "seq", "left")
+
+
 def heal_stream(outcomes: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD) -> DataFrame:
     """Triggers of a stream of outcomes (domain, field, seq, is_null): domain, field, seq. State: the ring of last outcomes."""
 
