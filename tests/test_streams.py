@@ -39,3 +39,14 @@ def test_throttle_stream_equals_the_fold(spark, tmp_path):
     last = run(spark, tmp_path, rows, schema, W.throttle_stream, "throttle_out").orderBy("seq").collect()[-1].delay_s
     want = Q.throttle_delays(spark.createDataFrame(rows, schema), "host", "seq", "status", "retry_after").first().delay_s
     assert last == want
+
+
+def test_hash_stream_over_micro_batches_and_its_diffs(spark, tmp_path):
+    texts = ["a b", "a b", "a c", None, "a c d"]
+    rows = [(u, str(t), t, i) for i, t in enumerate(texts) for u in ("u", "v")]
+    schema = "url string, content_hash string, markdown string, seq bigint"
+    changes = run(spark, tmp_path, rows, schema, W.watch_hashes, "hash_out")
+    got = {(r.url, r.seq): (r.changed, r.old_seq) for r in changes.collect()}
+    assert got == {(u, i): (i in (2, 3, 4), i - 1 if i else None) for u in "uv" for i in range(5)}
+    diffs = {(r.url, r.seq): r.diff for r in W.with_diffs(changes.where("url = 'u'"), spark.createDataFrame(rows, schema).where("url = 'u'")).collect()}
+    assert set(diffs) == {("u", 2), ("u", 3), ("u", 4)} and "- b" in diffs["u", 2] and "+ d" in diffs["u", 4]
