@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 LANGUAGES = ("en", "de", "fr", "es", "pt", "ru")
 _WORDS = {
     "en": "the and is of that for with a it to",
@@ -18,6 +20,7 @@ OTHER = len(LANGUAGES)
 
 def language_of(ws: list[str]) -> int:
     """Index into LANGUAGES, OTHER if no function word occurs; ties go to the first."""
-    counts = [sum(map(s.__contains__, ws)) for s in _SETS]
+    seen = Counter(ws).get  # one pass over the words, then a look at each function word
+    counts = [sum(seen(w, 0) for w in s) for s in _SETS]
     top = max(counts)
     return counts.index(top) if top else OTHER
