@@ -337,14 +337,14 @@ SQL = {
     "jsonl_round_trip": "SELECT url, title, pos AS depth, md5(markdown) AS markdown_md5 FROM batch_item",
     "csv_round_trip": "SELECT p_partkey, p_name || ', \"' || p_brand || '\"' AS note, CASE WHEN p_size > 25 THEN p_size END AS size FROM part",
     "array_document": "SELECT n_nationkey, n_name FROM nation",
-    "appended_records": f"WITH a AS {_LATEST.format(half=0)}, b AS {_LATEST.format(half=1)}, m AS (SELECT run_id, url_hash, coalesce(b.r, a.r) AS r FROM a FULL JOIN b USING (run_id, url_hash)) SELECT run_id, r.status AS status, count(*) AS n, sum(r.seq) AS seqs FROM m GROUP BY ALL",
+    "appended_records": f"WITH a AS {_LATEST.format(half=0)}, b AS {_LATEST.format(half=1)}, m AS (SELECT run_id, url_hash, coalesce(b.r, a.r) AS r FROM a FULL JOIN b USING (run_id, url_hash)) SELECT run_id, r.status AS status, count(*) AS n, sum(r.seq)::BIGINT AS seqs FROM m GROUP BY ALL",
     "exported": "SELECT count(*) AS sent, 0 AS code, '' AS message FROM customer",
     "url_list_file": "SELECT trim(url) AS url, count(*) AS n FROM frontier WHERE trim(url) <> '' GROUP BY 1",
     "whole_files": "SELECT n_regionkey AS region, CASE WHEN sum(strlen(n_name) + 1) <= 60 THEN CAST(sum(length(n_name) + 1) AS INTEGER) END AS n_chars, sum(strlen(n_name) + 1) > 60 AS truncated FROM nation GROUP BY 1",
     "captured_requests": "SELECT page_id, seq, body, false AS truncated FROM (SELECT user_id AS page_id, event_id AS seq, props AS body, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_id % 4 <> 0 AND event_type IN ('click', 'view')) WHERE n <= 50",
     "required_records": "SELECT 'price,name,zsize' AS columns, round(p_retailprice, 2) AS price, p_name AS name, CAST(p_size AS BIGINT) AS zsize FROM part WHERE p_size % 3 > 0",
     "one_run": "SELECT id, run_id, CAST(row_number() OVER (ORDER BY ts, id) AS INTEGER) AS n FROM llm_call WHERE run_id = (SELECT min(run_id) FROM llm_call)",
-    "fetch_telemetry": "SELECT run_id, count(*) AS fetch_pages, sum(coalesce(strlen(markdown), 0)) AS fetch_bytes, sum(CASE WHEN ok THEN pos * 3 ELSE 0 END) AS fetch_ms FROM batch_item GROUP BY run_id",
+    "fetch_telemetry": "SELECT run_id, count(*) AS fetch_pages, sum(coalesce(strlen(markdown), 0))::BIGINT AS fetch_bytes, sum(CASE WHEN ok THEN pos * 3 ELSE 0 END)::BIGINT AS fetch_ms FROM batch_item GROUP BY run_id",
     "run_events": "SELECT run_id, epoch_us(min(discovered_at)) AS started_at, CASE WHEN count(*) % 2 = 1 THEN epoch_us(max(discovered_at)) END AS finished_at, CASE WHEN count(*) % 2 = 0 THEN 'running' WHEN count(*) FILTER (status = 'error') > 0 THEN 'error' ELSE 'finished' END AS status FROM frontier GROUP BY run_id",
     "table_counts": "SELECT 'batch_item' AS name, count(*) AS n FROM batch_item UNION ALL SELECT 'frontier', count(*) FROM frontier UNION ALL SELECT 'llm_call', count(*) FROM llm_call UNION ALL SELECT 'raw_page', count(*) FROM raw_page",
     "cached_selectors": "SELECT DISTINCT p_brand AS domain, sha256(p_type) AS schema_hash FROM part WHERE p_brand <> 'Brand#1'",
