@@ -14,7 +14,9 @@ records that meet in it, and the partial counts are summed per pair.
    make a pair of candidates. n-grams that the sketch shows to be unique meet nobody and are
    left out; the sketch bounds how many records meet in an n-gram of these fragments.
 3. n-grams beyond that bound (``HOT``) form a fragment of their own, which is joined with salt:
-   the classes of one n-gram spread over many tasks.
+   the classes of one n-gram spread over many tasks. The smaller class of a pair must hold the
+   n-gram early in its order, so only such entries look for partners, and only in the sizes that
+   their place leaves; n-grams that stand early in no class meet nobody.
 4. For the candidates the fragments of the whole order count the full overlap, and the sums
    decide exactly. No candidate is capped or sampled.
 
@@ -38,16 +40,18 @@ from ..session import checkpointed, table
 from .graph import components
 from .text import WordHasher, mixed, ngrams, words
 
-#: Cells of the counting sketch (2 ** SKETCH_BITS bytes, whatever the data's size) and the blocks it travels in.
-SKETCH_BITS, BLOCKS = 24, 64
+#: Cells of the counting sketch (2 ** SKETCH_BITS bytes, for much text up to 2 ** MOST_BITS), characters a cell, and the blocks it travels in.
+SKETCH_BITS, MOST_BITS, CELL_CHARS, BLOCKS = 24, 26, 16, 64
+#: Counts that a byte of the sketch stands for: exact up to 128, then steps of an eighth; counts between are rounded up.
+_LEVELS = np.concatenate((np.arange(128), np.ceil(128 * 2 ** (np.arange(128) / 6)))).astype(np.int64)
 #: Shared n-grams asked of the rare fragment.
 EXTRA = 4
 #: Pivots that cut the global order: n-grams whose sketch count is at most 2, 8, 64, and the rest.
 PIVOTS = (2, 8, 64)
 #: Sketch count beyond which an n-gram is joined with salt; below it, it is a proven bound of the records that meet there.
 HOT = PIVOTS[-1]
-#: n-grams of a rare fragment, and classes of a hot n-gram that one task takes.
-FRAGMENT_GRAMS, SALT_CLASSES = 1_500_000, 2_000
+#: n-grams of a rare fragment, classes of a hot n-gram that one task takes, and the ratio of sizes that meet in one bucket.
+FRAGMENT_GRAMS, SALT_CLASSES, SIZE_STEP = 1_500_000, 2_000, 1.05
 
 
 def gram_set(text: str | None, hasher: WordHasher, n: int, min_words: int) -> np.ndarray | None:
@@ -65,13 +69,27 @@ def _class_of(grams: np.ndarray) -> int:
         return int((mixed(grams).sum(dtype=np.uint64) ^ np.uint64(len(grams))).astype(np.int64))
 
 
-def _slots(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _slots(grams: np.ndarray, cells: int) -> np.ndarray:
+    return (grams >> np.uint64(65 - cells.bit_length())).astype(np.int64)
 
 
-def _classes_and_sketch(df: DataFrame, n: int, min_words: int) -> DataFrame:
+def _coded(counts: np.ndarray) -> np.ndarray:
+    """The counts as bytes of the sketch."""
+    codes = np.minimum(counts, 127).astype(np.uint8)
+    high = np.flatnonzero(counts > 127)
+    codes[high] = np.minimum(np.searchsorted(_LEVELS, counts[high]), 255)
+    return codes
+
+
+def _sketch_bits(texts: DataFrame) -> int:
+    """Size of the sketch for so much text; it decides how well n-grams are ordered, not what is found."""
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 1
+    return min(MOST_BITS, max(SKETCH_BITS, math.ceil(math.log2(chars / CELL_CHARS))))
+
+
+def _classes_and_sketch(df: DataFrame, n: int, min_words: int, bits: int = SKETCH_BITS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, sketch, any_text = WordHasher(), np.zeros(1 << SKETCH_BITS, np.uint8), False
+        hasher, sketch, any_text = WordHasher(), np.zeros(1 << bits, np.uint16), False
         for batch in batches:
             ids, sizes, classes = [], [], []
             found = []
@@ -82,7 +100,7 @@ def _classes_and_sketch(df: DataFrame, n: int, min_words: int) -> DataFrame:
                 ids.append(i)
                 sizes.append(len(g))
                 classes.append(_class_of(g))
-                found.append(_slots(g))
+                found.append(_slots(g, len(sketch)))
                 if len(found) >= 256:
                     _count(sketch, found)
                     found = []
@@ -94,7 +112,7 @@ def _classes_and_sketch(df: DataFrame, n: int, min_words: int) -> DataFrame:
         if any_text:
             pack = zstandard.ZstdCompressor(level=1)
             step = len(sketch) // BLOCKS
-            data = [pack.compress(sketch[b * step : (b + 1) * step].tobytes()) for b in range(BLOCKS)]
+            data = [pack.compress(_coded(sketch[b * step : (b + 1) * step]).tobytes()) for b in range(BLOCKS)]
             yield pa.record_batch([pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int32()), pa.nulls(BLOCKS, pa.int64()), pa.array(range(BLOCKS), pa.int32()), pa.array(data, pa.binary())], names=["id", "n", "c", "block", "data"])
 
     return df.mapInArrow(run, "id bigint, n int, c bigint, block int, data binary")
@@ -102,25 +120,28 @@ def _classes_and_sketch(df: DataFrame, n: int, min_words: int) -> DataFrame:
 
 def _count(sketch: np.ndarray, found: list[np.ndarray]) -> None:
     slots, times = np.unique(np.concatenate(found), return_counts=True)
-    sketch[slots] = np.minimum(sketch[slots].astype(np.int64) + times, 255)
+    sketch[slots] = np.minimum(sketch[slots].astype(np.int64) + times, 65535)
 
 
-def _merged_sketch(parts: DataFrame) -> bytes:
+def _merged_sketch(parts: DataFrame, bits: int = SKETCH_BITS) -> bytes:
     """The sum of the partial sketches, compressed; every block is added up as a stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, sums = zstandard.ZstdDecompressor(), {}
         for batch in batches:
             for b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(unpack.decompress(data), np.uint8)
-                sums[b] = x if b not in sums else np.minimum(sums[b].astype(np.uint16) + x, 255).astype(np.uint8)
+                x = _LEVELS[np.frombuffer(unpack.decompress(data), np.uint8)]
+                if b in sums:
+                    sums[b] += x
+                else:
+                    sums[b] = x
         if sums:
             pack = zstandard.ZstdCompressor(level=1)
-            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([pack.compress(x.tobytes()) for x in sums.values()], pa.binary())], names=["block", "data"])
+            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([pack.compress(_coded(x).tobytes()) for x in sums.values()], pa.binary())], names=["block", "data"])
 
-    rows = parts.select("block", "data").repartition(BLOCKS, "block").mapInArrow(run, "block int, data binary").collect()  # BLOCKS rows, 2 ** SKETCH_BITS bytes before compression
-    step, unpack = (1 << SKETCH_BITS) // BLOCKS, zstandard.ZstdDecompressor()
-    whole = np.zeros(1 << SKETCH_BITS, np.uint8)
+    rows = parts.select("block", "data").repartition(BLOCKS, "block").mapInArrow(run, "block int, data binary").collect()  # BLOCKS rows, 2 ** bits bytes before compression
+    step, unpack = (1 << bits) // BLOCKS, zstandard.ZstdDecompressor()
+    whole = np.zeros(1 << bits, np.uint8)
     for r in rows:
         whole[r.block * step : (r.block + 1) * step] = np.frombuffer(unpack.decompress(bytes(r.data)), np.uint8)
     return zstandard.ZstdCompressor(level=1).compress(whole.tobytes())
@@ -128,7 +149,7 @@ def _merged_sketch(parts: DataFrame) -> bytes:
 
 def _ordered(grams: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams in the global order, and their sketch counts."""
-    times = sketch[_slots(grams)]
+    times = sketch[_slots(grams, len(sketch))]
     at = np.lexsort((grams, times))
     return grams[at], times[at]
 
@@ -149,6 +170,17 @@ def _need(threshold: float) -> Column:
     return F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n1") + F.col("n2")) - 1e-9).cast("int")
 
 
+def _early(p, n, threshold: float, least, ceil):
+    """Whether the place of an n-gram is one at which a class of this size can meet a class as large or larger; for columns and arrays."""
+    need = ceil(2 * threshold / (1 + threshold) * n - 1e-9)
+    return p < n - need + least(EXTRA, need)
+
+
+def _most(p, n, threshold: float, least):
+    """Size of the largest class that a class can meet with an n-gram at this place, rounded up; for columns and arrays."""
+    return least(n / threshold, (n - p + EXTRA - 1) * ((1 + threshold) / threshold) - n) + 1e-6
+
+
 #: Partial overlaps (c1, c2, n1, n2, shared), or a class in a hot n-gram (c1, n1, g, p).
 _MET = "c1 bigint, c2 bigint, n1 int, n2 int, shared int, g bigint, p int"
 
@@ -156,19 +188,29 @@ _MET = "c1 bigint, c2 bigint, n1 int, n2 int, shared int, g bigint, p int"
 def _meetings(batches: Iterator[pa.RecordBatch], threshold: float, hot: int) -> Iterator[pa.RecordBatch]:
     """Partial overlaps of a fragment: rows sorted by n-gram; what remains of the last n-gram of a batch waits for the next.
 
-    Fragments from number ``hot`` on are passed through, each class of an n-gram once.
+    Fragments from number ``hot`` on are passed through, early places of an n-gram first: each
+    class of an n-gram once, and late ones only where an early one of fitting size came before.
     """
-    rest = None
+    rest, last = None, None
     for batch in batches:
         if batch.num_rows and batch.column(0)[0].as_py() >= hot:
             g, p, c, n = (batch.column(k).to_numpy() for k in range(1, 5))
             new = np.ones(len(g), bool)
             new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
-            if rest is not None:  # the last row of the batch before
-                new[0] = (g[0], c[0]) != rest
-            rest = (g[-1], c[-1])
+            if last is not None:  # the last row of the batch before
+                new[0] = (g[0], c[0]) != last[:2]
+            early = _early(p, n, threshold, np.minimum, np.ceil)
+            first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(g))))
+            low = np.minimum.reduceat(np.where(early, n, np.iinfo(np.int32).max), first).astype(np.float64)
+            high = np.maximum.reduceat(np.where(early, _most(p, n, threshold, np.minimum), 0.0), first)
+            if last is not None and last[0] == g[0]:
+                low[0], high[0] = min(low[0], last[2]), max(high[0], last[3])
+            last = (g[-1], c[-1], low[-1], high[-1])
+            new &= early | ((n >= low[group]) & (n <= high[group]))
             k = int(new.sum())
-            yield pa.record_batch([pa.array(c[new]), pa.nulls(k, pa.int64()), pa.array(n[new]), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.array(g[new]), pa.array(p[new])], names=["c1", "c2", "n1", "n2", "shared", "g", "p"])
+            if k:
+                yield pa.record_batch([pa.array(c[new]), pa.nulls(k, pa.int64()), pa.array(n[new]), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.array(g[new]), pa.array(p[new])], names=["c1", "c2", "n1", "n2", "shared", "g", "p"])
             continue
         t = [batch.column(k).to_numpy() for k in range(1, 5)]  # g, p, c, n
         if rest is not None:
@@ -177,7 +219,7 @@ def _meetings(batches: Iterator[pa.RecordBatch], threshold: float, hot: int) ->
         rest = [x[cut:] for x in t]
         if cut:
             yield from _counted([x[:cut] for x in t], threshold)
-    if isinstance(rest, list) and len(rest[0]):
+    if rest is not None and len(rest[0]):
         yield from _counted(rest, threshold)
 
 
@@ -209,27 +251,37 @@ def _counted(t: list[np.ndarray], threshold: float) -> Iterator[pa.RecordBatch]:
 
 
 def _salted(hot: DataFrame, threshold: float) -> DataFrame:
-    """Partial overlaps in the hot n-grams (g, p, c, n): the classes of one n-gram in parts, each part met with all."""
-    parts = hot.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g", F.ceil(F.col("k") / SALT_CLASSES).cast("int").alias("parts"))
-    hot = hot.join(parts, "g")
-    x = hot.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")).select("g", "part", *(F.col(k).alias(f"{k}1") for k in "pcn"))
-    y = hot.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("g", "part", *(F.col(k).alias(f"{k}2") for k in "pcn"))
+    """Partial overlaps in the hot n-grams (g, p, c, n): the smaller class of a pair, at an early place, goes to the buckets of all sizes that it can meet there; the classes of one bucket come in parts, each part met with all smaller ones."""
+    p, n = F.col("p"), F.col("n")
+    bucket = lambda size: F.floor(F.log(size) / math.log(SIZE_STEP)).cast("int")
+    small = hot.where(_early(p, n, threshold, lambda a, b: F.least(F.lit(a), b), F.ceil))
+    small = small.withColumn("b", F.explode(F.sequence(bucket(n), bucket(F.greatest(n, _most(p, n, threshold, F.least))))))
+    large = hot.withColumn("b", bucket(n))
+    parts = large.groupBy("g", "b").agg(F.count("*").alias("k")).where(F.col("k") > SALT_CLASSES).select("g", "b", F.ceil(F.col("k") / SALT_CLASSES).cast("int").alias("parts"))
+    some = F.coalesce("parts", F.lit(1))
+    x = small.join(parts, ["g", "b"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), some - 1))).select("g", "b", "part", *(F.col(k).alias(f"{k}1") for k in "pcn"))
+    y = large.join(parts, ["g", "b"], "left").withColumn("part", F.pmod(F.xxhash64("c"), some).cast("int")).select("g", "b", "part", *(F.col(k).alias(f"{k}2") for k in "pcn"))
     need = _need(threshold)
     share = F.least(F.lit(EXTRA), need)
-    meet = (F.col("c1") < F.col("c2")) & (F.least("n1", "n2") >= threshold * F.greatest("n1", "n2") - 1e-9) & (F.col("p1") < F.col("n1") - need + share) & (F.col("p2") < F.col("n2") - need + share)
-    return x.join(y, ["g", "part"]).where(meet).groupBy("c1", "c2", "n1", "n2").agg(F.count("*").cast("int").alias("shared"))
+    smaller = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("c1") < F.col("c2")))
+    meet = smaller & (F.col("n1") >= threshold * F.col("n2") - 1e-9) & (F.col("p1") < F.col("n1") - need + share) & (F.col("p2") < F.col("n2") - need + share)
+    kept = F.col("c1") < F.col("c2")
+    met = y.join(x, ["g", "b", "part"]).where(meet)
+    met = met.select(*(F.when(kept, F.col(f"{k}{i}")).otherwise(F.col(f"{k}{3 - i}")).alias(f"{k}{i}") for k in "cn" for i in (1, 2)))
+    return met.groupBy("c1", "c2", "n1", "n2").agg(F.count("*").cast("int").alias("shared"))
 
 
 def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float, min_words: int) -> tuple[DataFrame, DataFrame]:
     """(members, links): class of each record (id, c, n), and the pairs of classes (c1 < c2) that reach the threshold."""
     spark = df.sparkSession
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null and text <> ''")
-    first = checkpointed(_classes_and_sketch(texts, n, min_words))
+    bits = _sketch_bits(texts)
+    first = checkpointed(_classes_and_sketch(texts, n, min_words, bits))
     members = first.where("id is not null").select("id", "c", "n")
     total = members.agg(F.sum("n")).first()[0] or 0
     # at least a task per core; beyond that fragments grow in number, not in size
     fragments_ = max(math.ceil(spark.sparkContext.defaultParallelism / len(PIVOTS)), math.ceil(total * (1 - threshold) / FRAGMENT_GRAMS))
-    packed = spark.sparkContext.broadcast(_merged_sketch(first.where("block is not null")))
+    packed = spark.sparkContext.broadcast(_merged_sketch(first.where("block is not null"), bits))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, sketch, done = WordHasher(), _load(packed.value), set()
@@ -258,8 +310,10 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, n: int, th
                 )
 
     entries = texts.select("text").mapInArrow(prefixes, "f int, g bigint, p int, c bigint, n int")
-    count = functools.partial(_meetings, threshold=threshold, hot=len(PIVOTS) * fragments_)
-    met = checkpointed(entries.repartitionById((len(PIVOTS) + 1) * fragments_, "f").sortWithinPartitions("g", "c").mapInArrow(count, _MET))
+    hot = len(PIVOTS) * fragments_
+    count = functools.partial(_meetings, threshold=threshold, hot=hot)
+    late = (F.col("f") >= hot) & ~_early(F.col("p"), F.col("n"), threshold, lambda a, b: F.least(F.lit(a), b), F.ceil)
+    met = checkpointed(entries.repartitionById((len(PIVOTS) + 1) * fragments_, "f").sortWithinPartitions("g", late, "c").mapInArrow(count, _MET))
     partial = met.where("shared is not null").select("c1", "c2", "n1", "n2", "shared")
     partial = partial.unionByName(_salted(met.where("shared is null").select("g", "p", F.col("c1").alias("c"), F.col("n1").alias("n")), threshold))
     pairs = partial.groupBy("c1", "c2", "n1", "n2").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= F.least(F.lit(EXTRA), _need(threshold))).select("c1", "c2", "n1", "n2")
@@ -277,7 +331,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, n: int, th
                 g = gram_set(text, hasher, n, min_words)
                 if g is None:
                     continue
-                part = np.searchsorted(PIVOTS, sketch[_slots(g)])
+                part = np.searchsorted(PIVOTS, sketch[_slots(g, len(sketch))])
                 for f in range(len(PIVOTS) + 1):
                     own = g[part == f]
                     if len(own):
