@@ -1,12 +1,13 @@
 """Work that must not grow faster than the tables."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from siltworks.llm import neardup
+from siltworks.llm import mojibake, neardup
 
 
 def test_hot_ngrams_late_in_every_class_meet_nobody():
@@ -50,3 +51,21 @@ def test_common_ngrams_are_ordered_by_their_counts(spark):
     _, times = neardup._ordered(np.concatenate((often, seldom)), sketch)
     at = neardup._ordered(np.concatenate((often, seldom)), sketch)[0]
     assert set(at[-2:]) == set(often) and times[0] < times[-1]
+
+
+def test_margins_come_from_all_clean_runs(spark):
+    """Each run stands once in three tasks, so three times in all; a unit separator stands beside some."""
+    r = random.Random(8)
+    stems = ["".join(r.choices("bcdfglmnprst", k=2)) + r.choice("aeiou") for _ in range(60)]
+    runs = sorted({r.choice("éèüößçñ") + r.choice("éàôïûœ") for _ in range(20)})
+    lines = [f"{s}{run}{c}" for s in stems for run in runs for c in "bd"]
+    texts = [" ".join(lines)] * 3 + ["x\x1fé\x1f"] * 3
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(6)
+    counts, margins = mojibake.train(df)
+    seen = Counter(mojibake._window(t, m) for t in texts for m in mojibake._RUN.finditer(t))
+    whole = np.zeros(mojibake.BLOCKS * mojibake.CELLS, np.int64)
+    sample = mojibake._absorb(whole, {}, seen)
+    assert (counts == whole).all()
+    keys = {"\x1f".join(k) for k, n in seen.items() if n >= mojibake.SEEN and mojibake._is_clean(k[1])}
+    assert set(sample.values()) == keys and len(keys) > 500
+    assert margins == mojibake.validated_margins(mojibake.Model(whole.astype(np.float32)), sorted(keys))
