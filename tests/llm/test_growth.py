@@ -1,13 +1,15 @@
 """Work that must not grow faster than the tables."""
 
+import hashlib
 import random
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from siltworks.llm import mojibake, neardup
+from siltworks.llm import mainbody, mojibake, neardup
 
 
 def test_hot_ngrams_late_in_every_class_meet_nobody():
@@ -69,3 +71,22 @@ def test_margins_come_from_all_clean_runs(spark):
     keys = {"\x1f".join(k) for k, n in seen.items() if n >= mojibake.SEEN and mojibake._is_clean(k[1])}
     assert set(sample.values()) == keys and len(keys) > 500
     assert margins == mojibake.validated_margins(mojibake.Model(whole.astype(np.float32)), sorted(keys))
+
+
+@pytest.mark.parametrize("copies", [0, 300])
+def test_shards_of_a_host_decide_like_one_group(spark, copies, monkeypatch):
+    """What stands on two pages only is found wherever the shards of a large host put them."""
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghiklmnoprstu", k=7)) for _ in range(3000)]
+    rows = []
+    for i in range(240):
+        twice = f"Share this {words[i // 2]} {words[i // 2 + 300]} page on your {words[i // 2 + 600]} network"
+        rows.append(("batch_item", i, "big.example", "\n".join([" ".join(r.choices(words, k=25)), twice, " ".join(r.choices(words, k=25))])))
+    rows += [("batch_item", 1000 + i, "big.example", rows[0][3]) for i in range(copies)]
+    rows += [("batch_item", 5000 + i, "small.example", " ".join(r.choices(words, k=20))) for i in range(5)]
+    df = spark.createDataFrame(rows, "tab string, rec_id bigint, host string, text string")
+    whole = {tuple(x) for x in mainbody.main_blocks(df).collect()}
+    monkeypatch.setattr(mainbody, "GROUP", 60)
+    assert {tuple(x) for x in mainbody.main_blocks(df).collect()} == whole
+    shared = hashlib.md5(rows[2][3].split("\n")[1].encode()).hexdigest()
+    assert ("batch_item", 2, shared) not in whole and len(whole) == 2 * (240 + copies) + 5
