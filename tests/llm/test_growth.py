@@ -90,3 +90,10 @@ def test_shards_of_a_host_decide_like_one_group(spark, copies, monkeypatch):
     assert {tuple(x) for x in mainbody.main_blocks(df).collect()} == whole
     shared = hashlib.md5(rows[2][3].split("\n")[1].encode()).hexdigest()
     assert ("batch_item", 2, shared) not in whole and len(whole) == 2 * (240 + copies) + 5
+
+
+def test_headlines_of_a_few_copies_are_no_menu_of_a_large_host():
+    flags, owner = np.array([mainbody._MENU, mainbody._MENU, 0], np.uint16), np.full(3, mainbody._NONE, np.uint32)
+    cov, on = np.ones((2, 3)), np.array([[9000, 4, 1], [9000, 4, 1]])
+    assert mainbody.furniture(flags, owner, cov, on, 10000).tolist() == [True, False, False]
+    assert mainbody.furniture(flags, owner, cov, on, 100).tolist() == [True, True, False]
