@@ -1,11 +1,14 @@
 """Fetch policy, searches, record store, running values and the small additions of the ledger."""
 
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
-from siltworks.operators import ledger, robots, search, selectors, sequences
+import __spark_entry__ as E
+from siltworks.operators import frontier, ledger, robots, search, selectors, sequences
+from siltworks.session import checkpointed
 from siltworks.sources import sinks
 from siltworks.sources.fetching import Fetcher, Policy, VirtualClock, fetch_urls
 from siltworks.sources.pages import FetchError
@@ -142,3 +145,35 @@ def test_a_batch_has_a_limit(spark):
     pages = spark.range(101).selectExpr("id as page_id", "id as pos", "'https://a.test/' as url", "'' as final_url", "200 as status", "'<p>x</p>' as html")
     with pytest.raises(OptionError):
         Engine(spark).batch(pages)
+
+
+def test_crawl_of_lists_and_of_their_pairs(spark):
+    r = random.Random(5)
+    rows = [(r.choice("abc"), r.randrange(6), f"https://h.test/{r.randrange(25)}{r.choice(['', '#x', '.pdf'])}") for _ in range(60)]
+    at = checkpointed(frontier.discovered(spark.createDataFrame(rows, "run string, pos int, url string"), "url", keep=("run", "pos")))
+    links = at.select(F.col("url_hash").alias("src_hash"), "run", (F.col("pos") + 1).alias("pos"))
+    seeds, scope = at.where("pos = 0").select("url"), ~F.col("url").endswith("7")
+    for cap in (None, 9):
+        want = frontier.crawl(seeds, links.join(at.drop("url_hash"), ["run", "pos"]), 2, cap, scope).collect()
+        got = frontier.crawl(seeds, links, 2, cap, scope, at).collect()
+        assert {tuple(x) for x in got} == {tuple(x) for x in want} and len(got) == len(want) > 2
+
+
+#: Items of one run in HOT; by four positions they would make 100 million pairs.
+HOT = 20_000
+
+
+def crawled(spark, tmp_path, query):
+    """{number: depth} of a crawl over a run of HOT items, stopped after a minute."""
+    rows = spark.range(HOT).selectExpr("id AS item_id", "'r' AS run_id", "CAST(id % 4 AS INT) AS pos", "concat('h', id % 5, '.test') AS host", "format_string('https://h%d.test/%05d', id % 5, id) AS url")
+    rows.write.parquet(f"{tmp_path}/batch_item.parquet")
+    stop = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        return {int(r.url[-5:]): r.depth for r in E.queries()[query](spark, str(tmp_path)).collect()}
+    finally:
+        stop.cancel()
+
+
+def test_capped_crawl_of_a_large_run_ends(spark, tmp_path):
+    assert crawled(spark, tmp_path, "crawl_capped") == {0: 0, 1: 0, 2: 0} | dict.fromkeys([i for i in range(0, HOT, 5) if i % 4][:17], 1)
